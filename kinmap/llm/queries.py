@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from kinmap.llm import fingerprints, licenses, mixing, packing, token_counts
+from kinmap.llm import fingerprints, language, licenses, mixing, packing, scoring, token_counts
 
 QUERIES = {
     f.__name__: f
     for f in (
         fingerprints.op1_document_fingerprints,
         packing.op2_best_fit_packing,
+        language.op4_language_id,
         mixing.op6_mixing_sources,
+        scoring.op8_lm_scoring,
         licenses.op9_license_scans,
         token_counts.op10_token_counts,
     )

@@ -90,3 +90,21 @@ def span_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 def grouped_offsets(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows starts in the sorted `rows`, and the end."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    """Ascending 64-bit values as differences, byte plane by byte plane: the empty planes vanish in Spark's compression."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    return np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpack_sorted(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def word_hashes(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of the rows, A-Z lowered, and the row of each."""
+    lowered = LOWER[padded]
+    starts, ends, rows = spans(WORD_BYTE[lowered], offsets)
+    return span_hashes(lowered, starts, ends), rows
