@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmap.llm import fingerprints, language, licenses, mixing, packing, scoring, token_counts
+from kinmap.llm import fingerprints, language, licenses, mixing, packing, scoring, token_counts, vectors
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         packing.op2_best_fit_packing,
         language.op4_language_id,
         mixing.op6_mixing_sources,
+        vectors.op7_embedding_near_dedup,
         scoring.op8_lm_scoring,
         licenses.op9_license_scans,
         token_counts.op10_token_counts,
@@ -19,5 +20,6 @@ QUERIES = {
 
 ORACLES = {
     "op6_mixing_sources": mixing.ORACLE,
+    "op7_embedding_near_dedup": vectors.ORACLE,
     "op9_license_scans": licenses.oracle(),
 }
