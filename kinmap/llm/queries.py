@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmap.llm import fingerprints, language, licenses, mixing, packing, scoring, token_counts, vectors
+from kinmap.llm import fingerprints, jaccard, language, licenses, mixing, packing, scoring, token_counts, vectors
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         fingerprints.op1_document_fingerprints,
         packing.op2_best_fit_packing,
         language.op4_language_id,
+        jaccard.op5_ngram_jaccard_join,
         mixing.op6_mixing_sources,
         vectors.op7_embedding_near_dedup,
         scoring.op8_lm_scoring,
