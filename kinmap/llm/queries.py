@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from kinmap.llm import fingerprints, jaccard, language, licenses, mixing, packing, scoring, token_counts, vectors
+from kinmap.llm import fingerprints, jaccard, language, licenses, mixing, packing, scoring, suffixes, token_counts, vectors
 
 QUERIES = {
     f.__name__: f
     for f in (
         fingerprints.op1_document_fingerprints,
         packing.op2_best_fit_packing,
+        suffixes.op3_suffix_array_dedup,
         language.op4_language_id,
         jaccard.op5_ngram_jaccard_join,
         mixing.op6_mixing_sources,

@@ -9,11 +9,6 @@ which writes the vocabulary: counts and predecessor counts. Scoring workers map
 the arrays into memory from the shared folder and look words up by binary search
 in sorted order, so that a worker touches what its texts need.
 
-The arrays lie under spark.checkpoint.dir, which must be a path that all
-machines mount, as arrays can only be mapped from one. A bucket's files are
-written under another name and then renamed, so a task that runs again leaves
-the same files.
-
 p(w|u) = (c(u,w) - D)+ / c(u) + g(u) p(w) and p(w) = (b(w) - D')+ / B + g' / (V + 1)
 with b the number of different predecessors, one discount each for counts 1, 2
 and 3 or more, and one share of the last term for all unknown words.
@@ -26,11 +21,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 import json
-import os
-import uuid
 from collections.abc import Iterator
-from functools import lru_cache
-from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
@@ -38,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmap.llm.tables import arrays, new_folder, saved
 from kinmap.llm.text import blocks, mixed, pack_sorted, unpack_sorted, word_hashes
-from kinmap.session import shared_folder
 
 START, END = np.uint64(1), np.uint64(2)
 BUCKET_BYTES = 24 << 20
@@ -106,23 +97,11 @@ def unpacked_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.repeat(first, length), second, planes(at + 8 * n, n).astype(np.int64)
 
 
-def saved(folder: str, name: str, array: np.ndarray) -> None:
-    part = f"{folder}/{name}.{uuid.uuid4().hex}.tmp"
-    with open(part, "wb") as f:
-        np.save(f, array)
-    os.replace(part, f"{folder}/{name}.npy")
-
-
 def train(docs: DataFrame) -> dict:
     """Counts docs' texts and writes the arrays; returns what scoring must know of them."""
-    spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    folder = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
-    if urlparse(folder).scheme not in ("", "file"):
-        raise ValueError(f"language models are mapped into memory: spark.checkpoint.dir must be a mounted path, not {folder}")
-    folder = urlparse(folder).path
-    os.makedirs(folder, exist_ok=True)
+    folder = new_folder(docs.sparkSession, "pairs")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -216,39 +195,6 @@ def discounts(model: dict, name: str) -> np.ndarray:
     return np.array([0.0, *[min(max(d, 0.05), k + 0.95) for k, d in enumerate(found)]])
 
 
-class Arrays:
-    """The model's arrays, mapped into memory bucket by bucket as they are needed."""
-
-    def __init__(self, folder: str, buckets: int):
-        self.folder, self.buckets, self.kept = folder, buckets, {}
-
-    def get(self, name: str, k: int) -> np.ndarray | None:
-        if (name, k) not in self.kept:
-            path = f"{self.folder}/{name}_{k}.npy"
-            self.kept[name, k] = np.load(path, mmap_mode="r") if os.path.exists(path) else None
-        return self.kept[name, k]
-
-    def find(self, name: str, values: str, bucket: np.ndarray, keys: np.ndarray, width: int) -> np.ndarray:
-        """The value rows of the keys, zeros for keys that are not there."""
-        out = np.zeros((len(keys), width), np.int64)
-        order = np.lexsort((keys, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for k in range(self.buckets):
-            there = self.get(name, k) if cut[k] < cut[k + 1] else None
-            if there is None:
-                continue
-            o = order[cut[k] : cut[k + 1]]
-            place = np.minimum(np.searchsorted(there, keys[o]), len(there) - 1)
-            hit = there[place] == keys[o]
-            out[o[hit]] = self.get(values, k)[place[hit]].reshape(-1, width)
-        return out
-
-
-@lru_cache(maxsize=2)
-def arrays(folder: str, buckets: int) -> Arrays:
-    return Arrays(folder, buckets)
-
-
 def scores(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs' (doc_id, held_out, text)."""
     d, e = discounts(model, "n"), discounts(model, "b")
