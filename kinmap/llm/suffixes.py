@@ -293,34 +293,40 @@ def removed_spans(texts: Texts, padded: np.ndarray, offsets: np.ndarray, ids: np
     return removed
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document, and with_text what is kept.
 
-    The kept text drops bytes of characters that were removed in part.
+    The kept text drops bytes of characters that were removed in part. Columns to
+    carry are passed through.
     """
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
-    setting = tables_for(docs, length)
+    docs = docs.select("doc_id", "text", *carry).where("doc_id IS NOT NULL")
+    setting = tables_for(docs.select("doc_id", "text"), length)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(setting)
-        for padded, offsets, ids in batches_of(texts, batches):
-            removed = removed_spans(texts, padded, offsets, ids)
-            rows = []
-            for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-                gone, data = removed[a:b], padded[a:b]
-                n = int(gone.sum())
-                spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (b > a and gone[0]))
-                kept = (data[~gone] if n else data).tobytes()
-                rows.append((b - a, n, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_text else None))
-            columns = list(zip(*rows))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-            made = [pa.array(c, t) for c, t in zip(columns, types)]
-            names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
-            count = 5 if with_text else 4
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *made[:count]], ["doc_id", *names[:count]])
+        for batch in batches:
+            row = 0
+            for padded, offsets, ids in batches_of(texts, iter([batch])):
+                removed = removed_spans(texts, padded, offsets, ids)
+                rows = []
+                for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+                    gone, data = removed[a:b], padded[a:b]
+                    n = int(gone.sum())
+                    spans = int(np.count_nonzero(gone[1:] & ~gone[:-1]) + (b > a and gone[0]))
+                    kept = (data[~gone] if n else data).tobytes()
+                    text = kept.decode("utf-8", "ignore") if with_text else None
+                    rows.append((b - a, n, spans, hashlib.sha256(kept).hexdigest(), text))
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+                names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+                count = 5 if with_text else 4
+                carried = [batch.column(c).slice(row, len(ids)) for c in carry]
+                yield pa.RecordBatch.from_arrays([pa.array(ids), *made[:count], *carried], ["doc_id", *names[:count], *carry])
+                row += len(ids)
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return docs.mapInArrow(remove, schema + (", kept string" if with_text else ""))
+    schema += ", kept string" * with_text + "".join(f", `{c}` {t}" for c, t in docs.dtypes if c in carry)
+    return docs.mapInArrow(remove, schema)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
