@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinmap.plans import graphs, metrics  # noqa: F401
+from kinmap.plans import alignments, graphs, metrics, samples, transports  # noqa: F401
 from kinmap.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES", "flagship"]
