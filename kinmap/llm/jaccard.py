@@ -41,16 +41,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm.components import components
-from kinmap.llm.text import blocks, mixed, pack_sorted, unpack_sorted, word_hashes
+from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, unpack_sorted, word_hashes
 from kinmap.session import checkpointed
 
 SHINGLE = 5
 PERCENT = 75
 SPARE_BITS = 8
-BUCKET_TOKENS = 5_000_000
-HELD_TOKENS = 2_500_000
-HUB_ROUNDS = 4
-PAIRS_PER_ENTRY = 4
+BUCKET_TOKENS = 3_000_000
+HELD_TOKENS = 1_500_000
+BROADCAST_ROWS = 1_000_000
+HUB_ROUNDS = 6
+PAIRS_PER_ENTRY = 2
+LONGER = 16
 
 
 def shingle_sets(padded: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -92,92 +94,109 @@ def needed(size: Column, percent: int) -> Column:
     return F.ceil(size * percent / 100)
 
 
+def planes(values: np.ndarray) -> bytes:
+    """32-bit values byte plane by byte plane, for the sake of compression."""
+    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def set_facts(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n, name (of the set), shared: at least the number of its shingles that stand in other documents."""
+    """doc_id, n, name (of the set), shared (at least the number of its shingles that stand in other documents), rows.
+
+    A task deals its documents' hashes to buckets by value; a bucket sends back, to
+    each task's chunk of documents, how many hashes of each are shared.
+    """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens = max(1, int(size) // 5)
     bits = min(64, math.ceil(math.log2(tokens + 1)) + SPARE_BITS)
     buckets = max(1, -(-tokens // BUCKET_TOKENS))
-    edges = [np.uint64(min((b << bits) // buckets, 2**64 - 1)) for b in range(buckets + 1)]
+    edges = np.array([np.uint64(min((b << bits) // buckets, 2**64 - 1)) for b in range(buckets)], np.uint64)
     drop = np.uint64(64 - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        ids: list[np.ndarray] = []
-        facts: list[tuple[np.ndarray, list[bytes]]] = []
+        facts: list[tuple[np.ndarray, np.ndarray, bytes]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
             values = np.concatenate([h for h, _ in held]) >> drop
             owner = np.concatenate([o for _, o in held])
+            held.clear()
             order = np.argsort(values)
-            values, owner = values[order], owner[order].astype("<u4")
-            cut = np.append(np.searchsorted(values, np.array(edges[:-1], np.uint64)), len(values))
-            names = np.concatenate(ids).astype("<i8")
-            sizes = np.concatenate([n for n, _ in facts]).astype("<i8")
-            marks = b"".join(x for _, f in facts for x in f)
-            rows = []
-            for b in range(buckets):
-                part = owner[cut[b] : cut[b + 1]]
-                used, short = np.unique(part, return_inverse=True)
-                planes = np.ascontiguousarray(short.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-                # Sizes and names ride along with the documents, spread over the buckets.
-                mine = np.arange(b, len(names), buckets)
-                own = b"".join(marks[16 * i : 16 * i + 16] for i in mine.tolist())
-                rows.append((b, pack_sorted(values[cut[b] : cut[b + 1]]), planes, names[used].tobytes(), names[mine].tobytes(), sizes[mine].tobytes(), own))
-            held.clear(), ids.clear(), facts.clear()
-            columns = ["bucket", "hashes", "owner", "ids", "f_ids", "f_sizes", "f_names"]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *[pa.array([r[c] for r in rows], pa.binary()) for c in range(1, 7)]], columns
-            )
+            values, owner = values[order], owner[order]
+            cut = np.append(np.searchsorted(values, edges), len(values))
+            ids, sizes, names = zip(*facts)
+            facts.clear()
+            ids, names = np.concatenate(ids).astype("<i8").tobytes(), b"".join(names)
+            chunk = xxhash.xxh3_128_hexdigest(ids + names)
+            rows = [(b, pack_sorted(values[s:e]), planes(owner[s:e])) for b, s, e in zip(range(buckets), cut[:-1].tolist(), cut[1:].tolist()) if s < e]
+            rows.append((int(chunk[:8], 16) % buckets, None, None))
+            own = [None] * (len(rows) - 1)
+            columns = {
+                "bucket": pa.array([r[0] for r in rows], pa.int32()),
+                "chunk": pa.array([chunk] * len(rows)),
+                "hashes": pa.array([r[1] for r in rows], pa.binary()),
+                "owner": pa.array([r[2] for r in rows], pa.binary()),
+                "ids": pa.array([*own, ids], pa.binary()),
+                "sizes": pa.array([*own, np.concatenate(sizes).astype("<i8").tobytes()], pa.binary()),
+                "names": pa.array([*own, names], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy()
             for row, last, padded, offsets in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(padded, offsets, k)
-                base = sum(map(len, ids))
-                ids.append(doc_ids[row:last])
+                base = sum(len(f[0]) for f in facts)
                 held.append((hashes, base + np.repeat(np.arange(last - row), np.diff(cut))))
-                facts.append((np.diff(cut), [set_name(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]))
+                names = b"".join(set_name(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
+                facts.append((doc_ids[row:last], np.diff(cut), names))
                 if sum(len(h) for h, _ in held) > HELD_TOKENS:
                     yield from flush()
         if held:
             yield from flush()
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        values = np.concatenate([unpack_sorted(x) for x in group.hashes])
-        owners, base = [], 0
-        for planes, ids in zip(group.owner, group.ids):
-            short = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            owners.append(short.astype(np.int64) + base)
-            base += len(ids) // 8
-        owner = np.concatenate(owners)
-        names = np.frombuffer(b"".join(group.ids), "<i8")
+        facts = group[group.hashes.isna()][["chunk", "ids", "sizes", "names"]].assign(owner=None, shared=None)
+        group = group[group.hashes.notna()]
+        if not len(group):
+            return facts
+        values = [unpack_sorted(x) for x in group.hashes]
+        lengths = np.array([len(v) for v in values])
+        values = np.concatenate(values)
         order = np.argsort(values)
         values = values[order]
         same = np.zeros(len(values), bool)
         same[1:] = values[1:] == values[:-1]
         same[:-1] |= same[1:]
-        shared = np.bincount(owner[order][same], minlength=base)
-        seen = np.flatnonzero(shared)
-        counts = pd.DataFrame({"doc_id": names[seen], "n": -1, "name": None, "shared": shared[seen], "rows": 0})
-        marks = b"".join(group.f_names)
-        facts = pd.DataFrame(
-            {
-                "doc_id": np.frombuffer(b"".join(group.f_ids), "<i8"),
-                "n": np.frombuffer(b"".join(group.f_sizes), "<i8"),
-                "name": [marks[i : i + 16] for i in range(0, len(marks), 16)],
-                "shared": 0,
-                "rows": 1,
-            }
-        )
-        return pd.concat([facts, counts], ignore_index=True)
-
-    sent = docs.select("doc_id", "text").mapInArrow(
-        send, "bucket int, hashes binary, owner binary, ids binary, f_ids binary, f_sizes binary, f_names binary"
+        back = np.empty(len(values), bool)
+        back[order] = same
+        rows = []
+        for chunk, owner, a, n in zip(group.chunk, group.owner, np.cumsum(lengths) - lengths, lengths):
+            documents, counts = np.unique(from_planes(owner)[back[a : a + n]], return_counts=True)
+            if len(documents):
+                rows.append((chunk, None, None, None, planes(np.diff(documents, prepend=np.uint32(0))), planes(counts)))
+        counts = pd.DataFrame(rows, columns=["chunk", "ids", "sizes", "names", "owner", "shared"])
+        return pd.concat([facts, counts], ignore_index=True) if len(facts) else counts
+
+    def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        own = group[group.ids.notna()].iloc[0]
+        ids, sizes = np.frombuffer(own.ids, "<i8"), np.frombuffer(own.sizes, "<i8")
+        shared = np.zeros(len(ids), np.int64)
+        for owner, counts in zip(*(group[c].dropna() for c in ("owner", "shared"))):
+            shared[np.cumsum(from_planes(owner))] += from_planes(counts)
+        names = [own["names"][i : i + 16] for i in range(0, 16 * len(ids), 16)]
+        return pd.DataFrame({"doc_id": ids, "n": sizes, "name": names, "shared": shared})
+
+    sent = bounded(docs).select("doc_id", "text").mapInArrow(
+        send, "bucket int, chunk string, hashes binary, owner binary, ids binary, sizes binary, names binary"
     )
-    counted = sent.groupBy("bucket").applyInPandas(count, "doc_id long, n long, name binary, shared long, rows long")
-    facts = counted.groupBy("doc_id").agg(F.max(F.struct("n", "name")).alias("set"), F.sum("shared").alias("shared"))
-    return facts.select("doc_id", "set.n", "set.name", "shared")
+    counted = sent.groupBy("bucket").applyInPandas(count, "chunk string, ids binary, sizes binary, names binary, owner binary, shared binary")
+    facts = counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, name binary, shared long")
+    facts = facts.groupBy("doc_id").agg(F.max(F.struct("n", "name")).alias("set"), F.sum("shared").alias("shared"), F.count("*").alias("rows"))
+    return facts.select("doc_id", "set.n", "set.name", "shared", "rows")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -196,76 +215,93 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                     ["doc_id", "n", "tokens"],
                 )
 
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id")
-    return texts.mapInArrow(build, "doc_id long, n long, tokens array<long>").dropDuplicates(["doc_id"])
+    few = wanted.count() <= BROADCAST_ROWS  # 24 bytes a row; more are joined by a shuffle
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
+    return texts.mapInArrow(build, "doc_id long, n long, tokens array<long>")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n, own (shingles that no other set has) and the prefixes under both orders, of sets that can link."""
-    tokens = sets.select("doc_id", F.explode("tokens").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    lists = tokens.join(shared, "token").groupBy("doc_id").agg(F.collect_list(F.struct("df", "token")).alias("shared"))
-    rows = sets.select("doc_id", "n").join(lists, "doc_id").where(F.size("shared") >= needed(F.col("n"), percent))
+def prefixes(sets: DataFrame, percent: int, repeated: bool) -> DataFrame:
+    """doc_id, n, own (shingles that no other set has), shared (the others) and prefixes of sets that can link.
+
+    `one` is the prefix under the first order, `two` a longer one under the second,
+    by a part in LONGER of the set: pairs that link share more than one token of it.
+    """
+    # Dealt once by token, for the count and for the join with it.
+    tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token")).repartition("token")
+    tokens = tokens.dropDuplicates(["token", "doc_id"]) if repeated else tokens
+    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    rows = tokens.join(frequent, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("all"))
+    rows = rows.where(F.size("all") >= needed(F.col("n"), percent))
     # Tokens of one's own come first in both orders and match nothing.
-    own = F.col("n") - F.size("shared")
-    length = F.greatest(F.lit(0), F.col("n") - needed(F.col("n"), percent) + 1 - own).cast("int")
-    first = F.slice(F.array_sort("shared"), F.lit(1), length)
-    mixed_ties = F.transform("shared", lambda s: F.struct(s["df"].alias("df"), F.xxhash64(s["token"]).alias("tie"), s["token"].alias("token")))
-    second = F.slice(F.array_sort(mixed_ties), F.lit(1), length)
-    return rows.select("doc_id", "n", own.alias("own"), F.transform(first, lambda s: s["token"]).alias("one"), F.transform(second, lambda s: s["token"]).alias("two"))
+    own = F.col("n") - F.size("all")
+    length = F.col("n") - needed(F.col("n"), percent) + 1 - own
+    longer = length + F.floor(F.col("n") / LONGER)
+    first = F.slice(F.array_sort("all"), F.lit(1), F.greatest(F.lit(0), length).cast("int"))
+    ties = F.transform("all", lambda s: F.struct(s["df"].alias("df"), F.xxhash64(s["token"]).alias("tie"), s["token"].alias("token")))
+    second = F.slice(F.array_sort(ties), F.lit(1), F.greatest(F.lit(0), longer).cast("int"))
+    token = lambda c: F.transform(c, lambda s: s["token"])
+    return rows.select("doc_id", "n", own.alias("own"), token(first).alias("one"), token(second).alias("two"), token(F.col("all")).alias("shared"))
 
 
-def verified(pairs: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    side = lambda s: heads.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("two").alias(f"two_{s}"))
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & F.arrays_overlap("two_a", "two_b")
-    met = met.where(fits).select("a", "b")
-    whole = lambda s: sets.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col("tokens").alias(f"s_{s}"))
-    both = met.join(whole("a"), "a").join(whole("b"), "b")
-    common = F.size(F.array_intersect("s_a", "s_b"))
+    side = lambda s, c: heads.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col(c).alias(f"t_{s}"))
+    met = pairs.join(side("a", "two"), "a").join(side("b", "two"), "b")
+    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
+    extra = lambda s: least - needed(F.col(f"n_{s}"), percent) + 1 + F.floor(F.col(f"n_{s}") / LONGER)
+    met = met.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+    met = met.where(F.size(F.array_intersect("t_a", "t_b")) >= F.least(extra("a"), extra("b"))).select("a", "b")
+    both = met.join(side("a", "shared"), "a").join(side("b", "shared"), "b")
+    common = F.size(F.array_intersect("t_a", "t_b"))
     return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
 
 
-def links(sets: DataFrame, percent: int) -> DataFrame | None:
+def links(sets: DataFrame, percent: int, repeated: bool = False) -> DataFrame | None:
     """Links (a, b) among distinct sets with the same components as all links."""
-    heads = checkpointed(prefixes(sets, percent))
-    entries = checkpointed(heads.select("doc_id", "own", "n", F.explode("one").alias("token")))
-    state = entries.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("component"))
-    found, tested = None, None
+    heads = checkpointed(prefixes(sets, percent, repeated))
+    entries = heads.select("doc_id", (F.col("own") / F.col("n")).alias("apart"), F.explode("one").alias("token"))
+    members = heads.select("doc_id")
+    state = members.withColumn("component", F.col("doc_id"))
+    found, tested, grown = None, None, None
     for round_ in range(HUB_ROUNDS + 1):
         lists = entries.join(state, "doc_id")
+        # Tokens that stand in the same documents, as those of one passage do, give the same pairs: one of them is enough.
+        same = lists.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
+        lists = lists.join(same.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
         groups = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
         groups = groups.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("parts"))
-        open_lists = groups.where("parts > 1")
+        open_lists = checkpointed(groups.where("parts > 1"))
         left = open_lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
         if not left[0]:
             break
         lists = lists.join(open_lists.select("token"), "token")
-        if round_ == HUB_ROUNDS or left[0] <= PAIRS_PER_ENTRY * left[1]:
+        # Hubs are worth their rounds as long as they link; then what is left is met in pairs.
+        last = round_ == HUB_ROUNDS or left[0] <= PAIRS_PER_ENTRY * left[1] or grown == 0
+        if last:
             a, b = (lists.select("token", F.col("doc_id").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
             pairs = a.join(b, "token").where("a < b AND c_a <> c_b").select("a", "b").distinct()
-            last = True
         else:
-            rank = F.struct(F.col("own") / F.col("n"), F.xxhash64(F.col("doc_id"), F.lit(round_))) if round_ == 0 else F.struct(F.xxhash64(F.col("component"), F.lit(round_)), F.col("own") / F.col("n"), "doc_id")
-            hubs = lists.groupBy("token").agg(F.min(F.struct(rank.alias("rank"), "doc_id", "component")).alias("hub"))
-            met = lists.join(hubs, "token").where("component <> hub.component").select(
-                F.least("doc_id", "hub.doc_id").alias("a"), F.greatest("doc_id", "hub.doc_id").alias("b")
-            )
-            pairs, last = met.distinct(), False
-        if tested is not None:
+            rank = F.struct("apart", F.xxhash64("doc_id", F.lit(round_)), "doc_id", "component")
+            hubs = lists.groupBy("token").agg(F.min(rank).alias("hub")).select("token", "hub.apart", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("of"))
+            met = lists.select("token", "doc_id", "component").join(hubs, "token").where("component <> of")
+            # Each document meets the hub of most of its lists.
+            met = met.groupBy("doc_id", "hub").agg(F.count("*").alias("lists"))
+            if tested is not None:
+                met = met.withColumns({"a": F.least("doc_id", "hub"), "b": F.greatest("doc_id", "hub")}).join(tested, ["a", "b"], "left_anti")
+            met = met.groupBy("doc_id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub"))
+            pairs = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
+        if last and tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = checkpointed(pairs)
-        new = checkpointed(verified(pairs, heads, sets, percent))
+        new = checkpointed(verified(pairs, heads, percent))
+        grown = new.count()
         found = new if found is None else found.union(new)
         tested = pairs if tested is None else tested.union(pairs)
         if last:
             break
-        merged = components(found)
-        state = checkpointed(
-            entries.select("doc_id").distinct().join(merged.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-            .select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-        )
+        if grown:
+            merged = components(found).withColumnRenamed("id", "doc_id")
+            state = checkpointed(members.join(merged, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
     return found
 
 
@@ -276,8 +312,8 @@ def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE
     classes = facts.where("n > 0").groupBy("name", "n").agg(F.min(F.struct("doc_id", "shared")).alias("first"))
     classes = classes.select("name", "n", "first.doc_id", "first.shared")
     wanted = classes.where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id", "name")
-    sets = checkpointed(sets_of(docs, wanted, k))
-    found = links(sets, percent)
+    repeated = not facts.where("rows > 1").isEmpty()
+    found = links(sets_of(docs, wanted, k), percent, repeated)
     rows = facts.join(classes.select("name", F.col("doc_id").alias("first")), "name", "left")
     rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first"))
     if found is not None:
