@@ -47,13 +47,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm.tables import Arrays, arrays, new_folder, saved
-from kinmap.llm.text import blocks, load64, mixed, pack_sorted, unpack_sorted
+from kinmap.llm.text import blocks, bounded, load64, mixed, pack_sorted, unpack_sorted
 
 LENGTH = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-SPARE_BITS = 8
-HELD = 4_000_000
+SPARE_BITS = 11
+HELD = 2_500_000
 BUCKET_BYTES = 24 << 20
 
 
@@ -161,7 +161,7 @@ def combined(values: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.
 def packed_names(values: np.ndarray, ids: np.ndarray, many: np.ndarray, with_ids: bool) -> tuple[bytes, bytes, bytes, bytes]:
     names, short = np.unique(ids, return_inverse=True) if with_ids else (ids[:0], ids[:0])
     planes = np.ascontiguousarray(short.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-    return pack_sorted(values), planes, names.astype("<i8").tobytes(), np.packbits(many).tobytes()
+    return pack_sorted(values), planes, pack_sorted(names.astype("<i8").view(np.uint64)), np.packbits(many).tobytes()
 
 
 def unpacked_names(group: pd.DataFrame, with_ids: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -171,7 +171,7 @@ def unpacked_names(group: pd.DataFrame, with_ids: bool) -> tuple[np.ndarray, np.
         values.append(unpack_sorted(v))
         if with_ids:
             short = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            ids.append(np.frombuffer(names, "<i8")[short])
+            ids.append(unpack_sorted(names).view(np.int64)[short])
         else:
             ids.append(np.full(len(values[-1]), k, np.int64))
         many.append(np.unpackbits(np.frombuffer(flags, np.uint8), count=len(values[-1])).astype(bool))
@@ -300,7 +300,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry:
     carry are passed through.
     """
     docs = docs.select("doc_id", "text", *carry).where("doc_id IS NOT NULL")
-    setting = tables_for(docs.select("doc_id", "text"), length)
+    setting = tables_for(bounded(docs).select("doc_id", "text"), length)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = Texts(setting)
