@@ -34,16 +34,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmap.llm.text import WORD_BYTE, blocks, span_hashes, spans
+from kinmap.llm.text import WORD_BYTE, blocks, bounded, span_hashes, spans
 from kinmap.session import checkpointed
 
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 4096
 END_ID = 1
-DEPTH = 4
-BINS = 32
+DEPTH = 3
+BINS = 64
 ROWS_PER_SLICE = 65536
-CACHE_WORDS = 600_000
+CACHE_WORDS = 800_000
+BLOCK_BYTES = 4 << 20
 
 
 def default_path() -> str:
@@ -87,7 +88,8 @@ class WordIds:
         keys, index, inverse = np.unique(span_hashes(padded, starts, ends), return_index=True, return_inverse=True)
         if len(self.keys) > CACHE_WORDS:
             self.clear()
-        new = np.flatnonzero(~np.isin(keys, self.keys, assume_unique=True))
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        new = np.flatnonzero(self.keys[place] != keys) if len(self.keys) else np.arange(len(keys))
         if len(new):
             data = padded.tobytes()
             self.add(keys[new], [data[a:b].decode("utf-8") for a, b in zip(starts[index[new]].tolist(), ends[index[new]].tolist())])
@@ -111,7 +113,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
         encoder = word_ids(path)
         for batch in batches:
             doc_ids = batch.column("doc_id")
-            for row, last, padded, offsets in blocks(batch.column("text")):
+            for row, last, padded, offsets in blocks(batch.column("text"), BLOCK_BYTES):
                 flat, counts = encoder.ids(padded, offsets)
                 lengths = counts + 1
                 cuts = -(-lengths // size)
@@ -133,7 +135,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:
@@ -182,7 +184,7 @@ def plan(histogram: np.ndarray, size: int = SIZE, depth: int = DEPTH, bins: int
         count = int(repeats[k])
         while count > 0:
             lengths: list[int] = []
-            for part in patterns[k]:
+            for part in patterns[k][:-1]:
                 of = longest[part]
                 while of and left[of[0]] <= lengths.count(of[0]):
                     of.pop(0)
@@ -190,6 +192,11 @@ def plan(histogram: np.ndarray, size: int = SIZE, depth: int = DEPTH, bins: int
                 if pick is None:
                     break
                 lengths.append(pick)
+            if len(lengths) + 1 == len(patterns[k]):
+                # The last part is the longest piece that still fits, which its bin only foretold.
+                fits = np.flatnonzero(left[: size - sum(lengths) + 1])[::-1]
+                pick = next((int(n) for n in fits[:depth] if left[n] > lengths.count(n)), None)
+                lengths += [] if pick is None else [pick]
             if len(lengths) < len(patterns[k]):
                 break
             times = min(count, *(int(left[n]) // lengths.count(n) for n in lengths))
