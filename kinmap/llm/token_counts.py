@@ -37,7 +37,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.text import blocks, span_hashes
+from kinmap.llm.text import blocks, bounded, span_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -318,7 +318,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     path = path or default_path()
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.length(text).alias("chars"))
+    rows = bounded(docs).select("doc_id", text.alias("text"), F.length(text).alias("chars"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,7 +341,7 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
     def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         copies = int((group.chunk == 0).sum())
         group = group.drop_duplicates("chunk").sort_values("chunk")
-        maps = list(zip(group["head"], group.known, group.middle, group.tail))
+        maps = list(zip(group["head"], group["known"], group["middle"], group["tail"]))
         return pd.DataFrame({"doc_id": [key[0]] * copies, "n_bytes": key[1], "n_tokens": scanned(maps, path)})
 
     long = rows.where(F.col("chars") > chunk_chars)
