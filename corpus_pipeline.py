@@ -50,18 +50,20 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     docs = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
-    times = mixing.mix(docs.select("doc_id", "source", "size"))
-    times = times.groupBy("doc_id", "source", "size").agg(F.sum("times").alias("times"), F.count("*").alias("rows"))
-    taken = times.where("times > 0").select(
-        F.col("doc_id").alias("t_id"), F.col("source").alias("t_source"), F.col("size").alias("t_size"), "times", "rows"
-    )
+    _, kept = mixing.served(docs.select("doc_id", "source", "size"))
+    taken = kept.groupBy("doc_id", "source", "size").agg(F.collect_list("time").alias("times")).toDF("t_id", "t_source", "t_size", "times")
     same = (
         F.col("doc_id").eqNullSafe(F.col("t_id"))
         & F.col("source").eqNullSafe(F.col("t_source"))
         & (F.col("size") == F.col("t_size"))
     )
-    each = F.ceil(F.col("times") / F.col("rows")).cast("int")
-    return docs.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), each))).select(*COLUMNS)
+    # Rows that agree in all of it share what was served to them; documents without words cost the mix nothing.
+    rows = docs.groupBy("doc_id", "source", "size").agg(F.count("*").alias("rows")).toDF("r_id", "r_source", "r_size", "rows")
+    rows = rows.where("rows > 1")
+    again = F.col("t_id").eqNullSafe(F.col("r_id")) & F.col("t_source").eqNullSafe(F.col("r_source")) & (F.col("t_size") == F.col("r_size"))
+    taken = taken.join(rows, again, "left")
+    share = F.slice("times", F.lit(1), F.ceil(F.size("times") / F.coalesce("rows", F.lit(1))).cast("int"))
+    return docs.join(taken.withColumn("time", F.explode(share)), same).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

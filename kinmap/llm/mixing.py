@@ -3,8 +3,10 @@
 Every source is a queue of its documents in shuffled order, served again from the
 start when it runs out (at most `repeats` rounds). A document's virtual finish
 time is the tokens that its source has sent by its end, divided by the source's
-target. Documents are sorted by that time over all sources and taken until the
-total budget is spent; a document is in when the budget reaches its middle.
+target. All queues together have spent the total budget at virtual time 1, so the
+order by virtual time over all sources is cut there; a document is in when its
+middle comes before the cut, which keeps every source within half a document of
+its target. `in_order` range-sorts the mix by virtual time.
 
 The shuffled order is that of md5(seed, doc_id). Running sums are built in two
 levels: documents are dealt into slices of the order, slices are summed before
@@ -99,21 +101,17 @@ def served(
     finish = (F.col("sent") + F.col("source_size") * F.col("round") + F.col("size")) / F.col("target")
     copies = copies.withColumn("time", finish - F.col("size") / (2 * F.col("target")))
 
-    # The global order, in slots of virtual time: all sources pass a slot at once, so slots are even.
-    budget = targets.agg(F.sum("source_size") * share).first()[0]
-    copies = copies.withColumn("slot", F.floor(F.col("time") * slices))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("in_slot"))
-    until = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    slots = slots.select("slot", F.coalesce(F.sum("in_slot").over(until), F.lit(0)).alias("before"))
-    slots = slots.where(F.col("before") <= F.lit(budget))
-    in_slot = Window.partitionBy("slot").orderBy("time", "place", "doc_id", "round", "size")
-    in_slot = in_slot.rowsBetween(Window.unboundedPreceding, -1)
-    running = F.col("before") + F.coalesce(F.sum("size").over(in_slot), F.lit(0))
-    kept = copies.join(slots, "slot").withColumn("running", running)
-    kept = kept.where(F.col("running") + F.col("size") / 2 <= F.lit(budget))
+    # At virtual time t every queue has sent t of its target, and so the total budget is spent at time 1:
+    # there the sorted order is cut.
+    kept = copies.where(F.col("time") <= 1.0)
     return queued.select("doc_id", "source", "size", "source_size", "target"), kept
 
 
+def in_order(kept: DataFrame) -> DataFrame:
+    """The served copies in the order of the mix."""
+    return kept.repartitionByRange("time", "doc_id", "round").sortWithinPartitions("time", "place", "doc_id", "round", "size")
+
+
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """Each of docs' (doc_id, source, size) with source_size, target and `times`, how often the mix takes it."""
     every, kept = served(docs, **settings)
@@ -156,7 +154,6 @@ q AS (SELECT d.*, ss, target, sum(size) OVER (PARTITION BY d.source ORDER BY pla
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT doc_id, size, place, round, (upto + round * ss) / target - size / (2 * target) AS time
     FROM q, (SELECT unnest(range({REPEATS})) AS round)),
-r AS (SELECT *, sum(size) OVER (ORDER BY time, place, doc_id, round, size) AS running FROM c),
-k AS (SELECT doc_id, count(*) AS times FROM r WHERE running - size / 2 <= {SHARE} * (SELECT sum(ss) FROM s) GROUP BY doc_id)
+k AS (SELECT doc_id, count(*) AS times FROM c WHERE time <= 1.0 GROUP BY doc_id)
 SELECT doc_id, size, ss::BIGINT AS source_size, target, (size * coalesce(times, 0))::BIGINT AS taken FROM q LEFT JOIN k USING (doc_id)
 """
