@@ -25,11 +25,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.text import blocks, mixed
+from kinmap.llm.text import blocks, bounded, mixed
 
 DIMS = 1 << 14
 TRAIN_ROWS = 6000
@@ -38,7 +37,6 @@ PASSES = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 SCALE = 100.0
 UNKNOWN = "und"
-LETTERS = regex.compile(r"\p{L}")
 #: ASCII other than letters counts as a blank, so that marks and numbers between words say nothing.
 LETTERISH = np.arange(256, dtype=np.uint8)
 LETTERISH[[b for b in range(128) if not chr(b).isalpha()]] = 0x20
@@ -99,7 +97,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             [pa.array(np.arange(-1, DIMS)), pa.array(np.concatenate([[n], total]))], ["feature", "n"]
         )
 
-    counted = docs.select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = bounded(docs).select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     out = np.zeros(DIMS + 1, np.int64)
     out[found.feature.to_numpy() + 1] = found.n.to_numpy()
@@ -216,7 +214,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 p = np.zeros((len(texts), 1))
             best = p.argmax(axis=1)
             lang, score = names[best], p[np.arange(len(p)), best]
-            letterless = [t is None or LETTERS.search(t) is None for t in texts.to_pylist()]
+            letterless = ~pa.compute.match_substring_regex(texts, r"\p{L}").fill_null(False).to_numpy(zero_copy_only=False)
             lang[letterless], score[letterless] = UNKNOWN, 1.0
             kept = [batch.column(k) for k in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays(
@@ -224,7 +222,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(label, f"{fields}, lang_pred string, score double")
+    return bounded(docs).mapInArrow(label, f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

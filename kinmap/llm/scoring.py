@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm.tables import arrays, new_folder, saved
-from kinmap.llm.text import blocks, mixed, pack_sorted, unpack_sorted, word_hashes
+from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, unpack_sorted, word_hashes
 
 START, END = np.uint64(1), np.uint64(2)
 BUCKET_BYTES = 24 << 20
-HELD_PAIRS = 3_000_000
+HELD_PAIRS = 2_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -174,7 +174,7 @@ def train(docs: DataFrame) -> dict:
         stats |= {f"b{k}": int((before == k).sum()) for k in (1, 2, 3, 4)}
         return pd.DataFrame({"stats": [json.dumps(stats)]})
 
-    pairs = docs.select("text").mapInArrow(count, "bucket int, pairs binary")
+    pairs = bounded(docs).select("text").mapInArrow(count, "bucket int, pairs binary")
     merged = pairs.groupBy("bucket").applyInPandas(merge, "bucket int, words binary, stats string")
     rows = merged.groupBy("bucket").applyInPandas(vocabulary, "stats string").collect()  # one small row a bucket
     model: dict = {"folder": folder, "buckets": buckets, "documents": docs.count()}
