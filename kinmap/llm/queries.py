@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmap.llm import fingerprints, jaccard, language, licenses, mixing, packing, scoring, suffixes, token_counts, vectors
+from kinmap.llm import fingerprints, jaccard, language, licenses, mixing, oracles, packing, scoring, suffixes, token_counts, vectors
 
 QUERIES = {
     f.__name__: f
@@ -21,6 +21,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_document_fingerprints": oracles.fingerprint_sql(),
+    "op3_suffix_array_dedup": oracles.DEDUP,
+    "op5_ngram_jaccard_join": oracles.JACCARD,
     "op6_mixing_sources": mixing.ORACLE,
     "op7_embedding_near_dedup": vectors.ORACLE,
     "op9_license_scans": licenses.oracle(),
