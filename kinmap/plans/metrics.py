@@ -119,20 +119,23 @@ def e17(spark, d):
     return found.crossJoin(F.broadcast(default))
 
 
-CLUSTERS = f"""cm AS (SELECT DISTINCT (node % 7)::INT AS cluster, gid, node FROM (SELECT gid, src AS node FROM v_edges UNION SELECT gid, dst FROM v_edges UNION SELECT 2, src FROM v_edges)),
+CLUSTERS = f"""cm AS (SELECT DISTINCT (node % 12)::INT AS cluster, gid, node FROM (SELECT gid, src AS node FROM v_edges UNION SELECT gid, dst FROM v_edges UNION SELECT 2, src FROM v_edges UNION SELECT 2, dst FROM v_edges)),
 tp AS (SELECT a.cluster, [a.node, b.node, c.node] AS nodes, {U("'42'", "'tuple'", 'a.node::VARCHAR', 'b.node::VARCHAR', 'c.node::VARCHAR')} AS score FROM cm a JOIN cm b ON a.gid = 0 AND b.gid = 1 AND a.cluster = b.cluster JOIN cm c ON c.gid = 2 AND c.cluster = a.cluster),
-mt AS (SELECT src AS test, [src, CASE WHEN src % 4 = 0 THEN src + 1 ELSE src END, CASE WHEN src % 4 = 0 THEN src + 1 ELSE src END] AS nodes FROM (SELECT DISTINCT src FROM v_edges WHERE gid = 0)),
-mr AS (SELECT g, test, cluster, len(list_filter([1, 2, 3], k -> k <> g + 1 AND nodes[k] % 7 = cluster AND nodes[k] IN (SELECT node FROM cm))) AS ins, nodes FROM (SELECT g, test, nodes, (nodes[g + 1] % 7)::INT AS cluster FROM mt, (SELECT unnest([0, 1, 2]) AS g)))"""
+mt AS (SELECT node AS test, [node, CASE WHEN node % 4 = 0 THEN node + 1 ELSE node END, CASE WHEN node % 4 = 0 THEN node + 1 ELSE node END] AS w FROM cm WHERE gid = 0),
+pl AS (SELECT g, test, w, cm.cluster FROM mt, (SELECT unnest([0, 1, 2]) AS g), cm WHERE cm.gid = g AND cm.node = w[g + 1]),
+ins AS (SELECT g, test, w, cluster, bool_or((cluster, k, w[k + 1]) IN (SELECT (cluster, gid, node) FROM cm)) AS inside FROM pl, (SELECT unnest([0, 1, 2]) AS k) WHERE k <> g GROUP BY g, test, w, cluster),
+rk AS (SELECT i.g, i.test, i.cluster, row_number() OVER (PARTITION BY i.g, i.test, i.cluster ORDER BY score DESC, nodes) AS r, (nodes[1] = w[1])::INT + (nodes[2] = w[2])::INT + (nodes[3] = w[3])::INT AS same FROM ins i JOIN tp ON tp.cluster = i.cluster AND tp.nodes[i.g + 1] = w[i.g + 1] WHERE inside),
+bs AS (SELECT i.g, i.test, i.inside, min(r) FILTER (same = 3) AS high, min(r) FILTER (same > 1) AS pair FROM ins i LEFT JOIN rk USING (g, test, cluster) GROUP BY i.g, i.test, i.cluster, i.inside), nt AS (SELECT count(*) AS n FROM mt)"""
 
 
-@query("e18_multiway_hits")
+@query("e18_multiway_hits", sql("SELECT k, round(avg(high), 9) AS high, round(avg(pair), 9) AS pair FROM (SELECT g, k, (count(*) FILTER (high <= k))::DOUBLE / max(n) AS high, (count(*) FILTER (pair <= k))::DOUBLE / max(n) AS pair FROM bs, nt, (SELECT unnest([1, 10, 30, 50]) AS k) GROUP BY g, k) GROUP BY k", CLUSTERS))
 def e18(spark, d):
     tuples, members, tests = cluster_tables(spark, d)
     rows = ranking.multiway_ranks(tuples, members, tests, 3)
     return ranking.multiway_hits(rows, tests.count()).select("k", F.round("high", 9).alias("high"), F.round("pair", 9).alias("pair"))
 
 
-@query("e19_multiway_mrr")
+@query("e19_multiway_mrr", sql("SELECT round(avg(m), 9) AS value FROM (SELECT g, sum(CASE WHEN NOT inside THEN 1.0 / (SELECT max(c) FROM (SELECT count(*) AS c FROM cm GROUP BY gid)) ELSE coalesce(1.0 / high, 0) END) / max(n) AS m FROM bs, nt GROUP BY g)", CLUSTERS))
 def e19(spark, d):
     tuples, members, tests = cluster_tables(spark, d)
     sizes = members.groupBy("gid").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n

@@ -8,7 +8,7 @@ from kinmap.functions.draws import draw
 from kinmap.operators import noise, sampling
 from kinmap.operators.graph import dense_ids
 from kinmap.plans.base import query
-from kinmap.plans.metrics import path_pairs
+from kinmap.plans.metrics import PAIRS, path_pairs
 from kinmap.sources import fixtures as fx
 from kinmap.sources.fixtures import U, sql
 
@@ -177,13 +177,16 @@ def f19(spark, d):
     return sampling.non_neighbours(net.graph(0), net.pairs("train").select(F.col("u").alias("node")), n, 5)
 
 
-@query("f20_labelled_edges")
+SHARES = """dd AS (SELECT gid, src AS node, count(*) ** 0.75 AS w FROM l_edges GROUP BY gid, src), sh AS (SELECT gid, node, w / sum(w) OVER (PARTITION BY gid) AS p FROM dd), cu AS (SELECT gid, node, p, sum(p) OVER (PARTITION BY gid ORDER BY node) AS high FROM sh)"""
+
+
+@query("f20_labelled_edges", sql(f"SELECT gid, src, dst, 1 AS label FROM l_edges UNION ALL SELECT e.gid, src, node, -1 FROM (SELECT gid, src, {T('cross', 'gid', 'src', 'dst', 'i')} AS u FROM l_edges, (SELECT unnest([1, 2, 3]) AS i)) e JOIN cu ON cu.gid = e.gid AND high - p <= u AND u < high", SHARES))
 def f20(spark, d):
     net = fx.chains(spark, d)
     return sampling.labelled_edges(net.nodes, net.edges, 3)
 
 
-@query("f21_similarity_negatives")
+@query("f21_similarity_negatives", sql(f"SELECT u, v FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY -ln(greatest({T('sim', 'u', 'v')}, 1.1102230246251565e-16)) / greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-score)))), v) AS r FROM pr WHERE u <> v) WHERE r <= 3", PAIRS))
 def f21(spark, d):
     return sampling.similarity_negatives(path_pairs(fx.chains(spark, d)), 3)
 
