@@ -259,15 +259,19 @@ def verified(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
 def links(sets: DataFrame, percent: int, repeated: bool = False) -> DataFrame | None:
     """Links (a, b) among distinct sets with the same components as all links."""
     heads = checkpointed(prefixes(sets, percent, repeated))
-    entries = heads.select("doc_id", (F.col("own") / F.col("n")).alias("apart"), F.explode("one").alias("token"))
+    entries = heads.select("doc_id", "n", "own", (F.col("own") / F.col("n")).alias("apart"), F.posexplode("one").alias("pos", "token"))
+    entries = entries.withColumn("left", F.col("n") - F.col("own") - F.col("pos")).drop("own", "pos")
+
+    def fits(n: str, left: str, m: str, rest: str) -> Column:
+        """Whether sizes are near enough, and enough tokens are left from a shared one on, as at the first shared one of a link."""
+        least = F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(left, rest) >= least)
+
     members = heads.select("doc_id")
     state = members.withColumn("component", F.col("doc_id"))
     found, tested, grown = None, None, None
     for round_ in range(HUB_ROUNDS + 1):
         lists = entries.join(state, "doc_id")
-        # Tokens that stand in the same documents, as those of one passage do, give the same pairs: one of them is enough.
-        same = lists.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y"))
-        lists = lists.join(same.where("n > 1").groupBy("n", "x", "y").agg(F.min("token").alias("token")).select("token"), "token", "left_semi")
         groups = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
         groups = groups.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("parts"))
         open_lists = checkpointed(groups.where("parts > 1"))
@@ -278,12 +282,13 @@ def links(sets: DataFrame, percent: int, repeated: bool = False) -> DataFrame |
         # Hubs are worth their rounds as long as they link; then what is left is met in pairs.
         last = round_ == HUB_ROUNDS or left[0] <= PAIRS_PER_ENTRY * left[1] or grown == 0
         if last:
-            a, b = (lists.select("token", F.col("doc_id").alias(s), F.col("component").alias(f"c_{s}")) for s in "ab")
-            pairs = a.join(b, "token").where("a < b AND c_a <> c_b").select("a", "b").distinct()
+            a, b = (lists.select(F.col("token").alias(f"t_{s}"), F.col("doc_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("left").alias(f"l_{s}")) for s in "ab")
+            met = (F.col("t_a") == F.col("t_b")) & F.expr("a < b AND c_a <> c_b") & fits("n_a", "l_a", "n_b", "l_b")
+            pairs = a.join(b, met).select("a", "b").distinct()
         else:
-            rank = F.struct("apart", F.xxhash64("doc_id", F.lit(round_)), "doc_id", "component")
-            hubs = lists.groupBy("token").agg(F.min(rank).alias("hub")).select("token", "hub.apart", F.col("hub.doc_id").alias("hub"), F.col("hub.component").alias("of"))
-            met = lists.select("token", "doc_id", "component").join(hubs, "token").where("component <> of")
+            rank = F.struct("apart", F.xxhash64("doc_id", F.lit(round_)), "doc_id", "component", "n", "left")
+            hubs = lists.groupBy("token").agg(F.min(rank).alias("h")).select("token", F.col("h.doc_id").alias("hub"), F.col("h.component").alias("of"), F.col("h.n").alias("hub_n"), F.col("h.left").alias("hub_left"))
+            met = lists.join(hubs, "token").where(F.expr("component <> of") & fits("n", "left", "hub_n", "hub_left"))
             # Each document meets the hub of most of its lists.
             met = met.groupBy("doc_id", "hub").agg(F.count("*").alias("lists"))
             if tested is not None:
