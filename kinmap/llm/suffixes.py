@@ -52,9 +52,9 @@ from kinmap.llm.text import blocks, bounded, load64, mixed, pack_sorted, unpack_
 LENGTH = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
-SPARE_BITS = 11
-HELD = 2_500_000
-BUCKET_BYTES = 24 << 20
+SPARE_BITS = 8
+HELD = 4_000_000
+BUCKET_BYTES = 16 << 20
 
 
 @dataclass(frozen=True)
