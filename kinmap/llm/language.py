@@ -59,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 def gram_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, feature numbers, row of each feature) for blocks of texts."""
     lowered = pa.compute.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    for row, last, padded, offsets in blocks(lowered, 1 << 20):
+    for row, last, padded, offsets in blocks(lowered, 1 << 19):
         size = int(offsets[-1])
         padded = LETTERISH[padded]
         data = padded[:size]

@@ -44,6 +44,7 @@ DEPTH = 3
 BINS = 64
 ROWS_PER_SLICE = 65536
 CACHE_WORDS = 800_000
+ENCODED_AT_ONCE = 4096
 BLOCK_BYTES = 4 << 20
 
 
@@ -71,11 +72,15 @@ class WordIds:
         self.flat = np.zeros(0, np.uint32)
 
     def add(self, keys: np.ndarray, words: list[str]) -> None:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        length = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat, length = [self.flat], []
+        for k in range(0, len(words), ENCODED_AT_ONCE):  # an encoding takes a hundred times the room of its ids
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(words[k : k + ENCODED_AT_ONCE], add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            flat.append(np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())))
+            length.append(counts)
+        length = np.concatenate(length)
         begin = len(self.flat) + np.cumsum(length) - length
-        new = np.fromiter((i for x in ids for i in x), np.uint32, int(length.sum()))
-        self.flat = np.concatenate([self.flat, new])
+        self.flat = np.concatenate(flat)
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.begin = np.insert(self.begin, place, begin)
