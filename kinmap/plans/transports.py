@@ -192,10 +192,17 @@ def g23(spark, d):
 
 
 def clusters(spark, d):
-    """Embeddings of a label in two graphs (and a third of every other vector) as small clusters."""
-    emb = fx.vectors(spark, d).where("node < 120")
+    """All embeddings as small clusters in two graphs and a third of every third vector.
+
+    A cluster is a label in a run of 120 node ids, so clusters stay small and their
+    number grows with the table; those of the first run are numbered by their labels.
+    """
+    emb = fx.vectors(spark, d)
+    labels = emb.agg(F.max("label")).first()[0]
+    part = F.floor(F.col("node") / 120)
+    emb = emb.withColumn("cluster", (F.col("label") + part * F.lit((labels or 0) + 1)).cast("int"))
     third = emb.where("gid = 0 AND node % 3 = 0").withColumn("gid", F.lit(2))
-    return emb.unionByName(third).select(F.col("label").alias("cluster"), "gid", "node", "vec")
+    return emb.unionByName(third).select("cluster", "gid", "node", "vec")
 
 
 UNITS = """uv AS (SELECT label, gid, node, [x / sqrt(list_inner_product(vec, vec)) for x in vec] AS e FROM e_vec WHERE node < 120), um AS (SELECT * FROM uv UNION ALL SELECT label, 2, node, e FROM uv WHERE gid = 0 AND node % 3 = 0)"""
