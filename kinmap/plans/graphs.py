@@ -53,7 +53,10 @@ def b2(spark, d):
 
 @query("b3_multiway_anchors", sql("SELECT aid, n0, n1 FROM three WHERE (n0 = -1)::INT + (n1 = -1)::INT + (n2 = -1)::INT <> 2 AND aid % 15 <> 0 AND aid % 5 <> 0 AND aid % 3 <> 0", THREE))
 def b3(spark, d):
-    anchors = three_way(spark, d).anchors.where("aid % 5 <> 0 AND aid % 3 <> 0")
+    # An anchor misses both of graphs 0 and 1 or neither; one that misses a single one of them is an error.
+    none, some = F.lit(-1).cast("long"), three_way(spark, d).anchors
+    nodes = F.when(F.col("nodes")[0] == -1, F.array(none, none, F.col("aid"))).otherwise(F.array("aid", "aid", F.col("nodes")[2]))
+    anchors = some.withColumn("nodes", nodes)
     return g.multiway_anchors(anchors, [0, 1]).select("aid", F.col("nodes")[0].alias("n0"), F.col("nodes")[1].alias("n1"))
 
 

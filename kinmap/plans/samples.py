@@ -50,7 +50,7 @@ GAUSS = f"""mo AS (SELECT gid, pos, stddev_samp(vec[pos + 1]) + 1e-12 AS s FROM
 @query("f5_gaussian_attributes", sql(f"SELECT gid, node, pos::INT AS p, round(vec[pos + 1] + sqrt(-2.0 * ln(greatest({T('gauss1', 'gid', 'node', 'pos')}, 1.0 / 4503599627370496.0))) * cos(2.0 * 3.141592653589793 * {T('gauss2', 'gid', 'node', 'pos')}) * 0.5 * s + 1e-9, 6) AS v FROM e_vec JOIN mo USING (gid) WHERE pos < 8", GAUSS))
 def f5(spark, d):
     nodes = fx.vectors(spark, d).select("gid", "node", F.col("vec").alias("x"))
-    return long_attributes(noise.gaussian_attributes(nodes, 0.5)).where("p < 8").withColumn("v", F.round(F.col("v") + 1e-9, 6))
+    return long_attributes(noise.gaussian_attributes(nodes, 0.5)).withColumn("v", F.round(F.col("v") + 1e-9, 6))
 
 
 @query("f6_attribute_noise", sql("SELECT gid, node, p, v FROM fx WHERE gid = 1 UNION ALL SELECT gid, node, p, x[p + 1] FROM c_nodes, (SELECT unnest([0, 1, 2, 3, 4]) AS p) WHERE gid = 0", FLIP))
@@ -156,7 +156,7 @@ def f15(spark, d):
 def f16(spark, d):
     net = fx.event_walks(spark, d)
     anchors = net.pairs("train").select(F.col("u").alias("node"))
-    return sampling.anchor_contexts(net.nodes, net.graph(0).select("gid", "src", "dst", "w").distinct(), anchors, cap=20)
+    return sampling.anchor_contexts(net.nodes, net.graph(0).select("gid", "src", "dst", "w").distinct(), anchors)
 
 
 @query("f17_uniform_negatives", sql(f"SELECT u, v, direction, i, CASE WHEN p >= v THEN p + 1 ELSE p END AS negative FROM (SELECT aid AS u, aid AS v, 'ltr' AS direction, i, floor({T('neg_ltr', 'aid', 'aid', 'i')} * (n - 1))::BIGINT AS p FROM tr, sz, k UNION ALL SELECT aid, aid, 'rtl', i, floor({T('neg_rtl', 'aid', 'aid', 'i')} * (n - 1))::BIGINT FROM tr, sz, k)", f"{SIZE}, tr AS (SELECT aid FROM l_anchors WHERE split = 'train'), k AS (SELECT unnest([1, 2, 3, 4, 5])::INT AS i)"))

@@ -55,3 +55,30 @@ def test_plans_of_all_vectors(spark):
     got = rows(spark, "g25_multi_marginal")
     assert sorted(r[1:4] for r in got) == cluster_tuples(spark)
     assert all(r[4] >= 0 for r in got)
+
+
+def test_noise_on_all_positions(spark, oracle):
+    got = rows(spark, "f5_gaussian_attributes")
+    vectors = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert sorted(r[:3] for r in got) == [(g, n, p) for g in (0, 1) for n in range(vectors // 2) for p in range(64)]
+    near([r for r in got if r[2] < 8], oracle("f5_gaussian_attributes"))
+
+
+def test_anchors_that_miss_both_graphs_are_dropped(spark, oracle):
+    from kinmap.sources import fixtures as fx
+
+    ids = {r.src for r in fx.chains(spark, DATA).edges.select("src").distinct().collect()}
+    got = rows(spark, "b3_multiway_anchors")
+    assert sorted(got) == sorted((i, i, i) for i in ids if i % 5)
+    assert sorted(r for r in got if r[0] % 3) == sorted(oracle("b3_multiway_anchors"))
+
+
+def test_anchors_get_all_contexts(spark):
+    from kinmap.sources import fixtures as fx
+
+    net = fx.event_walks(spark, DATA)
+    train = {r.u for r in net.pairs("train").collect()}
+    expected = {(r.src, r.dst) for r in net.graph(0).collect() if r.src in train}
+    sizes = [sum(s == u for s, _ in expected) for u in train]
+    assert 20 < max(sizes) <= 100
+    assert sorted(rows(spark, "f16_anchor_contexts")) == sorted(expected)
