@@ -52,7 +52,10 @@ def e4(spark, d):
 @query("e5_attribute_mismatches", sql("SELECT n.node, m.node AS landmark, list_sum([(n.x[i] <> m.x[i])::INT for i in range(1, 6)])::BIGINT AS n FROM c_nodes n, c_nodes m WHERE n.gid = 0 AND m.gid = 1 AND m.node < 10"))
 def e5(spark, d):
     nodes = fx.chains(spark, d).nodes
-    return sim.mismatches(nodes.where("gid = 0"), nodes.where("gid = 1 AND node < 10"))
+    n = fx.table(spark, d, "customer").count()
+    by_hash = F.md5(F.concat_ws(":", F.lit("landmark"), "gid", "node"))
+    landmarks = nodes.where("gid = 1").orderBy(by_hash, "node").limit(min(int(10 * np.log2(n)), n))
+    return sim.mismatches(nodes.where("gid = 0"), landmarks)
 
 
 @query("e7_attribute_anchors", sql(f"SELECT u, v, score FROM (SELECT a.node AS u, b.node AS v, round({COS}, 9) AS score {ALLPAIRS}) ORDER BY score DESC, u, v LIMIT 25"))

@@ -1,6 +1,8 @@
 """Queries work on all rows of their tables, not on an id subset."""
 
 import glob
+import hashlib
+import math
 import os
 
 import duckdb
@@ -82,3 +84,12 @@ def test_anchors_get_all_contexts(spark):
     sizes = [sum(s == u for s, _ in expected) for u in train]
     assert 20 < max(sizes) <= 100
     assert sorted(rows(spark, "f16_anchor_contexts")) == sorted(expected)
+
+
+def test_mismatches_with_landmarks_by_hash(spark, oracle):
+    segment = {r.c_custkey: r.c_mktsegment for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()}
+    count = int(10 * math.log2(len(segment)))
+    landmarks = sorted(segment, key=lambda k: (hashlib.md5(f"landmark:1:{k}".encode()).hexdigest(), k))[:count]
+    got = rows(spark, "e5_attribute_mismatches")
+    assert sorted(got) == sorted((u, v, 2 * (segment[u] != segment[v])) for u in segment for v in landmarks)
+    assert set(got) >= {r for r in oracle("e5_attribute_mismatches") if r[1] in landmarks}
