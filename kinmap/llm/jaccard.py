@@ -3,29 +3,31 @@
 Documents are sets of 5-word shingles, known by 64-bit hashes. Two documents link
 when their sets have a Jaccard similarity of at least the threshold.
 
-1. Equal sets are one class and go on as one.
-2. A set that links shares at least threshold times its size with others. Tasks
-   send their shingles' hashes, sorted and packed, to buckets; a bucket counts for
-   each document the shingles that stand in any other document. (A bucket may see
-   a few shingles too many as shared, never too few: it gets as many bits of a
+1. Equal sets are one class and go on as one. A set that links shares at least
+   threshold times its size with others. Tasks send the distinct hashes of their
+   shingles, sorted and packed, to buckets; a hash that a task holds more than once
+   is known to be shared before it is sent, so a hot shingle is one entry a task. A
+   bucket counts for each document the shingles that stand in any other document.
+   (It may see a few too many as shared, never too few: it gets as many bits of a
    hash as the corpus needs.) Sets with too few shared shingles are done; what is
    left, mostly near copies, goes on.
-3. Token orders: shingles by document frequency, rarest first, with ties in two
-   different hash orders. A pair that links shares a token of both sets' prefixes
-   under each order.
-4. Candidates under the first order come from posting lists. A list is not
-   expanded into its pairs: its hub (the document with the fewest shingles of its
-   own) meets the others, and what linked is one component. Later rounds take
-   other hubs, then all pairs of a list that are still in different components.
-5. Candidates that share no prefix token under the second order, or whose sizes
-   differ too much, go; the others are verified with their whole sets.
+2. Three global token orders: by document frequency, rarest first, and two orders
+   by hash, which have nothing to do with it. A pair that links shares a token of
+   both sets' prefixes under each order.
+3. First links: sets with the same first shared token under an order by hash meet
+   one of them, their hub. What links is one component.
+4. Candidates under the order by frequency come from posting lists. Pairs of one
+   component need no test, so in each list what is not of its largest component
+   meets the list, part by part of it, if sizes and places leave enough to share.
+   Candidates that share no prefix token under the other orders go; the rest is
+   verified with the whole sets.
 
 No pair that links is left between two components, so components are exact.
 
 Defined results: rows without doc_id are left out; rows that share a doc_id are one
 document, the one with the largest set; null or wordless text has size 0 and links
 with nothing; texts of fewer words than a shingle have one, their whole sequence;
-extra columns are ignored.
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,11 +39,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm.components import components
-from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, unpack_sorted, word_hashes
+from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, unpack_sorted, word_hashes
 from kinmap.session import checkpointed
 
 SHINGLE = 5
@@ -50,9 +53,8 @@ SPARE_BITS = 8
 BUCKET_TOKENS = 3_000_000
 HELD_TOKENS = 1_500_000
 BROADCAST_ROWS = 1_000_000
-HUB_ROUNDS = 6
-PAIRS_PER_ENTRY = 2
-LONGER = 16
+LIST_ROWS = 4096
+SEEDS = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A63))
 
 
 def shingle_sets(padded: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,8 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n, name (of the set), shared (at least the number of its shingles that stand in other documents), rows.
 
     A task deals its documents' hashes to buckets by value; a bucket sends back, to
-    each task's chunk of documents, how many hashes of each are shared.
+    each task's chunk of documents, how many hashes of each are shared. Equal sets of
+    a chunk are dealt once.
     """
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tokens = max(1, int(size) // 5)
@@ -118,21 +121,33 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        facts: list[tuple[np.ndarray, np.ndarray, bytes]] = []
+        facts: list[tuple[np.ndarray, np.ndarray]] = []
+        places: dict[bytes, int] = {}  # of the first row with a set, by its name
+        names: list[bytes] = []
+        first: list[int] = []
+        chunks = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal chunks
             values = np.concatenate([h for h, _ in held]) >> drop
             owner = np.concatenate([o for _, o in held])
             held.clear()
             order = np.argsort(values)
             values, owner = values[order], owner[order]
+            same = np.zeros(len(values), bool)
+            same[1:] = values[1:] == values[:-1]
+            several = same.copy()
+            several[:-1] |= same[1:]
+            known = np.bincount(owner[several], minlength=len(names))
+            values, owner = values[~same], np.where(several, 0, owner + 1)[~same]  # 0: nobody waits for an answer
             cut = np.append(np.searchsorted(values, edges), len(values))
-            ids, sizes, names = zip(*facts)
+            ids = np.concatenate([i for i, _ in facts]).astype("<i8").tobytes()
+            sizes = np.concatenate([n for _, n in facts]).astype("<i8").tobytes()
             facts.clear()
-            ids, names = np.concatenate(ids).astype("<i8").tobytes(), b"".join(names)
-            chunk = xxhash.xxh3_128_hexdigest(ids + names)
+            chunk = f"{TaskContext.get().partitionId()}-{chunks}-{xxhash.xxh3_64_hexdigest(ids)}"
+            chunks += 1
             rows = [(b, pack_sorted(values[s:e]), planes(owner[s:e])) for b, s, e in zip(range(buckets), cut[:-1].tolist(), cut[1:].tolist()) if s < e]
-            rows.append((int(chunk[:8], 16) % buckets, None, None))
+            rows.append((xxhash.xxh3_64_intdigest(chunk) % buckets, None, None))
             own = [None] * (len(rows) - 1)
             columns = {
                 "bucket": pa.array([r[0] for r in rows], pa.int32()),
@@ -140,26 +155,32 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
                 "hashes": pa.array([r[1] for r in rows], pa.binary()),
                 "owner": pa.array([r[2] for r in rows], pa.binary()),
                 "ids": pa.array([*own, ids], pa.binary()),
-                "sizes": pa.array([*own, np.concatenate(sizes).astype("<i8").tobytes()], pa.binary()),
-                "names": pa.array([*own, names], pa.binary()),
+                "sizes": pa.array([*own, sizes], pa.binary()),
+                "names": pa.array([*own, b"".join(names)], pa.binary()),
+                "first": pa.array([*own, np.array(first, "<i8").tobytes()], pa.binary()),
+                "known": pa.array([*own, known.astype("<i8").tobytes()], pa.binary()),
             }
+            names.clear(), first.clear(), places.clear()
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
         for batch in batches:
             doc_ids = batch.column("doc_id").to_numpy()
             for row, last, padded, offsets in blocks(batch.column("text")):
                 hashes, cut = shingle_sets(padded, offsets, k)
-                base = sum(len(f[0]) for f in facts)
-                held.append((hashes, base + np.repeat(np.arange(last - row), np.diff(cut))))
-                names = b"".join(set_name(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()))
-                facts.append((doc_ids[row:last], np.diff(cut), names))
-                if sum(len(h) for h, _ in held) > HELD_TOKENS:
+                base = len(names)
+                names += [set_name(hashes[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+                first += [places.setdefault(name, base + i) for i, name in enumerate(names[base:])]
+                owner = base + np.repeat(np.arange(last - row), np.diff(cut))
+                dealt = np.array(first[base:])[owner - base] == owner
+                held.append((hashes[dealt], owner[dealt]))
+                facts.append((doc_ids[row:last], np.diff(cut)))
+                if sum(len(h) for h, _ in held) > HELD_TOKENS or len(names) > HELD_TOKENS // 8:
                     yield from flush()
-        if held:
+        if facts:
             yield from flush()
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        facts = group[group.hashes.isna()][["chunk", "ids", "sizes", "names"]].assign(owner=None, shared=None)
+        facts = group[group.hashes.isna()][["chunk", "ids", "sizes", "names", "first", "known"]].assign(owner=None, shared=None)
         group = group[group.hashes.notna()]
         if not len(group):
             return facts
@@ -175,25 +196,28 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
         back[order] = same
         rows = []
         for chunk, owner, a, n in zip(group.chunk, group.owner, np.cumsum(lengths) - lengths, lengths):
-            documents, counts = np.unique(from_planes(owner)[back[a : a + n]], return_counts=True)
+            asked = from_planes(owner)[back[a : a + n]]
+            documents, counts = np.unique(asked[asked > 0], return_counts=True)
             if len(documents):
-                rows.append((chunk, None, None, None, planes(np.diff(documents, prepend=np.uint32(0))), planes(counts)))
-        counts = pd.DataFrame(rows, columns=["chunk", "ids", "sizes", "names", "owner", "shared"])
+                rows.append((chunk, None, None, None, None, None, planes(np.diff(documents, prepend=np.uint32(0))), planes(counts)))
+        counts = pd.DataFrame(rows, columns=["chunk", "ids", "sizes", "names", "first", "known", "owner", "shared"])
         return pd.concat([facts, counts], ignore_index=True) if len(facts) else counts
 
     def gather(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         own = group[group.ids.notna()].iloc[0]
-        ids, sizes = np.frombuffer(own.ids, "<i8"), np.frombuffer(own.sizes, "<i8")
-        shared = np.zeros(len(ids), np.int64)
+        ids, sizes, first, known = (np.frombuffer(own[c], "<i8") for c in ("ids", "sizes", "first", "known"))
+        shared = known.copy()
         for owner, counts in zip(*(group[c].dropna() for c in ("owner", "shared"))):
-            shared[np.cumsum(from_planes(owner))] += from_planes(counts)
+            shared[np.cumsum(from_planes(owner)) - 1] += from_planes(counts)
         names = [own["names"][i : i + 16] for i in range(0, 16 * len(ids), 16)]
-        return pd.DataFrame({"doc_id": ids, "n": sizes, "name": names, "shared": shared})
+        return pd.DataFrame({"doc_id": ids, "n": sizes, "name": names, "shared": shared[first]})
 
     sent = bounded(docs).select("doc_id", "text").mapInArrow(
-        send, "bucket int, chunk string, hashes binary, owner binary, ids binary, sizes binary, names binary"
+        tidy(send), "bucket int, chunk string, hashes binary, owner binary, ids binary, sizes binary, names binary, first binary, known binary"
+    )
+    counted = sent.groupBy("bucket").applyInPandas(
+        count, "chunk string, ids binary, sizes binary, names binary, first binary, known binary, owner binary, shared binary"
     )
-    counted = sent.groupBy("bucket").applyInPandas(count, "chunk string, ids binary, sizes binary, names binary, owner binary, shared binary")
     facts = counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, name binary, shared long")
     facts = facts.groupBy("doc_id").agg(F.max(F.struct("n", "name")).alias("set"), F.sum("shared").alias("shared"), F.count("*").alias("rows"))
     return facts.select("doc_id", "set.n", "set.name", "shared", "rows")
@@ -217,114 +241,144 @@ def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     few = wanted.count() <= BROADCAST_ROWS  # 24 bytes a row; more are joined by a shuffle
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, "doc_id")
-    return texts.mapInArrow(build, "doc_id long, n long, tokens array<long>")
+    return texts.mapInArrow(tidy(build), "doc_id long, n long, tokens array<long>")
+
+
+def lists_of(row: np.ndarray, values: np.ndarray, n: int) -> pa.Array:
+    """The values as lists, by their ascending row numbers."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(values))
 
 
 def prefixes(sets: DataFrame, percent: int, repeated: bool) -> DataFrame:
-    """doc_id, n, own (shingles that no other set has), shared (the others) and prefixes of sets that can link.
+    """doc_id, n, own (shingles that no other set has), shared (the others), prefixes and hub keys of sets that can link.
 
-    `one` is the prefix under the first order, `two` a longer one under the second,
-    by a part in LONGER of the set: pairs that link share more than one token of it.
+    `one` is the prefix under the order by frequency, `two` and `three` those under the
+    orders by hash; `keys` are the first shared tokens of these. Tokens of one's own
+    count in a prefix and match nothing, so they are left out of it.
     """
-    # Dealt once by token, for the count and for the join with it.
-    tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token")).repartition("token")
+    tokens = sets.select("doc_id", "n", F.explode("tokens").alias("token"))
     tokens = tokens.dropDuplicates(["token", "doc_id"]) if repeated else tokens
-    frequent = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    rows = tokens.join(frequent, "token").groupBy("doc_id", "n").agg(F.collect_list(F.struct("df", "token")).alias("all"))
-    rows = rows.where(F.size("all") >= needed(F.col("n"), percent))
-    # Tokens of one's own come first in both orders and match nothing.
-    own = F.col("n") - F.size("all")
-    length = F.col("n") - needed(F.col("n"), percent) + 1 - own
-    longer = length + F.floor(F.col("n") / LONGER)
-    first = F.slice(F.array_sort("all"), F.lit(1), F.greatest(F.lit(0), length).cast("int"))
-    ties = F.transform("all", lambda s: F.struct(s["df"].alias("df"), F.xxhash64(s["token"]).alias("tie"), s["token"].alias("token")))
-    second = F.slice(F.array_sort(ties), F.lit(1), F.greatest(F.lit(0), longer).cast("int"))
-    token = lambda c: F.transform(c, lambda s: s["token"])
-    return rows.select("doc_id", "n", own.alias("own"), token(first).alias("one"), token(second).alias("two"), token(F.col("all")).alias("shared"))
+    frequency = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    rows = tokens.join(frequency, "token").groupBy("doc_id", "n").agg(F.collect_list("token").alias("token"), F.collect_list("df").alias("df"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy()
+            token = batch.column("token").flatten().to_numpy()
+            df = batch.column("df").flatten().to_numpy()
+            row = np.repeat(np.arange(len(n)), pa.compute.list_value_length(batch.column("token")).to_numpy())
+            need = -(-n * percent // 100)
+            n_shared = np.bincount(row, weights=df > 1, minlength=len(n)).astype(np.int64)
+            kept = np.flatnonzero(n_shared >= need)
+            again = np.full(len(n), -1)
+            again[kept] = np.arange(len(kept))
+            inside = again[row] >= 0
+            row, token, df = again[row[inside]], token[inside], df[inside]
+            longest, own = (n - need + 1)[kept], (n - n_shared)[kept]
+            start = np.searchsorted(row, np.arange(len(kept)))
+            place = np.arange(len(row)) - start[row]
+
+            def first(hashed: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+                order = np.lexsort((token, df, row) if hashed is None else (hashed, row))
+                there = (place < longest[row]) & (df[order] > 1)
+                return row[there], token[order][there]
+
+            keys, heads = [], [first(None)]
+            for seed in SEEDS:
+                hashed = mixed(token.view(np.uint64) ^ seed)
+                heads.append(first(hashed))
+                among = np.flatnonzero(df > 1)
+                order = among[np.lexsort((hashed[among], row[among]))]
+                keys.append(token[order][np.searchsorted(row[order], np.arange(len(kept)))])
+            among = df > 1
+            columns = {
+                "doc_id": batch.column("doc_id").take(pa.array(kept)),
+                "n": pa.array(n[kept]),
+                "own": pa.array(own),
+                "shared": lists_of(row[among], token[among], len(kept)),
+                **{c: lists_of(*h, len(kept)) for c, h in zip(("one", "two", "three"), heads)},
+                "keys": lists_of(np.repeat(np.arange(len(kept)), len(keys)), np.stack(keys, 1).ravel() if len(kept) else token[:0], len(kept)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    lists = ", ".join(f"{c} array<long>" for c in ("shared", "one", "two", "three", "keys"))
+    return rows.mapInArrow(tidy(cut), f"doc_id long, n long, own long, {lists}")
 
 
 def verified(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link."""
-    side = lambda s, c: heads.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), F.col(c).alias(f"t_{s}"))
-    met = pairs.join(side("a", "two"), "a").join(side("b", "two"), "b")
-    least = F.ceil((F.col("n_a") + F.col("n_b")) * percent / (100 + percent))
-    extra = lambda s: least - needed(F.col(f"n_{s}"), percent) + 1 + F.floor(F.col(f"n_{s}") / LONGER)
-    met = met.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
-    met = met.where(F.size(F.array_intersect("t_a", "t_b")) >= F.least(extra("a"), extra("b"))).select("a", "b")
-    both = met.join(side("a", "shared"), "a").join(side("b", "shared"), "b")
-    common = F.size(F.array_intersect("t_a", "t_b"))
-    return both.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
-
-
-def links(sets: DataFrame, percent: int, repeated: bool = False) -> DataFrame | None:
-    """Links (a, b) among distinct sets with the same components as all links."""
-    heads = checkpointed(prefixes(sets, percent, repeated))
-    entries = heads.select("doc_id", "n", "own", (F.col("own") / F.col("n")).alias("apart"), F.posexplode("one").alias("pos", "token"))
+    side = lambda s, *lists: heads.select(F.col("doc_id").alias(s), F.col("n").alias(f"n_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in lists])
+    lists = ("two", "three", "shared")
+    met = pairs.select("a", "b").join(side("a", *lists), "a").join(side("b", *lists), "b")
+    met = met.where(F.arrays_overlap("two_a", "two_b") & F.arrays_overlap("three_a", "three_b"))
+    common = F.size(F.array_intersect("shared_a", "shared_b"))
+    return met.where(common * 100 >= (F.col("n_a") + F.col("n_b") - common) * percent).select("a", "b")
+
+
+def near_sizes(n: Column, m: Column, percent: int) -> Column:
+    return F.least(n, m) * 100 >= F.greatest(n, m) * percent
+
+
+def pair_of(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def links_with_hubs(heads: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) of sets with the hub of each of their keys: of the sets with the key, the one with the least part of its own."""
+    keys = heads.select("doc_id", "n", "own", F.explode("keys").alias("key"))
+    rank = F.struct((F.col("own") / F.col("n")).alias("apart"), F.col("doc_id"), F.col("n"))
+    hubs = keys.groupBy("key").agg(F.min(rank).alias("h"), F.count("*").alias("m")).where("m > 1")
+    met = keys.join(hubs.select("key", F.col("h.doc_id").alias("hub"), F.col("h.n").alias("hub_n")), "key")
+    met = met.where((F.col("doc_id") != F.col("hub")) & near_sizes(F.col("n"), F.col("hub_n"), percent))
+    return verified(met.select(*pair_of("doc_id", "hub")).distinct(), heads, percent)
+
+
+def links_between(heads: DataFrame, component: DataFrame, percent: int, list_rows: int = LIST_ROWS) -> DataFrame:
+    """All links (a, b) of sets in different components (doc_id, component)."""
+    entries = heads.select("doc_id", "n", "own", "one").join(component, "doc_id", "left")
+    entries = entries.select("doc_id", "n", "own", F.coalesce("component", "doc_id").alias("component"), F.posexplode("one").alias("pos", "token"))
     entries = entries.withColumn("left", F.col("n") - F.col("own") - F.col("pos")).drop("own", "pos")
+    groups = entries.groupBy("token", "component").agg(F.count("*").alias("m"))
+    open_lists = groups.groupBy("token").agg(F.sum("m").alias("m"), F.max_by("component", F.struct("m", "component")).alias("top"), F.count("*").alias("parts"))
+    open_lists = open_lists.where("parts > 1").select("token", "top", F.ceil(F.col("m") / list_rows).cast("int").alias("slices"))
+    entries = entries.join(open_lists, "token")
+    slices = F.sequence(F.lit(0), F.col("slices") - 1)
+    asks = entries.where("component <> top").withColumn("slice", F.explode(slices))
+    there = entries.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+    x = asks.select("token", "slice", *[F.col(c).alias(f"{c}_x") for c in ("doc_id", "component", "n", "left")])
+    y = there.select("token", "slice", "top", *[F.col(c).alias(f"{c}_y") for c in ("doc_id", "component", "n", "left")])
+    least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent))
+    # The first shared token of a link leaves both sets enough to share.
+    fits = near_sizes(F.col("n_x"), F.col("n_y"), percent) & (F.least("left_x", "left_y") >= least)
+    once = (F.col("component_y") == F.col("top")) | (F.col("doc_id_x") < F.col("doc_id_y"))
+    same_slice = F.col("token_x").eqNullSafe(F.col("token")) & (F.col("slice_x") == F.col("slice"))
+    met = x.withColumnsRenamed({"token": "token_x", "slice": "slice_x"}).join(
+        y, same_slice & (F.col("component_x") != F.col("component_y")) & once & fits
+    )
+    return verified(checkpointed(met.select(*pair_of("doc_id_x", "doc_id_y")).distinct()), heads, percent)
+
+
+def component_of(sets: DataFrame, percent: int, repeated: bool = False, list_rows: int = LIST_ROWS) -> DataFrame:
+    """(id, component) of the distinct sets that link with any."""
+    heads = checkpointed(prefixes(sets, percent, repeated))
+    near = components(links_with_hubs(heads, percent))
+    far = links_between(heads, near.withColumnRenamed("id", "doc_id"), percent, list_rows)
+    return components(near.select(F.col("id").alias("a"), F.col("component").alias("b")).union(far))
+
 
-    def fits(n: str, left: str, m: str, rest: str) -> Column:
-        """Whether sizes are near enough, and enough tokens are left from a shared one on, as at the first shared one of a link."""
-        least = F.ceil((F.col(n) + F.col(m)) * percent / (100 + percent))
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(left, rest) >= least)
-
-    members = heads.select("doc_id")
-    state = members.withColumn("component", F.col("doc_id"))
-    found, tested, grown = None, None, None
-    for round_ in range(HUB_ROUNDS + 1):
-        lists = entries.join(state, "doc_id")
-        groups = lists.groupBy("token", "component").agg(F.count("*").alias("m"))
-        groups = groups.groupBy("token").agg(F.sum("m").alias("all"), F.sum(F.col("m") * F.col("m")).alias("within"), F.count("*").alias("parts"))
-        open_lists = checkpointed(groups.where("parts > 1"))
-        left = open_lists.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2), F.sum("all")).first()
-        if not left[0]:
-            break
-        lists = lists.join(open_lists.select("token"), "token")
-        # Hubs are worth their rounds as long as they link; then what is left is met in pairs.
-        last = round_ == HUB_ROUNDS or left[0] <= PAIRS_PER_ENTRY * left[1] or grown == 0
-        if last:
-            a, b = (lists.select(F.col("token").alias(f"t_{s}"), F.col("doc_id").alias(s), F.col("component").alias(f"c_{s}"), F.col("n").alias(f"n_{s}"), F.col("left").alias(f"l_{s}")) for s in "ab")
-            met = (F.col("t_a") == F.col("t_b")) & F.expr("a < b AND c_a <> c_b") & fits("n_a", "l_a", "n_b", "l_b")
-            pairs = a.join(b, met).select("a", "b").distinct()
-        else:
-            rank = F.struct("apart", F.xxhash64("doc_id", F.lit(round_)), "doc_id", "component", "n", "left")
-            hubs = lists.groupBy("token").agg(F.min(rank).alias("h")).select("token", F.col("h.doc_id").alias("hub"), F.col("h.component").alias("of"), F.col("h.n").alias("hub_n"), F.col("h.left").alias("hub_left"))
-            met = lists.join(hubs, "token").where(F.expr("component <> of") & fits("n", "left", "hub_n", "hub_left"))
-            # Each document meets the hub of most of its lists.
-            met = met.groupBy("doc_id", "hub").agg(F.count("*").alias("lists"))
-            if tested is not None:
-                met = met.withColumns({"a": F.least("doc_id", "hub"), "b": F.greatest("doc_id", "hub")}).join(tested, ["a", "b"], "left_anti")
-            met = met.groupBy("doc_id").agg(F.max_by("hub", F.struct("lists", "hub")).alias("hub"))
-            pairs = met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-        if last and tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = checkpointed(pairs)
-        new = checkpointed(verified(pairs, heads, percent))
-        grown = new.count()
-        found = new if found is None else found.union(new)
-        tested = pairs if tested is None else tested.union(pairs)
-        if last:
-            break
-        if grown:
-            merged = components(found).withColumnRenamed("id", "doc_id")
-            state = checkpointed(members.join(merged, "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component")))
-    return found
-
-
-def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE) -> DataFrame:
+def jaccard_components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, list_rows: int = LIST_ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id of every document."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     facts = checkpointed(set_facts(docs, k))
-    classes = facts.where("n > 0").groupBy("name", "n").agg(F.min(F.struct("doc_id", "shared")).alias("first"))
-    classes = classes.select("name", "n", "first.doc_id", "first.shared")
+    # Any member's count of shared shingles is at least that of the class.
+    classes = facts.where("n > 0").groupBy("name", "n").agg(F.min("doc_id").alias("doc_id"), F.min("shared").alias("shared"))
     wanted = classes.where(F.col("shared") >= needed(F.col("n"), percent)).select("doc_id", "name")
     repeated = not facts.where("rows > 1").isEmpty()
-    found = links(sets_of(docs, wanted, k), percent, repeated)
+    merged = component_of(sets_of(docs, wanted, k), percent, repeated, list_rows).withColumnRenamed("id", "first")
     rows = facts.join(classes.select("name", F.col("doc_id").alias("first")), "name", "left")
     rows = rows.select("doc_id", "n", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc_id")).alias("first"))
-    if found is not None:
-        merged = components(found).withColumnRenamed("id", "first")
-        rows = rows.join(merged, "first", "left").withColumn("first", F.coalesce("component", "first"))
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.col("first").alias("component_id"))
+    rows = rows.join(merged, "first", "left")
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "first").alias("component_id"))
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame
 # Arrow buffers go back to the system when they are freed, not to a pool that idle workers keep.
 pa.set_memory_pool(pa.system_memory_pool())
 
-BATCH_ROWS = "1000"
+BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
 
 PAD = 64
 BLOCK_BYTES = 2 << 20
@@ -26,11 +27,32 @@ SECOND = np.uint64(0xBF58476D1CE4E5B9)
 
 
 def bounded(docs: DataFrame) -> DataFrame:
-    """The same table, after its session is told to send texts to Python in batches of fewer rows."""
+    """The same table, after its session is told to send texts to Python in batches of fewer rows and bytes."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return docs
 
 
+def give_back() -> None:
+    """Freed memory back to the system: workers live on after their tasks, and what they hold is missing elsewhere."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:
+        pass  # another C library
+
+
+def tidy(function: Callable) -> Callable:
+    """The function on batches, which gives freed memory back when its task is done."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> np.uint64(31))) * MULTIPLIER
