@@ -169,6 +169,22 @@ def dense_ids(rows: DataFrame, order: list[str], name: str = "id", per_part: int
     return ranked.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_n", "_in", "_before")
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], value: str, name: str, per_part: int = 100_000) -> DataFrame:
+    """Rows with the sum of the value over the rows before, by group; order columns must tell a group's rows apart.
+
+    As for dense ids, a group of any size is spread over range partitions, and only
+    the partitions' sums are put in sequence.
+    """
+    parts = max(1, -(-rows.count() // per_part))
+    dealt = checkpointed(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
+    before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*by, "_part").agg(F.sum(value).alias("_sum"))
+    sums = sums.select(*by, "_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed_here = dealt.withColumn("_in", F.coalesce(F.sum(value).over(inside), F.lit(0))).join(sums, [*by, "_part"])
+    return summed_here.withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")
+
+
 def relabelled(edges: DataFrame, ids: DataFrame, end: str) -> DataFrame:
     """The edges with one end replaced by ids(node, id); an end without an id is an error."""
     joined = edges.join(ids.select(F.col("node").alias(end), F.col("id").alias("_id")), end, "left")
@@ -234,8 +250,8 @@ def merge_two(network: NetworkSet, split: str | None = None) -> tuple[DataFrame,
 def top_nodes(scores: DataFrame, ratio: float) -> DataFrame:
     """The best ceil(ratio * n) nodes of each graph by score, ties by id; (gid, node, rank)."""
     counts = scores.groupBy("gid").agg(F.ceil(F.count("*") * F.lit(ratio)).alias("k"))
-    order = Window.partitionBy("gid").orderBy(F.desc("score"), "node")
-    ranked = scores.withColumn("rank", F.row_number().over(order)).join(F.broadcast(counts), "gid")
+    ranked = dense_ids(scores.withColumn("_low", -F.col("score")), ["_low", "node"], "rank", within="gid")
+    ranked = ranked.withColumn("rank", F.col("rank") + 1).join(F.broadcast(counts), "gid")
     return ranked.where("rank <= k").select("gid", "node", "rank")
 
 

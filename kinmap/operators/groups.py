@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmap.session import checkpointed
+
 METRICS = {"acs": "ACS", "msf1": "MSF1", "microf1": "MicroF1", "m2msgs": "M2M-SGS", "sgs": "M2M-SGS", "m2megs": "M2M-EGS", "egs": "M2M-EGS", "m2msgsweighted": "M2M-SGS-weighted", "m2megsweighted": "M2M-EGS-weighted"}
 DEFAULTS = ("ACS", "MSF1", "MicroF1", "M2M-SGS", "M2M-EGS")
 
@@ -120,8 +122,8 @@ def scores(truth: DataFrame, ids: DataFrame, pred: DataFrame, pred_ids: DataFram
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
     wanted = {METRICS[p] for p in plain.values()}
-    counted = counts(truth, ids, pred, pred_ids, keys).cache()
-    overlap = overlaps(truth, ids, pred, pred_ids, keys).cache()
+    counted = checkpointed(counts(truth, ids, pred, pred_ids, keys))
+    overlap = checkpointed(overlaps(truth, ids, pred, pred_ids, keys))
     s, e = (macro_and_weighted(f(overlap, keys), f.__name__, keys) for f in (sgs, egs))
     tables = {"ACS": (concentration(counted, keys), "acs"), "MSF1": (macro_f1(counted, keys), "msf1"), "MicroF1": (micro_f1(counted, keys), "f1"), "M2M-SGS": (s, "macro"), "M2M-EGS": (e, "macro"), "M2M-SGS-weighted": (s, "weighted"), "M2M-EGS-weighted": (e, "weighted")}
     rows = [t.select(*keys, F.lit(name).alias("name"), F.col(c).alias("value")) for name, (t, c) in tables.items() if name in wanted]

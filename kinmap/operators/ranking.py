@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinmap.operators.graph import running
+from kinmap.session import checkpointed
+
 KS = (1, 10, 30, 50)
 
 
@@ -45,30 +48,37 @@ def combine(mode: str, one: Column, two: Column) -> Column:
     return {"ltr": one, "rtl": two, "mean": (one + two) / 2, "max": F.greatest(one, two)}[mode]
 
 
-def by_direction(ranked: DataFrame, value: Column) -> list[Column]:
+def by_direction(value: Column) -> list[Column]:
     return [F.avg(F.when(F.col("direction") == d, value)) for d in ("ltr", "rtl")]
 
 
+def metric_rows(ranked: DataFrame, values: dict[str, Column]) -> DataFrame:
+    """(name, value) of several aggregates in one pass."""
+    row = ranked.agg(F.array(*[F.struct(F.lit(name).alias("name"), v.alias("value")) for name, v in values.items()]).alias("m"))
+    return row.select(F.explode("m").alias("m")).select("m.*")
+
+
+def metric(name: str, mode: str) -> Column:
+    gain = 1.0 / F.col("rank") if name == "MRR" else (F.col("rank") <= int(name[5:])).cast("double")
+    return combine(mode, *by_direction(gain))
+
+
 def hits(ranked: DataFrame, mode: str = "mean", ks: tuple[int, ...] = KS) -> DataFrame:
     """(name, value) of Hits@k."""
-    each = [combine(mode, *by_direction(ranked, (F.col("rank") <= k).cast("double"))) for k in ks]
-    row = ranked.agg(F.array(*[F.struct(F.lit(f"Hits@{k}").alias("name"), e.alias("value")) for k, e in zip(ks, each)]).alias("m"))
-    return row.select(F.explode("m").alias("m")).select("m.*")
+    return metric_rows(ranked, {f"Hits@{k}": metric(f"Hits@{k}", mode) for k in ks})
 
 
 def mrr(ranked: DataFrame, mode: str = "mean") -> DataFrame:
-    return ranked.agg(combine(mode, *by_direction(ranked, 1.0 / F.col("rank"))).alias("value")).select(F.lit("MRR").alias("name"), "value")
+    return metric_rows(ranked, {"MRR": metric("MRR", mode)})
 
 
 def evaluate(pairs: DataFrame, tests: DataFrame, n1: int, n2: int, metrics: tuple[str, ...] = (*[f"Hits@{k}" for k in KS], "MRR"), mode: str = "mean") -> DataFrame:
-    """(name, value) of the named metrics."""
+    """(name, value) of the named metrics; pairs are computed once and ranked once."""
     unknown = [m for m in metrics if m != "MRR" and not (m.startswith("Hits@") and m[5:].isdigit())]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
-    ranked = both_ranks(pairs, tests, n1, n2)
-    ks = tuple(int(m[5:]) for m in metrics if m != "MRR")
-    parts = ([hits(ranked, mode, ks)] if ks else []) + ([mrr(ranked, mode)] if "MRR" in metrics else [])
-    return reduce(DataFrame.unionByName, parts)
+    ranked = both_ranks(checkpointed(pairs), tests, n1, n2)
+    return metric_rows(ranked, {m: metric(m, mode) for m in metrics})
 
 
 def best_per_target(pairs: DataFrame, prior: DataFrame | None = None, weight: float = 0.0) -> DataFrame:
@@ -120,8 +130,7 @@ def degree_anchors(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
     # Within a level pairs go by u, then v: how many partners each u has there tells which u are reached.
     partners = needed.join(h2, "d2").groupBy("gap", "d1", "before", "room").agg(F.sum("m2").alias("partners"))
     us = partners.join(one.withColumnRenamed("degree", "d1"), "d1").select("gap", "room", "partners", "d1", F.col("node").alias("u"))
-    reach = Window.partitionBy("gap").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
-    us = us.withColumn("ahead", F.coalesce(F.sum("partners").over(reach), F.lit(0))).where("ahead < room")
+    us = running(us, ["gap"], ["u"], "partners", "ahead").where("ahead < room")
     met = us.join(needed.select("gap", "d1", "d2"), ["gap", "d1"]).join(two.select(F.col("degree").alias("d2"), F.col("node").alias("v")), "d2")
     inside = Window.partitionBy("gap", "u").orderBy("v")
     met = met.withColumn("place", F.col("ahead") + F.row_number().over(inside)).where("place <= room")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmap.functions.draws import SEED, draw, draw_below
-from kinmap.operators.graph import degree_shares, dense_ids
+from kinmap.operators.graph import degree_shares, dense_ids, running
 from kinmap.session import checkpointed
 
 
@@ -70,8 +70,7 @@ def non_neighbours(edges: DataFrame, anchors: DataFrame, n: int, k: int, rounds:
 
 def cumulative(shares: DataFrame, by: list[str], parts: int = 256) -> DataFrame:
     """shares(by, node, p) with [low, high) of the running sum and its cell, for draws by an equi-join on cells."""
-    order = Window.partitionBy(*by).orderBy("node")
-    rows = shares.where("p > 0").withColumn("high", F.sum("p").over(order)).withColumn("low", F.col("high") - F.col("p"))
+    rows = running(shares.where("p > 0"), by, ["node"], "p", "low").withColumn("high", F.col("low") + F.col("p"))
     last = F.floor(F.least(F.col("high"), F.lit(1.0 - 1e-12)) * parts)
     return rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * parts), last)))
 
@@ -99,7 +98,8 @@ def anchor_contexts(nodes: DataFrame, edges: DataFrame, anchors: DataFrame, cap:
     few = near.join(sizes.where(F.col("n") <= cap), "node", "left_semi")
     degree = edges.groupBy(F.col("src").alias("context")).agg(F.count("*").alias("d"))
     hubs = near.join(sizes.where(F.col("n") > cap), "node", "left_semi").join(degree, "context")
-    shares = hubs.withColumn("p", F.col("d") / F.sum("d").over(Window.partitionBy("node"))).select(F.col("node").alias("hub"), F.col("context").alias("node"), "p")
+    totals = hubs.groupBy("node").agg(F.sum("d").alias("total"))
+    shares = hubs.join(totals, "node").select(F.col("node").alias("hub"), F.col("context").alias("node"), (F.col("d") / F.col("total")).alias("p"))
     draws = sizes.where(F.col("n") > cap).select(F.col("node").alias("hub"), F.explode(F.sequence(F.lit(1), F.lit(cap))).alias("i"))
     draws = draws.withColumn("u", draw("hub", F.col("hub"), F.col("i"), seed=seed))
     return few.select("node", "context").union(weighted_pick(draws, shares, ["hub"]).select("hub", "picked"))

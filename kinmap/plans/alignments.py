@@ -37,6 +37,18 @@ def g9(spark, d):
     return align.consistency(net.graph(0), net.graph(1), net.pairs("train"), iterations=2).withColumn("score", F.round("score", 6))
 
 
+SETTLED_STEP = """i{k} AS (SELECT u, v, sum(s) AS s FROM (SELECT h.u, b.src AS v, 0.4 * h.s * b.w AS s FROM (SELECT a.src AS u, p.v, sum(p.s * a.w) AS s FROM i{j} p JOIN wn a ON a.gid = 0 AND a.dst = p.u GROUP BY a.src, p.v) h JOIN wn b ON b.gid = 1 AND b.dst = h.v UNION ALL SELECT aid, aid, 0.6 FROM tr) GROUP BY u, v)"""
+#: The change shrinks by 0.4 a step: 40 steps are past any tolerance that doubles can tell.
+SETTLED = "tr AS (SELECT aid FROM v_anchors WHERE split = 'train'), ve AS (SELECT gid, src, dst, sum(w) AS w FROM v_edges GROUP BY ALL), wn AS (SELECT gid, src, dst, w / sum(w) OVER (PARTITION BY gid, dst) AS w FROM ve), i0 AS (SELECT aid AS u, aid AS v, 1.0::DOUBLE AS s FROM tr), " + ", ".join(SETTLED_STEP.format(k=k, j=k - 1) for k in range(1, 41))
+
+
+@query("g9_consistency_settled", sql("SELECT u, v, round(s + 1e-7, 4) AS score FROM i40", SETTLED))
+def g9s(spark, d):
+    """Consistency of the event networks until it changes by less than the tolerance."""
+    net = fx.event_walks(spark, d)
+    return align.consistency(net.graph(0), net.graph(1), net.pairs("train")).withColumn("score", F.round(F.col("score") + 1e-7, 4))
+
+
 WALK = TR + """, sn AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM l_edges WHERE gid = 0), nd AS (SELECT node FROM c_nodes WHERE gid = 0),
 w0 AS (SELECT node, aid AS key, 1.0::DOUBLE AS r FROM nd, tr), """
 WSTEP = "w{k} AS (SELECT node, key, sum(r) AS r FROM (SELECT dst AS node, key, 0.85 * w * r AS r FROM w{j} JOIN sn ON src = node UNION ALL SELECT aid, aid, 0.15 FROM tr UNION ALL SELECT node, key, 0 FROM w{j}) GROUP BY node, key)"

@@ -10,7 +10,7 @@ from kinmap.functions.draws import draw
 from kinmap.operators import groups, ranking
 from kinmap.operators.graph import degrees
 from kinmap.plans.base import query
-from kinmap.session import shared_folder
+from kinmap.session import checkpointed, shared_folder
 from kinmap.sources import fixtures as fx
 from kinmap.sources import networks
 from kinmap.sources.fixtures import U, sql
@@ -39,7 +39,7 @@ def ranked(spark, d):
 
 @query("e8_hits_by_direction", sql("SELECT 'ltr' AS direction, 'Hits@' || k AS name, round(l, 9) AS value FROM h UNION ALL SELECT 'rtl', 'Hits@' || k, round(r, 9) FROM h", RANKED))
 def e8(spark, d):
-    rows = ranked(spark, d).cache()
+    rows = checkpointed(ranked(spark, d))
     both = [ranking.hits(rows, mode).select(F.lit(mode).alias("direction"), "name", F.round("value", 9).alias("value")) for mode in ("ltr", "rtl")]
     return both[0].union(both[1])
 
@@ -51,14 +51,14 @@ def e8r(spark, d):
 
 @query("e9_hits_combined", sql("SELECT 'mean' AS mode, 'Hits@' || k AS name, round((l + r) / 2, 9) AS value FROM h UNION ALL SELECT 'max', 'Hits@' || k, round(greatest(l, r), 9) FROM h", RANKED))
 def e9(spark, d):
-    rows = ranked(spark, d).cache()
+    rows = checkpointed(ranked(spark, d))
     both = [ranking.hits(rows, mode).select(F.lit(mode).alias("mode"), "name", F.round("value", 9).alias("value")) for mode in ("mean", "max")]
     return both[0].union(both[1])
 
 
 @query("e10_mrr", sql("SELECT unnest(['ltr', 'rtl', 'mean', 'max']) AS mode, round(unnest([l, r, (l + r) / 2, greatest(l, r)]), 9) AS value FROM m", RANKED))
 def e10(spark, d):
-    rows = ranked(spark, d).cache()
+    rows = checkpointed(ranked(spark, d))
     parts = [ranking.mrr(rows, mode).select(F.lit(mode).alias("mode"), F.round("value", 9).alias("value")) for mode in ("ltr", "rtl", "mean", "max")]
     return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
 
@@ -284,20 +284,23 @@ round({U("'42'", "'hits'", 'c_custkey::VARCHAR')}, 4) AS hits1, round({U("'42'",
 
 
 def runs(spark, d):
-    """Run logs with drawn metrics, written as CSV files with comment lines and read again."""
+    """Run logs with drawn metrics, written as CSV files with comment lines, a folder a run, and read again."""
     folder = scratch(spark, "runs")
     key = F.col("c_custkey")
-    rows = fx.table(spark, d, "customer").select(
-        F.concat(F.lit("a"), key % 3, F.when(key % 2 == 0, "/attr/").otherwise("/plain/"), F.lit("d"), key % 4, F.lit("/0.2/seed_"), key % 5).alias("path"),
-        F.floor(key / 60).cast("int").alias("epoch"),
-        F.round(draw("hits", key), 4).alias("hits"),
-        F.round(draw("mrr", key), 4).alias("mrr"),
-    )
-    line = F.concat_ws(",", "epoch", F.lit("0.5"), F.lit("0.1"), "hits", "hits", "hits", "hits", "mrr", F.lit("1.0"), F.lit("2.0"))
-    header = ",".join(name for name, _, _ in networks.RUN_COLUMNS)
-    files = rows.groupBy("path").agg(F.concat_ws("\n", F.lit(header), F.lit("# notes"), F.array_join(F.array_sort(F.collect_list(line)), "\n")).alias("value"))
-    for r in files.select("path").distinct().collect():  # a file a run, as loggers leave them
-        files.where(F.col("path") == r.path).select("value").coalesce(1).write.text(f"{folder}/{r.path}")
+    facts = {
+        "algo": F.concat(F.lit("a"), key % 3),
+        "attr": F.when(key % 2 == 0, "attr").otherwise("plain"),
+        "dataset": F.concat(F.lit("d"), key % 4),
+        "train_ratio": F.lit("0.2"),
+        "seed": F.concat(F.lit("seed_"), key % 5),
+    }
+    hits, mrr = F.round(draw("hits", key), 4), F.round(draw("mrr", key), 4)
+    values = [F.floor(key / 60), F.lit(0.5), F.lit(0.1), hits, hits, hits, hits, mrr, F.lit(1.0), F.lit(2.0)]
+    customers = fx.table(spark, d, "customer")
+    rows = customers.select(*[c.alias(n) for n, c in facts.items()], *[v.cast("string").alias(name) for v, (name, _, _) in zip(values, networks.RUN_COLUMNS)])
+    first, *others = [name for name, _, _ in networks.RUN_COLUMNS]
+    notes = rows.select(*facts).distinct().select(*facts, F.lit("# notes").alias(first), *[F.lit(None).cast("string").alias(name) for name in others])
+    networks.write_runs(rows.unionByName(notes), list(facts), folder)
     return networks.read_runs(spark, folder)
 
 

@@ -47,7 +47,7 @@ def f4(spark, d):
 GAUSS = f"""mo AS (SELECT gid, pos, stddev_samp(vec[pos + 1]) + 1e-12 AS s FROM e_vec, (SELECT unnest(range(0, 64)) AS pos) GROUP BY gid, pos)"""
 
 
-@query("f5_gaussian_attributes", sql(f"SELECT gid, node, pos::INT AS p, round(vec[pos + 1] + sqrt(-2.0 * ln(greatest({T('gauss1', 'gid', 'node', 'pos')}, 1.0 / 4503599627370496.0))) * cos(2.0 * 3.141592653589793 * {T('gauss2', 'gid', 'node', 'pos')}) * 0.5 * s + 1e-9, 6) AS v FROM e_vec JOIN mo USING (gid) WHERE pos < 8", GAUSS))
+@query("f5_gaussian_attributes", sql(f"SELECT gid, node, pos::INT AS p, round(vec[pos + 1] + sqrt(-2.0 * ln(greatest({T('gauss1', 'gid', 'node', 'pos')}, 1.0 / 4503599627370496.0))) * cos(2.0 * 3.141592653589793 * {T('gauss2', 'gid', 'node', 'pos')}) * 0.5 * s + 1e-9, 6) AS v FROM e_vec JOIN mo USING (gid)", GAUSS))
 def f5(spark, d):
     nodes = fx.vectors(spark, d).select("gid", "node", F.col("vec").alias("x"))
     return long_attributes(noise.gaussian_attributes(nodes, 0.5)).withColumn("v", F.round(F.col("v") + 1e-9, 6))
@@ -93,13 +93,19 @@ def f10(spark, d):
     return noise.typed_entities(fx.customer_entities(spark, d)[1], noise.RATIOS, 3).select("eid", "k_src", "k_tgt")
 
 
-SPLIT = f"""{SIZE}, ch AS (SELECT aid AS node, (aid % 3) + 1 AS k FROM l_anchors WHERE split = 'train'), nb AS (SELECT node, k, (SELECT n FROM sz) + sum(k - 1) OVER (ORDER BY node) - (k - 1) AS base FROM ch),
-mb AS (SELECT node, k, i, CASE WHEN i = 0 THEN node ELSE base + i - 1 END::BIGINT AS member FROM nb, (SELECT unnest([0, 1, 2])::BIGINT AS i) WHERE i < k),
-ex AS (SELECT c.node, c.k, e.dst AS w FROM ch c JOIN l_edges e ON e.gid = 0 AND e.src = c.node), ei AS (SELECT node, k, w, i, {T('ext', 'node', 'w', 'i')} < 1.0 / k AS hit FROM ex, (SELECT unnest([0, 1, 2])::BIGINT AS i) WHERE i < k),
-eh AS (SELECT node, w, i FROM ei WHERE hit OR k = 1 UNION ALL SELECT node, w, floor({T('force', 'node', 'w')} * k)::BIGINT FROM ei GROUP BY node, w, k HAVING NOT bool_or(hit OR k = 1)),
-oe AS (SELECT member AS src, w AS dst FROM eh JOIN mb USING (node, i)), ip AS (SELECT node, a.i AS a, b.i AS b, a.member AS ma, b.member AS mbb, {T('int', 'node', 'a.i', 'b.i')} < 0.5 AS hit FROM mb a JOIN mb b USING (node) WHERE a.i < b.i),
-ie AS (SELECT ma AS src, mbb AS dst FROM (SELECT *, bool_or(hit) OVER (PARTITION BY node) AS got FROM ip) WHERE hit OR (NOT got AND b = a + 1)),
-re AS (SELECT src, dst FROM l_edges WHERE gid = 0 AND src NOT IN (SELECT node FROM ch WHERE k > 1) AND dst NOT IN (SELECT node FROM ch WHERE k > 1)), al AS (SELECT * FROM re UNION ALL SELECT * FROM oe UNION ALL SELECT * FROM ie)"""
+def split_ctes(gid: int, chosen: str, seed: str = "42", to: str = "") -> str:
+    """CTEs mb (members) and al (edges, one way) of a graph's split nodes, from a select of (node, k); names end with `to`."""
+    t = lambda tag, *keys: T(tag, *keys, seed=seed)
+    return f"""ch{to} AS ({chosen}), nb{to} AS (SELECT node, k, (SELECT n FROM sz) + sum(k - 1) OVER (ORDER BY node) - (k - 1) AS base FROM ch{to}),
+mb{to} AS (SELECT node, k, i, CASE WHEN i = 0 THEN node ELSE base + i - 1 END::BIGINT AS member FROM nb{to}, (SELECT unnest([0, 1, 2])::BIGINT AS i) WHERE i < k),
+ex{to} AS (SELECT c.node, c.k, e.dst AS w FROM ch{to} c JOIN l_edges e ON e.gid = {gid} AND e.src = c.node), ei{to} AS (SELECT node, k, w, i, {t('ext', 'node', 'w', 'i')} < 1.0 / k AS hit FROM ex{to}, (SELECT unnest([0, 1, 2])::BIGINT AS i) WHERE i < k),
+eh{to} AS (SELECT node, w, i FROM ei{to} WHERE hit OR k = 1 UNION ALL SELECT node, w, floor({t('force', 'node', 'w')} * k)::BIGINT FROM ei{to} GROUP BY node, w, k HAVING NOT bool_or(hit OR k = 1)),
+oe{to} AS (SELECT member AS src, w AS dst FROM eh{to} JOIN mb{to} USING (node, i)), ip{to} AS (SELECT node, a.i AS a, b.i AS b, a.member AS ma, b.member AS mbb, {t('int', 'node', 'a.i', 'b.i')} < 0.5 AS hit FROM mb{to} a JOIN mb{to} b USING (node) WHERE a.i < b.i),
+ie{to} AS (SELECT ma AS src, mbb AS dst FROM (SELECT *, bool_or(hit) OVER (PARTITION BY node) AS got FROM ip{to}) WHERE hit OR (NOT got AND b = a + 1)),
+re{to} AS (SELECT src, dst FROM l_edges WHERE gid = {gid} AND src NOT IN (SELECT node FROM ch{to} WHERE k > 1) AND dst NOT IN (SELECT node FROM ch{to} WHERE k > 1)), al{to} AS (SELECT * FROM re{to} UNION ALL SELECT * FROM oe{to} UNION ALL SELECT * FROM ie{to})"""
+
+
+SPLIT = SIZE + ", " + split_ctes(0, "SELECT aid AS node, (aid % 3) + 1 AS k FROM l_anchors WHERE split = 'train'")
 
 
 def split_side(spark, d):
@@ -130,14 +136,37 @@ def f12(spark, d):
     return noise.overlapping(truth, ids, 0.1, totals)
 
 
-@query("f13_many_to_many_benchmark")
+def drawn_factor(kinds: str, side: str) -> str:
+    return f"CASE WHEN kind IN ({kinds}) THEN 2 + floor({T('k_' + side, 'eid')} * 2)::BIGINT ELSE 1 END AS k_{side}"
+
+
+#: A test anchor is the same customer in both graphs, so the greedy pass keeps all.
+MADE = f"""{SIZE}, mi AS (SELECT 'e' || aid AS eid, aid FROM l_anchors WHERE split = 'test'), mq AS (SELECT count(*) AS n FROM mi),
+mk AS (SELECT eid, aid, CASE WHEN r < round_even(0.4 * n, 0) + n - (round_even(0.4 * n, 0) + 3 * round_even(0.2 * n, 0)) THEN '1-1' WHEN r < n - 2 * round_even(0.2 * n, 0) THEN '1-many' WHEN r < n - round_even(0.2 * n, 0) THEN 'many-1' ELSE 'many-many' END AS kind
+FROM (SELECT eid, aid, row_number() OVER (ORDER BY {T('kind', 'eid')}, eid) - 1 AS r FROM mi), mq), mf AS (SELECT *, {drawn_factor("'many-1', 'many-many'", 'src')}, {drawn_factor("'1-many', 'many-many'", 'tgt')} FROM mk),
+{split_ctes(0, 'SELECT aid AS node, k_src AS k FROM mf', '42.0', '_s')}, {split_ctes(1, 'SELECT aid AS node, k_tgt AS k FROM mf', '42.1', '_t')},
+me AS (SELECT eid, 'src' AS side, member AS node FROM mb_s JOIN mf ON aid = node UNION ALL SELECT eid, 'tgt', member FROM mb_t JOIN mf ON aid = node),
+mx AS (SELECT eid, row_number() OVER (ORDER BY eid) - 1 AS eix, count(*) OVER () AS n FROM mi), mp AS (SELECT eid, side, node, row_number() OVER (PARTITION BY side ORDER BY {T('overlap', 'eid', 'node')}, eid, node) AS r FROM me),
+mt AS (SELECT side, round_even(0.05 * count(DISTINCT node), 0) AS t FROM me GROUP BY side), mo AS (SELECT side, node, eix, floor({T('share', 'eid', 'node')} * (n - 1))::BIGINT AS o FROM mp JOIN mt USING (side) JOIN mx USING (eid) WHERE r <= t),
+ma AS (SELECT DISTINCT mx.eid, side, node FROM mo JOIN mx ON mx.eix = CASE WHEN o >= mo.eix THEN o + 1 ELSE o END WHERE (mx.eid, side, node) NOT IN (SELECT (eid, side, node) FROM me))"""
+
+
+@query("f13_many_to_many_benchmark", sql("""SELECT 'kind ' || kind AS what, eid, k_src AS a, k_tgt AS b FROM mf UNION ALL SELECT side, eid, node, NULL FROM (SELECT * FROM me UNION ALL SELECT * FROM ma) UNION ALL SELECT 'added ' || side, eid, node, NULL FROM ma
+UNION ALL SELECT 'edges0', NULL, src, dst FROM (SELECT src, dst FROM al_s UNION SELECT dst, src FROM al_s) UNION ALL SELECT 'edges1', NULL, src, dst FROM (SELECT src, dst FROM al_t UNION SELECT dst, src FROM al_t) UNION ALL SELECT 'train', NULL, aid, aid FROM l_anchors WHERE split = 'train'""", MADE))
 def f13(spark, d):
+    """All rows of the benchmark's tables, one below the other."""
     made = noise.many_to_many(fx.chains(spark, d))
-    kinds = made["kinds"].groupBy("kind").agg(F.count("*").alias("n")).select(F.concat(F.lit("kind "), "kind").alias("what"), "n")
-    rows = made["entities"].groupBy("side").agg(F.count("*").alias("n")).select(F.concat(F.lit("members "), "side").alias("what"), "n")
-    parts = [made[k].agg(F.count("*").alias("n")).select(F.lit(k).alias("what"), "n") for k in ("edges0", "edges1", "added", "train")]
-    out = kinds.union(rows)
-    for p in parts:
+    none = F.lit(None).cast("string")
+    row = lambda t, what, eid, a, b: t.select(what.alias("what"), eid.alias("eid"), a.cast("long").alias("a"), b.cast("long").alias("b"))
+    parts = [
+        row(made["kinds"], F.concat(F.lit("kind "), "kind"), F.col("eid"), F.col("k_src"), F.col("k_tgt")),
+        row(made["entities"], F.col("side"), F.col("eid"), F.col("node"), none),
+        row(made["added"], F.concat(F.lit("added "), "side"), F.col("eid"), F.col("node"), none),
+        *[row(made[k], F.lit(k), none, F.col("src"), F.col("dst")) for k in ("edges0", "edges1")],
+        row(made["train"], F.lit("train"), none, F.col("u"), F.col("v")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
         out = out.union(p)
     return out
 
@@ -152,7 +181,12 @@ def f15(spark, d):
     return sampling.balance(train, test, ["aid"])[0].groupBy("aid").agg(F.count("*").alias("n"))
 
 
-@query("f16_anchor_contexts")
+CONTEXTS = f"""ee AS (SELECT DISTINCT src, dst FROM v_edges WHERE gid = 0), nr AS (SELECT src AS node, dst AS context, count(*) OVER (PARTITION BY src) AS n FROM ee WHERE src IN (SELECT aid FROM v_anchors WHERE split = 'train')),
+dg AS (SELECT src AS context, count(*) AS d FROM ee GROUP BY src), hp AS (SELECT node, context, d::DOUBLE / sum(d) OVER (PARTITION BY node) AS p FROM nr JOIN dg USING (context) WHERE n > 100),
+hc AS (SELECT node, context, p, sum(p) OVER (PARTITION BY node ORDER BY context) AS high FROM hp), hd AS (SELECT node, {T('hub', 'node', 'i')} AS u FROM (SELECT DISTINCT node FROM nr WHERE n > 100), (SELECT unnest(range(1, 101)) AS i))"""
+
+
+@query("f16_anchor_contexts", sql("SELECT node, context FROM nr WHERE n <= 100 UNION ALL SELECT node, context FROM hd JOIN hc USING (node) WHERE high - p <= u AND u < high", CONTEXTS))
 def f16(spark, d):
     net = fx.event_walks(spark, d)
     anchors = net.pairs("train").select(F.col("u").alias("node"))
@@ -165,12 +199,20 @@ def f17(spark, d):
     return sampling.uniform_negatives(fx.chains(spark, d).pairs("train"), n, n, 5)
 
 
-@query("f18_distinct_negatives")
+FLOYD = SIZE + ", d0 AS (SELECT aid AS u, aid AS v, n - 6 AS s, []::BIGINT[] AS taken FROM l_anchors, sz WHERE split = 'train')" + "".join(
+    f", d{j + 1} AS (SELECT u, v, s, list_append(taken, CASE WHEN list_has(taken, p) THEN s + {j} ELSE p END) AS taken FROM (SELECT *, floor({T('dneg', 'u', 'v', str(j))} * (s + 1 + {j}))::BIGINT AS p FROM d{j}))" for j in range(5)
+)
+
+
+@query("f18_distinct_negatives", sql("SELECT u, v, CASE WHEN p >= v THEN p + 1 ELSE p END AS negative FROM (SELECT u, v, unnest(taken) AS p FROM d5)", FLOYD))
 def f18(spark, d):
     return sampling.distinct_negatives(fx.chains(spark, d).pairs("train"), fx.table(spark, d, "customer").count(), 5)
 
 
-@query("f19_non_neighbours")
+FREE = f"""nv AS (SELECT count(*) AS n FROM v_nodes WHERE gid = 0), fd AS (SELECT aid AS node, i, r, floor({U("'42'", "'ctx' || r", "aid::VARCHAR", "i::VARCHAR")} * n)::BIGINT AS negative FROM v_anchors, nv, (SELECT unnest([1, 2, 3, 4, 5]) AS i), (SELECT unnest(range(0, 20)) AS r) WHERE split = 'train')"""
+
+
+@query("f19_non_neighbours", sql("SELECT node, i, arg_min(negative, r) AS negative FROM fd WHERE negative <> node AND (node, negative) NOT IN (SELECT (src, dst) FROM v_edges WHERE gid = 0) GROUP BY node, i", FREE))
 def f19(spark, d):
     net = fx.event_walks(spark, d)
     n = net.nodes.where("gid = 0").count()
@@ -205,7 +247,14 @@ def f22(spark, d):
     return plain_walks(spark, d).select("start", "walk_id", F.array_join(F.transform("path", lambda n: n.cast("string")), ",").alias("path"))
 
 
-@query("f22_biased_walks")
+BIASED = WALKS.partition(", s2 AS")[0] + "".join(
+    f""", s{k} AS (SELECT start, walk_id, list_append(path, o[1 + len(list_filter(range(1, len(o) + 1), lambda i: list_sum(w[1:i]) <= u * list_sum(w)))]) AS path FROM (SELECT s.*, a.o, {T('walk', 's.start', 's.walk_id', str(k))} AS u,
+list_transform(a.o, lambda x: CASE WHEN x = s.path[-2] THEN 2.0::DOUBLE WHEN list_has(b.o, x) THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS w FROM s{k - 1} s JOIN ad a ON a.src = s.path[-1] JOIN ad b ON b.src = s.path[-2]))"""
+    for k in range(2, 6)
+)
+
+
+@query("f22_biased_walks", sql("SELECT start, walk_id, array_to_string(path, ',') AS path FROM s5", BIASED))
 def f22b(spark, d):
     return plain_walks(spark, d, 0.5, 2.0, 6).select("start", "walk_id", F.array_join(F.transform("path", lambda n: n.cast("string")), ",").alias("path"))
 
@@ -215,7 +264,12 @@ def f23(spark, d):
     return sampling.window_pairs(plain_walks(spark, d), fx.chains(spark, d).pairs("train").select(F.col("u").alias("node")))
 
 
-@query("f24_anchored_edges")
+DRAWN = f"""g0 AS (SELECT src, dst, row_number() OVER (ORDER BY src, dst) - 1 AS eid, count(*) OVER () AS n FROM l_edges WHERE gid = 0), tr AS (SELECT aid FROM l_anchors WHERE split = 'train'),
+og AS (SELECT src, list(dst ORDER BY dst) AS o FROM g0 WHERE src IN (SELECT aid FROM tr) GROUP BY src), ig AS (SELECT dst, list(src ORDER BY src) AS p FROM g0 WHERE dst IN (SELECT aid FROM tr) GROUP BY dst),
+dw AS (SELECT id, floor({T('edge', 'id')} * (SELECT max(n) FROM g0))::BIGINT AS eid FROM range(0, (SELECT max(n) FROM g0)) r(id)), dj AS (SELECT id, src, dst, o, p FROM dw JOIN g0 USING (eid) LEFT JOIN og USING (src) LEFT JOIN ig USING (dst))"""
+
+
+@query("f24_anchored_edges", sql(f"SELECT coalesce(o[1 + floor({T('succ', 'id')} * len(o))::INT], src) AS src, coalesce(p[1 + floor({T('pred', 'id')} * len(p))::INT], dst) AS dst, 'replaced' AS kind FROM dj UNION ALL SELECT src, dst, 'original' FROM dj WHERE o IS NOT NULL OR p IS NOT NULL", DRAWN))
 def f24(spark, d):
     net = fx.chains(spark, d)
     return sampling.anchored_edges(net.graph(0), net.pairs("train").select(F.col("u").alias("node")), net.graph(0).count())

@@ -49,7 +49,7 @@ def e4(spark, d):
     return sim.pairwise(*sides(spark, d), sim.split_half((0.4, 0.1, 0.2, 0.3)), rows=64).withColumn("score", F.round(F.col("score") + 1e-10, 7))
 
 
-@query("e5_attribute_mismatches", sql("SELECT n.node, m.node AS landmark, list_sum([(n.x[i] <> m.x[i])::INT for i in range(1, 6)])::BIGINT AS n FROM c_nodes n, c_nodes m WHERE n.gid = 0 AND m.gid = 1 AND m.node < 10"))
+@query("e5_attribute_mismatches", sql("SELECT n.node, m.node AS landmark, list_sum([(n.x[i] <> m.x[i])::INT for i in range(1, 6)])::BIGINT AS n FROM c_nodes n, c_nodes m WHERE n.gid = 0 AND m.gid = 1 AND m.node IN (SELECT node FROM c_nodes WHERE gid = 1 ORDER BY md5('landmark:1:' || node), node LIMIT (SELECT least(count(*), floor(10 * log2(count(*))))::BIGINT FROM customer))"))
 def e5(spark, d):
     nodes = fx.chains(spark, d).nodes
     n = fx.table(spark, d, "customer").count()
@@ -63,10 +63,11 @@ def e7(spark, d):
     return sim.attribute_anchors(*sides(spark, d), 25)
 
 
-@query("c12_isolated_links", sql("SELECT a.node AS src, b.node AS dst, round(1 / (1 + exp(-list_inner_product(a.vec, b.vec))) + 1e-9, 6) AS w FROM e_vec a JOIN e_vec b ON a.gid = 0 AND b.gid = 0 AND a.node <> b.node WHERE a.node % 50 = 0 UNION ALL SELECT b.node, a.node, round(1 / (1 + exp(-list_inner_product(a.vec, b.vec))) + 1e-9, 6) FROM e_vec a JOIN e_vec b ON a.gid = 0 AND b.gid = 0 AND a.node <> b.node WHERE a.node % 50 = 0"))
+@query("c12_isolated_links", sql("SELECT a.node AS src, b.node AS dst, round(1 / (1 + exp(-list_inner_product(a.vec, b.vec))) + 1e-9, 6) AS w FROM e_vec a JOIN e_vec b ON a.gid = 0 AND b.gid = 0 AND a.node <> b.node WHERE a.node NOT IN (SELECT src FROM l_edges WHERE gid = 0) UNION ALL SELECT b.node, a.node, round(1 / (1 + exp(-list_inner_product(a.vec, b.vec))) + 1e-9, 6) FROM e_vec a JOIN e_vec b ON a.gid = 0 AND b.gid = 0 AND a.node <> b.node WHERE a.node NOT IN (SELECT src FROM l_edges WHERE gid = 0)"))
 def c12(spark, d):
     one, _ = sides(spark, d)
-    return sim.isolated_links(one, one.where("node % 50 = 0")).withColumn("w", F.round(F.col("w") + 1e-9, 6))
+    linked = fx.chains(spark, d).graph(0).select(F.col("src").alias("node"))
+    return sim.isolated_links(one, one.join(linked, "node", "left_anti")).withColumn("w", F.round(F.col("w") + 1e-9, 6))
 
 
 class Networks:
@@ -208,7 +209,7 @@ def clusters(spark, d):
     return emb.unionByName(third).select("cluster", "gid", "node", "vec")
 
 
-UNITS = """uv AS (SELECT label, gid, node, [x / sqrt(list_inner_product(vec, vec)) for x in vec] AS e FROM e_vec WHERE node < 120), um AS (SELECT * FROM uv UNION ALL SELECT label, 2, node, e FROM uv WHERE gid = 0 AND node % 3 = 0)"""
+UNITS = """uv AS (SELECT (label + node // 120 * (SELECT max(label) + 1 FROM e_vec))::INT AS label, gid, node, [x / sqrt(list_inner_product(vec, vec)) for x in vec] AS e FROM e_vec), um AS (SELECT * FROM uv UNION ALL SELECT label, 2, node, e FROM uv WHERE gid = 0 AND node % 3 = 0)"""
 FAR = lambda a, b: f"list_distance({a}.e, {b}.e)"
 
 

@@ -120,8 +120,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entities(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """N: (entities(eid, side, node), entity_ids(eid)): customers and suppliers of a nation."""
     eid = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("eid")
-    src = table(spark, sf_dir, "customer").where("c_custkey % 10 = 0")
-    src = src.select(eid("c_nationkey"), F.lit("src").alias("side"), F.col("c_custkey").alias("node"))
+    src = table(spark, sf_dir, "customer").select(eid("c_nationkey"), F.lit("src").alias("side"), F.col("c_custkey").alias("node"))
     tgt = table(spark, sf_dir, "supplier").select(eid("s_nationkey"), F.lit("tgt").alias("side"), F.col("s_suppkey").alias("node"))
     return src.unionByName(tgt), table(spark, sf_dir, "nation").select(eid("n_nationkey"))
 
@@ -172,7 +171,7 @@ v_edges AS (SELECT gid, src, dst, 1.0::DOUBLE AS w FROM v_next WHERE dst IS NOT
 v_nodes AS (SELECT DISTINCT g.gid, user_id AS node FROM events, (SELECT unnest([0, 1])::INT AS gid) g),
 v_anchors AS (SELECT src AS aid, CASE WHEN {_u("'42'", "'split'", "src::VARCHAR")} < 0.2 THEN 'train' ELSE 'test' END AS split FROM (SELECT DISTINCT gid, src FROM v_edges) GROUP BY src HAVING count(*) = 2),
 e_vec AS (SELECT (vec_id % 2)::INT AS gid, vec_id // 2 AS node, embedding::DOUBLE[] AS vec, label FROM embeddings),
-n_truth AS (SELECT 'n' || c_nationkey AS eid, 'src' AS side, c_custkey AS node FROM customer WHERE c_custkey % 10 = 0 UNION ALL SELECT 'n' || s_nationkey, 'tgt', s_suppkey FROM supplier),
+n_truth AS (SELECT 'n' || c_nationkey AS eid, 'src' AS side, c_custkey AS node FROM customer UNION ALL SELECT 'n' || s_nationkey, 'tgt', s_suppkey FROM supplier),
 n_ids AS (SELECT 'n' || n_nationkey AS eid FROM nation),
 n_mod AS (SELECT count(*) AS m FROM supplier),
 k_truth AS (SELECT 'c' || (c_custkey // 3) AS eid, 'src' AS side, c_custkey AS node FROM customer UNION ALL SELECT 'c' || (o_custkey // 3), 'tgt', o_orderkey FROM orders),

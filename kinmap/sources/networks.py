@@ -80,11 +80,17 @@ def write_sweep(rows: DataFrame, folder: str) -> None:
     rows.orderBy("error_rate").coalesce(1).write.mode("overwrite").option("header", True).csv(folder)
 
 
+def write_runs(rows: DataFrame, facts: list[str], folder: str, rows_per_file: int = 1_000_000) -> None:
+    """Training logs as CSV with a header, one folder a run by its facts; lines that start with # stay as they are."""
+    dealt = rows.repartition(*facts)
+    dealt.write.partitionBy(*facts).option("header", True).option("comment", "\u0001").option("maxRecordsPerFile", rows_per_file).csv(folder)
+
+
 def read_runs(spark: SparkSession, glob: str) -> DataFrame:
-    """Training logs; algorithm, attributes, dataset, ratio and seed come from the path, # lines are comments."""
+    """Training logs; algorithm, attributes, dataset, ratio and seed come from the path (as `x` or `name=x`), # lines are comments."""
     schema = ", ".join(f"`{name}` {kind}" for name, _, kind in RUN_COLUMNS)
     rows = spark.read.option("header", True).option("comment", "#").option("recursiveFileLookup", True).schema(schema).csv(glob)
-    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/(attr|plain)/([^/]+)/([0-9.]+)/seed_([0-9]+)/", k)
+    part = lambda k: F.regexp_extract(F.col("_metadata.file_path"), r"([^/=]+)/(?:[^/=]+=)?(attr|plain)/(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([0-9.]+)/(?:[^/=]+=)?seed_([0-9]+)/", k)
     facts = [part(1).alias("algo"), (part(2) == "attr").alias("use_attr"), part(3).alias("dataset"), part(4).cast("double").alias("train_ratio"), part(5).cast("int").alias("seed")]
     return rows.select(*facts, *[F.col(f"`{name}`").alias(alias) for name, alias, _ in RUN_COLUMNS])
 

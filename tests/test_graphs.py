@@ -1,5 +1,7 @@
 """Graph operators on small graphs: merging, validation, propagation and alignment against dense formulas."""
 
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -158,3 +160,61 @@ def test_proximal_point_is_the_dense_solver(spark):
             b = -lam * np.log((np.exp(-(q - a) / lam) / n2).sum(1, keepdims=True))
         s = 0.05 * s + 0.95 * np.exp((a + b - q) / lam) / (n1 * n2)
     assert np.allclose(dense([(r.u, r.v, r.value) for r in got.collect()], n1, n2), s)
+
+
+def test_multi_marginal_plan_against_loops():
+    """Losses and margins of three graphs by plain loops, and that the plan beats the even one."""
+    rng = np.random.default_rng(3)
+    shape = (3, 4, 2)
+    cross, costs = rng.random(shape), [rng.random((n, n)) for n in shape]
+    even = np.full(shape, 1 / np.prod(shape))
+    plan = rng.random(shape)
+    plan /= plan.sum()
+    want = np.zeros(shape)
+    for at in itertools.product(*map(range, shape)):
+        for other in itertools.product(*map(range, shape)):
+            for i, j in itertools.combinations(range(3), 2):
+                gap = costs[i][at[i], other[i]] ** 2 + costs[j][at[j], other[j]] ** 2 - 2 * costs[i][at[i], other[i]] * costs[j][at[j], other[j]]
+                want[at] += gap * plan[other]
+    assert np.allclose(ot.pair_losses(plan, costs), want)
+
+    found = ot.proximal_plan(cross, costs, 0.5, 0.1, 50, 200, 1e-9)
+    for k, n in enumerate(shape):
+        assert np.allclose(found.sum(axis=tuple(i for i in range(3) if i != k)), 1 / n, atol=1e-6)
+    value = lambda p: float(((0.5 * cross + 0.25 * ot.pair_losses(p, costs)) * p).sum())
+    assert value(found) < value(even) - 1e-3
+
+
+def test_consistency_to_tolerance_and_pruned(spark):
+    rng = np.random.default_rng(5)
+    graphs = [{(int(a), int(b)) for a, b in rng.integers(0, 8, (20, 2)) if a != b} for _ in range(2)]
+    graphs = [g | {(b, a) for a, b in g} for g in graphs]
+    frames = [spark.createDataFrame([(0, a, b, 1.0) for a, b in sorted(g)], "gid int, src long, dst long, w double") for g in graphs]
+    anchors = spark.createDataFrame([(1, 2), (3, 3)], "u long, v long")
+    w = [np.zeros((8, 8)), np.zeros((8, 8))]
+    for m, g in zip(w, graphs):
+        for a, b in g:
+            m[a, b] = 1
+        m /= np.maximum(m.sum(0), 1)
+    h = np.zeros((8, 8))
+    h[1, 2] = h[3, 3] = 1
+    s = h.copy()
+    for _ in range(200):
+        s = 0.4 * w[0] @ s @ w[1].T + 0.6 * h
+    got = np.zeros((8, 8))
+    for r in align.consistency(*frames, anchors).collect():
+        got[r.u, r.v] = r.score
+    assert np.abs(got - s).max() < 1e-9
+    few = align.consistency(*frames, anchors, top_k=2).collect()
+    assert max(sum(r.u == u for r in few) for u in range(8)) <= 2
+    floor = align.consistency(*frames, anchors, min_score=0.05).collect()
+    assert all(r.score >= 0.05 for r in floor)
+    with pytest.raises(MemoryError):
+        align.consistency(*frames, anchors, most_pairs=3)
+
+
+def test_running_sums_over_parts(spark):
+    rows = [(k % 2, k, (7 * k) % 5) for k in range(40)]
+    frame = spark.createDataFrame(rows, "g int, k long, n long")
+    got = {(r.g, r.k): r.s for r in graph.running(frame, ["g"], ["k"], "n", "s", per_part=6).collect()}
+    assert got == {(g, k): sum(n for h, i, n in rows if h == g and i < k) for g, k, _ in rows}
