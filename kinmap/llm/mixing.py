@@ -3,15 +3,17 @@
 Every source is a queue of its documents in shuffled order, served again from the
 start when it runs out (at most `repeats` rounds). A document's virtual finish
 time is the tokens that its source has sent by its end, divided by the source's
-target. All queues together have spent the total budget at virtual time 1, so the
-order by virtual time over all sources is cut there; a document is in when its
-middle comes before the cut, which keeps every source within half a document of
-its target. `in_order` range-sorts the mix by virtual time.
+target. Served copies are range-sorted by that time over all sources, and the order
+is cut where its running total comes nearest to the total budget: a copy is in
+when the budget reaches its middle. So the total misses the budget by half a
+document at most, and a source misses its target by about the longest documents.
 
 The shuffled order is that of md5(seed, doc_id). Running sums are built in two
 levels: documents are dealt into slices of the order, slices are summed before
 anything is ordered, and only slice totals are put in sequence. So a source that
 holds most of the rows is spread over as many slices as any other share of rows.
+The global order is dealt to range partitions in the same way: whole partitions are
+before or behind the cut, and only the one that it lies in is looked at row by row.
 
 Defined results: null text has size 0; documents of size 0 are never taken more
 than size 0; a null source is a source of its own, after all others; rows that
@@ -99,17 +101,32 @@ def served(
         F.explode(F.array(*map(F.lit, range(repeats)))).alias("round"),
     )
     finish = (F.col("sent") + F.col("source_size") * F.col("round") + F.col("size")) / F.col("target")
-    copies = copies.withColumn("time", finish - F.col("size") / (2 * F.col("target")))
-
-    # At virtual time t every queue has sent t of its target, and so the total budget is spent at time 1:
-    # there the sorted order is cut.
-    kept = copies.where(F.col("time") <= 1.0)
+    budget = targets.agg(F.sum("source_size") * share).first()[0] or 0.0
+    kept = within_budget(copies.withColumn("time", finish), budget, max(1, -(-rows * repeats // (16 * rows_per_slice))))
     return queued.select("doc_id", "source", "size", "source_size", "target"), kept
 
 
+def within_budget(copies: DataFrame, budget: float, parts: int) -> DataFrame:
+    """The first copies in the order of virtual time, over all sources, until the budget is spent."""
+    order = ("time", "place", "doc_id", "round", "size")
+    dealt = copies.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+    dealt = checkpointed(dealt)
+    until = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
+    sums = dealt.groupBy("part").agg(F.sum("size").alias("in_part"))
+    sums = sums.select("part", "in_part", F.coalesce(F.sum("in_part").over(until), F.lit(0)).alias("before")).where(F.col("before") <= F.lit(budget))
+    placed = dealt.join(F.broadcast(sums), "part")  # a row a partition
+    whole = placed.where(F.col("before") + F.col("in_part") <= F.lit(budget))
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    cut = placed.where(F.col("before") + F.col("in_part") > F.lit(budget))
+    cut = cut.withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    cut = cut.where(F.col("ahead") + F.col("size") / 2 <= F.lit(budget)).drop("ahead")
+    return whole.unionByName(cut).drop("part", "in_part", "before")
+
+
 def in_order(kept: DataFrame) -> DataFrame:
-    """The served copies in the order of the mix."""
-    return kept.repartitionByRange("time", "doc_id", "round").sortWithinPartitions("time", "place", "doc_id", "round", "size")
+    """The served copies sorted in the order of the mix, over all partitions."""
+    order = ("time", "place", "doc_id", "round", "size")
+    return kept.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
@@ -152,8 +169,9 @@ l AS (SELECT arg_min(level, nth) AS level FROM f WHERE level * w < cap),
 t AS (SELECT source, ss, least(cap, coalesce((SELECT level FROM l) * w, cap)) AS target FROM f),
 q AS (SELECT d.*, ss, target, sum(size) OVER (PARTITION BY d.source ORDER BY place, doc_id, size) AS upto
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-c AS (SELECT doc_id, size, place, round, (upto + round * ss) / target - size / (2 * target) AS time
-    FROM q, (SELECT unnest(range({REPEATS})) AS round)),
-k AS (SELECT doc_id, count(*) AS times FROM c WHERE time <= 1.0 GROUP BY doc_id)
+c AS (SELECT doc_id, size, place, round, (upto + round * ss) / target AS time
+    FROM q, (SELECT unnest(range({REPEATS})) AS round) WHERE target > 0),
+r AS (SELECT *, sum(size) OVER (ORDER BY time, place, doc_id, round, size ROWS UNBOUNDED PRECEDING) AS running FROM c),
+k AS (SELECT doc_id, count(*) AS times FROM r WHERE running - size / 2 <= {SHARE} * (SELECT sum(ss) FROM s) GROUP BY doc_id)
 SELECT doc_id, size, ss::BIGINT AS source_size, target, (size * coalesce(times, 0))::BIGINT AS taken FROM q LEFT JOIN k USING (doc_id)
 """
