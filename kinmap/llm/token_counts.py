@@ -2,8 +2,10 @@
 
 Two deterministic transducers are compiled from the tokenizer's file:
 
-* the splitter works on character classes (letter, number, white space, other)
-  and marks where a piece of text starts that is tokenized by itself;
+* the splitter works on character classes (letter, number, white space, other),
+  which are taken from the tokenizer's own splitting of every code point, and marks
+  where a piece of text starts that is tokenized by itself. A mark depends on a few
+  characters around it;
 * the counter works on the bytes of a piece. Its state is what the tokenizer's
   merges can still change: the longest suffix that begins some token, and for
   each place in it the last token of the best tokenization that ends there, with
@@ -11,37 +13,43 @@ Two deterministic transducers are compiled from the tokenizer's file:
   so the sum over a piece is its number of tokens. States and transitions are
   compiled when first met and kept by the worker.
 
-White space after anything else always starts a piece whatever came before, so
-there the splitter's state is known. Long texts are cut into chunks and each
-chunk gets its state map: the bytes before its first such place, which depend on
-the state it is entered with, the count between its first and last such place,
-which doesn't, and the bytes after, which decide the state it leaves. Maps of
-neighbours compose to a map (`compose`), associatively, and a scan over a
-document's chunks gives its count.
-
-Defined results: null is the empty text with 0 bytes and 0 tokens; the special
-string counts as one token wherever it stands; repeated rows are counted each;
-extra columns are ignored.
+Long texts are cut into chunks, each a row of its own with some characters before
+and after it. A chunk's state map says in which state it is entered, in which it is
+left and how many tokens it emits between. Where the piece at its border starts
+among the characters before it, or no piece hangs over the border, the entering
+state is certain. Else it is the one that a run over these characters gives, and
+the map holds if the chunk before leaves that state: maps compose where their
+states meet. A scan over the chunks' maps, which hold states and counts and no
+text, checks that and adds the counts up; chunks that were entered in another state
+are mapped anew from it, until all maps meet.
+
+Defined results: null is the empty text with 0 bytes and 0 tokens; special
+strings count as one token wherever they stand; repeated rows are counted each;
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmap.llm.text import blocks, bounded, span_hashes
+from kinmap.llm.text import PAD, blocks, bounded, span_hashes, tidy
+from kinmap.session import checkpointed
 
 TOKENIZER = "byte_bpe_50k.json"
 LIMIT = 1024
-CHUNK_CHARS = 1 << 18
+CHUNK_CHARS = 1 << 16
+#: Characters that a chunk takes along on each side; a mark between pieces depends on less than SURE of them.
+CONTEXT, SURE = 64, 8
+LONG_SPAN = 2048
 CACHE_STATES = 400_000
 
 LETTER, NUMBER, SPACE, BLANK, OTHER = range(5)  # BLANK is U+0020, SPACE all other white space
@@ -60,28 +68,64 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-@lru_cache(maxsize=1)
-def character_classes() -> np.ndarray:
-    """Class of every code point."""
-    every = [chr(c) for c in range(0x110000)]
-    out = np.full(0x110000, OTHER, np.uint8)
+@lru_cache(maxsize=2)
+def class_ranges(path: str) -> tuple[bytes, bytes]:
+    """Where runs of code points of one class start, and their classes, as the tokenizer's own splitter has them.
+
+    The classes of another Unicode version are the first guess. The splitter keeps a
+    run of one class together, so it is asked to split all characters of a guessed
+    class in a row, and asked again for the pieces that this falls into.
+    """
+    from tokenizers import Tokenizer
+
+    split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    kinds = np.full(0x110000, OTHER, np.uint8)
     for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
-        matcher = regex.compile(pattern)
-        out[[c for c, x in enumerate(every) if not 0xD800 <= c < 0xE000 and matcher.match(x)]] = kind
-    out[0x20] = BLANK
-    return out
+        kinds[[ord(c) for c in regex.findall(pattern, "".join(map(chr, points)))]] = kind
+
+    def asked(c: str) -> int:
+        """A character is of the class whose runs it carries on."""
+        for kind, mark in ((LETTER, "a"), (NUMBER, "1"), (OTHER, "!")):
+            if len(split(mark + c)) == 1:
+                return kind
+        return SPACE
+
+    for kind in (LETTER, NUMBER, SPACE, OTHER):
+        row = "".join(chr(c) for c in points if kinds[c] == kind)
+        pieces = split(row)
+        for _, (start, end) in pieces if len(pieces) > 1 else ():
+            ends = {asked(row[k]) for k in (start, end - 1)}
+            for c in row[start:end]:  # a piece is of one class, but for a blank before it or a contraction
+                kinds[ord(c)] = min(ends) if len(ends) == 1 else asked(c)
+    kinds[0x20] = BLANK
+    start = np.flatnonzero(np.diff(kinds, prepend=255))
+    return start.astype("<u4").tobytes(), kinds[start].tobytes()
+
+
+@lru_cache(maxsize=2)
+def character_classes(ranges: tuple[bytes, bytes]) -> np.ndarray:
+    """Class of every code point."""
+    start = np.frombuffer(ranges[0], "<u4").astype(np.int64)
+    return np.repeat(np.frombuffer(ranges[1], np.uint8), np.diff(np.append(start, 0x110000)))
 
 
 class Counter:
     """The counting transducer of a byte-level BPE vocabulary."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ranges: tuple[bytes, bytes]):
+        self.classes = character_classes(ranges)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         letters = byte_alphabet()
         raw = lambda s: bytes(letters[c] for c in s)
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
-        self.special = [a["content"] for a in spec.get("added_tokens", [])]
+        # Of special strings that start at the same place the longest counts.
+        special = sorted((a["content"] for a in spec.get("added_tokens", [])), key=len, reverse=True)
+        self.special = special
+        self.specials = re.compile("|".join(map(re.escape, special))) if special else None
+        #: Beyond so many characters from where a text is cut, marks between pieces are certain.
+        self.sure = SURE + max(map(len, special), default=0)
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(merges)}
         self.made: dict[bytes, tuple[int, bytes, bytes]] = {}
         for (a, b), k in self.rank.items():
@@ -95,6 +139,7 @@ class Counter:
         start = (b"", ((None, 0),))
         self.ids, self.states = {start: 0}, [start]
         self.keys, self.values = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.moves: dict[int, int] = {}
 
     def spine(self, token: bytes, side: int) -> list[tuple[bytes, float]]:
         """The token's outermost parts on one side, each with the rank at which it is consumed."""
@@ -149,7 +194,13 @@ class Counter:
         order = np.argsort(starts - ends, kind="stable")  # longest first: the active spans are a prefix
         starts, lengths = starts[order], (ends - starts)[order]
         state, count = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        longest = int(lengths[0]) if len(lengths) else 0
+        # The few spans that are longer than the others by far are not worth a vector's step a byte.
+        alone = int(np.searchsorted(-lengths, -LONG_SPAN, "left"))
+        for k in range(alone):
+            state[k], count[k] = self.run(padded[starts[k] : starts[k] + lengths[k]].tobytes())
+        longest = int(lengths[alone]) if alone < len(lengths) else 0
+        starts, lengths, order_of_rest = starts[alone:], lengths[alone:], slice(alone, None)
+        state, among = state[order_of_rest], count[order_of_rest]
         for k in range(longest):
             live = int(np.searchsorted(-lengths, -k, "left"))
             key = state[:live] << 8 | padded[starts[:live] + k]
@@ -160,11 +211,40 @@ class Counter:
                 place = np.searchsorted(self.keys, key)
             value = self.values[place]
             state[:live] = value >> 8
-            count[:live] += (value & 255) - 128
+            among[:live] += (value & 255) - 128
         out = np.empty_like(count)
         out[order] = count
         return out
 
+    def run(self, data: bytes, state: int = 0) -> tuple[int, int]:
+        """The state after the bytes, from a state on, and the tokens they add."""
+        count = 0
+        for byte in data:
+            key = state << 8 | byte
+            value = self.moves.get(key)
+            if value is None:
+                place = np.searchsorted(self.keys, key)
+                if place == len(self.keys) or self.keys[place] != key:
+                    self.compile(np.array([key]))
+                    place = np.searchsorted(self.keys, key)
+                value = self.moves[key] = int(self.values[place])
+            state = value >> 8
+            count += (value & 255) - 128
+        return state, count
+
+    def named(self, state: int) -> str:
+        """A state as text that every worker understands."""
+        suffix, ends = self.states[state]
+        return json.dumps([suffix.hex(), [[None if t is None else t.hex(), n] for t, n in ends]])
+
+    def numbered(self, name: str) -> int:
+        suffix, ends = json.loads(name)
+        state = bytes.fromhex(suffix), tuple((None if t is None else bytes.fromhex(t), n) for t, n in ends)
+        at = self.ids.setdefault(state, len(self.states))
+        if at == len(self.states):
+            self.states.append(state)
+        return at
+
     def compile(self, keys: np.ndarray) -> None:
         values = []
         for key in keys.tolist():
@@ -179,28 +259,28 @@ class Counter:
 
 
 @lru_cache(maxsize=2)
-def counter(path: str) -> Counter:
-    return Counter(path)
+def counter(path: str, ranges: tuple[bytes, bytes]) -> Counter:
+    return Counter(path, ranges)
 
 
-def code_points(padded: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+def code_points(padded: np.ndarray, size: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Byte position and class of each character of valid UTF-8."""
     data = padded[:size]
     at = np.flatnonzero((data & 0xC0) != 0x80)
     lead = padded[at].astype(np.int32)
     if size and data.max() < 0x80:
-        return at, character_classes()[lead]
+        return at, classes[lead]
     b1, b2, b3 = (padded[at + k].astype(np.int32) & 0x3F for k in (1, 2, 3))
     point = np.where(lead < 0x80, lead, (lead & 0x1F) << 6 | b1)
     point = np.where(lead >= 0xE0, (lead & 0x0F) << 12 | b1 << 6 | b2, point)
     point = np.where(lead >= 0xF0, (lead & 0x07) << 18 | b1 << 12 | b2 << 6 | b3, point)
-    return at, character_classes()[point]
+    return at, classes[point]
 
 
-def piece_starts(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def piece_starts(padded: np.ndarray, offsets: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts, ends and rows of the pieces of the rows."""
     size = int(offsets[-1])
-    at, kind = code_points(padded, size)
+    at, kind = code_points(padded, size, classes)
     n = len(at)
     if not n:
         return at, at, at
@@ -236,12 +316,11 @@ def piece_starts(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def counted_rows(texts: pa.Array, path: str) -> np.ndarray:
-    """Number of tokens of each text."""
-    machine = counter(path)
+def counted_rows(texts: pa.Array, machine: Counter) -> np.ndarray:
+    """Number of tokens of each text without special strings."""
     out = np.zeros(len(texts), np.int64)
     for row, last, padded, offsets in blocks(texts):
-        starts, ends, rows = piece_starts(padded, offsets)
+        starts, ends, rows = piece_starts(padded, offsets, machine.classes)
         if not len(starts):
             continue
         _, index, inverse = np.unique(span_hashes(padded, starts, ends), return_index=True, return_inverse=True)
@@ -250,115 +329,139 @@ def counted_rows(texts: pa.Array, path: str) -> np.ndarray:
     return out
 
 
-def count_texts(texts: pa.Array, path: str) -> np.ndarray:
+def count_texts(texts: pa.Array, machine: Counter) -> np.ndarray:
     """As counted_rows, with special strings taken out first, which count as one token each."""
     texts = texts.cast(pa.large_string()).fill_null("")
-    out = counted_plain = None
-    for special in counter(path).special:
-        held = np.flatnonzero(pa.compute.match_substring(texts, special).to_numpy(zero_copy_only=False))
-        if len(held):
-            out = np.zeros(len(texts), np.int64)
-            for k in held.tolist():
-                parts = texts[k].as_py().split(special)
-                out[k] = len(parts) - 1 + int(counted_rows(pa.array(parts, pa.large_string()), path).sum())
-            keep = np.ones(len(texts), bool)
-            keep[held] = False
-            plain = pa.compute.if_else(pa.array(keep), texts, pa.scalar("", pa.large_string()))
-            counted_plain = counted_rows(plain, path)
-            return out + counted_plain
-    return counted_rows(texts, path)
-
-
-SYNC = regex.compile(r"(?<=\S)(?=\s)")
-
-
-def chunk_map(text: str, special: list[str], path: str) -> tuple[str, bool, int, str]:
-    """(bytes before the first known state, whether there is one, tokens between, bytes after the last).
-
-    A known state is white space after something else. A special string could hang
-    over a chunk's border, but it holds no white space, so it is whole in what joins.
+    held = np.zeros(len(texts), bool)
+    for special in machine.special:
+        held |= pa.compute.match_substring(texts, special).to_numpy(zero_copy_only=False)
+    if not held.any():
+        return counted_rows(texts, machine)
+    rest = pa.compute.if_else(pa.array(held), pa.scalar("", pa.large_string()), texts)
+    out = counted_rows(rest, machine)
+    for k in np.flatnonzero(held).tolist():
+        parts = machine.specials.split(texts[k].as_py())
+        out[k] = len(parts) - 1 + int(counted_rows(pa.array(parts, pa.large_string()), machine).sum())
+    return out
+
+
+def chunk_map(machine: Counter, before: str, text: str, after: str, whole: bool, entered: str | None) -> tuple[str | None, str | None, int]:
+    """(state in which the chunk is entered, state in which it is left, tokens that it emits).
+
+    The first is null where it is certain; the second where a piece ends with the
+    chunk. `before` reaches the text's start if `whole`. `entered` is the state to
+    enter in, if it is known.
     """
-    first = SYNC.search(text)
-    if first is None:
-        return text, False, 0, ""
-    last = first.start()
-    for m in SYNC.finditer(text, max(first.start(), len(text) - 4096)):
-        last = m.start()
-    if last == first.start():
-        for m in SYNC.finditer(text, first.start()):
-            last = m.start()
-    middle = text[first.start() : last]
-    return text[: first.start()], True, int(count_texts(pa.array([middle]), path)[0]), text[last:]
-
-
-def compose(a: tuple, b: tuple, path: str) -> tuple:
-    """The state map of two neighbours; associative."""
-    if not a[1] and not b[1]:
-        return a[0] + b[0], False, 0, ""
-    if not a[1]:
-        # What follows a's end may begin with the white space that makes the state known.
-        joined = a[0] + b[0]
-        if a[0] and not a[0][-1].isspace() and not b[0]:
-            return joined, True, b[2], b[3]
-        return joined, True, b[2], b[3]
-    if not b[1]:
-        return a[0], True, a[2], a[3] + b[0]
-    return a[0], True, a[2] + int(count_texts(pa.array([a[3] + b[0]]), path)[0]) + b[2], b[3]
-
-
-def scanned(maps: list[tuple], path: str) -> int:
-    """The count of a whole text from its chunks' maps, composed in pairs."""
-    while len(maps) > 1:
-        maps = [compose(*maps[k : k + 2], path) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
-    head, _, middle, tail = maps[0]
-    return middle + int(count_texts(pa.array([head, tail]), path).sum())
-
-
-def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    here = before + text + after
+    low = len(before.encode())
+    high = low + len(text.encode())
+    cuts, at = [], 0  # parts of the text between special strings, by bytes
+    n = 0
+    for m in machine.specials.finditer(here) if machine.specials else ():
+        start = len(here[: m.start()].encode())
+        cuts.append((at, start))
+        at = start + len(m.group().encode())
+        n += low <= start < high
+    data = here.encode()
+    cuts.append((at, len(data)))
+    padded = np.zeros(len(data) + PAD, np.uint8)
+    padded[: len(data)] = np.frombuffer(data, np.uint8)
+    entry = left = None
+    for a, b in cuts:
+        if b <= low or a >= high or a == b:
+            continue
+        part = np.zeros(b - a + PAD, np.uint8)
+        part[: b - a] = padded[a:b]
+        starts, ends, _ = piece_starts(part, np.array([0, b - a]), machine.classes)
+        starts, ends = starts + a, ends + a
+        inside = (starts >= low) & (ends <= high)
+        n += int(machine.counts(padded, starts[inside], ends[inside]).sum())
+        for s, e in zip(starts[~inside].tolist(), ends[~inside].tolist()):
+            if e <= low or s >= high:
+                continue
+            state = 0
+            if s < low:
+                # A piece that seems to start with the characters before may start earlier.
+                certain = whole or a > 0 or np.count_nonzero((padded[:s] & 0xC0) != 0x80) >= machine.sure
+                state, _ = machine.run(data[s:low])
+                if not certain:
+                    state = machine.numbered(entered) if entered else state
+                    entry = machine.named(state)
+            state, more = machine.run(data[max(s, low) : min(e, high)], state)
+            n += more
+            if e > high:
+                left = machine.named(state)
+    return entry, left, n
+
+
+KEYS = ["doc_id", "n_bytes", "digest"]
+
+
+def counted_long(long: DataFrame, path: str, ranges: tuple[bytes, bytes], chunk_chars: int, context: int) -> DataFrame:
+    """(doc_id, n_bytes, n_tokens) of long texts, chunk by chunk."""
+    rows = long.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("digest"), "text", "chars")
+    start = F.col("chunk") * chunk_chars
+    reach = F.least(start, F.lit(context))
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("chars") - 1) / chunk_chars).cast("int")))).select(
+        *KEYS,
+        "chunk",
+        F.substring("text", start - reach + 1, reach).alias("before"),
+        F.substring("text", start + 1, F.lit(chunk_chars)).alias("text"),
+        F.substring("text", start + chunk_chars + 1, F.lit(context)).alias("after"),
+        (start <= context).alias("whole"),
+    )
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = counter(path, ranges)
+        for batch in batches:
+            given = zip(*(batch.column(c).to_pylist() for c in ("before", "text", "after", "whole", "entered")))
+            maps = [chunk_map(machine, *g) for g in given]
+            entry, left, n = zip(*maps) if maps else ((), (), ())
+            arrays = [pa.array(list(entry), pa.string()), pa.array(list(left), pa.string()), pa.array(list(n), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in (*KEYS, "chunk")], *arrays], [*KEYS, "chunk", "entry", "left", "n"])
+
+    schema = "doc_id long, n_bytes long, digest string, chunk int, entry string, left string, n long"
+    maps = chunks.withColumn("entered", F.lit(None).cast("string")).mapInArrow(tidy(mapped), schema)
+    # Equal rows of one id have equal maps; how often they stand is told by their first chunks.
+    maps = checkpointed(maps.groupBy(*KEYS, "chunk", "entry", "left", "n").agg(F.count("*").alias("copies")))
+    by_text = Window.partitionBy(*KEYS).orderBy("chunk")
+    while True:
+        met = maps.withColumn("prior", F.lag("left").over(by_text))
+        wrong = met.where("entry <> prior").select(*[F.col(c).alias(f"w_{c}") for c in (*KEYS, "chunk")], F.col("prior").alias("entered"))
+        wrong = checkpointed(wrong)
+        if wrong.isEmpty():
+            break
+        same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"w_{c}")) for c in (*KEYS, "chunk")])
+        again = chunks.join(wrong, same).drop(*[f"w_{c}" for c in (*KEYS, "chunk")])
+        again = again.mapInArrow(tidy(mapped), schema).groupBy(*KEYS, "chunk", "entry", "left", "n").agg(F.count("*").alias("copies"))
+        maps = checkpointed(maps.join(wrong.drop("entered"), same, "left_anti").unionByName(again))
+    totals = maps.groupBy(*KEYS).agg(F.sum("n").alias("n_tokens"), F.max("copies").alias("copies"))
+    each = F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy")
+    return totals.select("doc_id", "n_bytes", "n_tokens", each).drop("copy")
+
+
+def token_counts(docs: DataFrame, path: str | None = None, limit: int = LIMIT, chunk_chars: int = CHUNK_CHARS, context: int = CONTEXT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of every row."""
     path = path or default_path()
+    ranges = class_ranges(path)
+    machine = counter(path, ranges)
+    if context < machine.sure:
+        raise ValueError(f"a chunk needs {machine.sure} characters before and after it at least")
+    if any(a.endswith(b[:k]) for a in machine.special for b in machine.special for k in range(1, len(b))):
+        chunk_chars = (1 << 31) - 1  # special strings that can overlap need all of a text
     text = F.coalesce("text", F.lit(""))
     rows = bounded(docs).select("doc_id", text.alias("text"), F.length(text).alias("chars"))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = counter(path, ranges)  # the worker's own
         for batch in batches:
-            counts = count_texts(batch.column("text"), path)
+            counts = count_texts(batch.column("text"), machine)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(counts)], ["doc_id", "n_bytes", "n_tokens"])
 
-    schema = "doc_id long, n_bytes long, n_tokens long"
     n_bytes = F.octet_length("text").cast("long").alias("n_bytes")
-    few = rows.where(F.col("chars") <= chunk_chars).select("doc_id", n_bytes, "text").mapInArrow(short, schema)
-
-    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        special = counter(path).special
-        for batch in batches:
-            maps = [chunk_map(t, special, path) for t in batch.column("text").to_pylist()]
-            table = dict(zip(("head", "known", "middle", "tail"), zip(*maps))) if maps else {}
-            arrays = [pa.array(list(table.get(c, [])), t) for c, t in (("head", pa.string()), ("known", pa.bool_()), ("middle", pa.int64()), ("tail", pa.string()))]
-            kept = [batch.column(c) for c in ("doc_id", "n_bytes", "digest", "chunk")]
-            yield pa.RecordBatch.from_arrays([*kept, *arrays], ["doc_id", "n_bytes", "digest", "chunk", "head", "known", "middle", "tail"])
-
-    def whole(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        copies = int((group.chunk == 0).sum())
-        group = group.drop_duplicates("chunk").sort_values("chunk")
-        maps = list(zip(group["head"], group["known"], group["middle"], group["tail"]))
-        return pd.DataFrame({"doc_id": [key[0]] * copies, "n_bytes": key[1], "n_tokens": scanned(maps, path)})
-
-    long = rows.where(F.col("chars") > chunk_chars)
-    chunks = long.select(
-        "doc_id",
-        n_bytes,
-        F.md5("text").alias("digest"),
-        "text",
-        F.explode(F.sequence(F.lit(0), ((F.col("chars") - 1) / chunk_chars).cast("int"))).alias("chunk"),
-    )
-    piece = F.substring("text", F.col("chunk") * chunk_chars + 1, F.lit(chunk_chars))
-    chunks = chunks.select("doc_id", "n_bytes", "digest", "chunk", piece.alias("text"))
-    maps = chunks.mapInArrow(
-        mapped,
-        "doc_id long, n_bytes long, digest string, chunk int, head string, known boolean, middle long, tail string",
-    )
-    many = maps.groupBy("doc_id", "n_bytes", "digest").applyInPandas(whole, schema)
+    few = rows.where(F.col("chars") <= chunk_chars).select("doc_id", n_bytes, "text")
+    few = few.mapInArrow(tidy(short), "doc_id long, n_bytes long, n_tokens long")
+    many = counted_long(rows.where(F.col("chars") > chunk_chars), path, ranges, chunk_chars, context)
     return few.unionByName(many).select("*", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
