@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,16 +29,25 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", **c
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names, which all machines share.
 
-    Only where the setting is absent (tests, one machine) a temporary folder
-    takes its place.
+    Only in a local session without the setting (tests) a temporary folder takes
+    its place.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage by a compressed table in the shared folder."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
