@@ -3,19 +3,25 @@
 A paragraph (line) is hashed to a wide vector and the vectors of a text are
 summed, every lane modulo a power of two. Sums do not depend on the order of the
 paragraphs, and a paragraph is inserted or deleted by adding or subtracting its
-vector (`combined`). The vector has two parts:
+vector (`combined`). The vector has three parts:
 
 * 8 exact lanes of 28 bits from sha-256 of the paragraph, summed modulo 2**32;
 * 120 likeness lanes of one bit from md5 of each clause of the paragraph (split
-  at punctuation), summed modulo 2**16 in the fingerprint. Counted from their
-  middle, two such sums have about the cosine of the two bags of clauses.
+  at punctuation), summed modulo 2**16;
+* the number of clauses, modulo 2**32.
+
+Likeness is that of two fingerprints: lanes counted from their middle, half the
+number of clauses, have about the cosine of the two bags of clauses. A lane may be
+off its middle by up to 2**15 clauses; beyond that it comes round.
 
 Bits are summed two lanes at a time, packed 30 bits apart in a long, so 60 sums
-serve 120 lanes.
+serve 120 lanes. Each text is hashed once; what its fingerprint and its neighbours
+need of it is written as a narrow table.
 
 Defined results: null text is the empty text, which is one empty paragraph;
 rows without doc_id are left out; of rows that share a doc_id the largest text
-stands; extra columns are ignored; a table of one document has itself as next.
+stands; extra columns are ignored; a table of one document has itself as next;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +29,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmap.session import checkpointed
+from kinmap.session import checkpointed, stored
 
 EXACT, SHIFTS, GAP = 8, 30, 30
 CLAUSE_END = r"[.!?,;:\n]+\s*"
-SUMS = [f"e{k}" for k in range(EXACT)] + [f"p{h}_{s}" for h in range(2) for s in range(SHIFTS)] + ["clauses"]
+PACKED = [f"p{h}_{s}" for h in range(2) for s in range(SHIFTS)]
+SUMS = [f"e{k}" for k in range(EXACT)] + PACKED + ["clauses"]
+LANE, WIDE = (1 << 16) - 1, (1 << 32) - 1
 ROWS_PER_PART = 65536
 
 
@@ -55,8 +63,13 @@ def next_documents(docs: DataFrame, rows_per_part: int = ROWS_PER_PART) -> DataF
 
 
 def one_text_per_id(docs: DataFrame) -> DataFrame:
-    texts = docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
-    return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    """The texts; only those of repeated ids are gathered and compared."""
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    repeated = checkpointed(texts.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return texts
+    again = texts.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    return texts.join(repeated, "doc_id", "left_anti").unionByName(again)
 
 
 def unit_sums(texts: DataFrame, keys: list[str]) -> DataFrame:
@@ -91,37 +104,44 @@ def unit_sums(texts: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def fingerprint_of(sums: Column) -> Column:
+    """The sums' lanes modulo powers of two as an array in the order of SUMS, two likeness lanes in a number of 32 bits."""
+    low = lambda x: x.bitwiseAND(F.lit(LANE))
+    two = lambda x: low(x) * (LANE + 1) + low(F.shiftright(x, GAP))
+    return F.array(*[two(sums[c]) if c in PACKED else sums[c].bitwiseAND(F.lit(WIDE)) for c in SUMS])
+
+
+def parts_of(lanes: Column) -> tuple[Column, Column, Column]:
+    """Exact lanes, pairs of likeness lanes and the number of clauses."""
+    return F.slice(lanes, 1, EXACT), F.slice(lanes, EXACT + 1, len(PACKED)), F.slice(lanes, EXACT + len(PACKED) + 1, 1)
+
+
 def combined(a: Column, b: Column, sign: int = 1) -> Column:
-    """Sums of the union of two multisets (sign 1), or of the first without the second (sign -1)."""
-    return F.struct(*[(a[c] + sign * b[c]).alias(c) for c in SUMS])
+    """The fingerprint of the union of two multisets of paragraphs (sign 1), or of the first without the second (sign -1)."""
+    low = lambda x: x.bitwiseAND(F.lit(LANE))
+    high = lambda x: F.shiftright(x, 16)
+    wide = lambda x, y: (x + sign * y).bitwiseAND(F.lit(WIDE))
+    two = lambda x, y: low(high(x) + sign * high(y)) * (LANE + 1) + low(low(x) + sign * low(y))
+    return F.concat(*[F.zip_with(x, y, f) for x, y, f in zip(parts_of(a), parts_of(b), (wide, two, wide))])
 
 
-def lanes(sums: Column) -> list[Column]:
-    low = (1 << GAP) - 1
-    packed = [sums[c] for c in SUMS if c[0] == "p"]
-    return [x.bitwiseAND(F.lit(low)) for x in packed] + [F.shiftright(x, GAP) for x in packed]
+def as_text(lanes: Column) -> Column:
+    """Lower-case hex: 8 digits an exact lane, 4 a likeness lane, 8 of the number of clauses."""
+    return F.lower(F.array_join(F.transform(lanes, lambda x: F.lpad(F.hex(x), 8, "0")), ""))
 
 
-def fingerprint(sums: Column) -> Column:
-    """Lower-case hex of the lanes: 8 digits an exact lane, 4 a likeness lane."""
-    exact = [F.lpad(F.hex(sums[f"e{k}"] % F.lit(1 << 32)), 8, "0") for k in range(EXACT)]
-    low = (1 << 16) - 1
-    packed = [
-        F.lpad(F.hex(sums[c].bitwiseAND(F.lit(low)) * 65536 + F.shiftright(sums[c], GAP).bitwiseAND(F.lit(low))), 8, "0")
-        for c in SUMS
-        if c[0] == "p"
-    ]
-    return F.lower(F.concat(*exact, *packed))
+def middled(lanes: Column) -> Column:
+    """Twice the likeness lanes, counted from their middle."""
+    _, pairs, clauses = parts_of(lanes)
+    each = F.concat(F.transform(pairs, lambda x: F.shiftright(x, 16)), F.transform(pairs, lambda x: x.bitwiseAND(F.lit(LANE))))
+    return F.transform(each, lambda x: F.pmod(2 * x - clauses[0] + (LANE + 1), F.lit(2 * (LANE + 1))) - (LANE + 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: the cosine of two sums' likeness lanes counted from their middle; 1 for equal fingerprints."""
-    one = [2 * x - a["clauses"] for x in lanes(a)]
-    two = [2 * x - b["clauses"] for x in lanes(b)]
-    total = lambda xs: sum(xs[1:], xs[0]).cast("double")
-    dot, aa, bb = (total([x * y for x, y in zip(p, q)]) for p, q in ((one, two), (one, one), (two, two)))
-    cosine = F.when((aa == 0) | (bb == 0), 0.0).otherwise(dot / (F.sqrt(aa) * F.sqrt(bb)))
-    return F.when(a == b, 1.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)))
+    """0 to 1: the cosine of two arrays of lanes counted from their middle, 0 for a text without clauses."""
+    product = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0).cast("long"), lambda s, x: s + x).cast("double")
+    norms = F.sqrt(product(a, a)) * F.sqrt(product(b, b))
+    return F.when(norms == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), product(a, b) / norms)))
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
@@ -163,22 +183,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         ).alias("v"),
     ).select("doc_id", "next_id", "v.*")
     sums = unit_sums(both, ["doc_id", "next_id", "is_edit", "n_chars", "sha"])
-    packed = F.struct(*SUMS)
-    rows = sums.groupBy("doc_id", "next_id").agg(
-        F.max("n_chars").alias("n_chars"),
-        F.max("sha").alias("edited_sha256"),
-        F.max(F.when(~F.col("is_edit"), packed)).alias("own"),
-        F.max(F.when(F.col("is_edit"), packed)).alias("edit"),
-    )
-    others = rows.select(F.col("doc_id").alias("next_id"), F.col("own").alias("other"))
-    return rows.join(others, "next_id").select(
+    lanes = fingerprint_of(F.struct(*SUMS)).alias("lanes")
+    prints = stored(sums.select("doc_id", "next_id", "is_edit", "n_chars", "sha", lanes), "fingerprints")
+    sides = lambda edit, name: prints.where(F.col("is_edit") == edit).withColumn(name, F.struct("lanes", middled(F.col("lanes")).alias("m")))
+    own = sides(False, "own").select("doc_id", "next_id", "n_chars", "own")
+    edited = sides(True, "edit").select("doc_id", F.col("sha").alias("edited_sha256"), "edit")
+    following = own.select(F.col("doc_id").alias("next_id"), F.col("own").alias("other"))
+    # Equal fingerprints are equal in all lanes, others only as like as their likeness lanes.
+    like = lambda x, y: F.when(F.col(f"{x}.lanes") == F.col(f"{y}.lanes"), 1.0).otherwise(likeness(F.col(f"{x}.m"), F.col(f"{y}.m")))
+    return own.join(edited, "doc_id").join(following, "next_id").select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        fingerprint(F.col("own")).alias("fingerprint"),
-        fingerprint(F.col("edit")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edit")).alias("near_edited"),
-        likeness(F.col("own"), F.col("other")).alias("near_next"),
+        as_text(F.col("own.lanes")).alias("fingerprint"),
+        as_text(F.col("edit.lanes")).alias("edited_fingerprint"),
+        like("own", "edit").alias("near_edited"),
+        like("own", "other").alias("near_next"),
     )
 
 

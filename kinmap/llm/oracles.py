@@ -22,9 +22,9 @@ def fingerprint_sql(exact: int = 8, shifts: int = 30) -> str:
     packed = [f"p{h}_{s}" for h in range(2) for s in range(shifts)]
     e_sums = ", ".join(f"sum(('0x' || substr(d, {1 + 7 * k}, 7))::BIGINT) FILTER (whole)::BIGINT AS e{k}" for k in range(exact))
     p_sums = ", ".join(f"coalesce(sum((('0x' || substr(d, {1 + 16 * h}, 15))::BIGINT >> {s}) & 1073741825) FILTER (NOT whole), 0)::BIGINT AS p{h}_{s}" for h in range(2) for s in range(shifts))
-    hexes = " || ".join([f"printf('%08x', e{k} % 4294967296)" for k in range(exact)] + [f"printf('%08x', (({c} & 65535) * 65536) + (({c} >> 30) & 65535))" for c in packed])
+    hexes = " || ".join([f"printf('%08x', e{k} % 4294967296)" for k in range(exact)] + [f"printf('%08x', (({c} & 65535) * 65536) + (({c} >> 30) & 65535))" for c in packed] + ["printf('%08x', clauses % 4294967296)"])
     # Lanes in the order of the operator: all low ones, then all high ones.
-    lanes = "[" + ", ".join([f"({c} & 1073741823)" for c in packed] + [f"({c} >> 30)" for c in packed]) + "]"
+    lanes = "[" + ", ".join([f"({c} & 65535)" for c in packed] + [f"(({c} >> 30) & 65535)" for c in packed]) + "]"
     like = lambda a, b: f"CASE WHEN {a}.fp = {b}.fp AND {a}.v = {b}.v THEN 1.0 WHEN {a}.sq = 0 OR {b}.sq = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, list_sum([{a}.v[i] * {b}.v[i] for i in range(1, {4 * shifts + 1})])::DOUBLE / (sqrt({a}.sq::DOUBLE) * sqrt({b}.sq::DOUBLE)))) END"
     return rf"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(doc_id) OVER o, first_value(doc_id) OVER o) AS next_id,
@@ -34,7 +34,7 @@ b AS (SELECT doc_id, false AS is_edit, text AS s FROM x UNION ALL SELECT doc_id,
 u AS (SELECT doc_id, is_edit, true AS whole, unnest(string_split(s, chr(10))) AS s FROM b UNION ALL SELECT doc_id, is_edit, false, unnest(regexp_split_to_array(s, '[.!?,;:\n]+[ \t\n\x0B\f\r]*')) FROM b),
 h AS (SELECT doc_id, is_edit, whole, rpad(CASE WHEN whole THEN sha256(s) ELSE md5(s) END, 64, '0') AS d FROM u WHERE whole OR s <> ''),
 f AS (SELECT doc_id, is_edit, {e_sums}, {p_sums}, count(*) FILTER (NOT whole) AS clauses FROM h GROUP BY doc_id, is_edit),
-g AS (SELECT doc_id, is_edit, {hexes} AS fp, [2 * k - clauses for k in {lanes}] AS v FROM f),
+g AS (SELECT doc_id, is_edit, {hexes} AS fp, [((2 * k - clauses + 65536) % 131072 + 131072) % 131072 - 65536 for k in {lanes}] AS v FROM f),
 q AS (SELECT *, list_sum([k * k for k in v]) AS sq FROM g)
 SELECT x.doc_id, length(x.text)::BIGINT AS n_chars, sha256(x.edited) AS edited_sha256, o.fp AS fingerprint, e.fp AS edited_fingerprint,
     {like('o', 'e')} AS near_edited, {like('o', 'p')} AS near_next
