@@ -3,20 +3,23 @@
 Filter directions are random product codes: a random rotation cuts the space
 into blocks, each block has random unit codewords, and a direction is one
 codeword a block. A vector is list-decoded to all directions whose inner product
-with it exceeds its threshold, which is its `decoded`-th best: only combinations
+with it reaches its threshold, which is its `decoded`-th best: only combinations
 of the best codewords of each block can be among these (rank products of at most
-`decoded`), so they are found without going over all directions. Vectors with
-equal labels that share a direction are compared in double precision. With two
-rotations and eight directions each, random pairs at a cosine of 0.98 share a
-direction in more than 999 of 1000 cases; closer pairs more often.
+`decoded`), so they are found without going over all directions. (One threshold
+for all vectors leaves some without a direction: at as many directions a vector
+its recall is far lower, see the README.) Vectors with equal labels that share a
+direction are compared in double precision.
 
 Equal vectors of a label are one class and meet once. A direction with many
-vectors is cut into parts and each pair of parts is a task of its own.
+vectors is cut into parts and each pair of parts is a group of its own. Links are
+not written: a group tells how many links each of its vectors has that no smaller
+shared direction tells of, and a forest with the components of its links.
 
 Defined results: rows without vec_id are left out; of rows that share a vec_id
 one stands (the largest); null labels, null or zero vectors and vectors with
 null or non-finite components link with nothing and are kept; vectors of
-different lengths never link; extra columns are ignored.
+different lengths never link; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.components import components
+from kinmap.llm.components import components, roots_of
+from kinmap.llm.text import tidy
 from kinmap.session import checkpointed
 
 THRESHOLD = 0.98
@@ -70,24 +74,25 @@ class ProductCode:
 
 def unit_rows(blobs: list[bytes]) -> np.ndarray:
     rows = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1)
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)  # squares of very small or large numbers are none
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def packed(classes: DataFrame) -> DataFrame:
-    """(id, label, dims, vector), the vector as bytes of doubles."""
+    """(id, members, label, dims, vector), the vector as bytes of doubles."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("vector")
             blobs = [np.asarray(x, "<f8").tobytes() for x in lists.to_pylist()]
-            kept = [batch.column(c) for c in ("id", "label", "dims")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(blobs, pa.binary())], ["id", "label", "dims", "vector"])
+            kept = [batch.column(c) for c in ("id", "members", "label", "dims")]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(blobs, pa.binary())], ["id", "members", "label", "dims", "vector"])
 
-    return classes.mapInArrow(pack, "id long, label string, dims int, vector binary")
+    return classes.mapInArrow(tidy(pack), "id long, members long, label string, dims int, vector binary")
 
 
 def filters(vectors: DataFrame, codewords: int) -> DataFrame:
-    """A row (label, dims, direction, id, vector) for each direction of each vector."""
+    """A row (label, dims, direction, id, members, vector, all of its directions) for each direction of each vector."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, list[ProductCode]] = {}
@@ -99,62 +104,79 @@ def filters(vectors: DataFrame, codewords: int) -> DataFrame:
                 code = codes.setdefault(d, [ProductCode(d, codewords, seed) for seed in range(ROTATIONS)])
                 units = unit_rows(part.column("vector").to_pylist())
                 found = [c.decode(units) + seed * codewords**BLOCKS for seed, c in enumerate(code)]
-                each = np.concatenate(found, axis=1)
+                each = np.concatenate(found, axis=1).astype("<i8")
                 repeat = pa.array(np.repeat(np.arange(len(at)), each.shape[1]))
-                kept = [part.column(c).take(repeat) for c in ("label", "dims", "id", "vector")]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(each.ravel())], ["label", "dims", "id", "vector", "direction"])
-
-    return vectors.mapInArrow(decode, "label string, dims int, id long, vector binary, direction long")
-
-
-def near_pairs(keyed: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b), a < b, at or over the threshold among rows with equal keys; rows are sorted by key in each task."""
+                names = ["label", "dims", "id", "members", "vector"]
+                every = pa.array([row.tobytes() for row in each], pa.binary()).take(repeat)
+                yield pa.RecordBatch.from_arrays([*[part.column(c).take(repeat) for c in names], every, pa.array(each.ravel())], [*names, "all", "direction"])
+
+    return vectors.mapInArrow(tidy(decode), "label string, dims int, id long, members long, vector binary, all binary, direction long")
+
+
+def group_links(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each key of the rows, sorted by key: ids, their linked members that no smaller shared direction finds, and a forest of the links."""
+    key = np.asarray(table.column("key").combine_chunks().dictionary_encode().indices)
+    ids, left, members, direction = (table.column(c).to_numpy() for c in ("id", "left", "members", "direction"))
+    cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+    vectors, every = table.column("vector").to_pylist(), table.column("all").to_pylist()
+    for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        if e - s < 2:
+            continue
+        units = unit_rows(vectors[s:e])
+        directions = np.frombuffer(b"".join(every[s:e]), "<i8").reshape(e - s, -1)
+        own, smaller = left[s:e], directions < direction[s]
+        a, b = (np.arange(e - s),) * 2 if own.all() else (np.flatnonzero(own), np.flatnonzero(~own))
+        linked = units[a] @ units[b].T >= threshold
+        if own.all():
+            np.fill_diagonal(linked, False)
+        if not linked.any():
+            continue
+        # Which of the smaller directions each row has, of those that stand in several rows.
+        values, place, times = np.unique(directions[smaller], return_inverse=True, return_counts=True)
+        has = np.zeros((e - s, len(values)), np.float32)
+        has[np.nonzero(smaller)[0], place] = 1
+        has = has[:, times > 1]
+        new = linked & ~(has[a] @ has[b].T > 0)
+        degree = np.zeros(e - s, np.int64)
+        weights = members[s:e]
+        degree[a] += new @ weights[b]
+        if not own.all():
+            degree[b] += new.T @ weights[a]
+        i, j = np.nonzero(linked)
+        names, roots = roots_of(ids[s:e][a[i]], ids[s:e][b[j]])
+        apart = names != roots
+        yield ids[s:e][degree > 0], degree[degree > 0], names[apart], roots[apart]
+
+
+def near_links(keyed: DataFrame, threshold: float) -> DataFrame:
+    """Rows (a, n): a has n more links; and (a, b): a and b are in one component. Rows are sorted by key in each task."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def pairs(table: pa.Table) -> pa.RecordBatch | None:
-            key = np.asarray(table.column("key").combine_chunks().dictionary_encode().indices if table.num_rows else [])
-            ids, left = table.column("id").to_numpy(), table.column("left").to_numpy()
-            cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-            units = unit_rows(table.column("vector").to_pylist())
-            out = []
-            for s, e in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                if e - s < 2:
-                    continue
-                one = left[s:e]
-                if one.all():
-                    i, j = np.nonzero(np.triu(units[s:e] @ units[s:e].T >= threshold, 1))
-                else:
-                    a, b = np.flatnonzero(one), np.flatnonzero(~one)
-                    i, j = np.nonzero(units[s:e][a] @ units[s:e][b].T >= threshold)
-                    i, j = a[i], b[j]
-                out.append(np.sort(np.stack([ids[s:e][i], ids[s:e][j]], 1), axis=1))
-            if out:
-                both = np.unique(np.concatenate(out), axis=0)
-                return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-            return None
+        def found(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            parts = list(group_links(table, threshold)) if table.num_rows else []
+            if parts:
+                ids, n, names, roots = (np.concatenate(x) for x in zip(*parts))
+                more, ends = pa.nulls(len(names), pa.int64()), pa.nulls(len(ids), pa.int64())
+                columns = [[pa.array(ids), pa.array(names)], [ends, pa.array(roots)], [pa.array(n), more]]
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in columns], ["a", "b", "n"])
 
         for batch in batches:
             # The rows of the last key may go on in the next batch.
             table = pa.Table.from_batches([*held, batch])
+            if not table.num_rows:
+                continue
             keys = table.column("key")
-            last = keys[-1]
-            cut = table.num_rows
-            same = pa.compute.equal(keys, last).to_numpy()
-            cut = int(np.argmax(same))
+            cut = int(np.argmax(pa.compute.equal(keys, keys[-1]).to_numpy()))
             if cut:
-                found = pairs(table.slice(0, cut).combine_chunks())
-                if found is not None:
-                    yield found
+                yield from found(table.slice(0, cut).combine_chunks())
             held = table.slice(cut).to_batches()
         if held:
-            found = pairs(pa.Table.from_batches(held).combine_chunks())
-            if found is not None:
-                yield found
+            yield from found(pa.Table.from_batches(held).combine_chunks())
 
     sorted_rows = keyed.repartition("key").sortWithinPartitions("key")
-    return sorted_rows.select("key", "left", "id", "vector").mapInArrow(compare, "a long, b long")
+    return sorted_rows.select("key", "left", "id", "members", "vector", "all", "direction").mapInArrow(tidy(compare), "a long, b long, n long")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, part_rows: int = PART_ROWS) -> DataFrame:
@@ -168,7 +190,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, part_rows:
 
     classes = rows.where("usable").groupBy("label", "vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("members"))
     classes = checkpointed(classes.withColumn("dims", F.size("vector")))
-    keyed = filters(packed(classes.select("id", "label", "dims", "vector")), codewords_for(classes.count()))
+    keyed = filters(packed(classes.select("id", "members", "label", "dims", "vector")), codewords_for(classes.count()))
     keyed = keyed.withColumn("key", F.concat_ws("/", "label", "dims", "direction"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("n") / part_rows).cast("int"))
@@ -177,15 +199,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, part_rows:
     keyed = keyed.select(
         F.concat_ws("/", "key", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
         (F.col("own") <= F.col("other")).alias("left"),
-        "id",
-        "vector",
+        *["id", "members", "vector", "all", "direction"],
     )
-    links = checkpointed(near_pairs(keyed, threshold).distinct())
-
-    members = classes.select("id", "members")
-    ends = links.select(F.col("a").alias("id"), F.col("b").alias("with")).union(links.select("b", "a"))
-    degree = ends.join(members.withColumnsRenamed({"id": "with", "members": "m"}), "with").groupBy("id").agg(F.sum("m").alias("linked"))
-    found = components(links)
+    links = checkpointed(near_links(keyed, threshold))
+    degree = links.where("n IS NOT NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("linked"))
+    found = components(links.where("b IS NOT NULL").select("a", "b"))
     summary = (
         classes.select("label", "vector", "id", "members")
         .join(degree, "id", "left")

@@ -99,9 +99,14 @@ def test_fingerprints(docs, local):
 def test_fingerprints_are_sums_over_paragraphs(spark):
     rows = [(1, "one. two\nthree"), (2, "three\none. two"), (3, "one. two"), (4, "three"), (5, "one. two\nthree\n!")]
     d = spark.createDataFrame(rows, "k long, text string")
-    sums = {r.k: r for r in fingerprints.unit_sums(d, ["k"]).collect()}
-    assert sums[1][1:] == sums[2][1:] != sums[5][1:]
-    assert [a + b for a, b in zip(sums[3][1:], sums[4][1:])] == list(sums[1][1:])
+    prints = fingerprints.unit_sums(d, ["k"]).select("k", fingerprints.fingerprint_of(F.struct(*fingerprints.SUMS)).alias("f"))
+    sums = {r.k: r.f for r in prints.collect()}
+    assert sums[1] == sums[2] != sums[5]
+    pair = prints.where("k = 3").select(F.col("f").alias("a")).crossJoin(prints.where("k = 4").select(F.col("f").alias("b")))
+    whole = pair.select(fingerprints.combined(F.col("a"), F.col("b")).alias("c"), "a", "b")
+    back = whole.select("c", fingerprints.combined(F.col("c"), F.col("b"), -1).alias("d"), fingerprints.as_text(F.col("c")).alias("t")).first()
+    assert back.c == sums[1] and back.d == sums[3]
+    assert back.t == prints.where("k = 2").select(fingerprints.as_text(F.col("f"))).first()[0]
 
 
 def test_packing(docs, local):
@@ -283,42 +288,60 @@ def test_mixing_order_and_budget(spark):
         assert order == sorted(order) and len(order) == sum(want.values())
 
 
-def test_scoring(docs, local):
-    got = {r.doc_id: r for r in scoring.score_texts(docs).collect()}
+@pytest.mark.parametrize("order, cutoff", [(3, 2), (3, 1), (2, 2)])
+def test_scoring(docs, local, order, cutoff):
+    got = {r.doc_id: r for r in scoring.score_texts(docs, order, cutoff).collect()}
     tokens = {i: [*split_words(t), None] for i, t in local.items()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in local}
-    counts, pairs = collections.Counter(), collections.Counter()
+    counts, pairs, triples = (collections.Counter() for _ in range(3))
     for i, t in tokens.items():
         if not held[i]:
             counts.update(t)
             pairs.update(zip(["<"] + t[:-1], t))
+            triples.update(zip(["<", "<", *t[:-2]] if len(t) > 1 else ["<"], ["<"] + t[:-1], t))
     n, v = sum(counts.values()), len(counts)
-    before, context, classes = collections.Counter(b for _, b in pairs), collections.Counter(), collections.defaultdict(lambda: [0, 0, 0])
-    for (a, _), c in pairs.items():
-        context[a] += c
-        classes[a][min(c, 3) - 1] += 1
+    before = collections.Counter(b for _, b in pairs)
+    value = collections.Counter(x[1:] for x in triples) if order > 2 else pairs
 
-    def discount(values):
+    def discount(values, cutoff=1):
         n1, n2, n3, n4 = (sum(x == k for x in values) for k in (1, 2, 3, 4))
-        if not (n1 and n2 and n3):
-            return [0, 0.5, 0.5, 0.5]
-        y = n1 / (n1 + 2 * n2)
-        return [0] + [min(max(d, 0.05), k + 0.95) for k, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
-
-    d2, d1 = discount(pairs.values()), discount(before.values())
+        d = [0, 0.5, 0.5, 0.5]
+        if n1 and n2 and n3:
+            y = n1 / (n1 + 2 * n2)
+            d = [0] + [min(max(d, 0.05), k + 0.95) for k, d in enumerate((1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3))]
+        return d if cutoff == 1 else [0, 1.0, *d[2:]]
+
+    d3, d2, d1 = discount(triples.values(), cutoff), discount(value.values()), discount(before.values())
+
+    def table(counter, d):
+        total, kept = collections.Counter(), collections.Counter()
+        for key, c in counter.items():
+            total[key[:-1]] += c
+            kept[key[:-1]] += c - d[min(c, 3)]
+        return total, kept
+
+    totals3, kept3 = table(triples, d3)
+    totals2, kept2 = table(value, d2)
     left = sum(d1[min(x, 3)] for x in before.values()) / len(pairs)
 
-    def p(a, b):
-        low = max(before[b] - d1[min(before[b], 3)], 0) / len(pairs) + left / (v + 1)
-        if not context[a]:
-            return low
-        return max(pairs[a, b] - d2[min(pairs[a, b], 3)], 0) / context[a] + sum(x * y for x, y in zip(d2[1:], classes[a])) / context[a] * low
+    def mixed(counter, d, total, kept, key, low):
+        c = counter[key]
+        return (c - d[min(c, 3)]) / total[key[:-1]] + (1 - kept[key[:-1]] / total[key[:-1]]) * low if total[key[:-1]] else low
+
+    def p(x):
+        low = max(before[x[2]] - d1[min(before[x[2]], 3)], 0) / len(pairs) + left / (v + 1)
+        low = mixed(value, d2, totals2, kept2, x[1:], low)
+        return mixed(triples, d3, totals3, kept3, x, low) if order > 2 else low
 
     for i, t in tokens.items():
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(counts[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t))
-        assert r.score == pytest.approx(sum(math.log10(p(a, b)) for a, b in zip(["<"] + t[:-1], t)))
+        each = zip(["<", "<", *t[:-2]] if len(t) > 1 else ["<"], ["<"] + t[:-1], t)
+        assert r.score == pytest.approx(sum(math.log10(p(x)) for x in each))
+    # Probabilities of all known words and an unknown one sum to one.
+    some = next(iter(totals3))
+    assert sum(p((*some, w)) for w in counts) + p((*some, "unknown")) == pytest.approx(1)
 
 
 def test_licenses(docs, local):
@@ -436,6 +459,21 @@ def test_vectors(spark):
     assert vectors.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_odd_rows(spark):
+    """Null and repeated ids, very small and large numbers, other lengths; one large group of near copies in many parts."""
+    rows = [(None, [1.0, 0.0], "x"), (1, [1e-200, 2e-200], "x"), (2, [1e200, 2e200], "x"), (3, [1.0, 2.0], "x"), (3, [1.0, 2.0], "x"), (4, [1.0, 2.0, 0.0], "x"), (5, [float("inf"), 1.0], "x")]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(frame).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (0, 4, True), 5: (0, 5, True)}
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    many = [base + 0.02 * rng.normal(size=24) for _ in range(150)]
+    many += many[:20]
+    frame = spark.createDataFrame([(k, [float(x) for x in v], 1) for k, v in enumerate(many)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(frame, part_rows=16).collect()}
+    assert got == {k: (len(many) - 1, 0) for k in range(len(many))}
+
+
 def test_pipeline_stages_feed_each_other(spark, docs, tmp_path):
     import corpus_pipeline
 
