@@ -355,17 +355,34 @@ def test_licenses(docs, local):
             places += here
             labels |= {label} if here else set()
         own = set(labels)
-        for line in (t or "").split("\n"):
-            b = set(find(line))
+        paragraphs = [p for p in re.split(licenses.PARAGRAPH_END, t or "") if "\n" in p]
+        for block in [*(t or "").split("\n"), *paragraphs]:
+            b = set(find(block))
             for label, template in licenses.TEMPLATES:
                 words = set(template.split())
-                if len(b & words) >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
+                if len(b & words) >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9) and ("\n" not in block or len(b) <= licenses.MOST * len(words)):
                     own.add(label)
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert (r.base_labels, r.labels) == (",".join(sorted(labels)), ",".join(sorted(own)))
 
 
+def test_wrapped_licenses(spark):
+    mit = """Copyright (c) Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+"""
+    words = " ".join(licenses.TEMPLATES[2][1].split())
+    rows = [(1, mit), (2, words.replace(" license", "\nlicense")), (3, mit.replace("\nof", "\n" + " ".join(f"w{k}" for k in range(400)) + "\nof")), (4, None)]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == "mit" and got[2] == "mit" and got[4] == "" and "mit" not in got[3]
+
+
 def machine():
     path = token_counts.default_path()
     return token_counts.counter(path, token_counts.class_ranges(path))
