@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinmap.llm.components import components
-from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, unpack_sorted, word_hashes
+from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, tidy_group, unpack_sorted, word_hashes
 from kinmap.session import checkpointed
 
 SHINGLE = 5
@@ -216,9 +216,9 @@ def set_facts(docs: DataFrame, k: int) -> DataFrame:
         tidy(send), "bucket int, chunk string, hashes binary, owner binary, ids binary, sizes binary, names binary, first binary, known binary"
     )
     counted = sent.groupBy("bucket").applyInPandas(
-        count, "chunk string, ids binary, sizes binary, names binary, first binary, known binary, owner binary, shared binary"
+        tidy_group(count), "chunk string, ids binary, sizes binary, names binary, first binary, known binary, owner binary, shared binary"
     )
-    facts = counted.groupBy("chunk").applyInPandas(gather, "doc_id long, n long, name binary, shared long")
+    facts = counted.groupBy("chunk").applyInPandas(tidy_group(gather), "doc_id long, n long, name binary, shared long")
     facts = facts.groupBy("doc_id").agg(F.max(F.struct("n", "name")).alias("set"), F.sum("shared").alias("shared"), F.count("*").alias("rows"))
     return facts.select("doc_id", "set.n", "set.name", "shared", "rows")
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.text import blocks, bounded, mixed
+from kinmap.llm.text import blocks, bounded, mixed, tidy
 
 DIMS = 1 << 14
 TRAIN_ROWS = 6000
@@ -59,7 +59,7 @@ def held_out(doc_id: Column) -> Column:
 def gram_blocks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row, feature numbers, row of each feature) for blocks of texts."""
     lowered = pa.compute.utf8_lower(texts.cast(pa.large_string()).fill_null(""))
-    for row, last, padded, offsets in blocks(lowered, 1 << 19):
+    for row, last, padded, offsets in blocks(lowered, 1 << 18):
         size = int(offsets[-1])
         padded = LETTERISH[padded]
         data = padded[:size]
@@ -97,7 +97,7 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
             [pa.array(np.arange(-1, DIMS)), pa.array(np.concatenate([[n], total]))], ["feature", "n"]
         )
 
-    counted = bounded(docs).select("text").mapInArrow(count, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+    counted = bounded(docs).select("text").mapInArrow(tidy(count), "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     found = counted.toPandas()
     out = np.zeros(DIMS + 1, np.int64)
     out[found.feature.to_numpy() + 1] = found.n.to_numpy()
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return bounded(docs).mapInArrow(label, f"{fields}, lang_pred string, score double")
+    return bounded(docs).mapInArrow(tidy(label), f"{fields}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kinmap.llm.text import WORD_BYTE, blocks, bounded, span_hashes, spans
+from kinmap.llm.text import WORD_BYTE, blocks, bounded, span_hashes, spans, tidy
 from kinmap.session import checkpointed
 
 TOKENIZER = "word_bpe_49k.json"
@@ -140,7 +140,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, end_id: int = END_ID) -
                     ["doc_id", "piece", "start", "length", "ids_crc32"],
                 )
 
-    return bounded(docs).select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(tidy(cut), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 500) -> np.ndarray:

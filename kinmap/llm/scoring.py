@@ -1,40 +1,54 @@
-"""Language-model scores: an interpolated, modified Kneser-Ney model of word pairs.
+"""Language-model scores: an interpolated, modified Kneser-Ney model of word triples or pairs.
 
-Words and word pairs are known by 64-bit hashes. Tasks count the pairs of their
-texts and send them, combined, to buckets by the first word. A bucket sums its
-pairs, writes them as a sorted hash array with counts, and the numbers of
-successors seen once, twice and more for each first word; then it sends each
-second word's number of different predecessors to the second word's bucket,
-which writes the vocabulary: counts and predecessor counts. Scoring workers map
-the arrays into memory from the shared folder and look words up by binary search
-in sorted order, so that a worker touches what its texts need.
+Words, pairs and triples are known by 64-bit hashes. Tasks count the triples of their
+texts and send them, combined, to buckets by their last two words, so the pairs of a
+frequent word are spread over all buckets. A bucket sums its triples and writes
 
-p(w|u) = (c(u,w) - D)+ / c(u) + g(u) p(w) and p(w) = (b(w) - D')+ / B + g' / (V + 1)
-with b the number of different predecessors, one discount each for counts 1, 2
-and 3 or more, and one share of the last term for all unknown words.
+* pairs: their counts and their numbers of different words before; pairs that stand
+  once are a list of their own without numbers;
+* triples that stand `cutoff` times at least, with their counts.
+
+It sends on, summed, what other buckets need: to the bucket of a triple's first pair
+how its triples count, to that of a pair's first word how often it goes on and to how
+many, and to that of its last word its count and number of words before it. These are
+written as tables too. Scoring workers map the tables into memory from the shared
+folder and look words up by binary search, so that a worker touches what its texts need.
+
+    p(w|u,v) = (c(u,v,w) - D)+ / c(u,v) + g(u,v) p(w|v)
+    p(w|v)   = (b(v,w) - E)+ / sum b(v,.) + g(v) p(w)
+    p(w)     = (b(w) - E')+ / sum b + g' / (V + 1)
+
+with b the number of different words before, one discount each for counts 1, 2 and
+3 or more, and one share of the last term for all unknown words. Triples below the
+cutoff (2: most triples stand once, and would take more room than the texts) are
+discounted wholly: their share goes to p(w|v), and the model still sums to one. With
+order 2 there are no triples and p(w|v) has counts for b. Cutoff 1 keeps all triples.
 
 Defined results: null text is empty and its only token is the end; with nothing to
 learn from, all words are unknown; repeated rows are counted and scored each;
-extra columns are ignored.
+extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.tables import arrays, new_folder, saved
-from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, unpack_sorted, word_hashes
+from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, saved
+from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, tidy_group, unpack_sorted, word_hashes
 
 START, END = np.uint64(1), np.uint64(2)
-BUCKET_BYTES = 24 << 20
-HELD_PAIRS = 2_000_000
+ORDER, CUTOFF = 3, 2
+BUCKET_BYTES = 16 << 20
+HELD_TOKENS = 2_000_000
+#: What is counted over all buckets: triples and pairs in all, and those with 1 to 4.
+STATS = [*[f"{c}{k}" for c in ("t", "p", "b") for k in (1, 2, 3, 4)], "words", "tokens", "before"]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -46,24 +60,31 @@ def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return mixed(mixed(first) + second)
 
 
-def bucket_of(words: np.ndarray, buckets: int) -> np.ndarray:
-    return (mixed(words ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(buckets)).astype(np.int64)
+def triple_hash(first: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    return mixed(pair ^ mixed(first + np.uint64(0x94D049BB133111EB)))
+
 
+def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(hashes ^ np.uint64(0xD1B54A32D192ED03)) % np.uint64(buckets)).astype(np.int64)
 
-def token_pairs(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word before, word, row) of all tokens: each row's words, then its end."""
+
+def token_triples(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(word two before, word before, word, row) of all tokens: each row's words, then its end."""
     n = len(offsets) - 1
     words, rows = word_hashes(padded, offsets)
     counts = np.bincount(rows, minlength=n)
     ends = np.cumsum(counts + 1) - 1
-    second = np.full(len(words) + n, END)
-    plain = np.ones(len(second), bool)
+    third = np.full(len(words) + n, END)
+    plain = np.ones(len(third), bool)
     plain[ends] = False
-    second[plain] = words
-    first = np.empty_like(second)
-    first[1:] = second[:-1]
-    first[ends - counts] = START
-    return first, second, np.repeat(np.arange(n), counts + 1)
+    third[plain] = words
+    second, first = np.full_like(third, START), np.full_like(third, START)
+    inner = np.ones(len(third), bool)
+    inner[ends - counts] = False  # tokens that another of their row comes before
+    at = np.flatnonzero(inner)
+    second[at] = third[at - 1]
+    first[at] = second[at - 1]
+    return first, second, third, np.repeat(np.arange(n), counts + 1)
 
 
 def summed(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -74,120 +95,137 @@ def summed(keys: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return ordered[new], order[new], [np.add.reduceat(s[order], new) if len(new) else s[:0] for s in sums]
 
 
-def packed_pairs(first: np.ndarray, second: np.ndarray, counts: np.ndarray) -> bytes:
-    """Pairs as runs of equal first words; the reverse of unpacked_pairs."""
-    order = np.argsort(first, kind="stable")
-    first, second, counts = first[order], second[order], counts[order]
-    begin = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-    runs = np.diff(np.append(begin, len(first))).astype("<u4")
-    counts = counts.astype("<u4")
-    planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(-1, 4).T).tobytes()
-    head = np.array([len(begin), len(first)], "<u8").tobytes()
-    return head + pack_sorted(first[begin]) + planes(runs) + second.astype("<u8").tobytes() + planes(counts)
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Numbers byte plane by byte plane: the empty planes vanish in the coding."""
+    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
+
+def from_planes(packed: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
+
 
+def packed_rows(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
+    """Columns of words, as places in one list of them, and of numbers; rows are sorted by the last word."""
+    pack = zstandard.ZstdCompressor(level=1).compress
+    order = np.argsort(words[-1], kind="stable")
+    names, places = np.unique(np.concatenate([w[order] for w in words]), return_inverse=True)
+    parts = [pack_sorted(names), *[planes(p, 4) for p in np.split(places, len(words))], *[planes(n[order], 8) for n in numbers]]
+    blobs = [pack(p) for p in parts]
+    return np.array([len(b) for b in blobs], "<u4").tobytes() + b"".join(blobs)
 
-def unpacked_pairs(packed: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    runs, n = (int(x) for x in np.frombuffer(packed[:16], "<u8"))
-    at = 16 + 8 * runs
-    first = unpack_sorted(packed[16:at])
-    planes = lambda a, k: np.ascontiguousarray(np.frombuffer(packed[a : a + 4 * k], np.uint8).reshape(4, -1).T).view("<u4").ravel()
-    length = planes(at, runs)
-    at += 4 * runs
-    second = np.frombuffer(packed[at : at + 8 * n], "<u8")
-    return np.repeat(first, length), second, planes(at + 8 * n, n).astype(np.int64)
 
+def unpacked_rows(packed: bytes, words: int, numbers: int) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor().decompress
+    lengths = np.frombuffer(packed[: 4 * (1 + words + numbers)], "<u4").astype(np.int64)
+    at = 4 * len(lengths) + np.cumsum(lengths) - lengths
+    names, *columns = [unpack(packed[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist())]
+    names = unpack_sorted(names)
+    return [names[from_planes(c, 4)] for c in columns[:words]] + [from_planes(c, 8) for c in columns[words:]]
 
-def train(docs: DataFrame) -> dict:
-    """Counts docs' texts and writes the arrays; returns what scoring must know of them."""
+
+def all_rows(blobs: pd.Series, words: int, numbers: int) -> list[np.ndarray]:
+    """The columns of several packed tables, one after the other."""
+    parts = [unpacked_rows(b, words, numbers) for b in blobs.dropna()]
+    none = [np.zeros(0, np.uint64)] * words + [np.zeros(0, np.int64)] * numbers
+    return [np.concatenate(c) for c in zip(*parts)] if parts else none
+
+
+def dealt(bucket: np.ndarray, buckets: int, words: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    order = np.argsort(bucket, kind="stable")
+    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for k in range(buckets):
+        o = order[cut[k] : cut[k + 1]]
+        if len(o):
+            yield k, packed_rows([w[o] for w in words], [n[o] for n in numbers])
+
+
+def classes(values: np.ndarray) -> list[np.ndarray]:
+    return [(values == 1).astype(np.int64), (values == 2).astype(np.int64), (values > 2).astype(np.int64)]
+
+
+def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
+    """Counts docs' texts and writes the tables; returns what scoring must know of them."""
+    if order not in (2, 3) or cutoff not in (1, 2):
+        raise ValueError("the order is 2 or 3 and the cutoff 1 or 2")
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
-    folder = new_folder(docs.sparkSession, "pairs")
+    folder = new_folder(docs.sparkSession, "words")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, ...]] = []
 
         def combine() -> None:
-            first, second, n = (np.concatenate(x) for x in zip(*held))
-            _, place, (n,) = summed(pair_hash(first, second), n)
-            held[:] = [(first[place], second[place], n)]
+            u, v, w, n = (np.concatenate(x) for x in zip(*held))
+            _, place, (n,) = summed(triple_hash(u, pair_hash(v, w)), n)
+            held[:] = [(u[place], v[place], w[place], n)]
 
         def sent() -> Iterator[pa.RecordBatch]:
-            first, second, n = held.pop()
-            bucket = bucket_of(first, buckets)
-            order = np.argsort(bucket, kind="stable")
-            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for k in range(buckets):
-                if cut[k] < cut[k + 1]:
-                    o = order[cut[k] : cut[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed_pairs(first[o], second[o], n[o])], pa.binary())], ["bucket", "pairs"])
+            u, v, w, n = held.pop()
+            for k, blob in dealt(bucket_of(pair_hash(v, w), buckets), buckets, [u, v, w], [n]):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "triples"])
 
         for batch in batches:
             for _, _, padded, offsets in blocks(batch.column("text")):
-                first, second, _ = token_pairs(padded, offsets)
-                held.append((first, second, np.ones(len(first), np.int64)))
-                if sum(len(x[0]) for x in held) > HELD_PAIRS:
+                u, v, w, _ = token_triples(padded, offsets)
+                held.append((u if order > 2 else np.full_like(u, START), v, w, np.ones(len(w), np.int64)))
+                if sum(len(x[0]) for x in held) > HELD_TOKENS:
                     combine()
-                    if len(held[0][0]) > HELD_PAIRS // 2:
+                    if len(held[0][0]) > HELD_TOKENS // 2:
                         yield from sent()
         if held:
             combine()
             yield from sent()
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        first, second, n = (np.concatenate(x) for x in zip(*map(unpacked_pairs, group.pairs)))
-        hashes, place, (n,) = summed(pair_hash(first, second), n)
-        first, second = first[place], second[place]
-        saved(folder, f"pair_key_{key[0]}", hashes)
-        saved(folder, f"pair_count_{key[0]}", n.astype(np.uint32 if n.max() > 65535 else np.uint16))
-        contexts, _, by_class = summed(first, n, *[(n == k).astype(np.int64) for k in (1, 2)], (n > 2).astype(np.int64))
-        saved(folder, f"context_key_{key[0]}", contexts)
-        saved(folder, f"context_{key[0]}", np.stack(by_class, 1).astype(np.uint32 if max(x.max() for x in by_class) < 2**32 else np.uint64))
-        words, _, (before,) = summed(second, np.ones(len(second), np.int64))
-        bucket = bucket_of(words, buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        rows = []
-        for k in range(buckets):
-            o = order[cut[k] : cut[k + 1]]
-            if len(o):
-                rows.append((k, packed_pairs(words[o], before[o].astype(np.uint64), np.zeros(len(o), np.int64)), None))
-        stats = {"pairs": len(n)} | {f"n{k}": int((n == k).sum()) for k in (1, 2, 3, 4)}
-        own = contexts != START
-        counts = packed_pairs(contexts[own], by_class[0][own].astype(np.uint64), np.ones(int(own.sum()), np.int64))
-        rows.append((key[0], counts, json.dumps(stats)))
-        return pd.DataFrame(rows, columns=["bucket", "words", "stats"])
-
-    def vocabulary(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        stats: dict[str, int] = {}
-        for x in group.stats.dropna():
-            for k, v in json.loads(x).items():
-                stats[k] = stats.get(k, 0) + v
-        word, value, is_count = (np.concatenate(x) for x in zip(*map(unpacked_pairs, group.words)))
-        value = value.astype(np.int64)
-        # The end is no word's predecessor: its count comes from the number of its pairs, below.
-        words, _, (counts, before) = summed(word, value * (is_count == 1), value * (is_count == 0))
-        seen = before > 0
-        words, counts, before = words[seen], counts[seen], before[seen]
-        saved(folder, f"word_key_{key[0]}", words)
-        saved(folder, f"word_{key[0]}", np.stack([counts, before], 1))
-        stats |= {"tokens": int(counts.sum()), "words": len(words), "before": int(before.sum())}
-        stats |= {f"b{k}": int((before == k).sum()) for k in (1, 2, 3, 4)}
-        return pd.DataFrame({"stats": [json.dumps(stats)]})
-
-    pairs = bounded(docs).select("text").mapInArrow(count, "bucket int, pairs binary")
-    merged = pairs.groupBy("bucket").applyInPandas(merge, "bucket int, words binary, stats string")
-    rows = merged.groupBy("bucket").applyInPandas(vocabulary, "stats string").collect()  # one small row a bucket
-    model: dict = {"folder": folder, "buckets": buckets, "documents": docs.count()}
-    for r in rows:
-        for k, v in json.loads(r.stats).items():
-            model[k] = model.get(k, 0) + v
-    model["tokens"] = model.get("tokens", 0) + model["documents"]
-    return model
+        u, v, w, n = all_rows(group.triples, 3, 1)
+        pair = pair_hash(v, w)
+        triples, place, (n,) = summed(triple_hash(u, pair), n)
+        u, v, w, pair = u[place], v[place], w[place], pair[place]
+        stats = {f"t{k}": int((n == k).sum()) for k in (1, 2, 3, 4)}
+        often = n >= (cutoff if order > 2 else 1 << 62)
+        saved(folder, "triple", key[0], key=triples[often], count=least_type(n[often]))
+        # The triples of each pair that they begin with.
+        history, at, sums = summed(pair_hash(u, v)[often], n[often], *classes(n[often]))
+        rows = [(k, blob, None, None) for k, blob in dealt(bucket_of(history, buckets), buckets, [history], sums)]
+
+        pairs, at, (count_, before) = summed(pair, n, np.ones(len(n), np.int64))
+        v, w = v[at], w[at]
+        once = count_ == 1
+        saved(folder, "once", key[0], key=pairs[once])
+        saved(folder, "pair", key[0], key=pairs[~once], count=least_type(count_[~once]), before=least_type(before[~once]))
+        value = before if order > 2 else count_
+        stats |= {f"p{k}": int((value == k).sum()) for k in (1, 2, 3, 4)}
+        contexts, _, sums = summed(v, value, *classes(value))
+        rows += [(k, None, blob, None) for k, blob in dealt(bucket_of(contexts, buckets), buckets, [contexts], sums)]
+        words, _, sums = summed(w, count_, np.ones(len(w), np.int64))
+        rows += [(k, None, None, blob) for k, blob in dealt(bucket_of(words, buckets), buckets, [words], sums)]
+        out = pd.DataFrame(rows, columns=["bucket", "histories", "contexts", "words"])
+        return pd.concat([out, pd.DataFrame([{"bucket": key[0]} | stats])], ignore_index=True).reindex(columns=["bucket", "histories", "contexts", "words", *STATS[:8]])
+
+    def finish(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        history, *sums = all_rows(group.histories, 1, 4)
+        history, _, sums = summed(history, *sums)
+        saved(folder, "history", key[0], key=history, **{n: least_type(s) for n, s in zip(("total", "n1", "n2", "n3"), sums)})
+        context, *sums = all_rows(group.contexts, 1, 4)
+        context, _, sums = summed(context, *sums)
+        saved(folder, "context", key[0], key=context, **{n: least_type(s) for n, s in zip(("total", "n1", "n2", "n3"), sums)})
+        words, *sums = all_rows(group.words, 1, 2)
+        words, _, (counts, before) = summed(words, *sums)
+        saved(folder, "word", key[0], key=words, count=least_type(counts), before=least_type(before))
+        stats = {c: int(group[c].fillna(0).sum()) for c in STATS[:8]} | {f"b{k}": int((before == k).sum()) for k in (1, 2, 3, 4)}
+        return pd.DataFrame([stats | {"words": len(words), "tokens": int(counts.sum()), "before": int(before.sum())}])[STATS]
+
+    triples = for_all_buckets(bounded(docs).select("text").mapInArrow(tidy(count), "bucket int, triples binary"), buckets)
+    stats = ", ".join(f"{c} long" for c in STATS[:8])
+    merged = triples.groupBy("bucket").applyInPandas(tidy_group(merge), f"bucket int, histories binary, contexts binary, words binary, {stats}")
+    every = for_all_buckets(merged, buckets).groupBy("bucket").applyInPandas(tidy_group(finish), ", ".join(f"{c} long" for c in STATS))
+    totals = every.agg(*[F.sum(c).alias(c) for c in STATS]).first().asDict()
+    return {"folder": folder, "buckets": buckets, "order": order, "cutoff": cutoff, "documents": docs.count()} | totals
 
 
 def discounts(model: dict, name: str) -> np.ndarray:
     """For counts 0, 1, 2 and 3 or more, from the numbers of counts 1 to 4; halves where these are missing."""
-    n1, n2, n3, n4 = (model.get(f"{name}{k}", 0) for k in (1, 2, 3, 4))
+    n1, n2, n3, n4 = (model[f"{name}{k}"] for k in (1, 2, 3, 4))
     if not (n1 and n2 and n3):
         return np.array([0.0, 0.5, 0.5, 0.5])
     y = n1 / (n1 + 2 * n2)
@@ -197,33 +235,55 @@ def discounts(model: dict, name: str) -> np.ndarray:
 
 def scores(docs: DataFrame, model: dict) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of docs' (doc_id, held_out, text)."""
-    d, e = discounts(model, "n"), discounts(model, "b")
-    tokens, vocabulary, before_all = model["tokens"], model.get("words", 0), max(1, model.get("before", 0))
-    left = sum(e[k] * model.get(f"b{k}", 0) for k in (1, 2))
-    left += e[3] * (vocabulary - model.get("b1", 0) - model.get("b2", 0))
+    of_triples, of_pairs, of_words = (discounts(model, c) for c in "tpb")
+    if model["cutoff"] > 1:
+        of_triples[1] = 1.0
+    order, buckets = model["order"], model["buckets"]
+    tokens, vocabulary, before_all = model["tokens"], model["words"], max(1, model["before"])
+    left = sum(of_words[k] * model[f"b{k}"] for k in (1, 2))
+    left += of_words[3] * (vocabulary - model["b1"] - model["b2"])
     unseen = (left / before_all if vocabulary else 1.0) / (vocabulary + 1)
 
+    def kept(counts: np.ndarray, discount: np.ndarray) -> np.ndarray:
+        return np.maximum(counts - discount[np.minimum(counts, 3)], 0)
+
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = arrays(model["folder"], model["buckets"])
+        tables = Arrays(model["folder"], buckets)
         for batch in batches:
             for row, last, padded, offsets in blocks(batch.column("text")):
-                first, second, rows = token_pairs(padded, offsets)
+                u, v, w, rows = token_triples(padded, offsets)
                 n = last - row
-                words, inverse = np.unique(second, return_inverse=True)
-                found = table.find("word_key", "word", bucket_of(words, table.buckets), words, 2)
-                count, before = found[:, 0], found[:, 1]
-                count[words == END] = model["documents"]
+                words, back = np.unique(w, return_inverse=True)
+                count, before = tables.find("word", bucket_of(words, buckets), words, "count", "before")
                 base = np.log10((count + 1) / (tokens + vocabulary + 1))
-                lower = np.maximum(before - e[np.minimum(before, 3)], 0) / before_all + unseen
-                contexts, c_inverse = np.unique(first, return_inverse=True)
-                seen = table.find("context_key", "context", bucket_of(contexts, table.buckets), contexts, 4)
-                total = np.maximum(seen[:, 0], 1)
-                rest = np.where(seen[:, 0] > 0, (seen[:, 1:] @ d[1:]) / total, 1.0)
-                hashes, place, h_inverse = np.unique(pair_hash(first, second), return_index=True, return_inverse=True)
-                pair = table.find("pair_key", "pair_count", bucket_of(first[place], table.buckets), hashes, 1)[:, 0]
-                gain = np.maximum(pair - d[np.minimum(pair, 3)], 0)
-                p = gain[h_inverse] / total[c_inverse] + rest[c_inverse] * lower[inverse]
-                sums = [np.bincount(rows, weights=w, minlength=n) for w in (np.ones(len(rows)), count[inverse] > 0, base[inverse], np.log10(p))]
+                p = (kept(before, of_words) / before_all + unseen)[back]
+
+                contexts, of_context = np.unique(v, return_inverse=True)
+                total, *seen = tables.find("context", bucket_of(contexts, buckets), contexts, "total", "n1", "n2", "n3")
+                rest = np.where(total > 0, sum(d * s for d, s in zip(of_pairs[1:], seen)) / np.maximum(total, 1), 1.0)
+                pair = pair_hash(v, w)
+                # The pair before a token is the one that its own goes on from.
+                starts = v == START
+                contexts = np.where(starts, pair_hash(*np.full((2, 1), START)), np.roll(pair, 1))
+                pairs, of_pair = np.unique(np.concatenate([pair, contexts]), return_inverse=True)
+                bucket = bucket_of(pairs, buckets)
+                times, others = tables.find("pair", bucket, pairs, "count", "before")
+                rare = np.flatnonzero(times == 0)
+                rare = rare[tables.has("once", bucket[rare], pairs[rare])]
+                times[rare] = others[rare] = 1
+                own, onward = of_pair[: len(w)], of_pair[len(w) :]
+                value = (others if order > 2 else times)[own]
+                p = kept(value, of_pairs) / np.maximum(total, 1)[of_context] + rest[of_context] * p
+
+                if order > 2:
+                    history = tables.find("history", bucket, pairs, "total", "n1", "n2", "n3")
+                    taken = history[0] - sum(d * s for d, s in zip(of_triples[1:], history[1:]))
+                    all_of = np.where(starts, model["documents"], times[onward])
+                    triples, place, of_triple = np.unique(triple_hash(u, pair), return_index=True, return_inverse=True)
+                    (there,) = tables.find("triple", bucket[own[place]], triples, "count")
+                    known, all_of = all_of > 0, np.maximum(all_of, 1)
+                    p = np.where(known, kept(there, of_triples)[of_triple] / all_of + (1 - taken[onward] / all_of) * p, p)
+                sums = [np.bincount(rows, weights=x, minlength=n) for x in (np.ones(len(rows)), count[back] > 0, base[back], np.log10(p))]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(row, n),
@@ -236,13 +296,13 @@ def scores(docs: DataFrame, model: dict) -> DataFrame:
                 )
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return docs.select("doc_id", "held_out", "text").mapInArrow(score, schema)
+    return docs.select("doc_id", "held_out", "text").mapInArrow(tidy(score), schema)
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
+def score_texts(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> DataFrame:
     """Scores of all rows by the model of those that are not held out."""
     docs = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return scores(docs, train(docs.where(~F.col("held_out"))))
+    return scores(docs, train(docs.where(~F.col("held_out")), order, cutoff))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

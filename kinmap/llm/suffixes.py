@@ -47,15 +47,16 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.tables import Arrays, arrays, new_folder, saved
-from kinmap.llm.text import blocks, bounded, load64, mixed, pack_sorted, unpack_sorted
+from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, saved
+from kinmap.llm.text import blocks, bounded, load64, mixed, pack_sorted, tidy, tidy_group, unpack_sorted
 
 LENGTH = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 SPARE_BITS = 8
 HELD = 4_000_000
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -92,17 +93,16 @@ class Texts:
 
     def __init__(self, setting: Setting):
         self.setting = setting
-        self.tables: Arrays = arrays(setting.folder, setting.buckets)
+        self.tables = Arrays(setting.folder, setting.buckets)
         cover = np.zeros(PERIOD, bool)
         cover[list(COVER)] = True
         self.cover = cover
 
     def originals(self, padded: np.ndarray, offsets: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Whether each row is the least document with its text."""
-        digests = [xxhash.xxh3_64_intdigest(padded[a:b].data) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-        keys = mixed(np.array(digests, np.uint64) ^ np.diff(offsets).astype(np.uint64))
-        least = self.tables.find("copy_key", "copy", bucket_by_range(keys, self.setting.buckets), keys, 2)
-        return (least[:, 1] == 0) | (least[:, 0] == ids)
+        keys, check = text_names(padded, offsets)
+        least, other, there = self.tables.find("copy", bucket_by_range(keys, self.setting.buckets), keys, "least", "check", "there")
+        return (there == 0) | (other.view(np.uint64) != check) | (least == ids)
 
     def samples(self, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions of the rows with a whole string left, and their rows."""
@@ -126,7 +126,7 @@ class Texts:
         at, owner = self.samples(offsets, rows)
         values, inverse = np.unique(self.triples(words, at), return_inverse=True)
         s = self.setting
-        named = self.tables.has("triple_key", bucket_by_range(values, s.buckets, s.bits), values)[inverse]
+        named = self.tables.has("triple", bucket_by_range(values, s.buckets, s.bits), values)[inverse]
         at, owner = at[named], owner[named]
         # Every string from 30 bytes before such a triple up to it, within the row.
         size = int(offsets[-1])
@@ -141,10 +141,17 @@ class Texts:
         return place, row, spans_hash(words, place, s.length)
 
 
+def text_names(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit halves of each row's name."""
+    digests = b"".join(xxhash.xxh3_128_digest(padded[a:b].data) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
 def batches_of(texts: Texts, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         doc_ids = batch.column("doc_id").to_numpy()
-        for row, last, padded, offsets in blocks(batch.column("text")):
+        for row, last, padded, offsets in blocks(batch.column("text"), BLOCK_BYTES):
             yield padded, offsets, doc_ids[row:last]
 
 
@@ -171,6 +178,8 @@ def unpacked_names(group: pd.DataFrame, with_ids: bool) -> tuple[np.ndarray, np.
     """Values, ids and flags of all blobs of a bucket; without ids, each blob stands for its own document."""
     values, ids, many = [], [], []
     unpack = zstandard.ZstdDecompressor().decompress
+    values.append(np.zeros(0, np.uint64)), ids.append(np.zeros(0, np.int64)), many.append(np.zeros(0, bool))
+    group = group[group["names"].notna()]
     for k, (v, planes, names, flags) in enumerate(zip(group["names"], group["owner"], group["ids"], group["many"])):
         values.append(unpack_sorted(unpack(v)))
         if with_ids:
@@ -186,14 +195,14 @@ SENT = "bucket int, names binary, owner binary, ids binary, many binary"
 
 
 def send(held: list[tuple], setting: Setting, bits: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    values, ids, many = combined(*(np.concatenate(x) for x in zip(*held)))
-    held.clear()
-    cut = shares(values, setting.buckets, bits)
+    """A row a bucket; what blocks hold, sorted by value, is combined bucket by bucket, so nothing is copied as a whole."""
+    cuts = [shares(values, setting.buckets, bits) for values, _, _ in held]
     for b in range(setting.buckets):
-        part = slice(cut[b], cut[b + 1])
-        if cut[b] < cut[b + 1]:
-            row = packed_names(values[part], ids[part], many[part], with_ids)
+        parts = [[x[c[b] : c[b + 1]] for x in h] for h, c in zip(held, cuts) if c[b] < c[b + 1]]
+        if parts:
+            row = packed_names(*combined(*map(np.concatenate, zip(*parts))), with_ids)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["bucket", "names", "owner", "ids", "many"])
+    held.clear()
 
 
 def name_copies(docs: DataFrame, setting: Setting) -> None:
@@ -201,20 +210,23 @@ def name_copies(docs: DataFrame, setting: Setting) -> None:
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for padded, offsets, ids in batches_of(None, batches):
-            digests = [xxhash.xxh3_64_intdigest(padded[a:b].data) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-            keys = mixed(np.array(digests, np.uint64) ^ np.diff(offsets).astype(np.uint64))
+            keys, check = text_names(padded, offsets)
             bucket = bucket_by_range(keys, setting.buckets).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(keys.view(np.int64)), pa.array(ids)], ["bucket", "key", "doc_id"])
+            columns = [pa.array(bucket), pa.array(keys.view(np.int64)), pa.array(check.view(np.int64)), pa.array(ids)]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "key", "check", "doc_id"])
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        # Of texts whose first halves agree one gets into the table; the others' copies go through all steps.
+        group = group.dropna().astype("int64").drop_duplicates("key")
         keys = group.key.to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        saved(setting.folder, f"copy_key_{key[0]}", keys[order])
-        saved(setting.folder, f"copy_{key[0]}", np.stack([group.least.to_numpy()[order], np.ones(len(keys), np.int64)], 1))
+        least, check = (group[c].to_numpy()[order] for c in ("least", "check"))
+        saved(setting.folder, "copy", key[0], key=keys[order], least=least, check=check, there=np.ones(len(keys), np.uint8))
         return pd.DataFrame({"n": [len(keys)]})
 
-    keys = docs.mapInArrow(digest, "bucket int, key long, doc_id long")
-    copies = keys.groupBy("bucket", "key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    keys = docs.mapInArrow(tidy(digest), "bucket int, key long, check long, doc_id long")
+    copies = keys.groupBy("bucket", "key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    copies = for_all_buckets(copies.select("bucket", "key", "check", "least"), setting.buckets)
     copies.groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
@@ -233,10 +245,11 @@ def name_triples(docs: DataFrame, setting: Setting) -> None:
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         values, _, many = combined(*unpacked_names(group, False))
-        saved(setting.folder, f"triple_key_{key[0]}", values[many])
+        saved(setting.folder, "triple", key[0], key=values[many])
         return pd.DataFrame({"n": [int(many.sum())]})
 
-    docs.mapInArrow(sample, SENT).groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    sent = for_all_buckets(docs.mapInArrow(tidy(sample), SENT), setting.buckets)
+    sent.groupBy("bucket").applyInPandas(tidy_group(write), "n long").agg(F.sum("n")).collect()
 
 
 def name_strings(docs: DataFrame, setting: Setting) -> None:
@@ -256,12 +269,11 @@ def name_strings(docs: DataFrame, setting: Setting) -> None:
         values, least, many = combined(*unpacked_names(group, True))
         least = least[many]
         names, short = np.unique(least, return_inverse=True)
-        saved(setting.folder, f"string_key_{key[0]}", values[many])
-        saved(setting.folder, f"string_{key[0]}", short.astype(np.uint16 if len(names) < 1 << 16 else np.uint32))
-        saved(setting.folder, f"string_doc_{key[0]}", names)
+        saved(setting.folder, "string", key[0], key=values[many], least=least_type(short), names=names)
         return pd.DataFrame({"n": [int(many.sum())]})
 
-    docs.mapInArrow(collect, SENT).groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
+    sent = for_all_buckets(docs.mapInArrow(tidy(collect), SENT), setting.buckets)
+    sent.groupBy("bucket").applyInPandas(tidy_group(write), "n long").agg(F.sum("n")).collect()
 
 
 def tables_for(docs: DataFrame, length: int = LENGTH) -> Setting:
@@ -286,8 +298,10 @@ def removed_spans(texts: Texts, padded: np.ndarray, offsets: np.ndarray, ids: np
     original = texts.originals(padded, offsets, ids)
     place, row, names = texts.strings(padded, offsets, np.flatnonzero(original))
     values, inverse = np.unique(names, return_inverse=True)
-    least = texts.tables.find_named("string_key", "string", "string_doc", bucket_by_range(values, s.buckets), values, np.iinfo(np.int64).max)[inverse]
-    hit = place[least < ids[row]]
+    least = np.full(len(values), np.iinfo(np.int64).max)
+    for there, at, found in texts.tables.hits("string", bucket_by_range(values, s.buckets), values):
+        least[at] = there["names"][there["least"][found]]
+    hit = place[least[inverse] < ids[row]]
     marks = np.zeros(size + 1, np.int32)
     np.add.at(marks, hit, 1)
     np.add.at(marks, hit + s.length, -1)
@@ -330,7 +344,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = False, carry:
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     schema += ", kept string" * with_text + "".join(f", `{c}` {t}" for c, t in docs.dtypes if c in carry)
-    return docs.mapInArrow(remove, schema)
+    return docs.mapInArrow(tidy(remove), schema)
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 # Arrow buffers go back to the system when they are freed, not to a pool that idle workers keep.
 pa.set_memory_pool(pa.system_memory_pool())
 
-BATCH_ROWS, BATCH_BYTES = "1000", str(8 << 20)
+BATCH_ROWS, BATCH_BYTES = "1000", str(4 << 20)
 
 PAD = 64
 BLOCK_BYTES = 2 << 20
@@ -53,6 +54,18 @@ def tidy(function: Callable) -> Callable:
     return run
 
 
+def tidy_group(function: Callable) -> Callable:
+    """The function on a key and its group, which gives freed memory back when it is done."""
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out = function(key, group)
+        del group
+        give_back()
+        return out
+
+    return run
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words that spreads every bit."""
     x = (x ^ (x >> np.uint64(31))) * MULTIPLIER
