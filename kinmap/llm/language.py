@@ -6,15 +6,18 @@ document frequency. Document frequencies are counted over all training rows.
 Weights are trained on a bounded sample of labelled rows (`train_rows`, the rows
 with the smallest hashes; fitting a classifier on a documented sample) by
 follow-the-regularised-leader with an L1 and an L2 penalty per coordinate, in
-shards whose weights are averaged after each pass. A softmax temperature is
-then fitted on a part of the sample that was not trained on.
+shards of their own, `PASSES` times each; then the shards' weights are averaged by
+their rows. A softmax temperature is fitted on a part of the sample that was not
+trained on.
 
 Scoring reads whole texts; a text's score is linear in its n-grams, so long texts
 need no more memory than a block of them.
 
 Defined results: a null text, or one without a letter, is `und` with score 1; with
 no labelled training row everything is `und` with score 0; ties go to the first
-language by code point; repeated rows are predicted each; extra columns are ignored.
+language by code point; repeated rows are predicted each; rows without doc_id are
+predicted and never held out; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -195,7 +198,8 @@ def best_temperature(s: np.ndarray, y: np.ndarray) -> float:
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred and score; only the text is looked at."""
+    """docs with lang_pred and score, in place of columns of these names; only the text is looked at."""
+    docs = docs.drop("lang_pred", "score")
     names = np.array(model.languages if model else [UNKNOWN], object)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -227,6 +227,31 @@ def test_language(spark):
     assert all(0 <= r.score <= 1 for r in found.values())
 
 
+def test_language_scores_against_loops(spark, docs, local):
+    """Every text's score by the fitted table, n-gram by n-gram."""
+    wide = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ (x >> 31)) * 0x9E3779B97F4A7C15 & wide
+        x = (x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 & wide
+        return x ^ (x >> 32)
+
+    model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
+    got = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    for i, t in local.items():
+        points = [int.from_bytes(c.encode(), "little") for c in "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (t or "").lower())]
+        features, grams = [], [0] * len(points)
+        for n in range(3):
+            grams = [mixed((g * 31 + p + int(language.SEEDS[n])) & wide) for g, p in zip(grams, points[n:])]
+            features += [g & (language.DIMS - 1) for g in grams]
+        s = (model.table[features].sum(0) / max(1, len(features)) + model.bias) / model.temperature
+        p = np.exp(s - s.max()) / np.exp(s - s.max()).sum()
+        if not any(c.isalpha() for c in t or ""):
+            assert (got[i].lang_pred, got[i].score) == ("und", 1.0)
+        else:
+            assert got[i].score == pytest.approx(p.max()) and got[i].lang_pred == model.languages[p.argmax()]
+
+
 def test_mixing_targets(docs, local):
     rows = docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("size"))
     got = mixing.mix(rows, rows_per_slice=8).collect()
@@ -491,6 +516,35 @@ def test_vectors_of_odd_rows(spark):
     assert got == {k: (len(many) - 1, 0) for k in range(len(many))}
 
 
+STAGE_NAMES = ["language_id", "ngram_jaccard_join", "suffix_array_dedup", "mixing_sources", "best_fit_packing"]
+
+
+@pytest.mark.parametrize("name", STAGE_NAMES)
+def test_pipeline_stages_on_odd_rows(spark, none, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    assert stage(spark, none, "").collect() == []
+    text = "the same words again and again in one text of its own that is long enough to be cut where it repeats"
+    rows = [(None, text, "en", "a"), (1, None, None, None), (2, "", "en", None), (3, text, "en", "a"), (3, text, "en", "a"), (4, text, "en", "b"), (5, "12 !! 3", "en", "b"), (6, text[::-1] + "\n" + text, "en", "b")]
+    frame = spark.createDataFrame([(i, t, lang, s, None if t is None else len(t), "extra") for i, t, lang, s in rows], "doc_id long, text string, lang string, source string, n_chars long, token string")
+    out = stage(spark, frame, "").collect()
+    if name == "best_fit_packing":
+        assert sorted((r.doc_id is None, r.doc_id or 0) for r in out) == sorted((i is None, i or 0) for i, *_ in rows)
+        return
+    assert all(list(r.asDict()) == corpus_pipeline.COLUMNS for r in out)
+    ids = sorted(r.doc_id for r in out if r.doc_id is not None)
+    if name == "language_id":  # no letter, no language; the row without an id stays, and so does each repeated row
+        assert ids == [3, 3, 4, 6] and len(out) == 5
+    elif name == "ngram_jaccard_join":  # one row an id, the least of a group; texts without words are kept
+        assert ids == [1, 2, 3, 5, 6] and len(out) == 5
+    elif name == "suffix_array_dedup":  # 4 is cut to nothing, 6 to its own line; empty texts stay
+        assert ids == [1, 2, 3, 3, 5, 6] and len(out) == 6
+        assert next(r for r in out if r.doc_id == 6).text == text[::-1] + "\n" and next(r for r in out if r.doc_id == 6).n_chars == len(text) + 1
+    else:  # nothing is taken more than twice, rows that agree share what is taken
+        assert all(ids.count(i) <= (4 if i == 3 else 2) for i in ids) and {3, 4, 6} & set(ids)
+
+
 def test_pipeline_stages_feed_each_other(spark, docs, tmp_path):
     import corpus_pipeline
 
