@@ -3,7 +3,9 @@
 Each stage reads what the one before kept, and its decisions take effect: documents
 without a language go, one document of each group of near copies stays, repeated
 passages are cut out of texts, sources are mixed (a document may be taken more than
-once or not at all), and what is left is packed. Extra columns are dropped.
+once or not at all), and what is left is packed. Extra columns are dropped, whatever
+their names, and an empty table gives an empty result, at every stage. What null ids,
+repeated rows, null and empty texts and ties give is said at each stage.
 """
 
 from __future__ import annotations
@@ -22,7 +24,12 @@ LEAST_SCORE = 0.35
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language."""
+    """Documents with a language.
+
+    Null texts and texts without a letter have none and go. Rows are judged one by
+    one, so repeated ones stay or go together, and rows without an id as others. Of
+    languages with equal scores the first by code point counts.
+    """
     docs = docs.select(*COLUMNS)
     model = language.fit(docs.where(~language.held_out(F.col("doc_id"))))
     found = language.predict(docs, model)
@@ -30,7 +37,11 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each component of near copies."""
+    """The document with the least doc_id of each component of near copies.
+
+    Texts that are null or have no words are near to none and stay. Rows without an
+    id go. Of rows that share an id one stays, the largest by text and the others.
+    """
     docs = docs.select(*COLUMNS)
     found = jaccard.jaccard_components(docs)
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
@@ -40,7 +51,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages that documents before them hold; what is cut to nothing goes."""
+    """Texts without the passages that documents with smaller ids hold; what is cut to nothing goes.
+
+    Texts that were null or empty stay as empty ones, n_chars is counted anew, and a
+    character of which some bytes are cut goes as a whole. Rows without an id go; rows
+    that share one do not cut each other.
+    """
     kept = suffixes.dedup(docs.select(*COLUMNS), with_text=True, carry=("lang", "source"))
     kept = kept.where((F.col("kept") != "") | (F.col("n_bytes") == 0))
     n_chars = F.length("kept").cast("long").alias("n_chars")
@@ -48,7 +64,13 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, twice at most.
+
+    A null source is one of its own. Documents without words cost the mix nothing and
+    go with what stands around them in their source's order; a source that has no
+    words at all is not served. Rows that agree in id, source and size share what is
+    served to them. Ties in virtual time go by the hash of the id, then the id.
+    """
     docs = docs.select(*COLUMNS).withColumn("size", mixing.word_count(F.col("text")))
     _, kept = mixing.served(docs.select("doc_id", "source", "size"))
     taken = kept.groupBy("doc_id", "source", "size").agg(F.collect_list("time").alias("times")).toDF("t_id", "t_source", "t_size", "times")
@@ -67,7 +89,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their sequences and offsets."""
+    """Pieces of documents with their sequences and offsets.
+
+    Every row is packed, repeated ones and those without an id too; a null or empty
+    text is one piece with the end id alone. Pieces of equal length go by hash.
+    """
     return packing.best_fit_pack(docs)
 
 
