@@ -13,16 +13,20 @@ which equal strings are neighbours as in any other.
    in two documents get into a table of names. All others are unique and leave
    the recursion, with all strings that hold no other triple.
 2. Recurse: the strings that hold a named triple at some shift, which is few of
-   all, are named by all their bytes and sorted in buckets.
-3. Merge and compare: neighbours of equal names in different documents get into a
-   table with their least doc_id. A last pass over the texts looks up the strings
-   of step 2 and removes what the table gives to a smaller document.
+   all, get short names and are sorted in buckets again. Those that stand in two
+   documents get into a second table; strings that are not in it are unique.
+3. Merge and compare: what is left, about the strings that are removed or kept as
+   first ones, gets whole names. Neighbours of equal names in different documents
+   get into a table with their least doc_id. A last pass over the texts looks their
+   strings up and removes what the table gives to a smaller document.
 
 Tasks combine equal names before sending, so a passage that stands everywhere is
-one entry a task. Names in step 1 get as many bits as the corpus needs, as a
-wrongly shared triple only costs work; strings in steps 2 and 3 have 64 bits.
-Equal texts are one class first: only the least doc_id of each goes through the
-steps, and the others lose all their bytes, if they have `length` at least.
+one entry a task. Names in steps 1 and 2 get as many bits as the corpus needs, as a
+wrongly shared one only costs work. Those in step 3 decide, so they get twice as
+many bits as number the strings and `CERTAIN` more: that any two different strings
+of a corpus have equal names has a chance of 2**-CERTAIN at most, whatever its size.
+Equal texts (by 128 bits) are one class first: only the least doc_id of each goes
+through the steps, and the others lose all their bytes, if they have `length` at least.
 
 The tables are sorted hash arrays in the shared folder, mapped into memory, and
 each task touches what its texts need; texts themselves are never shuffled.
@@ -36,7 +40,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -57,19 +61,21 @@ SPARE_BITS = 8
 HELD = 4_000_000
 BUCKET_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 19
+CERTAIN = 16
 
 
 @dataclass(frozen=True)
 class Setting:
     folder: str
     buckets: int
-    bits: int
+    bits: int  # of triples' and short names
+    extra: int  # bits of whole names, beside their first 64
     length: int
 
 
-def spans_hash(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+def spans_hash(words: np.ndarray, at: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """Hashes of the `length` bytes from each position on."""
-    out = np.full(len(at), np.uint64(length))
+    out = np.full(len(at), np.uint64(length + (seed << 32)))
     for k in range(0, length - 7, 8):
         out = mixed(out) ^ words[at + k]
     if length % 8:
@@ -120,9 +126,8 @@ class Texts:
         length = self.setting.length - PERIOD + 1
         return spans_hash(words, at, length) >> np.uint64(64 - self.setting.bits)
 
-    def strings(self, padded: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, rows and names of the strings that hold a named triple."""
-        words = load64(padded)
+    def strings(self, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, rows and the first 64 bits of names of the strings that hold a named triple."""
         at, owner = self.samples(offsets, rows)
         values, inverse = np.unique(self.triples(words, at), return_inverse=True)
         s = self.setting
@@ -140,6 +145,17 @@ class Texts:
         place, row = place[whole], row[whole]
         return place, row, spans_hash(words, place, s.length)
 
+    def short(self, names: np.ndarray) -> np.ndarray:
+        return names >> np.uint64(64 - self.setting.bits)
+
+    def shared_strings(self, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, rows and both parts of the names of the strings whose short names stand in several documents."""
+        place, row, names = self.strings(words, offsets, rows)
+        short, s = self.short(names), self.setting
+        there = self.tables.has("short", bucket_by_range(short, s.buckets, s.bits), short)
+        place, row, names = place[there], row[there], names[there]
+        return place, row, names, spans_hash(words, place, s.length, 1) >> np.uint64(64 - s.extra)
+
 
 def text_names(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit halves of each row's name."""
@@ -155,53 +171,74 @@ def batches_of(texts: Texts, batches: Iterator[pa.RecordBatch]) -> Iterator[tupl
             yield padded, offsets, doc_ids[row:last]
 
 
-def combined(values: np.ndarray, ids: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct values in order with their least id and whether they stand in several documents."""
+def combined(values: np.ndarray, ids: np.ndarray, many: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Distinct values in order with their least id and whether they stand in several documents; `more` is a second part of values."""
     order = np.argsort(values)
+    if more is not None:
+        same = values[order][1:] == values[order][:-1]
+        if (same & (more[order][1:] != more[order][:-1])).any():
+            order = np.lexsort((more, values))
+        more = more[order]
     values, ids, many = values[order], ids[order], many[order]
-    new = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-    if not len(new):
-        return values, ids, many
-    least, most = np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
-    return values[new], least, np.logical_or.reduceat(many, new) | (least != most)
+    differs = values[1:] != values[:-1]
+    if more is not None:
+        differs |= more[1:] != more[:-1]
+    new = np.flatnonzero(np.append(True, differs)) if len(values) else np.zeros(0, np.int64)
+    if len(new):
+        least, most = np.minimum.reduceat(ids, new), np.maximum.reduceat(ids, new)
+        values, ids, many = values[new], least, np.logical_or.reduceat(many, new) | (least != most)
+    return (values, ids, many) if more is None else (values, ids, many, more[new])
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(values.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T).tobytes()
+
 
+def from_planes(packed: bytes, width: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel()
 
-def packed_names(values: np.ndarray, ids: np.ndarray, many: np.ndarray, with_ids: bool) -> tuple[bytes, bytes, bytes, bytes]:
-    names, short = np.unique(ids, return_inverse=True) if with_ids else (ids[:0], ids[:0])
-    planes = np.ascontiguousarray(short.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+def packed_names(values: np.ndarray, ids: np.ndarray, many: np.ndarray, more: np.ndarray | None = None) -> tuple[bytes | None, ...]:
+    """Names and flags, and of whole names their second parts and document ids."""
     # Entropy coding takes the half-empty planes, which Spark's own compression leaves.
     pack = zstandard.ZstdCompressor(level=1).compress
-    return pack(pack_sorted(values)), pack(planes), pack(pack_sorted(names.astype("<i8").view(np.uint64))), pack(np.packbits(many).tobytes())
+    flags = pack(np.packbits(many).tobytes())
+    if more is None:
+        return pack(pack_sorted(values)), None, None, None, flags
+    names, short = np.unique(ids, return_inverse=True)
+    ids = pack(pack_sorted(names.astype("<i8").view(np.uint64)))
+    return pack(pack_sorted(values)), pack(planes(more, 8)), pack(planes(short, 4)), ids, flags
 
 
-def unpacked_names(group: pd.DataFrame, with_ids: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Values, ids and flags of all blobs of a bucket; without ids, each blob stands for its own document."""
-    values, ids, many = [], [], []
+def unpacked_names(group: pd.DataFrame, whole: bool) -> tuple[np.ndarray, ...]:
+    """Values, ids, flags and, of whole names, second parts of all blobs of a bucket; without ids, each blob stands for its own document."""
+    values, ids, many, more = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)], [np.zeros(0, np.uint64)]
     unpack = zstandard.ZstdDecompressor().decompress
-    values.append(np.zeros(0, np.uint64)), ids.append(np.zeros(0, np.int64)), many.append(np.zeros(0, bool))
     group = group[group["names"].notna()]
-    for k, (v, planes, names, flags) in enumerate(zip(group["names"], group["owner"], group["ids"], group["many"])):
-        values.append(unpack_sorted(unpack(v)))
-        if with_ids:
-            short = np.ascontiguousarray(np.frombuffer(unpack(planes), np.uint8).reshape(4, -1).T).view("<u4").ravel()
-            ids.append(unpack_sorted(unpack(names)).view(np.int64)[short])
+    for k, row in enumerate(group.itertuples(index=False)):
+        values.append(unpack_sorted(unpack(row.names)))
+        if whole:
+            more.append(from_planes(unpack(row.more), 8))
+            ids.append(unpack_sorted(unpack(row.ids)).view(np.int64)[from_planes(unpack(row.owner), 4)])
         else:
             ids.append(np.full(len(values[-1]), k, np.int64))
-        many.append(np.unpackbits(np.frombuffer(unpack(flags), np.uint8), count=len(values[-1])).astype(bool))
-    return np.concatenate(values), np.concatenate(ids), np.concatenate(many)
+        many.append(np.unpackbits(np.frombuffer(unpack(row.many), np.uint8), count=len(values[-1])).astype(bool))
+    parts = (values, ids, many, more) if whole else (values, ids, many)
+    return tuple(map(np.concatenate, parts))
 
 
-SENT = "bucket int, names binary, owner binary, ids binary, many binary"
+SENT = "bucket int, names binary, more binary, owner binary, ids binary, many binary"
 
 
-def send(held: list[tuple], setting: Setting, bits: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def send(held: list[tuple], setting: Setting, bits: int) -> Iterator[pa.RecordBatch]:
     """A row a bucket; what blocks hold, sorted by value, is combined bucket by bucket, so nothing is copied as a whole."""
-    cuts = [shares(values, setting.buckets, bits) for values, _, _ in held]
+    cuts = [shares(values[0], setting.buckets, bits) for values in held]
     for b in range(setting.buckets):
         parts = [[x[c[b] : c[b + 1]] for x in h] for h, c in zip(held, cuts) if c[b] < c[b + 1]]
         if parts:
-            row = packed_names(*combined(*map(np.concatenate, zip(*parts))), with_ids)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["bucket", "names", "owner", "ids", "many"])
+            row = packed_names(*combined(*map(np.concatenate, zip(*parts))))
+            columns = [pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]]
+            yield pa.RecordBatch.from_arrays(columns, ["bucket", "names", "more", "owner", "ids", "many"])
     held.clear()
 
 
@@ -230,50 +267,50 @@ def name_copies(docs: DataFrame, setting: Setting) -> None:
     copies.groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
-def name_triples(docs: DataFrame, setting: Setting) -> None:
-    """The table of sampled triples that stand in several documents."""
+def named(docs: DataFrame, setting: Setting, table: str, names: Callable, whole: bool = False) -> None:
+    """Write a table of the names that stand in several documents.
+
+    names(texts, words, offsets, rows, ids) gives a block's names with their documents
+    and, of whole names, second parts. Those of copies of smaller documents are left out.
+    """
 
-    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, held = Texts(setting), []
         for padded, offsets, ids in batches_of(texts, batches):
-            at, owner = texts.samples(offsets, np.flatnonzero(texts.originals(padded, offsets, ids)))
-            held.append(combined(texts.triples(load64(padded), at), ids[owner], np.zeros(len(at), bool)))
+            values, owner, *more = names(texts, load64(padded), offsets, np.flatnonzero(texts.originals(padded, offsets, ids)))
+            held.append(combined(values, ids[owner], np.zeros(len(values), bool), *more))
             if sum(len(h[0]) for h in held) > HELD:
-                yield from send(held, setting, setting.bits, False)
+                yield from send(held, setting, 64 if whole else setting.bits)
         if held:
-            yield from send(held, setting, setting.bits, False)
+            yield from send(held, setting, 64 if whole else setting.bits)
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        values, _, many = combined(*unpacked_names(group, False))
-        saved(setting.folder, "triple", key[0], key=values[many])
+        values, least, many, *more = combined(*unpacked_names(group, whole))
+        arrays = {"key": values[many]}
+        if whole:
+            # Documents of a bucket are a list, and names hold places in it.
+            documents, short = np.unique(least[many], return_inverse=True)
+            arrays |= {"more": least_type(more[0][many]), "least": least_type(short), "documents": documents}
+        saved(setting.folder, table, key[0], **arrays)
         return pd.DataFrame({"n": [int(many.sum())]})
 
-    sent = for_all_buckets(docs.mapInArrow(tidy(sample), SENT), setting.buckets)
+    sent = for_all_buckets(docs.mapInArrow(tidy(collect), SENT), setting.buckets)
     sent.groupBy("bucket").applyInPandas(tidy_group(write), "n long").agg(F.sum("n")).collect()
 
 
-def name_strings(docs: DataFrame, setting: Setting) -> None:
-    """The table of strings that stand in several documents, with the least of these."""
+def triple_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at, owner = texts.samples(offsets, rows)
+    return texts.triples(words, at), owner
 
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, held = Texts(setting), []
-        for padded, offsets, ids in batches_of(texts, batches):
-            _, row, names = texts.strings(padded, offsets, np.flatnonzero(texts.originals(padded, offsets, ids)))
-            held.append(combined(names, ids[row], np.zeros(len(row), bool)))
-            if sum(len(h[0]) for h in held) > HELD:
-                yield from send(held, setting, 64, True)
-        if held:
-            yield from send(held, setting, 64, True)
 
-    def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        values, least, many = combined(*unpacked_names(group, True))
-        least = least[many]
-        names, short = np.unique(least, return_inverse=True)
-        saved(setting.folder, "string", key[0], key=values[many], least=least_type(short), names=names)
-        return pd.DataFrame({"n": [int(many.sum())]})
+def short_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    _, row, names = texts.strings(words, offsets, rows)
+    return texts.short(names), row
 
-    sent = for_all_buckets(docs.mapInArrow(tidy(collect), SENT), setting.buckets)
-    sent.groupBy("bucket").applyInPandas(tidy_group(write), "n long").agg(F.sum("n")).collect()
+
+def whole_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    _, row, names, more = texts.shared_strings(words, offsets, rows)
+    return names, row, more
 
 
 def tables_for(docs: DataFrame, length: int = LENGTH) -> Setting:
@@ -283,11 +320,13 @@ def tables_for(docs: DataFrame, length: int = LENGTH) -> Setting:
         raise ValueError(f"strings need at least {PERIOD + 7} bytes")
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = max(1, -(-size // BUCKET_BYTES))
-    bits = min(64, math.ceil(math.log2(size * len(COVER) / PERIOD + 2)) + SPARE_BITS)
-    setting = Setting(new_folder(docs.sparkSession, "strings"), buckets, bits, length)
+    bits = min(64, math.ceil(math.log2(size * len(COVER) / PERIOD + 2)) + SPARE_BITS)  # short names are about as many
+    extra = min(64, max(1, 2 * math.ceil(math.log2(size + 2)) + CERTAIN - 64))
+    setting = Setting(new_folder(docs.sparkSession, "strings"), buckets, bits, extra, length)
     name_copies(docs, setting)
-    name_triples(docs, setting)
-    name_strings(docs, setting)
+    named(docs, setting, "triple", triple_names)
+    named(docs, setting, "short", short_names)
+    named(docs, setting, "string", whole_names, whole=True)
     return setting
 
 
@@ -296,12 +335,18 @@ def removed_spans(texts: Texts, padded: np.ndarray, offsets: np.ndarray, ids: np
     s = texts.setting
     size = int(offsets[-1])
     original = texts.originals(padded, offsets, ids)
-    place, row, names = texts.strings(padded, offsets, np.flatnonzero(original))
-    values, inverse = np.unique(names, return_inverse=True)
-    least = np.full(len(values), np.iinfo(np.int64).max)
-    for there, at, found in texts.tables.hits("string", bucket_by_range(values, s.buckets), values):
-        least[at] = there["names"][there["least"][found]]
-    hit = place[least[inverse] < ids[row]]
+    place, row, names, more = texts.shared_strings(load64(padded), offsets, np.flatnonzero(original))
+    least = np.full(len(names), np.iinfo(np.int64).max)
+    for there, at, found in texts.tables.hits("string", bucket_by_range(names, s.buckets), names):
+        while True:  # names that agree in their first parts alone stand side by side
+            other = there["more"][found] != more[at]
+            after = np.minimum(found + 1, len(there["key"]) - 1)
+            onward = other & (after > found) & (there["key"][after] == names[at])
+            if not onward.any():
+                break
+            found = np.where(onward, after, found)
+        least[at[~other]] = there["documents"][there["least"][found[~other]]]
+    hit = place[least < ids[row]]
     marks = np.zeros(size + 1, np.int32)
     np.add.at(marks, hit, 1)
     np.add.at(marks, hit + s.length, -1)
