@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmap.sources.fixtures import NetworkSet
-from kinmap.session import checkpointed
+from kinmap.session import broadcast_up_to, checkpointed
 
 
 # Validation
@@ -268,7 +268,7 @@ def coarsening(edges: DataFrame, nodes: DataFrame, supernodes: DataFrame) -> Dat
     lone = isolated(nodes, reached).join(supernodes, "node", "left_anti").select("node")
     size = supernodes.agg(F.count("*").alias("k"))
     # Rows times supernodes: what an even spread is; both sides are of one graph after coarsening.
-    spread = lone.crossJoin(F.broadcast(supernodes.select(F.col("id").alias("supernode")))).crossJoin(F.broadcast(size))
+    spread = lone.crossJoin(broadcast_up_to(supernodes.select(F.col("id").alias("supernode")))).crossJoin(F.broadcast(size))
     spread = spread.select("node", "supernode", (F.lit(1.0) / F.col("k")).alias("w"))
     plain = reached.join(supernodes.select(F.col("node").alias("src")), "src", "left_anti")
     plain = relabelled(plain, supernodes, "dst").select(F.col("src").alias("node"), F.col("dst").alias("supernode"), "w")

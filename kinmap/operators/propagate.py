@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kinmap.operators.graph import degree_shares, single_hop, stochastic, with_end_in  # noqa: F401
 from kinmap.operators.ranking import mutual_best
-from kinmap.session import checkpointed
+from kinmap.session import broadcast_up_to, checkpointed
 
 
 def push(edges: DataFrame, values: DataFrame) -> DataFrame:
@@ -34,7 +34,7 @@ def restart_walk(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, restart
     steps = stochastic(edges.select(F.lit(0).alias("gid"), "src", "dst", "w")).select("src", "dst", "w")
     keys = anchors.select("key").distinct()
     # Nodes times anchors: the result has this size as every value starts at one.
-    values = nodes.select("node").crossJoin(F.broadcast(keys)).withColumn("value", F.lit(1.0))
+    values = nodes.select("node").crossJoin(broadcast_up_to(keys)).withColumn("value", F.lit(1.0))
     starts = anchors.select("node", "key", F.lit(1.0).alias("value"))
     lone = nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti")
     size = nodes.count() if connect_isolated else 0
@@ -42,7 +42,7 @@ def restart_walk(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, restart
         after = added((1 - restart, push(steps, values)), (restart, starts), (0.0, values))
         if connect_isolated:
             spread = values.join(lone, "node", "left_semi").groupBy("key").agg((F.sum("value") / size * (1 - restart)).alias("extra"))
-            after = after.join(F.broadcast(spread), "key", "left").select("node", "key", (F.col("value") + F.coalesce("extra", F.lit(0.0))).alias("value"))
+            after = after.join(spread, "key", "left").select("node", "key", (F.col("value") + F.coalesce("extra", F.lit(0.0))).alias("value"))
         if (k + 1) % check_every and k + 1 < iterations:
             values = after
             continue

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmap.operators.graph import running
-from kinmap.session import checkpointed
+from kinmap.session import broadcast_up_to, checkpointed
 
 KS = (1, 10, 30, 50)
 
@@ -77,7 +77,11 @@ def evaluate(pairs: DataFrame, tests: DataFrame, n1: int, n2: int, metrics: tupl
     unknown = [m for m in metrics if m != "MRR" and not (m.startswith("Hits@") and m[5:].isdigit())]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
-    ranked = both_ranks(checkpointed(pairs), tests, n1, n2)
+    return evaluate_ranks(both_ranks(checkpointed(pairs), tests, n1, n2), metrics, mode)
+
+
+def evaluate_ranks(ranked: DataFrame, metrics: tuple[str, ...] = (*[f"Hits@{k}" for k in KS], "MRR"), mode: str = "mean") -> DataFrame:
+    """(name, value) of the named metrics from (u, v, direction, rank)."""
     return metric_rows(ranked, {m: metric(m, mode) for m in metrics})
 
 
@@ -122,7 +126,7 @@ def degree_anchors(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
     h2 = two.groupBy(F.col("degree").alias("d2")).agg(F.count("*").alias("m2"))
     gap = F.abs(F.col("d1") - F.col("d2"))
     # Histograms are as long as there are different degrees.
-    cells = h1.crossJoin(F.broadcast(h2)).select("d1", "d2", gap.alias("gap"), (F.col("m1") * F.col("m2")).alias("cell"))
+    cells = h1.crossJoin(broadcast_up_to(h2)).select("d1", "d2", gap.alias("gap"), (F.col("m1") * F.col("m2")).alias("cell"))
     levels = cells.groupBy("gap").agg(F.sum("cell").alias("in_level"))
     before = Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("before", F.coalesce(F.sum("in_level").over(before), F.lit(0))).where(F.col("before") < k)

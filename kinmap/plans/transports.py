@@ -13,7 +13,7 @@ from kinmap.operators import similarity as sim
 from kinmap.operators import transport as ot
 from kinmap.plans.base import query
 from kinmap.plans.metrics import round_all
-from kinmap.session import checkpointed
+from kinmap.session import broadcast_up_to, checkpointed
 from kinmap.sources import fixtures as fx
 from kinmap.sources.fixtures import sql
 
@@ -164,7 +164,7 @@ def g20(spark, d):
 def bases(net, g):
     """Adjacency and the cosines of the anchors' one-hot rows, centred, under two convolutions."""
     keys = net.anchors.select(F.col("u").alias("key"))
-    one_hot = net.nodes[g].crossJoin(F.broadcast(keys)).select("node", "key", F.when(F.col("node") == F.col("key"), 1.0).otherwise(0.0).alias("value"))
+    one_hot = net.nodes[g].crossJoin(broadcast_up_to(keys)).select("node", "key", F.when(F.col("node") == F.col("key"), 1.0).otherwise(0.0).alias("value"))
     centred = one_hot.select("node", "key", (F.col("value") - 1.0 / net.n[g]).alias("value"))
     nodes = net.nodes[g].select(F.lit(0).alias("gid"), "node")
     normal = graph.symmetric(nodes, net.edges[g].select(F.lit(0).alias("gid"), "src", "dst", "w")).select("src", "dst", "w")
@@ -252,8 +252,8 @@ def g13(spark, d):
     net = fx.chains(spark, d)
     n = fx.table(spark, d, "customer").count()
     emb = checkpointed(sim.landmark_embedding(signature_vectors(net), min(int(10 * np.log2(n)), n)))
-    pairs = sim.pairwise(emb.where("gid = 0"), emb.where("gid = 1"), lambda x, y: np.round(sim.inner(x, y), 9))
-    return round_all(ranking.evaluate(pairs, net.pairs("test"), n, n), "value")
+    ranked = sim.block_ranks(emb.where("gid = 0"), emb.where("gid = 1"), net.pairs("test"), lambda x, y: np.round(sim.inner(x, y), 9))
+    return round_all(ranking.evaluate_ranks(ranked), "value")
 
 
 #: An algorithm is a function from a network set to pairs (u, v, score).

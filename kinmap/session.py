@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g", **conf: str) -> SparkSession:
@@ -41,6 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def broadcast_up_to(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """The table, marked for a broadcast if it has at most so many rows; beyond, joins shuffle it."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage by a compressed table in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

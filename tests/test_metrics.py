@@ -82,3 +82,18 @@ def test_degree_anchors_match_the_full_table(spark):
     for k in (1, 5, 17, 63):
         got = {(r.u, r.v) for r in ranking.degree_anchors(a, b, k).collect()}
         assert got == {(u, v) for _, u, v in full[:k]}
+
+
+def test_ranks_by_blocks(spark):
+    """The same ranks as from all pairs, with ties and blocks on both sides."""
+    import numpy as np
+
+    from kinmap.operators import ranking, similarity
+
+    rng = np.random.default_rng(2)
+    sides = [spark.createDataFrame([(k, [float(x) for x in rng.integers(0, 3, 4)]) for k in range(n)], "node long, vec array<double>") for n in (25, 19)]
+    tests = spark.createDataFrame([(int(u), int(v)) for u, v in zip(rng.permutation(25)[:12], rng.permutation(19)[:12])], "u long, v long")
+    got = {tuple(r) for r in similarity.block_ranks(*sides, tests, similarity.inner, rows=8).select("u", "v", "direction", "rank").collect()}
+    pairs = similarity.pairwise(*sides, similarity.inner, rows=8)
+    want = {tuple(r) for r in ranking.both_ranks(pairs, tests, 25, 19).select("u", "v", "direction", "rank").collect()}
+    assert got == want and len(got) == 24
