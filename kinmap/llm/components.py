@@ -61,17 +61,21 @@ def contracted(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(forest, "hi long, lo long")
 
 
+def lowest(edges: DataFrame) -> DataFrame:
+    """(hi, m): the least neighbour of each vertex that has a smaller one."""
+    return edges.groupBy("hi").agg(F.min("lo").alias("m"))
+
+
 def large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("lo"), F.col("hi"))).toDF("u", "v")
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    linked = both.where("v > u").join(least, "u")
-    return linked.where("v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo"))  # as many rows as edges
+    """Each vertex's larger neighbours linked with its least neighbour, or with itself if it has no smaller one."""
+    linked = edges.join(lowest(edges).withColumnRenamed("hi", "lo"), "lo", "left")
+    return linked.select("hi", F.coalesce("m", "lo").alias("lo"))  # as many rows as edges
 
 
 def small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    linked = edges.join(least, "hi")
-    down = linked.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
+    """Each vertex and its smaller neighbours linked with the least of these."""
+    least = lowest(edges)
+    down = edges.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
     return down.union(least.select("hi", F.col("m").alias("lo"))).distinct()
 
 

@@ -220,6 +220,25 @@ def test_jaccard_of_chains_and_hubs(spark):
     assert got == brute_jaccard(rows)
 
 
+def test_components_of_chains_and_random_edges(spark):
+    from kinmap.llm.components import components
+
+    rnd = random.Random(1)
+    edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(60)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: find(x) for a, b in edges if a != b for x in (a, b)}
+
+
 def test_language(spark):
     rnd = random.Random(2)
     syllables = {"en": ["the", "ing", "th", "er", "on"], "fr": ["eau", "é", "ou", "ment", "que"]}
