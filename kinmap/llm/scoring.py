@@ -21,8 +21,10 @@ folder and look words up by binary search, so that a worker touches what its tex
 with b the number of different words before, one discount each for counts 1, 2 and
 3 or more, and one share of the last term for all unknown words. Triples below the
 cutoff (2: most triples stand once, and would take more room than the texts) are
-discounted wholly: their share goes to p(w|v), and the model still sums to one. With
-order 2 there are no triples and p(w|v) has counts for b. Cutoff 1 keeps all triples.
+discounted wholly: their share goes to p(w|v), and the model still sums to one.
+Cutoff 1 keeps all triples. With order 2, the default, there are no triples and
+p(w|v) has counts for b; nothing is cut off. Order 3 takes more disk than the
+registered query may (figures in the README).
 
 Defined results: null text is empty and its only token is the end; with nothing to
 learn from, all words are unknown; repeated rows are counted and scored each;
@@ -44,7 +46,7 @@ from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, s
 from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, tidy_group, unpack_sorted, word_hashes
 
 START, END = np.uint64(1), np.uint64(2)
-ORDER, CUTOFF = 3, 2
+ORDER, CUTOFF = 2, 2
 BUCKET_BYTES = 16 << 20
 HELD_TOKENS = 2_000_000
 #: What is counted over all buckets: triples and pairs in all, and those with 1 to 4.
