@@ -12,32 +12,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinmap.operators.graph import running
-from kinmap.session import broadcast_up_to, checkpointed
+from kinmap.session import broadcast_up_to, checkpointed, stored
 
 KS = (1, 10, 30, 50)
 
 
-def ranks(pairs: DataFrame, tests: DataFrame, size: int, query: str = "u", answer: str = "v") -> DataFrame:
-    """(query, answer, rank) of the tests among all `size` nodes of the answer's graph."""
-    q, a = F.col(query), F.col(answer)
-    tests = tests.select(query, answer).distinct()
-    scored = tests.join(pairs, [query, answer], "left").select(query, answer, F.coalesce("score", F.lit(0.0)).alias("s"))
+def scored_tests(pairs: DataFrame, tests: DataFrame) -> DataFrame:
+    """(u, v, s): the distinct tests with their scores. Few tests are sent to the pairs, many are shuffled with them."""
+    tests = checkpointed(tests.select("u", "v").distinct())
+    hit = pairs.join(broadcast_up_to(tests), ["u", "v"]).select("u", "v", "score")
+    return checkpointed(tests.join(hit, ["u", "v"], "left").select("u", "v", F.coalesce("score", F.lit(0.0)).alias("s")))
+
+
+def ranks(pairs: DataFrame, scored: DataFrame, size: int, query: str = "u", answer: str = "v") -> DataFrame:
+    """(query, answer, rank) of scored tests (u, v, s) among all `size` nodes of the answer's graph."""
+    a = F.col(answer)
     others = pairs.where("score <> 0").select(query, a.alias("o"), F.col("score").alias("t"))
-    met = scored.join(others, query, "left")
-    counts = met.groupBy(query, answer, "s").agg(
+    counts = others.join(broadcast_up_to(scored), query).groupBy(query, answer).agg(
         F.count_if(F.col("t") > F.col("s")).alias("better"),
         F.count_if((F.col("t") == F.col("s")) & (F.col("o") < a)).alias("tied"),
         F.count_if(F.col("o") < a).alias("below"),
-        F.count("o").alias("there"),
+        F.count("*").alias("there"),
     )
+    counts = scored.join(counts, [query, answer], "left").na.fill(0, ["better", "tied", "below", "there"])
     absent = F.when(F.col("s") < 0, size - F.col("there")).when(F.col("s") == 0, a - F.col("below")).otherwise(0)
     return counts.select(query, answer, (1 + F.col("better") + F.col("tied") + absent).alias("rank"))
 
 
 def both_ranks(pairs: DataFrame, tests: DataFrame, n1: int, n2: int) -> DataFrame:
-    """(u, v, direction, rank)."""
-    one = ranks(pairs, tests, n2).withColumn("direction", F.lit("ltr"))
-    two = ranks(pairs, tests, n1, "v", "u").withColumn("direction", F.lit("rtl"))
+    """(u, v, direction, rank); pairs are read three times, so they should be cheap to read."""
+    scored = scored_tests(pairs, tests)
+    one = ranks(pairs, scored, n2).withColumn("direction", F.lit("ltr"))
+    two = ranks(pairs, scored, n1, "v", "u").withColumn("direction", F.lit("rtl"))
     rows = one.unionByName(two)
     return tests.join(rows, ["u", "v"])  # repeated tests count each
 
@@ -77,7 +83,7 @@ def evaluate(pairs: DataFrame, tests: DataFrame, n1: int, n2: int, metrics: tupl
     unknown = [m for m in metrics if m != "MRR" and not (m.startswith("Hits@") and m[5:].isdigit())]
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
-    return evaluate_ranks(both_ranks(checkpointed(pairs), tests, n1, n2), metrics, mode)
+    return evaluate_ranks(both_ranks(stored(pairs, "pairs"), tests, n1, n2), metrics, mode)
 
 
 def evaluate_ranks(ranked: DataFrame, metrics: tuple[str, ...] = (*[f"Hits@{k}" for k in KS], "MRR"), mode: str = "mean") -> DataFrame:

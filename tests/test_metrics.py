@@ -71,7 +71,7 @@ def test_ranks_with_ties_absent_and_negative_pairs(spark):
     scores = {(0, 1): 0.5, (0, 3): 0.5, (0, 4): -1.0, (1, 2): 0.0, (2, 0): -0.5}
     pairs = spark.createDataFrame([(u, v, s) for (u, v), s in scores.items()], "u long, v long, score double")
     tests = [(u, v) for u in range(3) for v in range(6)]
-    got = ranking.ranks(pairs, spark.createDataFrame(tests, "u long, v long"), 6).collect()
+    got = ranking.ranks(pairs, ranking.scored_tests(pairs, spark.createDataFrame(tests, "u long, v long")), 6).collect()
     assert {(r.u, r.v): r.rank for r in got} == {(u, v): brute_rank(scores, u, v, 6) for u, v in tests}
 
 
