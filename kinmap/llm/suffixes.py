@@ -6,25 +6,24 @@ construction of a suffix array, of whose order only equality of the first
 `length` bytes of neighbours is needed; the order is that of 64-bit hashes, in
 which equal strings are neighbours as in any other.
 
-1. Sample: positions whose remainder modulo 31 lies in a difference cover of 6
-   remainders. Of any two places, at the same shift below 31, both are sampled;
-   so two equal strings of 50 bytes hold a sampled triple of words (8 + 8 + 4
-   bytes) at the same shift. Triples are sorted in buckets, and those that stand
+1. Sample: positions whose remainder modulo 21 lies in a difference cover of 5
+   remainders. Of any two places, at the same shift below 21, both are sampled;
+   so two equal strings of 50 bytes hold a sampled tuple of words (8 + 8 + 8 + 6
+   bytes) at the same shift. Tuples are sorted in buckets, and those that stand
    in two documents get into a table of names. All others are unique and leave
-   the recursion, with all strings that hold no other triple.
-2. Recurse: the strings that hold a named triple at some shift, which is few of
-   all, get short names and are sorted in buckets again. Those that stand in two
-   documents get into a second table; strings that are not in it are unique.
-3. Merge and compare: what is left, about the strings that are removed or kept as
-   first ones, gets whole names. Neighbours of equal names in different documents
-   get into a table with their least doc_id. A last pass over the texts looks their
-   strings up and removes what the table gives to a smaller document.
+   the recursion, with all strings that hold no other tuple.
+2. Recurse: the strings that hold a named tuple at some shift, which is few of
+   all, are named by all their bytes and sorted in buckets.
+3. Merge and compare: neighbours of equal names in different documents get into a
+   table with their least doc_id. A last pass over the texts looks up the strings
+   of step 2 and removes what the table gives to a smaller document.
 
 Tasks combine equal names before sending, so a passage that stands everywhere is
-one entry a task. Names in steps 1 and 2 get as many bits as the corpus needs, as a
-wrongly shared one only costs work. Those in step 3 decide, so they get twice as
-many bits as number the strings and `CERTAIN` more: that any two different strings
-of a corpus have equal names has a chance of 2**-CERTAIN at most, whatever its size.
+one entry a task. Names in step 1 get as many bits as the corpus needs, as a
+wrongly shared tuple only costs work. Those in steps 2 and 3 decide, so they get
+twice as many bits as number the strings (about a fifth of the bytes of a text) and
+`CERTAIN` more: that any two different strings of a corpus have equal names has a
+chance of about 2**-CERTAIN, whatever the corpus's size.
 Equal texts (by 128 bits) are one class first: only the least doc_id of each goes
 through the steps, and the others lose all their bytes, if they have `length` at least.
 
@@ -55,10 +54,10 @@ from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, s
 from kinmap.llm.text import blocks, bounded, load64, mixed, pack_sorted, tidy, tidy_group, unpack_sorted
 
 LENGTH = 50
-PERIOD = 31
-COVER = (1, 5, 11, 24, 25, 27)
+PERIOD = 21
+COVER = (0, 1, 4, 14, 16)
 SPARE_BITS = 8
-HELD = 4_000_000
+HELD = 3_000_000
 BUCKET_BYTES = 8 << 20
 BLOCK_BYTES = 1 << 19
 CERTAIN = 16
@@ -68,8 +67,8 @@ CERTAIN = 16
 class Setting:
     folder: str
     buckets: int
-    bits: int  # of triples' and short names
-    extra: int  # bits of whole names, beside their first 64
+    bits: int  # of tuples' names
+    extra: int  # of strings' names, beside their first 64
     length: int
 
 
@@ -115,25 +114,25 @@ class Texts:
         sizes = np.diff(offsets)[rows]
         rows = rows[sizes >= self.setting.length]
         sizes = sizes[sizes >= self.setting.length]
-        triple = self.setting.length - PERIOD + 1
+        width = self.setting.length - PERIOD + 1
         owner = np.repeat(rows, sizes)
         local = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        keep = self.cover[local % PERIOD] & (local <= np.repeat(sizes, sizes) - triple)
+        keep = self.cover[local % PERIOD] & (local <= np.repeat(sizes, sizes) - width)
         owner, local = owner[keep], local[keep]
         return offsets[owner] + local, owner
 
-    def triples(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def tuples(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
         length = self.setting.length - PERIOD + 1
         return spans_hash(words, at, length) >> np.uint64(64 - self.setting.bits)
 
-    def strings(self, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, rows and the first 64 bits of names of the strings that hold a named triple."""
+    def strings(self, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Positions, rows and both parts of the names of the strings that hold a named tuple."""
         at, owner = self.samples(offsets, rows)
-        values, inverse = np.unique(self.triples(words, at), return_inverse=True)
+        values, inverse = np.unique(self.tuples(words, at), return_inverse=True)
         s = self.setting
-        named = self.tables.has("triple", bucket_by_range(values, s.buckets, s.bits), values)[inverse]
+        named = self.tables.has("tuple", bucket_by_range(values, s.buckets, s.bits), values)[inverse]
         at, owner = at[named], owner[named]
-        # Every string from 30 bytes before such a triple up to it, within the row.
+        # Every string from PERIOD - 1 bytes before such a tuple up to it, within the row.
         size = int(offsets[-1])
         marks = np.zeros(size + 2, np.int32)
         np.add.at(marks, np.maximum(at - PERIOD + 1, offsets[owner]), 1)
@@ -143,18 +142,7 @@ class Texts:
         row = np.searchsorted(offsets, place, "right") - 1
         whole = place + s.length <= offsets[row + 1]
         place, row = place[whole], row[whole]
-        return place, row, spans_hash(words, place, s.length)
-
-    def short(self, names: np.ndarray) -> np.ndarray:
-        return names >> np.uint64(64 - self.setting.bits)
-
-    def shared_strings(self, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Positions, rows and both parts of the names of the strings whose short names stand in several documents."""
-        place, row, names = self.strings(words, offsets, rows)
-        short, s = self.short(names), self.setting
-        there = self.tables.has("short", bucket_by_range(short, s.buckets, s.bits), short)
-        place, row, names = place[there], row[there], names[there]
-        return place, row, names, spans_hash(words, place, s.length, 1) >> np.uint64(64 - s.extra)
+        return place, row, spans_hash(words, place, s.length), spans_hash(words, place, s.length, 1) >> np.uint64(64 - s.extra)
 
 
 def text_names(padded: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,18 +286,13 @@ def named(docs: DataFrame, setting: Setting, table: str, names: Callable, whole:
     sent.groupBy("bucket").applyInPandas(tidy_group(write), "n long").agg(F.sum("n")).collect()
 
 
-def triple_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tuple_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at, owner = texts.samples(offsets, rows)
-    return texts.triples(words, at), owner
-
-
-def short_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    _, row, names = texts.strings(words, offsets, rows)
-    return texts.short(names), row
+    return texts.tuples(words, at), owner
 
 
 def whole_names(texts: Texts, words: np.ndarray, offsets: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    _, row, names, more = texts.shared_strings(words, offsets, rows)
+    _, row, names, more = texts.strings(words, offsets, rows)
     return names, row, more
 
 
@@ -320,12 +303,11 @@ def tables_for(docs: DataFrame, length: int = LENGTH) -> Setting:
         raise ValueError(f"strings need at least {PERIOD + 7} bytes")
     size = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     buckets = max(1, -(-size // BUCKET_BYTES))
-    bits = min(64, math.ceil(math.log2(size * len(COVER) / PERIOD + 2)) + SPARE_BITS)  # short names are about as many
-    extra = min(64, max(1, 2 * math.ceil(math.log2(size + 2)) + CERTAIN - 64))
+    bits = min(64, math.ceil(math.log2(size * len(COVER) / PERIOD + 2)) + SPARE_BITS)
+    extra = min(64, max(1, math.ceil(2 * math.log2(size / 5 + 2)) + CERTAIN - 64))
     setting = Setting(new_folder(docs.sparkSession, "strings"), buckets, bits, extra, length)
     name_copies(docs, setting)
-    named(docs, setting, "triple", triple_names)
-    named(docs, setting, "short", short_names)
+    named(docs, setting, "tuple", tuple_names)
     named(docs, setting, "string", whole_names, whole=True)
     return setting
 
@@ -335,7 +317,7 @@ def removed_spans(texts: Texts, padded: np.ndarray, offsets: np.ndarray, ids: np
     s = texts.setting
     size = int(offsets[-1])
     original = texts.originals(padded, offsets, ids)
-    place, row, names, more = texts.shared_strings(load64(padded), offsets, np.flatnonzero(original))
+    place, row, names, more = texts.strings(load64(padded), offsets, np.flatnonzero(original))
     least = np.full(len(names), np.iinfo(np.int64).max)
     for there, at, found in texts.tables.hits("string", bucket_by_range(names, s.buckets), names):
         while True:  # names that agree in their first parts alone stand side by side
