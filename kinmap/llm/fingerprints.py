@@ -145,18 +145,19 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def edited_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, next_id, text, edited: the last third replaced by as much of the next document's start."""
+    """doc_id, next_id, text, edited: the last third replaced by as much of the next document's start.
+
+    Texts are dealt by id once; what goes from one to another is the start that it needs.
+    """
     texts = one_text_per_id(docs)
-    follow = next_documents(docs)
-    sized = texts.join(follow, "doc_id")
-    want = sized.select(
-        F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), F.floor(F.length("text") / 3).cast("int").alias("n")
-    )
-    heads = want.join(texts, "doc_id").select(
-        F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("n")).alias("head"), "n"
-    )
+    thirds = texts.select("doc_id", F.floor(F.length("text") / 3).cast("int").alias("n"))
+    wants = checkpointed(next_documents(docs).join(thirds, "doc_id").select("doc_id", "next_id", "n"))
+    dealt = texts.repartition("doc_id")
+    asked = wants.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n")
+    heads = dealt.join(asked, "doc_id").select(F.col("for_id").alias("doc_id"), F.substring("text", F.lit(1), F.col("n")).alias("head"))
     stay = F.substring("text", F.lit(1), F.length("text") - F.col("n"))
-    return sized.join(heads, "doc_id").select("doc_id", "next_id", "text", F.concat(stay, "head").alias("edited"))
+    own = dealt.join(wants, "doc_id").join(heads, "doc_id")
+    return own.select("doc_id", "next_id", "text", F.concat(stay, "head").alias("edited"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -185,18 +186,18 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     sums = unit_sums(both, ["doc_id", "next_id", "is_edit", "n_chars", "sha"])
     lanes = fingerprint_of(F.struct(*SUMS)).alias("lanes")
     prints = stored(sums.select("doc_id", "next_id", "is_edit", "n_chars", "sha", lanes), "fingerprints")
-    sides = lambda edit, name: prints.where(F.col("is_edit") == edit).withColumn(name, F.struct("lanes", middled(F.col("lanes")).alias("m")))
-    own = sides(False, "own").select("doc_id", "next_id", "n_chars", "own")
-    edited = sides(True, "edit").select("doc_id", F.col("sha").alias("edited_sha256"), "edit")
+    own = prints.where("NOT is_edit").select("doc_id", "next_id", "n_chars", F.col("lanes").alias("own"))
+    edited = prints.where("is_edit").select("doc_id", F.col("sha").alias("edited_sha256"), F.col("lanes").alias("edit"))
     following = own.select(F.col("doc_id").alias("next_id"), F.col("own").alias("other"))
     # Equal fingerprints are equal in all lanes, others only as like as their likeness lanes.
-    like = lambda x, y: F.when(F.col(f"{x}.lanes") == F.col(f"{y}.lanes"), 1.0).otherwise(likeness(F.col(f"{x}.m"), F.col(f"{y}.m")))
-    return own.join(edited, "doc_id").join(following, "next_id").select(
+    like = lambda x, y: F.when(F.col(x) == F.col(y), 1.0).otherwise(likeness(F.col(f"m_{x}"), F.col(f"m_{y}")))
+    met = own.join(edited, "doc_id").join(following, "next_id")
+    return met.withColumns({f"m_{c}": middled(F.col(c)) for c in ("own", "edit", "other")}).select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        as_text(F.col("own.lanes")).alias("fingerprint"),
-        as_text(F.col("edit.lanes")).alias("edited_fingerprint"),
+        as_text(F.col("own")).alias("fingerprint"),
+        as_text(F.col("edit")).alias("edited_fingerprint"),
         like("own", "edit").alias("near_edited"),
         like("own", "other").alias("near_next"),
     )
