@@ -25,7 +25,7 @@ def train_keys(net):
 @query("align_flagship", sql("SELECT 'Hits@' || k AS name, round(((SELECT avg((rank <= k)::INT) FROM rl) + (SELECT avg((rank <= k)::INT) FROM rr)) / 2, 9) AS value FROM (SELECT unnest([1, 10, 30, 50]) AS k) UNION ALL SELECT 'MRR', round(((SELECT avg(1.0 / rank) FROM rl) + (SELECT avg(1.0 / rank) FROM rr)) / 2, 9)", ISO + RANK))
 def flagship(spark, d):
     """Order chains, split anchors, two exact consistency steps, rank metrics of the test anchors."""
-    net = fx.chains(spark, d)
+    net = fx.kept(fx.chains(spark, d))
     pairs = align.consistency(net.graph(0), net.graph(1), net.pairs("train"), iterations=2).withColumn("score", F.round("score", 9))
     n = fx.table(spark, d, "customer").count()
     return ranking.evaluate(pairs, net.pairs("test"), n, n).withColumn("value", F.round("value", 9))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmap.functions.draws import draw
+from kinmap.session import checkpointed
 
 
 @dataclass(frozen=True)
@@ -74,6 +75,11 @@ def chains(spark: SparkSession, sf_dir: str) -> NetworkSet:
     return with_anchors(customer_nodes(spark, sf_dir), edges)
 
 
+def kept(network: NetworkSet) -> NetworkSet:
+    """The same set with edges and anchors computed once, for jobs that read them many times."""
+    return NetworkSet(network.nodes, checkpointed(network.edges), checkpointed(network.anchors))
+
+
 def order_days(spark: SparkSession, sf_dir: str) -> NetworkSet:
     """O: customers with orders on the same day at the same priority; one-hot priorities on edges."""
     orders = table(spark, sf_dir, "orders")
