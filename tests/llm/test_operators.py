@@ -164,15 +164,6 @@ def test_dedup(docs, local):
     assert got == brute_dedup(local.items(), 50)
 
 
-def test_dedup_names_of_equal_first_parts():
-    """Names are told apart by their second parts, in whatever order they come."""
-    u = np.array([5, 5, 9, 5, 9], np.uint64)
-    values, least, many, more = suffixes.combined(u, np.array([4, 2, 1, 3, 1]), np.zeros(5, bool), np.array([7, 8, 1, 7, 1], np.uint64))
-    assert values.tolist() == [5, 5, 9] and more.tolist() == [7, 8, 1] and least.tolist() == [3, 2, 1] and many.tolist() == [True, False, False]
-    values, least, many = suffixes.combined(u, np.array([4, 2, 1, 3, 1]), np.array([False] * 4 + [True]))
-    assert values.tolist() == [5, 9] and least.tolist() == [2, 1] and many.tolist() == [True, True]
-
-
 def test_dedup_of_short_periods(spark):
     rnd = random.Random(5)
     parts = ["".join(rnd.choice("abé") for _ in range(rnd.randint(20, 80))) for _ in range(6)]
