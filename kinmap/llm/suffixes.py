@@ -217,7 +217,7 @@ def name_copies(docs: DataFrame, setting: Setting) -> None:
 
     def write(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         # Of texts whose first halves agree one gets into the table; the others' copies go through all steps.
-        group = group.dropna().astype("int64").drop_duplicates("key")
+        group = group[group.real].drop_duplicates("key")
         keys = group.key.to_numpy().view(np.uint64)
         order = np.argsort(keys)
         least, check = (group[c].to_numpy()[order] for c in ("least", "check"))
@@ -226,7 +226,8 @@ def name_copies(docs: DataFrame, setting: Setting) -> None:
 
     keys = docs.mapInArrow(tidy(digest), "bucket int, key long, check long, doc_id long")
     copies = keys.groupBy("bucket", "key", "check").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
-    copies = for_all_buckets(copies.select("bucket", "key", "check", "least"), setting.buckets)
+    copies = for_all_buckets(copies.select("bucket", "key", "check", "least", F.lit(True).alias("real")), setting.buckets)
+    copies = copies.na.fill(0, ["key", "check", "least"]).na.fill(False, ["real"])  # pandas makes floats of numbers with nulls
     copies.groupBy("bucket").applyInPandas(write, "n long").agg(F.sum("n")).collect()
 
 

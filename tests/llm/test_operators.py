@@ -164,6 +164,19 @@ def test_dedup(docs, local):
     assert got == brute_dedup(local.items(), 50)
 
 
+def test_dedup_leaves_copies_out(spark):
+    """The table of copies holds whole keys, so that copies send no names."""
+    import pyarrow as pa
+
+    from kinmap.llm.text import blocks
+
+    rows = [(k, "a text that stands in three documents, long enough to be cut " + "z" * (k % 2)) for k in range(6)]
+    setting = suffixes.tables_for(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = suffixes.Texts(setting)
+    _, _, padded, offsets = next(blocks(pa.array([t for _, t in rows])))
+    assert found.originals(padded, offsets, np.arange(6)).tolist() == [True, True, False, False, False, False]
+
+
 def test_dedup_of_short_periods(spark):
     rnd = random.Random(5)
     parts = ["".join(rnd.choice("abé") for _ in range(rnd.randint(20, 80))) for _ in range(6)]
