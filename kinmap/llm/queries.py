@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmap.llm import fingerprints, jaccard, language, licenses, mixing, oracles, packing, scoring, suffixes, token_counts, vectors
+from kinmap.llm import divergence, fingerprints, jaccard, language, licenses, mixing, oracles, packing, pages, scoring, suffixes, token_counts, vectors
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,8 @@ QUERIES = {
         scoring.op8_lm_scoring,
         licenses.op9_license_scans,
         token_counts.op10_token_counts,
+        divergence.op12_source_divergence,
+        pages.op13_html_extraction,
     )
 }
 
@@ -27,4 +29,5 @@ ORACLES = {
     "op6_mixing_sources": mixing.ORACLE,
     "op7_embedding_near_dedup": vectors.ORACLE,
     "op9_license_scans": licenses.oracle(),
+    "op12_source_divergence": divergence.ORACLE,
 }
