@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from kinmap.llm import divergence, fingerprints, jaccard, language, licenses, mixing, oracles, packing, pages, scoring, suffixes, token_counts, vectors
+from kinmap.llm import divergence, fingerprints, jaccard, language, licenses, mixing, negatives, oracles, packing, pages, scoring, suffixes, token_counts, vectors
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,7 @@ QUERIES = {
         scoring.op8_lm_scoring,
         licenses.op9_license_scans,
         token_counts.op10_token_counts,
+        negatives.op11_hard_negatives,
         divergence.op12_source_divergence,
         pages.op13_html_extraction,
     )
@@ -29,5 +30,6 @@ ORACLES = {
     "op6_mixing_sources": mixing.ORACLE,
     "op7_embedding_near_dedup": vectors.ORACLE,
     "op9_license_scans": licenses.oracle(),
+    "op11_hard_negatives": negatives.ORACLE,
     "op12_source_divergence": divergence.ORACLE,
 }
