@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kinmap.llm.text import LOWER, blocks, bounded, spans, tidy
-from kinmap.session import stored
+from kinmap.session import broadcast_up_to, stored
 
 LEAST_DOCS, TOP = 30, 50
 UNIT, SMOOTH = 1_000_000_000, 5
@@ -269,7 +269,7 @@ def source_divergences(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int =
 
     groups = sources.join(of_lang, "lang").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     groups = groups.select("lang", "chunk", "source", "total", "terms", "lang_total")
-    dealt = kept.join(of_lang.select("lang", "chunks"), "lang")
+    dealt = kept.join(broadcast_up_to(of_lang.select("lang", "chunks")), "lang")  # a row a language
     dealt = dealt.select("lang", F.pmod(F.xxhash64("term"), F.col("chunks")).cast("int").alias("chunk"), "term", "sources", "counts")
     found = dealt.groupBy("lang", "chunk").cogroup(groups.groupBy("lang", "chunk"))
     found = stored(found.applyInArrow(chunk_results(top), "lang string, source string, part string, item string, value long"), "divergences")

@@ -65,8 +65,10 @@ ASIDE = set(
     "newsletter subscribe subscription signup signin login register search share sharing social follow related recommended recommendations teaser "
     "teasers comment comments commentlist respond response responses reply replies disqus discussion guestbook pagination pager paging skip hidden taboola outbrain".split()
 )
-#: Such words on an article are told of it, not by it: only these make it something else.
+#: An article or main element is something else only if a name of it begins with one of these.
 ASIDE_ARTICLE = {"comment", "comments", "reply", "ad", "ads", "advert", "advertisement", "sponsored", "promo", "teaser", "related", "widget"}
+#: Names that begin so tell of what an element has beside it.
+TELLS_OF = {"has", "no", "with", "without"}
 OF_ARTICLE = {"article", "post", "entry", "story"}
 TALK = re.compile(
     r"(?:\d+\s+)?(?:(?:reader|readers|user|visitor|leave|post|write|add|your|a|all|latest|recent)(?:['’]s?|s['’])?\s+)*(?:comments?|replies|reply|responses)(?:\s*[:(]?\s*\d*\)?)?"
@@ -95,9 +97,11 @@ def is_aside(name: str, text: str, in_article: bool) -> bool:
         return True
     if found.get("role", "").lower() in ROLES:
         return True
-    words = {w.lower() for key in ("class", "id") for w in WORD.findall(found.get(key, ""))}
+    names = [[w.lower() for w in WORD.findall(n)] for key in ("class", "id") for n in found.get(key, "").split()]
+    names = [n for n in names if n and n[0] not in TELLS_OF]
     if name in ("article", "main"):
-        return bool(words & ASIDE_ARTICLE)
+        return any(n[0] in ASIDE_ARTICLE for n in names)
+    words = {w for n in names for w in n}
     if "header" in words and name not in HEADINGS and not words & OF_ARTICLE and not in_article:
         return True
     return bool(words & ASIDE)
