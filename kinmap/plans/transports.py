@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinmap.operators import align, graph, groups, propagate, ranking
+from kinmap.operators import align, blocks, graph, groups, propagate, ranking
 from kinmap.operators import similarity as sim
 from kinmap.operators import transport as ot
 from kinmap.plans.base import query
@@ -71,7 +71,7 @@ def c12(spark, d):
 
 
 class Networks:
-    """What the transport queries share: the event networks, walk cosines and normalised edges."""
+    """What the transport queries share: the event networks, walk vectors and costs, as matrices over the nodes' places."""
 
     def __init__(self, spark, d):
         net = fx.event_walks(spark, d)
@@ -82,21 +82,54 @@ class Networks:
         self.edges = [checkpointed(summed.where(F.col("gid") == g).select("src", "dst", "w")) for g in (0, 1)]
         normal = graph.stochastic(summed)
         self.normal = [normal.where(F.col("gid") == g).select("src", "dst", "w") for g in (0, 1)]
-        self.lone = [n.join(e.select(F.col("src").alias("node")), "node", "left_anti") for n, e in zip(self.nodes, self.edges)]
         keys = self.anchors.select(F.col("u").alias("node"), F.col("u").alias("key"))
         walks = [propagate.restart_walk(e, n, keys, iterations=2, connect_isolated=True) for e, n in zip(self.edges, self.nodes)]
         self.units = [checkpointed(propagate.unit_rows(w)) for w in walks]
-        self.n = [n.count() for n in self.nodes]
+        self.ids = [blocks.node_ids(n) for n in self.nodes]
+        self.n = [len(i) for i in self.ids]
+        self.keys = blocks.node_ids(keys)
 
     def cosines(self, a: int, b: int) -> DataFrame:
         return propagate.products(self.units[a], self.units[b]).withColumnRenamed("score", "value")
 
-    def cost(self) -> DataFrame:
-        cross = self.cosines(0, 1)
-        return checkpointed(ot.transport_cost(cross, cross, self.anchors, 0.5))
+    def known(self) -> np.ndarray:
+        """The places of the training anchors."""
+        pairs = self.anchors.toArrow()
+        return np.stack([np.searchsorted(ids, pairs.column(c).to_numpy()) for ids, c in zip(self.ids, ("u", "v"))])
+
+    def cost(self) -> blocks.Strips:
+        placed = [blocks.entries(u, "node", "key", "value", ids, self.keys) for u, ids in zip(self.units, self.ids)]
+        walks = blocks.Strips.of(placed[0], "walk", self.n[0], len(self.keys))
+        return ot.walk_cost(walks, blocks.Sparse(placed[1], self.n[1], len(self.keys)), self.known(), 0.5).stored()
 
     def intra(self) -> list[DataFrame]:
-        return [checkpointed(ot.edge_cost(e, self.cosines(k, k))) for k, e in enumerate(self.edges)]
+        return [checkpointed(ot.edge_cost(e, u)) for e, u in zip(self.edges, self.units)]
+
+    def square(self, edges: DataFrame, g: int, turned: bool = False) -> blocks.Sparse:
+        """The matrix (src, dst, w) of a graph's edges, or its transpose."""
+        ends = ("dst", "src") if turned else ("src", "dst")
+        return blocks.Sparse(blocks.entries(edges, *ends, "w", self.ids[g], self.ids[g]), self.n[g], self.n[g])
+
+    def sides(self, costs: bool = True) -> tuple[ot.Side, ot.Side]:
+        out = []
+        intra = self.intra() if costs else [None, None]
+        for g in (0, 1):
+            linked = np.searchsorted(self.ids[g], blocks.node_ids(self.edges[g].select(F.col("src").alias("node"))))
+            lone = np.ones(self.n[g], bool)
+            lone[linked] = False
+            of_cost = [self.square(intra[g], g, turned) for turned in (False, True)] if costs else [None, None]
+            of_walk = [self.square(self.normal[g], g, turned) for turned in (False, True)]
+            out.append(ot.Side(self.n[g], *of_cost, *of_walk, lone))
+        return tuple(out)
+
+    def pairs(self, strips: blocks.Strips, name: str) -> DataFrame:
+        return strips.pairs(name, *self.ids)
+
+    def even(self) -> blocks.Strips:
+        """The plan `s` that gives all pairs the same."""
+        none = self.anchors.sparkSession.createDataFrame([], "r long, c long, w double")
+        share = 1.0 / (self.n[0] * self.n[1])
+        return blocks.Strips.of(none, "s", *self.n).map(lambda first, m: {"s": np.full(m["s"].shape, share)}, ("s",))
 
 
 def rounded(pairs: DataFrame, digits: int = 6) -> DataFrame:
@@ -113,7 +146,8 @@ tc AS (SELECT u, v, CASE WHEN u = v AND u IN (SELECT aid FROM tr) THEN 0 ELSE 1.
 
 @query("g14_transport_cost", sql("SELECT u, v, round(c + 1e-9, 6) AS value FROM tc", WALKS))
 def g14(spark, d):
-    return rounded(Networks(spark, d).cost())
+    net = Networks(spark, d)
+    return rounded(net.pairs(net.cost(), "inter"))
 
 
 @query("g15_product_walk", sql("""SELECT u, v, round(0.5 * (1.15 * c + 0.85 * 0.5 * coalesce(m, 0)) + 1e-9, 6) AS value FROM tc LEFT JOIN
@@ -122,7 +156,7 @@ p1 AS (SELECT src, dst, w FROM vs WHERE gid = 0 UNION ALL SELECT l.node, n.node,
 p2 AS (SELECT src, dst, w FROM vs WHERE gid = 1 UNION ALL SELECT l.node, n.node, 1.0 / (SELECT count(*) FROM v_nodes WHERE gid = 1) FROM lone l, v_nodes n WHERE l.gid = 1 AND n.gid = 1)"""))
 def g15(spark, d):
     net = Networks(spark, d)
-    return rounded(ot.product_walk(net.cost(), *net.normal, *net.lone, 0.15, 0.5, iterations=2))
+    return rounded(net.pairs(ot.product_walk(net.cost(), net.sides(costs=False), 0.15, 0.5, iterations=2), "walk"))
 
 
 @query("g16_edge_cost", sql("SELECT gid, src, dst, round(w * exp(-c) + 1e-9, 6) AS w FROM ve JOIN cx ON g = gid AND h = gid AND u = src AND v = dst", WALKS))
@@ -141,57 +175,115 @@ def g17(spark, d):
 @query("g18_proximal_point")
 def g18(spark, d):
     net = Networks(spark, d)
-    plan = ot.proximal_point(net.cost(), *net.intra(), *net.normal, *net.lone, net.anchors, *net.n, 0.1 / (net.n[0] * net.n[1]), 0.01, 0.01, 0.01, 2, 2)
-    return rounded(plan, 8)
-
-
-def fused_plan(net):
-    return ot.fused_sinkhorn(net.cost(), *net.intra(), *net.n, inner=2, outer=2, weight=0.01, gamma=0.1)
-
-
-@query("g19_fused_sinkhorn")
+    plan = ot.proximal_point(net.cost(), net.sides(), net.known(), 0.1 / (net.n[0] * net.n[1]), 0.01, 0.01, 0.01, 2, 2)
+    return rounded(net.pairs(plan, "s"), 8)
+
+
+INTRA = ", ig AS (SELECT gid, src, dst, w * exp(-c) AS w FROM ve JOIN cx ON g = gid AND h = gid AND u = src AND v = dst), ns AS (SELECT (SELECT count(*) FROM v_nodes WHERE gid = 0)::DOUBLE AS n1, (SELECT count(*) FROM v_nodes WHERE gid = 1)::DOUBLE AS n2)"
+
+
+def structure_sql(k: str, plan: str) -> str:
+    """CTE q{k}(u, v, value): the structure term of a plan (u, v, value)."""
+    return f""", ma{k} AS (SELECT src AS u, sum(w * w * a) AS r FROM ig JOIN (SELECT u AS dst, sum(value) AS a FROM {plan} GROUP BY u) USING (dst) WHERE gid = 0 GROUP BY src),
+mb{k} AS (SELECT dst AS v, sum(w * w * b) AS r FROM ig JOIN (SELECT v AS src, sum(value) AS b FROM {plan} GROUP BY v) USING (src) WHERE gid = 1 GROUP BY dst),
+xh{k} AS (SELECT i.src AS u, p.v, sum(i.w * p.value) AS x FROM {plan} p JOIN ig i ON i.gid = 0 AND i.dst = p.u GROUP BY i.src, p.v), xx{k} AS (SELECT h.u, i.src AS v, sum(i.w * h.x) AS x FROM xh{k} h JOIN ig i ON i.gid = 1 AND i.dst = h.v GROUP BY h.u, i.src),
+q{k} AS (SELECT u, v, coalesce(ma{k}.r, 0) + coalesce(mb{k}.r, 0) - 2 * coalesce(x, 0) AS value FROM tc LEFT JOIN ma{k} USING (u) LEFT JOIN mb{k} USING (v) LEFT JOIN xx{k} USING (u, v))"""
+
+
+def fused_sql(outer: int = 2, inner: int = 2, weight: float = 0.01, gamma: float = 0.1) -> str:
+    """CTEs of the fused plan s{outer}(u, v, value)."""
+    out = ", s0 AS (SELECT u, v, 1 / (n1 * n2) AS value FROM tc, ns), gv AS (SELECT DISTINCT v, 1 / n2 AS g FROM tc, ns)"
+    dual = "gv"
+    for k in range(outer):
+        out += structure_sql(f"{k}", f"s{k}") + f", k{k} AS (SELECT u, v, tc.c + {weight} * q.value AS value FROM tc JOIN q{k} q USING (u, v))"
+        for i in range(inner):
+            out += f", f{k}{i} AS (SELECT u, {gamma} * (ln(1 / n1) - ln(sum(exp((g - value) / {gamma})))) AS f FROM k{k} JOIN {dual} USING (v), ns GROUP BY u, n1)"
+            out += f", g{k}{i} AS (SELECT v, {gamma} * (ln(1 / n2) - ln(sum(exp((f - value) / {gamma})))) AS g FROM k{k} JOIN f{k}{i} USING (u), ns GROUP BY v, n2)"
+            dual = f"g{k}{i}"
+        out += f", s{k + 1} AS (SELECT u, v, 0.05 * s.value + 0.95 * exp((f + g - k.value) / {gamma}) AS value FROM s{k} s JOIN k{k} k USING (u, v) JOIN f{k}{inner - 1} USING (u) JOIN {dual} USING (v))"
+    return out
+
+
+OBJECTIVE = structure_sql("one", "ones") + """, ks AS (SELECT (SELECT sum(c) FROM tc) AS k1, (SELECT sum(o.value * s.value) FROM qone o JOIN s2 s USING (u, v)) AS k2, (SELECT sum(value) FROM qone) AS k3),
+nt AS (SELECT 0.01 * (k1 + 0.02 * k2) / (0.02 * k3) + 0.99 / (n1 * n2) AS t FROM ks, ns), hat AS (SELECT u, v, value - t AS value FROM s2, nt)""" + structure_sql("hat", "hat")
+# The margins of the ones' structure are n2^2 and n1^2 where a plan of ones has n2 and n1.
+ONES = ", ones AS (SELECT u, v, 1.0::DOUBLE AS value FROM tc)"
+OBJECTIVE = ONES + OBJECTIVE.replace("sum(value) AS a FROM ones", "any_value(n2 * n2) AS a FROM ones, ns").replace("sum(value) AS b FROM ones", "any_value(n1 * n1) AS b FROM ones, ns")
+BASES = """, lp AS (SELECT gid, src, dst, sum(w) AS w FROM (SELECT gid, src, dst, w FROM ve UNION ALL SELECT gid, node, node, 1.0 FROM v_nodes) GROUP BY ALL), dg AS (SELECT gid, src AS node, sum(w) AS d FROM lp GROUP BY ALL),
+an AS (SELECT lp.gid, src, dst, w / sqrt(a.d * b.d) AS w FROM lp JOIN dg a ON a.gid = lp.gid AND a.node = src JOIN dg b ON b.gid = lp.gid AND b.node = dst), nn AS (SELECT gid, count(*)::DOUBLE AS n FROM v_nodes GROUP BY gid),
+y0 AS (SELECT gid, node, aid AS key, (node = aid)::INT - 1 / n AS x FROM v_nodes JOIN nn USING (gid), tr), y1 AS (SELECT y0.gid, dst AS node, key, sum(w * x) AS x FROM y0 JOIN an ON an.gid = y0.gid AND src = node GROUP BY y0.gid, dst, key),
+zz AS (SELECT k, gid, node, key, x / sqrt(sum(x * x) OVER (PARTITION BY k, gid, node)) AS x FROM (SELECT 1 AS k, * FROM y0 UNION ALL SELECT 2, * FROM y1)),
+bs AS (SELECT 0 AS k, gid, src AS u, dst AS v, w AS value FROM ve UNION ALL SELECT a.k, a.gid, a.node, b.node, sum(a.x * b.x) FROM zz a JOIN zz b ON a.k = b.k AND a.gid = b.gid AND a.key = b.key GROUP BY a.k, a.gid, a.node, b.node),
+rs AS (SELECT k, gid, node, coalesce(sum(value), 0) AS r FROM v_nodes CROSS JOIN (SELECT unnest([0, 1, 2]) AS k) LEFT JOIN bs USING (k, gid) WHERE bs.u IS NULL OR bs.u = node GROUP BY ALL),
+ns AS (SELECT (SELECT n FROM nn WHERE gid = 0) AS n1, (SELECT n FROM nn WHERE gid = 1) AS n2)"""
+# From an even plan a product from both sides is that of row sums.
+KERNEL = """, ra AS (SELECT gid, node, sum(r) / 3 AS r FROM rs GROUP BY gid, node), kk AS (SELECT a.node AS u, b.node AS v, exp(20 * a.r * b.r / (n1 * n2)) / (n1 * n2) AS k FROM ra a JOIN ra b ON a.gid = 0 AND b.gid = 1, ns), a0 AS (SELECT DISTINCT u, 1 / n1 AS a FROM kk, ns), """ + ", ".join(
+    f"b{k} AS (SELECT v, 1 / n2 / sum(k * a) AS b FROM kk JOIN a{k - 1} USING (u), ns GROUP BY v, n2), a{k} AS (SELECT u, 1 / n1 / sum(k * b) AS a FROM kk JOIN b{k} USING (v), ns GROUP BY u, n1)" for k in (1, 2, 3)
+)
+GRADIENT = """, gr AS (SELECT k, 1 / 3.0 - 0.1 * (2 * (SELECT sum(x.value * y.value) / 3 FROM bs x JOIN bs y ON y.gid = 0 AND x.u = y.u AND x.v = y.v WHERE x.gid = 0 AND x.k = p.k) / (n1 * n1)
+ - (SELECT sum(r) FROM rs WHERE gid = 0 AND rs.k = p.k) * (SELECT sum(r) / 3 FROM rs WHERE gid = 1) / (n1 * n1 * n2 * n2)) AS w FROM (SELECT unnest([0, 1, 2]) AS k) p, ns),
+th AS (SELECT max((c - 1) / j) AS t FROM (SELECT sum(w) OVER (ORDER BY w DESC, k ROWS UNBOUNDED PRECEDING) AS c, row_number() OVER (ORDER BY w DESC, k) AS j FROM gr))"""
+
+
+def fused_plan(net, sides):
+    return ot.fused_sinkhorn(net.cost(), sides, inner=2, outer=2, weight=0.01, gamma=0.1)
+
+
+@query("g19_fused_sinkhorn", sql("SELECT u, v, round(value + 1e-9, 8) AS value FROM s2", WALKS + INTRA + fused_sql()))
 def g19(spark, d):
-    return rounded(fused_plan(Networks(spark, d)), 8)
+    net = Networks(spark, d)
+    return rounded(net.pairs(fused_plan(net, net.sides()), "s"), 8)
 
 
-@query("g20_fused_objective")
+@query("g20_fused_objective", sql("SELECT round((SELECT sum((c + 0.01 * q.value) * h.value) FROM tc JOIN qhat q USING (u, v) JOIN hat h USING (u, v)) + 20, 6) AS loss, round(t, 9) AS threshold FROM nt", WALKS + INTRA + fused_sql() + OBJECTIVE))
 def g20(spark, d):
     net = Networks(spark, d)
-    loss, threshold = ot.fused_objective(fused_plan(net), net.cost(), *net.intra(), *net.n, 1.0 / (net.n[0] * net.n[1]), weight=0.01)
+    sides = net.sides()
+    loss, threshold = ot.fused_objective(fused_plan(net, sides), sides, 1.0 / (net.n[0] * net.n[1]), weight=0.01)
     return spark.createDataFrame([(round(loss, 6), round(threshold, 9))], "loss double, threshold double")
 
 
-def bases(net, g):
-    """Adjacency and the cosines of the anchors' one-hot rows, centred, under two convolutions."""
+def unit_layers(net, g):
+    """The anchors' one-hot rows, centred, and their image under a convolution, as unit rows (node, key, value)."""
     keys = net.anchors.select(F.col("u").alias("key"))
     one_hot = net.nodes[g].crossJoin(broadcast_up_to(keys)).select("node", "key", F.when(F.col("node") == F.col("key"), 1.0).otherwise(0.0).alias("value"))
     centred = one_hot.select("node", "key", (F.col("value") - 1.0 / net.n[g]).alias("value"))
     nodes = net.nodes[g].select(F.lit(0).alias("gid"), "node")
     normal = graph.symmetric(nodes, net.edges[g].select(F.lit(0).alias("gid"), "src", "dst", "w")).select("src", "dst", "w")
-    layers = [propagate.unit_rows(x) for x in propagate.convolved(normal, centred, 1)]
-    cosines = [checkpointed(propagate.products(x, x).withColumnRenamed("score", "value")) for x in layers]
-    return [net.edges[g].select(F.col("src").alias("u"), F.col("dst").alias("v"), F.col("w").alias("value")), *cosines]
+    return [checkpointed(propagate.unit_rows(x)) for x in propagate.convolved(normal, centred, 1)]
+
+
+def bases(net, g):
+    """Adjacency, and the cosines of each layer as a product of its unit rows with themselves."""
+    out = [[net.square(net.edges[g], g)]]
+    for x in unit_layers(net, g):
+        rows = blocks.Sparse(blocks.entries(x, "node", "key", "value", net.ids[g], net.keys), net.n[g], len(net.keys))
+        turned = blocks.Sparse(blocks.entries(x, "key", "node", "value", net.keys, net.ids[g]), len(net.keys), net.n[g])
+        out.append([turned, rows])
+    return out
+
+
+def evenly(found):
+    return [(1 / len(found), chain) for chain in found]
 
 
-@query("g21_similarity_bases")
+@query("g21_similarity_bases", sql("SELECT u, v, round(value + 1e-9, 6) AS value FROM bs WHERE k = 2 AND gid = 0", WALKS + BASES))
 def g21(spark, d):
-    return rounded(bases(Networks(spark, d), 0)[2])
+    layer = unit_layers(Networks(spark, d), 0)[1]
+    return rounded(propagate.products(layer, layer).withColumnRenamed("score", "value"))
 
 
-@query("g22_scaled_step")
+@query("g22_scaled_step", sql("SELECT u, v, round(k * a * b + 1e-9, 9) AS value FROM kk JOIN a3 USING (u) JOIN b3 USING (v)", WALKS + BASES + KERNEL))
 def g22(spark, d):
     net = Networks(spark, d)
-    a, b = (ot.weighted_bases(bases(net, g), np.full(3, 1 / 3)) for g in (0, 1))
-    s0 = ot.grid(*net.nodes, F.lit(1.0 / (net.n[0] * net.n[1])))
-    return rounded(ot.scaled_step(a, b, s0, *net.n, 0.1, inner=3), 9)
+    plan = ot.scaled_step(net.even(), *(evenly(bases(net, g)) for g in (0, 1)), 0.1, inner=3)
+    return rounded(net.pairs(plan, "s"), 9)
 
 
-@query("g23_basis_weights")
+@query("g23_basis_weights", sql("SELECT k AS basis, round(greatest(w - t, 0), 6) AS weight FROM gr, th", WALKS + BASES + GRADIENT))
 def g23(spark, d):
     net = Networks(spark, d)
-    mine, theirs = bases(net, 0), ot.weighted_bases(bases(net, 1), np.full(3, 1 / 3))
-    s = ot.grid(*net.nodes, F.lit(1.0 / (net.n[0] * net.n[1])))
-    w = ot.basis_weights(mine, np.full(3, 1 / 3), theirs, s, net.n[0], 0.1)
+    w = ot.basis_weights(bases(net, 0), np.full(3, 1 / 3), evenly(bases(net, 1)), net.even(), 0.1)
     return spark.createDataFrame([(k, round(float(x), 6)) for k, x in enumerate(w)], "basis int, weight double")
 
 

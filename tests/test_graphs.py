@@ -120,48 +120,6 @@ def test_quotas_and_simplex():
     assert w.sum() == pytest.approx(1) and (w >= 0).all() and np.allclose(w, [0.3, 0.7, 0])
 
 
-def test_fused_sinkhorn_is_the_dense_solver(spark):
-    rng = np.random.default_rng(0)
-    c, a1, a2 = rng.random((4, 3)), rng.random((4, 4)), rng.random((3, 3))
-    frame = lambda m, cols: spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], cols)
-    edges = "src long, dst long, w double"
-    got = ot.fused_sinkhorn(frame(c, "u long, v long, value double"), frame(a1, edges), frame(a2, edges), 4, 3, inner=2, outer=2, weight=0.5, gamma=0.3)
-    s, g = np.full((4, 3), 1 / 12), np.full(3, 1 / 3)
-    soft = lambda z, axis: -0.3 * np.log(np.exp(-z / 0.3).sum(axis))
-    for _ in range(2):
-        q = c + 0.5 * ((a1**2 @ s.sum(1))[:, None] + (s.sum(0) @ a2**2)[None] - 2 * a1 @ s @ a2.T)
-        for _ in range(2):
-            f = soft(q - g[None], 1) + 0.3 * np.log(1 / 4)
-            g = soft(q - f[:, None], 0) + 0.3 * np.log(1 / 3)
-        s = 0.05 * s + 0.95 * np.exp((f[:, None] + g[None] - q) / 0.3)
-    assert np.allclose(dense([(r.u, r.v, r.value) for r in got.collect()], 4, 3), s)
-
-
-def test_proximal_point_is_the_dense_solver(spark):
-    rng = np.random.default_rng(1)
-    n1, n2 = 4, 3
-    c, a1, a2 = rng.random((n1, n2)), rng.random((n1, n1)), rng.random((n2, n2))
-    p1, p2 = a1 / a1.sum(1, keepdims=True), a2 / a2.sum(1, keepdims=True)
-    frame = lambda m, cols: spark.createDataFrame([(i, j, float(m[i, j])) for i in range(m.shape[0]) for j in range(m.shape[1])], cols)
-    edges, none = "src long, dst long, w double", spark.createDataFrame([], "node long")
-    anchors = spark.createDataFrame([(0, 0)], "u long, v long")
-    le, ln, la, lp = 0.1, 0.2, 0.1, 0.3
-    got = ot.proximal_point(frame(c, "u long, v long, value double"), frame(a1, edges), frame(a2, edges), frame(p1, edges), frame(p2, edges), none, none, anchors, n1, n2, le / (n1 * n2), ln, la, lp, 2, 2)
-    lam, h = ln + la + lp, np.full((n1, n2), 1e-6)
-    h[0, 0] = 1
-    s, b, old = np.full((n1, n2), 1 / (n1 * n2)), np.full((1, n2), 1 / n2), None
-    for _ in range(2):
-        fixed = (a1**2 @ np.full((n1, 1), 1 / n1)) + (np.full((1, n2), 1 / n2) @ (a2**2).T)
-        cost = c + le * (fixed - 2 * a1 @ s @ a2.T) - ln * np.log(p1.T @ s @ p2) - la * np.log(h)
-        old = cost if old is None or (s * cost).sum() <= (s * old).sum() else old
-        q = old - lp * np.log(s)
-        for _ in range(2):
-            a = -lam * np.log((np.exp(-(q - b) / lam) / n1).sum(0, keepdims=True))
-            b = -lam * np.log((np.exp(-(q - a) / lam) / n2).sum(1, keepdims=True))
-        s = 0.05 * s + 0.95 * np.exp((a + b - q) / lam) / (n1 * n2)
-    assert np.allclose(dense([(r.u, r.v, r.value) for r in got.collect()], n1, n2), s)
-
-
 def test_multi_marginal_plan_against_loops():
     """Losses and margins of three graphs by plain loops, and that the plan beats the even one."""
     rng = np.random.default_rng(3)
