@@ -330,20 +330,42 @@ def signature_vectors(net):
     return net.nodes.select("gid", "node").join(found, ["gid", "node"], "left").select("gid", "node", F.coalesce("vec", none).alias("vec"))
 
 
+def landmark_nodes(spark, d):
+    """The order networks' nodes with signatures, attributes and training links, and the landmarks."""
+    net = fx.chains(spark, d)
+    vectors = signature_vectors(net).join(net.nodes.select("gid", "node", "x"), ["gid", "node"])
+    nodes = checkpointed(sim.with_links(vectors, net.pairs("train")))
+    return net, nodes, sim.chosen_landmarks(nodes)
+
+
+MARKS = """tr AS (SELECT aid FROM l_anchors WHERE split = 'train'), deg AS (SELECT gid, src AS near, count(*) AS d FROM l_edges GROUP BY gid, src),
+r1 AS (SELECT DISTINCT gid, src AS node, dst AS near FROM l_edges), r2 AS (SELECT DISTINCT r1.gid, r1.node, e.dst AS near FROM r1 JOIN l_edges e ON e.gid = r1.gid AND e.src = r1.near),
+ly AS (SELECT gid, node, near, min(layer) AS layer FROM (SELECT gid, node, node AS near, 0 AS layer FROM c_nodes UNION ALL SELECT *, 1 FROM r1 UNION ALL SELECT *, 2 FROM r2) GROUP BY gid, node, near),
+sg AS (SELECT gid, node, floor(log2(d))::INT AS bucket, sum(0.01 ** layer) AS value FROM ly JOIN deg USING (gid, near) GROUP BY ALL),
+sv AS (SELECT n.gid, n.node, any_value(n.x) AS x, (n.node IN (SELECT aid FROM tr))::INT AS linked, list(coalesce(value, 0.0) ORDER BY k) AS vec FROM c_nodes n CROSS JOIN (SELECT unnest(range((SELECT max(bucket) + 1 FROM sg))) AS k) LEFT JOIN sg ON sg.gid = n.gid AND sg.node = n.node AND bucket = k GROUP BY n.gid, n.node),
+mk AS (SELECT * FROM sv ORDER BY md5('landmark:' || gid || ':' || node), gid, node LIMIT (SELECT least(count(*), floor(10 * log2(count(*))))::BIGINT FROM c_nodes))"""
+
+
+@query("g12_landmark_kernel", sql("SELECT a.gid, a.node, m.gid AS mark_gid, m.node AS mark, round(exp(-(list_distance(a.vec, m.vec) + list_sum([(a.x[i] <> m.x[i])::INT for i in range(1, 6)]) + a.linked + m.linked - 2 * (a.linked = 1 AND m.linked = 1 AND a.node = m.node)::INT)) + 1e-9, 6) AS value FROM sv a, mk m", MARKS))
+def g12k(spark, d):
+    """The two-part kernel: signatures' distance and mismatches of attributes and links."""
+    _, nodes, marks = landmark_nodes(spark, d)
+    rows = sim.landmark_kernel(nodes, marks).select("gid", "node", F.posexplode("vec").alias("place", "value"))
+    rows = rows.join(broadcast_up_to(sim.rows_of(spark, marks)), "place")
+    return rows.select("gid", "node", "mark_gid", "mark", F.round(F.col("value") + 1e-9, 6).alias("value"))
+
+
 @query("g12_landmark_embedding")
 def g12(spark, d):
-    net = fx.chains(spark, d)
-    n = fx.table(spark, d, "customer").count()
-    rows = sim.landmark_embedding(signature_vectors(net), min(int(10 * np.log2(n)), n))
-    norm = F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v)
-    return rows.select("gid", "node", F.round(norm, 6).alias("length"))
+    _, nodes, marks = landmark_nodes(spark, d)
+    scores = sim.landmark_scores(checkpointed(sim.landmark_embedding(nodes, marks)), marks)
+    return scores.withColumn("score", F.round("score", 6))
 
 
 @query("g13_landmark_alignment")
 def g13(spark, d):
-    net = fx.chains(spark, d)
-    n = fx.table(spark, d, "customer").count()
-    emb = checkpointed(sim.landmark_embedding(signature_vectors(net), min(int(10 * np.log2(n)), n)))
+    net, nodes, marks = landmark_nodes(spark, d)
+    emb = checkpointed(sim.landmark_embedding(nodes, marks))
     ranked = sim.block_ranks(emb.where("gid = 0"), emb.where("gid = 1"), net.pairs("test"), lambda x, y: np.round(sim.inner(x, y), 9))
     return round_all(ranking.evaluate_ranks(ranked), "value")
 
