@@ -46,7 +46,36 @@ SETTLED = "tr AS (SELECT aid FROM v_anchors WHERE split = 'train'), ve AS (SELEC
 def g9s(spark, d):
     """Consistency of the event networks until it changes by less than the tolerance."""
     net = fx.event_walks(spark, d)
-    return align.consistency(net.graph(0), net.graph(1), net.pairs("train")).withColumn("score", F.round(F.col("score") + 1e-7, 4))
+    return align.consistency_by_change(net.graph(0), net.graph(1), net.pairs("train"), bound=1e-12).withColumn("score", F.round(F.col("score") + 1e-7, 4))
+
+
+def change_sql(bound: float, steps: int, merge_every: int = 4) -> str:
+    """CTEs of the change-driven steps, ending in cd(u, v, s); past the last step nothing moves by more than the bound."""
+    out = f"wn AS (SELECT gid, src, dst, w / sum(w) OVER (PARTITION BY gid, dst) AS w FROM l_edges), z0 AS MATERIALIZED (SELECT aid AS u, aid AS v, 0.6::DOUBLE AS s FROM tr)"
+    parked, sent = [], []
+    for k in range(steps):
+        sent.append(f"SELECT u, v, s FROM z{k} WHERE s > {bound}")
+        if k % merge_every or k == 0:
+            parked.append(f"SELECT u, v, s FROM z{k} WHERE s <= {bound}")
+        else:
+            parked = [f"SELECT u, v, s FROM z{k} WHERE s <= {bound}"]
+        step = f"SELECT h.u, b.src AS v, 0.4 * h.s * b.w AS s FROM (SELECT a.src AS u, p.v, sum(p.s * a.w) AS s FROM z{k} p JOIN wn a ON a.gid = 0 AND a.dst = p.u WHERE p.s > {bound} GROUP BY a.src, p.v) h JOIN wn b ON b.gid = 1 AND b.dst = h.v"
+        rows = " UNION ALL ".join([step, *(parked if (k + 1) % merge_every == 0 else [])])
+        out += f", z{k + 1} AS MATERIALIZED (SELECT u, v, sum(s) AS s FROM ({rows}) GROUP BY u, v)"
+    last = [f"SELECT u, v, s FROM z{steps}", *sent, *(parked if steps % merge_every else [])]
+    return out + f", cd AS (SELECT u, v, sum(s) AS s FROM ({' UNION ALL '.join(last)}) GROUP BY u, v)"
+
+
+#: Scores of the order networks move by this or are laid by; 28 steps are past the last that moves.
+MOVED = 0.001
+
+
+@query("g9_consistency_by_change", sql("SELECT u, v, round(s + 1e-9, 7) AS score FROM cd", TR + ", " + change_sql(MOVED, 28)))
+def g9c(spark, d):
+    """Consistency of the order networks until no score moves by more than the bound."""
+    net = fx.kept(fx.chains(spark, d))
+    pairs = align.consistency_by_change(net.graph(0), net.graph(1), net.pairs("train"), bound=MOVED)
+    return pairs.withColumn("score", F.round(F.col("score") + 1e-9, 7))
 
 
 WALK = TR + """, sn AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM l_edges WHERE gid = 0), nd AS (SELECT node FROM c_nodes WHERE gid = 0),

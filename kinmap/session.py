@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,9 +43,24 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def broadcast_up_to(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
-    """The table, marked for a broadcast if it has at most so many rows; beyond, joins shuffle it."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: 8 a number, what texts and lists hold."""
+    parts = [F.lit(16)]
+    for name, kind in df.dtypes:
+        column = F.col(f"`{name}`")
+        if kind in ("string", "binary"):
+            parts.append(F.coalesce(F.octet_length(column), F.lit(0)))
+        elif kind.startswith("array"):
+            parts.append(F.coalesce(F.greatest(F.size(column), F.lit(0)) * 8, F.lit(0)))
+        else:
+            parts.append(F.lit(8))
+    return reduce(lambda x, y: x + y, parts).cast("long")
+
+
+def broadcast_up_to(df: DataFrame, rows: int = 1_000_000, size: int = 64 << 20) -> DataFrame:
+    """The table, marked for a broadcast if it has at most so many rows and bytes; beyond, joins shuffle it."""
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(row_bytes(df)), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if found.n <= rows and found["size"] <= size else df
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
