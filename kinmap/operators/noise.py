@@ -94,13 +94,17 @@ def one_to_one(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     """Pairs (id, u, v) kept greedily by id so that no node is in two.
 
     In a round, pairs that come first on both of their sides are kept and those that
-    share a node with them dropped, which is what the sequential pass decides too.
+    share a node with them dropped, which is what the sequential pass decides too. A
+    pair with a single earlier rival left is kept just if the rival is not: such pairs
+    form chains, which are cut short by doubling to the first pair that waits for none
+    or for several. Chains that end in a pair that is kept are settled in the round, so
+    rounds do not grow with their lengths.
     """
-    left, kept = pairs.where("u <> -1 AND v <> -1").select("id", "u", "v"), None
+    left, kept = checkpointed(pairs.where("u <> -1 AND v <> -1").select("id", "u", "v")), None
     for _ in range(rounds):
-        firsts = left.join(left.groupBy("u").agg(F.min("id").alias("id")), ["u", "id"], "left_semi")
-        firsts = firsts.join(left.groupBy("v").agg(F.min("id").alias("id")), ["v", "id"], "left_semi")
+        firsts = settled_chains(left)
         kept = firsts if kept is None else kept.unionByName(firsts)
+        left = left.join(firsts.select("id"), "id", "left_anti")
         left = left.join(firsts.select("u"), "u", "left_anti").join(firsts.select("v"), "v", "left_anti")
         left, kept = checkpointed(left), checkpointed(kept)
         if left.isEmpty():
@@ -108,6 +112,32 @@ def one_to_one(pairs: DataFrame, rounds: int = 100) -> DataFrame:
     raise RuntimeError("pairs are not settled")
 
 
+def settled_chains(left: DataFrame) -> DataFrame:
+    """The pairs that are kept by what chains of single rivals tell."""
+    # The earlier rivals of a pair: those that share u or v and have a smaller id. One needs the two first ids of each side.
+    sides = []
+    for end in ("u", "v"):
+        first = Window.partitionBy(end).orderBy("id")
+        sides.append(left.select("id", F.row_number().over(first).alias("place"), F.lag("id").over(first).alias("before")))
+    ranked = left.join(sides[0].withColumnsRenamed({"place": "pu", "before": "bu"}), "id").join(sides[1].withColumnsRenamed({"place": "pv", "before": "bv"}), "id")
+    rivals = F.col("pu") - 1 + F.col("pv") - 1
+    same = (F.col("pu") == 2) & (F.col("pv") == 2) & (F.col("bu") == F.col("bv"))  # one rival by both sides
+    rival = F.when(rivals == 1, F.coalesce("bu", "bv")).when(same, F.col("bu"))
+    state = ranked.select("id", "u", "v", (rivals == 0).alias("root"), rival.alias("up"))
+    # (id, to, odd): the pair `to` that decides id, directly or through others, and whether it decides the opposite.
+    chain = checkpointed(state.where("up IS NOT NULL").select("id", F.col("up").alias("to"), F.lit(True).alias("odd")))
+    while True:
+        onward = chain.select(F.col("id").alias("to"), F.col("to").alias("further"), F.col("odd").alias("odd2"))
+        jumped = chain.join(onward, "to", "left")
+        after = checkpointed(jumped.select("id", F.coalesce("further", "to").alias("to"), (F.col("odd") != F.coalesce("odd2", F.lit(False))).alias("odd"), F.col("further").isNotNull().alias("moved")))
+        chain = after.drop("moved")
+        if after.where("moved").isEmpty():
+            break
+    roots = state.where("root").select(F.col("id").alias("to"))
+    decided = chain.join(roots, "to", "left_semi").where("NOT odd").select("id")
+    return state.where("root").select("id").unionByName(decided).join(left, "id").select("id", "u", "v")
+
+
 def quotas(n: int, ratios: dict[str, float]) -> dict[str, int]:
     """Rounded shares of n (halves to even), the drift on the largest."""
     if abs(sum(ratios.values()) - 1) > 1e-6:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinmap.operators.align import MOST_PAIRS, by_change
 from kinmap.operators.graph import degree_shares, single_hop, stochastic, with_end_in  # noqa: F401
 from kinmap.operators.ranking import mutual_best
 from kinmap.session import broadcast_up_to, checkpointed
@@ -55,6 +56,50 @@ def restart_walk(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, restart
     return values
 
 
+def walk_by_pushes(edges: DataFrame, starts: DataFrame, restart: float, bound: float, iterations: int = 1000, merge_every: int = 4, most_rows: int = MOST_PAIRS) -> DataFrame:
+    """(node, key, value): the sum of restart ((1 - restart) P')^k start, for starts (node, key, value).
+
+    Only what a node has received by more than `bound` since it last sent is sent on,
+    so rows are those that walks reach, and their number follows 1 / bound, not nodes
+    times keys. All values of a key together miss at most (1 - restart) / restart times
+    what was never sent on.
+    """
+    steps = stochastic(edges.select(F.lit(0).alias("gid"), "src", "dst", "w"))
+    steps = broadcast_up_to(checkpointed(steps.select(F.col("src").alias("v"), "dst", (F.col("w") * (1 - restart)).alias("w"))))
+    first = starts.groupBy(F.col("key").alias("u"), F.col("node").alias("v")).agg((F.sum("value") * restart).alias("score"))
+
+    def send(rows: DataFrame) -> DataFrame:
+        return rows.join(steps, "v").groupBy("u", F.col("dst").alias("v")).agg(F.sum(F.col("score") * F.col("w")).alias("score"))
+
+    found = by_change(first, send, [], bound, 0.0, iterations, merge_every, most_rows)
+    return found.select(F.col("v").alias("node"), F.col("u").alias("key"), F.col("score").alias("value"))
+
+
+def pushed_walk(edges: DataFrame, anchors: DataFrame, restart: float = 0.15, bound: float = 1e-6, **limits: int) -> DataFrame:
+    """(node, key, value): what `restart_walk` settles to, by local pushes from the anchors; nodes without a row have next to nothing."""
+    return walk_by_pushes(edges, anchors.select("node", "key", F.lit(1.0).alias("value")), restart, bound, **limits)
+
+
+def pushed_walk_connected(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, restart: float = 0.15, bound: float = 1e-6, **limits: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(walk, spread, even) of the walk in which nodes without edges send to all nodes alike.
+
+    The walk to all nodes starts the same for every anchor, so it is one vector
+    even(node, share) and a number an anchor, spread(key, times): the value of a node
+    for a key is its row in `walk` and times * share. What nodes without edges have in
+    all, z, follows from what they get by edges, a and b: z = a + times b, times = (1 -
+    restart) z / restart.
+    """
+    size = nodes.count()
+    walk = checkpointed(pushed_walk(edges, anchors, restart, bound, **limits))
+    begun = nodes.select("node", F.lit(0).cast("long").alias("key"), F.lit(1.0 / size).alias("value"))
+    even = checkpointed(walk_by_pushes(edges, begun, restart, bound / size, **limits).select("node", F.col("value").alias("share")))
+    lone = nodes.select("node").join(edges.select(F.col("src").alias("node")), "node", "left_anti")
+    b = even.join(lone, "node", "left_semi").agg(F.sum("share")).first()[0] or 0.0
+    ratio = (1 - restart) / restart
+    held = walk.join(lone, "node", "left_semi").groupBy("key").agg(F.sum("value").alias("a"))
+    return walk, held.select("key", (F.col("a") * ratio / (1 - ratio * b)).alias("times")), even
+
+
 def positional(walk: DataFrame, anchors: DataFrame) -> DataFrame:
     """The walk's values, with each anchor's own row replaced by its one-hot row."""
     rest = walk.join(anchors.select("node").distinct(), "node", "left_anti")

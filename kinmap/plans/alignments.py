@@ -49,28 +49,30 @@ def g9s(spark, d):
     return align.consistency_by_change(net.graph(0), net.graph(1), net.pairs("train"), bound=1e-12).withColumn("score", F.round(F.col("score") + 1e-7, 4))
 
 
-def change_sql(bound: float, steps: int, merge_every: int = 4) -> str:
-    """CTEs of the change-driven steps, ending in cd(u, v, s); past the last step nothing moves by more than the bound."""
-    out = f"wn AS (SELECT gid, src, dst, w / sum(w) OVER (PARTITION BY gid, dst) AS w FROM l_edges), z0 AS MATERIALIZED (SELECT aid AS u, aid AS v, 0.6::DOUBLE AS s FROM tr)"
+def change_sql(first: str, step: str, bound: float, steps: int, merge_every: int = 4) -> str:
+    """CTEs of change-driven steps, ending in cd(u, v, s); past the last step nothing moves by more than the bound.
+
+    `step` selects (u, v, s) from the rows of {now} that moved.
+    """
+    out = f"z0 AS MATERIALIZED ({first})"
     parked, sent = [], []
     for k in range(steps):
         sent.append(f"SELECT u, v, s FROM z{k} WHERE s > {bound}")
-        if k % merge_every or k == 0:
-            parked.append(f"SELECT u, v, s FROM z{k} WHERE s <= {bound}")
-        else:
-            parked = [f"SELECT u, v, s FROM z{k} WHERE s <= {bound}"]
-        step = f"SELECT h.u, b.src AS v, 0.4 * h.s * b.w AS s FROM (SELECT a.src AS u, p.v, sum(p.s * a.w) AS s FROM z{k} p JOIN wn a ON a.gid = 0 AND a.dst = p.u WHERE p.s > {bound} GROUP BY a.src, p.v) h JOIN wn b ON b.gid = 1 AND b.dst = h.v"
-        rows = " UNION ALL ".join([step, *(parked if (k + 1) % merge_every == 0 else [])])
+        rest = f"SELECT u, v, s FROM z{k} WHERE s <= {bound}"
+        parked = [*parked, rest] if k % merge_every or k == 0 else [rest]
+        rows = " UNION ALL ".join([step.format(now=f"(SELECT * FROM z{k} WHERE s > {bound})"), *(parked if (k + 1) % merge_every == 0 else [])])
         out += f", z{k + 1} AS MATERIALIZED (SELECT u, v, sum(s) AS s FROM ({rows}) GROUP BY u, v)"
     last = [f"SELECT u, v, s FROM z{steps}", *sent, *(parked if steps % merge_every else [])]
     return out + f", cd AS (SELECT u, v, sum(s) AS s FROM ({' UNION ALL '.join(last)}) GROUP BY u, v)"
 
 
+BOTH_STEPS = "SELECT h.u, b.src AS v, 0.4 * h.s * b.w AS s FROM (SELECT a.src AS u, p.v, sum(p.s * a.w) AS s FROM {now} p JOIN wn a ON a.gid = 0 AND a.dst = p.u GROUP BY a.src, p.v) h JOIN wn b ON b.gid = 1 AND b.dst = h.v"
+COLUMNS = ", wn AS (SELECT gid, src, dst, w / sum(w) OVER (PARTITION BY gid, dst) AS w FROM l_edges), "
 #: Scores of the order networks move by this or are laid by; 28 steps are past the last that moves.
 MOVED = 0.001
 
 
-@query("g9_consistency_by_change", sql("SELECT u, v, round(s + 1e-9, 7) AS score FROM cd", TR + ", " + change_sql(MOVED, 28)))
+@query("g9_consistency_by_change", sql("SELECT u, v, round(s + 1e-9, 7) AS score FROM cd", TR + COLUMNS + change_sql("SELECT aid AS u, aid AS v, 0.6::DOUBLE AS s FROM tr", BOTH_STEPS, MOVED, 28)))
 def g9c(spark, d):
     """Consistency of the order networks until no score moves by more than the bound."""
     net = fx.kept(fx.chains(spark, d))
@@ -100,6 +102,16 @@ def g1c(spark, d):
     return walk(spark, d, True).withColumn("value", F.round(F.col("value") + 1e-9, 6))
 
 
+PUSHED = TR + ", sn AS (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS w FROM l_edges WHERE gid = 0), " + change_sql("SELECT aid AS u, aid AS v, 0.15::DOUBLE AS s FROM tr", "SELECT p.u, sn.dst AS v, 0.85 * p.s * sn.w AS s FROM {now} p JOIN sn ON sn.src = p.v", 0.002, 48)
+
+
+@query("g1_restart_walk_pushed", sql("SELECT v AS node, u AS key, round(s + 1e-10, 8) AS value FROM cd", PUSHED))
+def g1p(spark, d):
+    """The walk settled, by pushes of more than the bound, on the rows that it reaches."""
+    net = fx.kept(fx.chains(spark, d))
+    return propagate.pushed_walk(net.graph(0), train_keys(net), bound=0.002).withColumn("value", F.round(F.col("value") + 1e-10, 8))
+
+
 @query("g2_positional", sql("SELECT node, key, round(r + 1e-9, 6) AS value FROM w2 WHERE node NOT IN (SELECT aid FROM tr) UNION ALL SELECT aid, aid, 1.0 FROM tr", WALK + WSTEP.format(k=1, j=0) + ", " + WSTEP.format(k=2, j=1)))
 def g2(spark, d):
     rows = propagate.positional(walk(spark, d), train_keys(fx.chains(spark, d)))

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from kinmap.operators import align
+from kinmap.operators import align, propagate
 
 N = 12
 
@@ -112,3 +112,37 @@ def test_attributed_stops_and_limits(spark):
         align.attributed(n1, e1, n2, e2, anchors, most_pairs=3)
     with pytest.raises(MemoryError):
         align.attributed_by_change(n1, e1, n2, e2, anchors, most_pairs=3)
+
+
+@pytest.mark.parametrize("bound", [1e-6, 1e-2])
+def test_pushed_walks(spark, bound):
+    edges, _ = made(4)[0]
+    edges = [e for e in edges if 0 not in e[1:3] and e[1] != 5]  # node 0 has no edges, node 5 none that leave it
+    p = np.zeros((N, N))
+    for _, s, d, w, _ in edges:
+        p[s, d] += w
+    lone = p.sum(1) == 0
+    p = np.divide(p, p.sum(1, keepdims=True), out=np.zeros_like(p), where=~lone[:, None])
+    keys = [(1, 0), (4, 1), (0, 2), (0, 2)]
+    e = np.zeros((N, 3))
+    for n, k in keys:
+        e[n, k] += 1
+    frame = spark.createDataFrame([x[:4] for x in edges], "gid int, src long, dst long, w double")
+    nodes, anchors = spark.range(N).withColumnRenamed("id", "node"), spark.createDataFrame(keys, "node long, key long")
+    walk = np.zeros((N, 3))
+    for r in propagate.pushed_walk(frame, anchors, 0.5, bound).collect():
+        walk[r.node, r.key] = r.value
+    most = max(1e-8, N * bound)
+    want = 0.5 * np.linalg.inv(np.eye(N) - 0.5 * p.T) @ e
+    assert np.abs(walk - want).sum(0).max() <= most and (walk <= want + 1e-9).all()
+    sparse, spread, even = propagate.pushed_walk_connected(frame, nodes, anchors, 0.5, bound)
+    got, share = np.zeros((N, 3)), np.zeros(N)
+    for r in sparse.collect():
+        got[r.node, r.key] = r.value
+    for r in even.collect():
+        share[r.node] = r.share
+    for r in spread.collect():
+        got[:, r.key] += r.times * share
+    p[lone] = 1 / N
+    want = 0.5 * np.linalg.inv(np.eye(N) - 0.5 * p.T) @ e
+    assert np.abs(got - want).sum(0).max() <= max(1e-7, 40 * most)

@@ -94,6 +94,29 @@ def test_greedy_dedup_follows_the_sequence(spark):
     assert {r.id for r in got} == want
 
 
+def greedy(rows):
+    us, vs, want = set(), set(), set()
+    for i, u, v in sorted(rows):
+        if -1 not in (u, v) and u not in us and v not in vs:
+            us.add(u), vs.add(v), want.add(i)
+    return want
+
+
+def test_long_chains_settle_in_few_rounds(spark):
+    """A zigzag of 10,000 pairs, each of which shares a node with the one before."""
+    rows = [(k, (k + 1) // 2, k // 2) for k in range(10_000)]
+    got = noise.one_to_one(spark.createDataFrame(rows, "id long, u long, v long"), rounds=3).collect()
+    assert {r.id for r in got} == greedy(rows) and len(got) == 5000
+
+
+def test_greedy_dedup_on_random_pairs(spark):
+    rng = np.random.default_rng(3)
+    for n, ends in ((60, 12), (200, 150), (40, 4)):
+        rows = [(int(i), int(u), int(v)) for i, (u, v) in zip(rng.permutation(n), rng.integers(-1, ends, (n, 2)))]
+        got = noise.one_to_one(spark.createDataFrame(rows, "id long, u long, v long")).collect()
+        assert {r.id for r in got} == greedy(rows)
+
+
 def test_noise_ratios_zero_and_one(spark):
     net = network(spark, [])
     same = noise.flip_attributes(net.nodes, 0.0).select("gid", "node", F.to_json("x").alias("x"))
