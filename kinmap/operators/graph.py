@@ -153,10 +153,11 @@ def outside(nodes: DataFrame, subgraph: DataFrame) -> DataFrame:
 def dense_ids(rows: DataFrame, order: list[str], name: str = "id", per_part: int = 100_000, within: str | None = None) -> DataFrame:
     """Ids 0, 1, ... in the order of the columns, which must tell rows apart.
 
-    Rows are range-partitioned and kept, partitions are counted, and ids are the
-    places within a partition behind the rows of the partitions before it.
+    Rows are computed once, range-partitioned and kept, partitions are counted, and ids
+    are the places within a partition behind the rows of the partitions before it.
     """
     keys = ([within] if within else []) + order
+    rows = checkpointed(rows)
     parts = max(1, -(-rows.count() // per_part))
     dealt = rows.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
     dealt = checkpointed(dealt)
@@ -165,7 +166,7 @@ def dense_ids(rows: DataFrame, order: list[str], name: str = "id", per_part: int
     before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*group, "_part").orderBy(*order)
-    ranked = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(F.broadcast(offsets), [*group, "_part"])
+    ranked = dealt.withColumn("_in", F.row_number().over(inside) - 1).join(broadcast_up_to(offsets), [*group, "_part"])
     return ranked.withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_part", "_n", "_in", "_before")
 
 
@@ -175,6 +176,7 @@ def running(rows: DataFrame, by: list[str], order: list[str], value: str, name:
     As for dense ids, a group of any size is spread over range partitions, and only
     the partitions' sums are put in sequence.
     """
+    rows = checkpointed(rows)
     parts = max(1, -(-rows.count() // per_part))
     dealt = checkpointed(rows.repartitionByRange(parts, *by, *order).withColumn("_part", F.spark_partition_id()))
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

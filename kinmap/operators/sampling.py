@@ -117,42 +117,71 @@ def similarity_negatives(scores: DataFrame, k: int, seed: str = SEED) -> DataFra
     return rows.where(F.col("r") <= k).select("u", "v")
 
 
+def placed_neighbours(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((src, nth, dst), (src, n)): each node's distinct successors numbered from 0 in order, and how many it has.
+
+    A hub's successors are rows like any others, spread over partitions; no list of
+    them is ever made.
+    """
+    numbered = dense_ids(edges.select("src", "dst").distinct(), ["dst"], "nth", within="src")
+    numbered = checkpointed(numbered.select("src", "nth", "dst"))
+    return numbered, checkpointed(numbered.groupBy("src").agg(F.count("*").alias("n")))
+
+
 def walks(edges: DataFrame, starts: DataFrame, p: float, q: float, num_walks: int, length: int, seed: str = SEED) -> DataFrame:
     """(walk_id, start, path): biased second-order walks; a walk stops at a dead end.
 
-    Each step joins the walkers with adjacency arrays: weights are 1/p for going
-    back, 1 for neighbours of the last node too, 1/q for others.
+    Weights are 1/p for going back, 1 for neighbours of the last node too, 1/q for
+    others. A step draws the place of the next node among the successors and looks it
+    up. Only successors that are no others have weights of their own: what lies between
+    them is counted, not listed.
     """
-    adjacency = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("out"))
-    first = starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_id"))
+    numbered, sizes = placed_neighbours(edges)
+    first = starts.select(F.col("node").alias("start")).distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_id"))
     now = first.select("walk_id", "start", F.array("start").alias("path"))
     done = None
     for step in range(1, length):
         here, last = F.element_at("path", -1), F.get(F.reverse("path"), F.lit(1))
-        met = now.withColumn("src", here).join(adjacency, "src", "left")
-        ended = met.where("out IS NULL").select("walk_id", "start", "path")
+        met = now.withColumn("src", here).join(sizes, "src", "left")
+        ended = met.where("n IS NULL").select("walk_id", "start", "path")
         done = ended if done is None else done.union(ended)
-        met = met.where("out IS NOT NULL")
         u = draw("walk", F.col("start"), F.col("walk_id"), F.lit(step), seed=seed)
+        met = met.where("n IS NOT NULL").withColumn("u", u)
         if p == 1 and q == 1 or step == 1:
-            pick = F.get("out", F.floor(u * F.size("out")).cast("int"))
+            chosen = met.withColumn("nth", F.floor(F.col("u") * F.col("n")).cast("long"))
         else:
-            met = met.withColumn("last", last).join(adjacency.select(F.col("src").alias("last"), F.col("out").alias("near")), "last", "left")
-            weight = lambda x: F.when(x == F.col("last"), 1.0 / p).when(F.coalesce(F.array_contains("near", x), F.lit(False)), 1.0).otherwise(1.0 / q)
-            total = F.aggregate("out", F.lit(0.0), lambda a, x: a + weight(x))
-            met = met.withColumn("mark", u * total)
-            passed = F.aggregate(
-                "out",
-                F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("hit")),
-                lambda a, x: F.struct((a["sum"] + weight(x)).alias("sum"), F.coalesce(a["hit"], F.when(a["sum"] + weight(x) > F.col("mark"), x)).alias("hit")),
-            )
-            pick = F.coalesce(passed["hit"], F.element_at("out", -1))
-        now = met.select("walk_id", "start", F.concat("path", F.array(pick)).alias("path"))
-        if step % 4 == 0:
-            now = checkpointed(now)
+            chosen = biased_places(checkpointed(met.withColumn("last", last)), numbered, 1.0 / p, 1.0 / q)
+        now = checkpointed(chosen.join(numbered, ["src", "nth"]).select("walk_id", "start", F.concat("path", F.array("dst")).alias("path")))
     return now if done is None else now.union(done)
 
 
+def biased_places(walkers: DataFrame, numbered: DataFrame, back: float, other: float) -> DataFrame:
+    """walkers(walk_id, start, path, src, n, u, last) with `nth`, the place at which the summed weights pass u times their total.
+
+    Between two special successors (the last node, and those that it has too) all weights are
+    alike, so the place follows from the sum up to the special one before it.
+    """
+    key = ["start", "walk_id"]
+    returns = walkers.join(numbered, "src").where(F.col("dst") == F.col("last")).select(*key, "nth", F.lit(back).alias("weight"))
+    theirs = numbered.select(F.col("src").alias("last"), "dst")
+    common = walkers.select(*key, "src", "last").join(theirs, "last").where("dst <> last").join(numbered, ["src", "dst"]).select(*key, "nth", F.lit(1.0).alias("weight"))
+    specials = returns.unionByName(common)
+    # A special successor adds the sum of the others before it to what the special ones have.
+    until = Window.partitionBy(*key).orderBy("nth")
+    specials = specials.withColumn("count", F.row_number().over(until)).withColumn("summed", F.sum("weight").over(until))
+    ends = specials.select(*key, "nth", "weight", (F.col("summed") + (F.col("nth") + 1 - F.col("count")) * other).alias("high"))
+    ends = checkpointed(ends.withColumn("low", F.col("high") - F.col("weight")))
+    totals = ends.groupBy(*key).agg(F.sum("weight").alias("own"), F.count("*").alias("specials"))
+    aimed = walkers.join(totals, key, "left").na.fill(0, ["own", "specials"])
+    aimed = aimed.withColumn("mark", F.col("u") * (F.col("own") + (F.col("n") - F.col("specials")) * other))
+    # The last special successor whose weight begins at or below the mark.
+    passed = ends.join(aimed.select(*key, "mark"), key).where(F.col("low") <= F.col("mark"))
+    passed = passed.groupBy(*key).agg(F.max(F.struct("nth", "high")).alias("at"))
+    after = F.col("at.nth") + 1 + F.floor((F.col("mark") - F.col("at.high")) / other)
+    place = F.when(F.col("at").isNull(), F.floor(F.col("mark") / other)).when(F.col("mark") < F.col("at.high"), F.col("at.nth")).otherwise(after)
+    return aimed.join(passed, key, "left").withColumn("nth", F.least(place, F.col("n") - 1).cast("long")).drop("at", "mark", "own", "specials")
+
+
 def window_pairs(paths: DataFrame, centres: DataFrame, window: int = 2) -> DataFrame:
     """Distinct (centre, context) within the window of each place of a path, the centre itself included."""
     placed = paths.select("path", F.posexplode("path").alias("pos", "centre"))
@@ -167,10 +196,14 @@ def anchored_edges(edges: DataFrame, anchors: DataFrame, samples: int, seed: str
     n = edges.count()
     ids = dense_ids(edges.select("src", "dst"), ["src", "dst"], "eid")
     drawn = edges.sparkSession.range(samples).select("id", draw_below(F.lit(n), "edge", F.col("id"), seed=seed).alias("eid")).join(ids, "eid")
-    out = edges.groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("outs")).join(anchors.select(F.col("node").alias("src")), "src", "left_semi")
-    into = edges.groupBy("dst").agg(F.array_sort(F.collect_list("src")).alias("ins")).join(anchors.select(F.col("node").alias("dst")), "dst", "left_semi")
-    rows = drawn.join(out, "src", "left").join(into, "dst", "left")
-    pick = lambda xs, tag: F.get(xs, draw_below(F.size(xs), tag, F.col("id"), seed=seed).cast("int"))
-    moved = rows.select(F.coalesce(pick("outs", "succ"), "src").alias("src"), F.coalesce(pick("ins", "pred"), "dst").alias("dst"), F.lit("replaced").alias("kind"))
-    touching = rows.where("outs IS NOT NULL OR ins IS NOT NULL").select("src", "dst", F.lit("original").alias("kind"))
+    rows, ways = checkpointed(drawn), {}
+    for end, other, tag in (("src", "dst", "succ"), ("dst", "src", "pred")):
+        own = edges.select(F.col(end).alias("at"), F.col(other).alias("to")).join(anchors.select(F.col("node").alias("at")).distinct(), "at", "left_semi")
+        numbered = checkpointed(dense_ids(own, ["to"], "nth", within="at").select("at", "nth", "to"))
+        sizes = numbered.groupBy("at").agg(F.count("*").alias("n"))
+        met = rows.select("id", F.col(end).alias("at")).join(sizes, "at").withColumn("nth", draw_below(F.col("n"), tag, F.col("id"), seed=seed))
+        ways[tag] = met.join(numbered, ["at", "nth"]).select("id", F.col("to").alias(tag))
+    both = checkpointed(rows.join(ways["succ"], "id", "left").join(ways["pred"], "id", "left"))
+    moved = both.select(F.coalesce("succ", "src").alias("src"), F.coalesce("pred", "dst").alias("dst"), F.lit("replaced").alias("kind"))
+    touching = both.where("succ IS NOT NULL OR pred IS NOT NULL").select("src", "dst", F.lit("original").alias("kind"))
     return moved.union(touching)

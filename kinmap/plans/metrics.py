@@ -111,11 +111,17 @@ def e16(spark, d):
     return ranking.predicted_groups(path_pairs(fx.chains(spark, d)), *fx.entities(spark, d), n, n)
 
 
-@query("e17_reassembled_pairs", sql("SELECT u, v, max(score) AS score, (SELECT min(s) - 1 FROM (SELECT max(score) AS s FROM bl GROUP BY u, v)) AS missing FROM bl GROUP BY u, v", PAIRS + ", bl AS (SELECT u, v, score FROM pr WHERE u % 2 = 0 UNION ALL SELECT u, v, score + 1 FROM pr WHERE v % 3 = 0)"))
+#: Two blocks by hashes of u that overlap and cover all pairs but a few, which are in neither.
+IN_BLOCKS = f""", pp AS (SELECT u, v, score, {U("'42'", "'block'", 'u::VARCHAR')} AS c FROM pr WHERE {U("'42'", "'apart'", 'u::VARCHAR', 'v::VARCHAR')} >= 0.02),
+bl AS (SELECT u, v, score FROM pp WHERE c < 0.6 UNION ALL SELECT u, v, score + 1 FROM pp WHERE c >= 0.4)"""
+
+
+@query("e17_reassembled_pairs", sql("SELECT u, v, max(score) AS score, (SELECT min(s) - 1 FROM (SELECT max(score) AS s FROM bl GROUP BY u, v)) AS missing FROM bl GROUP BY u, v", PAIRS + IN_BLOCKS))
 def e17(spark, d):
-    pairs = path_pairs(fx.chains(spark, d))
-    two = pairs.where("v % 3 = 0").withColumn("score", F.col("score") + 1)
-    found, default = ranking.reassembled([pairs.where("u % 2 = 0"), two])
+    pairs = path_pairs(fx.chains(spark, d)).where(draw("apart", F.col("u"), F.col("v")) >= 0.02)
+    pairs = checkpointed(pairs.withColumn("c", draw("block", F.col("u"))))
+    two = pairs.where("c >= 0.4").withColumn("score", F.col("score") + 1)
+    found, default = ranking.reassembled([pairs.where("c < 0.6").drop("c"), two.drop("c")])
     return found.crossJoin(F.broadcast(default))
 
 
