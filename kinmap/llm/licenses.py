@@ -2,9 +2,8 @@
 
 Blocks are the lines of a text and its paragraphs of several lines (runs of lines up
 to a blank one), as licenses are often wrapped. Templates are statements and whole
-paragraphs of licenses. Both are sets of words. A block matches a template when it
-holds at least `threshold` of the template's words; a paragraph must not have more
-than `MOST` times the template's words too, as long ones hold common words anyway.
+paragraphs of licenses. Both are sets of words. A block of any size matches a template
+when it holds at least `threshold` of the template's words.
 Words are put in one global order, rarest in the corpus first; a block that matches
 must hold one of the first words of the template in that order (prefix filter), must
 have enough words (length filter), and from the shared word on, both sides must have
@@ -112,7 +111,6 @@ TEMPLATES = [
     ),
 ]
 THRESHOLD = 0.9
-MOST = 3
 PARAGRAPH_END = r"\n[ \t\r]*\n"
 
 
@@ -194,20 +192,17 @@ def license_matches(
     by_rank = F.array(*[F.lit(w) for w in sorted(vocabulary, key=rank.__getitem__)])
 
     texts = docs.select("doc_id", "text").where(F.arrays_overlap(words(F.col("text")), first))
-    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("text"), F.lit(False).alias("several")))
+    lines = F.split("text", "\n")
     paragraphs = F.filter(F.split("text", PARAGRAPH_END), lambda x: F.contains(x, F.lit("\n")))
-    paragraphs = F.transform(paragraphs, lambda x: F.struct(x.alias("text"), F.lit(True).alias("several")))
     blocks = texts.select("doc_id", F.posexplode(F.concat(lines, paragraphs)).alias("block", "b"))
-    blocks = blocks.select("doc_id", "block", words(F.col("b.text")).alias("every"), "b.several")
     # Only words of some template can count, kept in the global order: by_rank leads the intersection.
-    size = F.when(F.col("several"), F.size(F.array_distinct("every"))).otherwise(0)
-    blocks = blocks.select("doc_id", "block", F.array_intersect(by_rank, "every").alias("b_words"), size.alias("b_size"))
+    blocks = blocks.select("doc_id", "block", F.array_intersect(by_rank, words(F.col("b"))).alias("b_words"))
     blocks = blocks.where(F.arrays_overlap("b_words", first))
     hits = (
-        blocks.select("doc_id", "block", "b_words", "b_size", F.posexplode("b_words").alias("b_pos", "word"))
+        blocks.select("doc_id", "block", "b_words", F.posexplode("b_words").alias("b_pos", "word"))
         .join(F.broadcast(starts), "word")
         .join(F.broadcast(table), "t")
-        .where((F.size("b_words") >= F.col("need")) & (F.col("b_size") <= MOST * F.size("t_words")))
+        .where(F.size("b_words") >= F.col("need"))
         .where(F.least(F.size("t_words") - F.col("t_pos"), F.size("b_words") - F.col("b_pos")) >= F.col("need"))
     )
     shared = F.size(F.array_intersect("b_words", "t_words"))
@@ -263,11 +258,11 @@ w AS (SELECT doc_id, regexp_extract_all(l, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS
 spots AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM w),
 places AS ({" UNION ALL ".join(place)}),
 base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, list(DISTINCT label) AS bl FROM places GROUP BY doc_id),
-lines AS (SELECT doc_id, unnest(string_split(l, chr(10))) AS line, false AS several FROM low UNION ALL
-    SELECT doc_id, p, true FROM (SELECT doc_id, unnest(regexp_split_to_array(l, '\n[ \t\r]*\n')) AS p FROM low) WHERE contains(p, chr(10))),
-bw AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b, several FROM lines),
+lines AS (SELECT doc_id, unnest(string_split(l, chr(10))) AS line FROM low UNION ALL
+    SELECT doc_id, p FROM (SELECT doc_id, unnest(regexp_split_to_array(l, '\n[ \t\r]*\n')) AS p FROM low) WHERE contains(p, chr(10))),
+bw AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b FROM lines),
 hit AS (SELECT doc_id, label, len(list_intersect(b, tw)) / len(tw)::DOUBLE AS c FROM bw, tw
-        WHERE len(list_intersect(b, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9) AND (NOT several OR len(b) <= {MOST} * len(tw))),
+        WHERE len(list_intersect(b, tw)) >= ceil({THRESHOLD} * len(tw) - 1e-9)),
 found AS (SELECT doc_id, list(DISTINCT label) AS ml, max(c) AS best FROM hit GROUP BY doc_id)
 SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word,
   last_word::BIGINT AS last_word, coalesce(array_to_string(list_sort(bl), ','), '') AS base_labels,

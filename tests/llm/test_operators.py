@@ -417,13 +417,22 @@ def test_licenses(docs, local):
             b = set(find(block))
             for label, template in licenses.TEMPLATES:
                 words = set(template.split())
-                if len(b & words) >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9) and ("\n" not in block or len(b) <= licenses.MOST * len(words)):
+                if len(b & words) >= math.ceil(licenses.THRESHOLD * len(words) - 1e-9):
                     own.add(label)
         r = got[i]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(places), min(places, default=None), max(places, default=None))
         assert (r.base_labels, r.labels) == (",".join(sorted(labels)), ",".join(sorted(own)))
 
 
+def test_long_paragraphs_are_matched(spark):
+    """A license in a comment whose empty lines have a comment mark is one paragraph, many times a template's size."""
+    template = next(t for label, t in licenses.TEMPLATES if label == "bsd" and len(t.split()) > 20).split()
+    lines = [" * " + " ".join(template[k : k + 7]) for k in range(0, len(template), 7)]
+    comment = "/*\n * Copyright\n *\n" + "\n".join(lines) + "\n *\n" + "\n".join(f" * {w} {w}{k}" for k, w in enumerate(WORDS * 40)) + "\n */"
+    d = spark.createDataFrame([(1, comment), (2, comment.replace(" *\n", "\n"))], "doc_id long, text string")
+    assert {r.doc_id: (r.labels, r.score) for r in licenses.license_scan(d).collect()} == {1: ("bsd", 1.0), 2: ("bsd", 1.0)}
+
+
 def test_wrapped_licenses(spark):
     mit = """Copyright (c) Some Body
 
@@ -437,7 +446,7 @@ furnished to do so, subject to the following conditions:
     words = " ".join(licenses.TEMPLATES[2][1].split())
     rows = [(1, mit), (2, words.replace(" license", "\nlicense")), (3, mit.replace("\nof", "\n" + " ".join(f"w{k}" for k in range(400)) + "\nof")), (4, None)]
     got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == "mit" and got[2] == "mit" and got[4] == "" and "mit" not in got[3]
+    assert got == {1: "mit", 2: "mit", 3: "mit", 4: ""}  # blocks of any size match
 
 
 def machine():
