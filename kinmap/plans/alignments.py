@@ -187,6 +187,21 @@ def g11(spark, d):
     return align.attributed(*side(0), *side(1), net.pairs("train"), iterations=1).withColumn("score", F.round("score", 6))
 
 
+#: All pairs' scales, and a step that sends pairs on by common edge attributes.
+SCALED = FINAL.partition("hs AS")[0].rstrip().rstrip(",") + """, na AS MATERIALIZED (SELECT p.node AS u, q.node AS v, 1.0 / sqrt(sum(p.value * q.value)) AS n FROM kp p JOIN kp q ON p.gid = 0 AND q.gid = 1 AND q.e = p.e AND q.a = p.a
+JOIN xa x ON x.gid = 0 AND x.node = p.node JOIN xa y ON y.gid = 1 AND y.node = q.node AND y.a = x.a GROUP BY p.node, q.node HAVING sum(p.value * q.value) > 0), """
+SCALED_STEP = """SELECT m.u, m.v, 0.5 * m.s * na.n AS s FROM (SELECT a.dst AS u, b.src AS v, sum(t.s * o.n * a.w * b.w) AS s FROM {now} t JOIN na o ON o.u = t.u AND o.v = t.v JOIN ep a ON a.gid = 0 AND a.src = t.u JOIN ep b ON b.gid = 1 AND b.dst = t.v AND a.e = b.e GROUP BY a.dst, b.src) m JOIN na ON na.u = m.u AND na.v = m.v"""
+
+
+@query("g11_attributed_by_change", sql("SELECT u, v, round(s + 1e-9, 7) AS score FROM cd", SCALED + change_sql("SELECT aid AS u, aid AS v, 0.5::DOUBLE AS s FROM ot", SCALED_STEP, 0.01, 24)))
+def g11c(spark, d):
+    """Attributed alignment of the networks of order days until no score moves by more than the bound."""
+    net = fx.kept(fx.order_days(spark, d))
+    side = lambda g: (net.nodes.where(F.col("gid") == g), net.graph(g))
+    pairs = align.attributed_by_change(*side(0), *side(1), net.pairs("train"), bound=0.01)
+    return pairs.withColumn("score", F.round(F.col("score") + 1e-9, 7))
+
+
 @query("g10_scaled_similarity", sql("SELECT u, v, round(n, 6) AS n FROM n0", FINAL))
 def g10(spark, d):
     net = fx.order_days(spark, d)

@@ -63,6 +63,12 @@ def e7(spark, d):
     return sim.attribute_anchors(*sides(spark, d), 25)
 
 
+@query("e14_nearest_vectors", sql(f"SELECT u, v, score, rank::INT AS rank FROM (SELECT u, v, score, row_number() OVER (PARTITION BY u ORDER BY score DESC, v) AS rank FROM (SELECT a.node AS u, b.node AS v, round({COS}, 9) AS score {ALLPAIRS})) WHERE rank <= 5"))
+def e14v(spark, d):
+    """The nearest vectors of the other graph for each vector, by bounds of blocks."""
+    return sim.nearest_pairs(*sides(spark, d), 5).rows
+
+
 @query("c12_isolated_links", sql("SELECT a.node AS src, b.node AS dst, round(1 / (1 + exp(-list_inner_product(a.vec, b.vec))) + 1e-9, 6) AS w FROM e_vec a JOIN e_vec b ON a.gid = 0 AND b.gid = 0 AND a.node <> b.node WHERE a.node NOT IN (SELECT src FROM l_edges WHERE gid = 0) UNION ALL SELECT b.node, a.node, round(1 / (1 + exp(-list_inner_product(a.vec, b.vec))) + 1e-9, 6) FROM e_vec a JOIN e_vec b ON a.gid = 0 AND b.gid = 0 AND a.node <> b.node WHERE a.node NOT IN (SELECT src FROM l_edges WHERE gid = 0)"))
 def c12(spark, d):
     one, _ = sides(spark, d)
