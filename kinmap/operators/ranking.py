@@ -128,6 +128,7 @@ def degree_anchors(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
     Pairs are counted by histograms of degrees; only degree pairs that can be among
     the k best are expanded, and of those at the border only as many u as can matter.
     """
+    one, two = checkpointed(one.select("node", "degree")), checkpointed(two.select("node", "degree"))
     h1 = one.groupBy(F.col("degree").alias("d1")).agg(F.count("*").alias("m1"))
     h2 = two.groupBy(F.col("degree").alias("d2")).agg(F.count("*").alias("m2"))
     gap = F.abs(F.col("d1") - F.col("d2"))
@@ -136,7 +137,7 @@ def degree_anchors(one: DataFrame, two: DataFrame, k: int) -> DataFrame:
     levels = cells.groupBy("gap").agg(F.sum("cell").alias("in_level"))
     before = Window.orderBy("gap").rowsBetween(Window.unboundedPreceding, -1)
     levels = levels.withColumn("before", F.coalesce(F.sum("in_level").over(before), F.lit(0))).where(F.col("before") < k)
-    needed = cells.join(levels, "gap").select("d1", "d2", "gap", "before", (F.lit(k) - F.col("before")).alias("room"))
+    needed = checkpointed(cells.join(levels, "gap").select("d1", "d2", "gap", "before", (F.lit(k) - F.col("before")).alias("room")))
     # Within a level pairs go by u, then v: how many partners each u has there tells which u are reached.
     partners = needed.join(h2, "d2").groupBy("gap", "d1", "before", "room").agg(F.sum("m2").alias("partners"))
     us = partners.join(one.withColumnRenamed("degree", "d1"), "d1").select("gap", "room", "partners", "d1", F.col("node").alias("u"))

@@ -84,6 +84,7 @@ def weighted_pick(draws: DataFrame, shares: DataFrame, by: list[str], parts: int
 
 def labelled_edges(nodes: DataFrame, edges: DataFrame, k: int, seed: str = SEED) -> DataFrame:
     """(gid, src, dst, label): every edge with 1 and k negatives with -1, drawn by degree^0.75 of its graph."""
+    edges = checkpointed(edges)
     shares = degree_shares(nodes, edges)
     each = edges.select("gid", "src", "dst", F.explode(F.sequence(F.lit(1), F.lit(k))).alias("i"))
     drawn = each.withColumn("u", draw("cross", F.col("gid"), F.col("src"), F.col("dst"), F.col("i"), seed=seed))
