@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, saved
+from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, runs, saved
 from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, tidy_group, unpack_sorted, word_hashes
 
 START, END = np.uint64(1), np.uint64(2)
@@ -132,13 +132,11 @@ def all_rows(blobs: pd.Series, words: int, numbers: int) -> list[np.ndarray]:
     return [np.concatenate(c) for c in zip(*parts)] if parts else none
 
 
-def dealt(bucket: np.ndarray, buckets: int, words: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def dealt(bucket: np.ndarray, words: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    for k in range(buckets):
-        o = order[cut[k] : cut[k + 1]]
-        if len(o):
-            yield k, packed_rows([w[o] for w in words], [n[o] for n in numbers])
+    for k, start, end in runs(bucket[order]):
+        o = order[start:end]
+        yield k, packed_rows([w[o] for w in words], [n[o] for n in numbers])
 
 
 def classes(values: np.ndarray) -> list[np.ndarray]:
@@ -163,7 +161,7 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
 
         def sent() -> Iterator[pa.RecordBatch]:
             u, v, w, n = held.pop()
-            for k, blob in dealt(bucket_of(pair_hash(v, w), buckets), buckets, [u, v, w], [n]):
+            for k, blob in dealt(bucket_of(pair_hash(v, w), buckets), [u, v, w], [n]):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "triples"])
 
         for batch in batches:
@@ -188,7 +186,7 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
         saved(folder, "triple", key[0], key=triples[often], count=least_type(n[often]))
         # The triples of each pair that they begin with.
         history, at, sums = summed(pair_hash(u, v)[often], n[often], *classes(n[often]))
-        rows = [(k, blob, None, None) for k, blob in dealt(bucket_of(history, buckets), buckets, [history], sums)]
+        rows = [(k, blob, None, None) for k, blob in dealt(bucket_of(history, buckets), [history], sums)]
 
         pairs, at, (count_, before) = summed(pair, n, np.ones(len(n), np.int64))
         v, w = v[at], w[at]
@@ -198,9 +196,9 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
         value = before if order > 2 else count_
         stats |= {f"p{k}": int((value == k).sum()) for k in (1, 2, 3, 4)}
         contexts, _, sums = summed(v, value, *classes(value))
-        rows += [(k, None, blob, None) for k, blob in dealt(bucket_of(contexts, buckets), buckets, [contexts], sums)]
+        rows += [(k, None, blob, None) for k, blob in dealt(bucket_of(contexts, buckets), [contexts], sums)]
         words, _, sums = summed(w, count_, np.ones(len(w), np.int64))
-        rows += [(k, None, None, blob) for k, blob in dealt(bucket_of(words, buckets), buckets, [words], sums)]
+        rows += [(k, None, None, blob) for k, blob in dealt(bucket_of(words, buckets), [words], sums)]
         out = pd.DataFrame(rows, columns=["bucket", "histories", "contexts", "words"])
         return pd.concat([out, pd.DataFrame([{"bucket": key[0]} | stats])], ignore_index=True).reindex(columns=["bucket", "histories", "contexts", "words", *STATS[:8]])
 

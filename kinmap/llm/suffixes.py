@@ -38,6 +38,8 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -47,7 +49,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, saved
+from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, runs, saved
 from kinmap.llm.text import blocks, bounded, load64, mixed, pack_sorted, tidy, tidy_group, unpack_sorted
 
 LENGTH = 50
@@ -77,15 +79,10 @@ def spans_hash(words: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     return mixed(out)
 
 
-def shares(values: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
-    """Bucket borders of the values' range."""
-    edges = np.array([np.uint64((b << bits) // buckets) for b in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(values, edges), len(values))
-
-
 def bucket_by_range(values: np.ndarray, buckets: int, bits: int = 64) -> np.ndarray:
-    edges = np.array([np.uint64((b << bits) // buckets) for b in range(buckets)], np.uint64)
-    return np.searchsorted(edges, values, "right") - 1
+    """Buckets of equal ranges of numbers of so many bits, in their order; by the upper 32 bits, so fewer than 2^32 buckets."""
+    upper = min(bits, 32)
+    return ((values >> np.uint64(bits - upper)) * np.uint64(buckets) >> np.uint64(upper)).astype(np.int64)
 
 
 class Texts:
@@ -195,13 +192,12 @@ SENT = "bucket int, names binary, owner binary, ids binary, many binary"
 
 
 def send(held: list[tuple], setting: Setting, bits: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
-    """A row a bucket; what blocks hold, sorted by value, is combined bucket by bucket, so nothing is copied as a whole."""
-    cuts = [shares(values, setting.buckets, bits) for values, _, _ in held]
-    for b in range(setting.buckets):
-        parts = [[x[c[b] : c[b + 1]] for x in h] for h, c in zip(held, cuts) if c[b] < c[b + 1]]
-        if parts:
-            row = packed_names(*combined(*map(np.concatenate, zip(*parts))), with_ids)
-            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["bucket", "names", "owner", "ids", "many"])
+    """A row for each bucket that has names; what blocks hold, sorted by value, is combined bucket by bucket, so nothing is copied as a whole."""
+    parts = [(b, start, end, k) for k, h in enumerate(held) for b, start, end in runs(bucket_by_range(h[0], setting.buckets, bits))]
+    for b, found in groupby(sorted(parts), itemgetter(0)):
+        slices = [[x[start:end] for x in held[k]] for _, start, end, k in found]
+        row = packed_names(*combined(*map(np.concatenate, zip(*slices))), with_ids)
+        yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), *[pa.array([x], pa.binary()) for x in row]], ["bucket", "names", "owner", "ids", "many"])
     held.clear()
 
 

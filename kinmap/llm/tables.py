@@ -15,6 +15,7 @@ import mmap
 import os
 import uuid
 from collections import OrderedDict
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 import numpy as np
@@ -66,6 +67,12 @@ def mapped(path: str) -> dict[str, np.ndarray]:
     return {n: np.ndarray(tuple(shape), kind, data, start + at) for n, (kind, shape, at) in head.items()}
 
 
+def runs(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(value, start, end) of each run of equal values: work by the values that stand there, not by all there could be."""
+    starts = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+    return zip(ordered[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(ordered)])
+
+
 class Arrays:
     """A folder's tables; every table has an array `key`, sorted, and others beside it."""
 
@@ -83,14 +90,11 @@ class Arrays:
     def hits(self, table: str, bucket: np.ndarray, keys: np.ndarray):
         """For each bucket that has some of the keys: its arrays, which keys and where."""
         order = np.lexsort((keys, bucket))
-        cut = np.searchsorted(bucket[order], np.arange(self.buckets + 1))
-        for k in range(self.buckets):
-            if cut[k] == cut[k + 1]:
-                continue
+        for k, start, end in runs(bucket[order]):
             there = self.get(table, k)
             if not len(there["key"]):
                 continue
-            o = order[cut[k] : cut[k + 1]]
+            o = order[start:end]
             place = np.minimum(np.searchsorted(there["key"], keys[o]), len(there["key"]) - 1)
             hit = there["key"][place] == keys[o]
             yield there, o[hit], place[hit]

@@ -600,3 +600,34 @@ def test_pipeline_stages_feed_each_other(spark, docs, tmp_path):
     components = brute_jaccard([(r.doc_id, r.text) for r in one.collect()])
     assert kept == {c for _, c in components.values()}
     assert set(d.columns) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
+def test_buckets_of_ranges_keep_the_order_and_are_even():
+    from kinmap.llm.suffixes import bucket_by_range
+    from kinmap.llm.tables import runs
+
+    for bits, buckets in ((64, 1), (64, 79_000), (40, 777), (20, 5), (64, 9_000_000)):
+        values = np.sort(np.random.default_rng(7).integers(0, 2**bits, 4_000, np.uint64, endpoint=False))
+        values[0], values[-1] = 0, np.uint64(2**bits - 1)
+        bucket = bucket_by_range(values, buckets, bits)
+        assert (np.diff(bucket) >= 0).all() and bucket[0] == 0 and bucket[-1] == buckets - 1
+        exact = np.array([int(v) * buckets >> bits for v in values])
+        assert (np.abs(bucket - exact) <= 1).all()
+        found = list(runs(bucket))
+        assert [b for b, _, _ in found] == sorted(set(bucket.tolist()))
+        assert sum(end - start for _, start, end in found) == len(values)
+        assert all((bucket[start:end] == b).all() for b, start, end in found)
+    assert not list(runs(np.zeros(0, np.int64)))
+
+
+def test_lookups_among_many_buckets_open_only_those_with_keys(tmp_path):
+    from kinmap.llm.tables import Arrays, saved
+
+    keys = np.arange(0, 2_000, 2, dtype=np.uint64)
+    for b in (3, 500_000):
+        saved(str(tmp_path), "word", b, key=keys, count=keys.view(np.int64) + b)
+    asked = np.array([4, 5, 1_998, 0, 4], np.uint64)
+    bucket = np.array([500_000, 3, 3, 500_000, 3])
+    tables = Arrays(str(tmp_path), 1_000_000)
+    assert tables.find("word", bucket, asked, "count")[0].tolist() == [500_004, 0, 2_001, 500_000, 7]
+    assert tables.has("word", bucket, asked).tolist() == [True, False, True, True, True]
