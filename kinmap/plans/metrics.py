@@ -11,6 +11,7 @@ from kinmap.operators import groups, ranking
 from kinmap.operators.graph import degrees
 from kinmap.plans.base import query
 from kinmap.session import checkpointed, shared_folder
+from kinmap.sources import entities as entity_files
 from kinmap.sources import fixtures as fx
 from kinmap.sources import networks
 from kinmap.sources.fixtures import U, sql
@@ -256,7 +257,7 @@ def scratch(spark, name: str) -> str:
 @query("a3_read_entities", sql("SELECT eid, side, node FROM n_truth"))
 def a3(spark, d):
     folder = scratch(spark, "entities")
-    networks.entity_maps(*fx.entities(spark, d)).write.json(folder)
+    entity_files.write(*fx.entities(spark, d), folder)
     return networks.read_entities(spark, folder)[0]
 
 

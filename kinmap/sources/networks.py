@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kinmap.sources import entities as entity_files
 from kinmap.sources.fixtures import NetworkSet
 
 NODES = "gid INT, node LONG, x ARRAY<DOUBLE>"
 EDGES = "gid INT, src LONG, dst LONG, w DOUBLE, edge_attr ARRAY<DOUBLE>"
 ANCHORS = "aid LONG, nodes ARRAY<LONG>, split STRING"
-ENTITY_FILE = "entities MAP<STRING, STRUCT<src: ARRAY<LONG>, tgt: ARRAY<LONG>>>"
 RUN_COLUMNS = [("Epoch", "epoch", "int"), ("Loss", "loss", "double"), ("EpochTime", "epoch_time", "double"), ("Hits@1", "hits1", "double"), ("Hits@10", "hits10", "double"), ("Hits@30", "hits30", "double"), ("Hits@50", "hits50", "double"), ("MRR", "mrr", "double"), ("memory", "memory", "double"), ("infer_time", "infer_time", "double")]
 
 
@@ -34,45 +34,30 @@ def load(spark: SparkSession, folder: str) -> NetworkSet:
     return NetworkSet(read("nodes", NODES), read("edges", EDGES), read("anchors", ANCHORS))
 
 
-def entity_rows(maps: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
-    """(entities(eid, side, node), entity_ids(eid)) of rows with an entity map, with the key columns."""
-    checked = F.when(F.col("entities").isNull(), F.raise_error(F.lit("no entities in the file"))).otherwise(F.col("entities"))
-    each = maps.select(*keys, F.explode(checked).alias("eid", "sides"))
-    sides = F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("sides.src").alias("nodes")), F.struct(F.lit("tgt").alias("side"), F.col("sides.tgt").alias("nodes"))))
+def entity_rows(each: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:
+    """(entities(eid, side, node), entity_ids(eid)) of rows with an entity's lists, with the key columns."""
+    sides = F.explode(F.array(F.struct(F.lit("src").alias("side"), F.col("src").alias("nodes")), F.struct(F.lit("tgt").alias("side"), F.col("tgt").alias("nodes"))))
     rows = each.select(*keys, "eid", sides.alias("s")).select(*keys, "eid", "s.side", F.explode("s.nodes").alias("node"))
     return rows, each.select(*keys, "eid")
 
 
 def read_entities(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return entity_rows(spark.read.option("multiLine", True).schema(ENTITY_FILE).json(path))
-
-
-def entity_maps(entities: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
-    """One map column `entities` for each value of keys: the file form, for entities of a size that a file has."""
-    lists = entities.groupBy(*keys, "eid").agg(
-        F.array_sort(F.collect_list(F.when(F.col("side") == "src", F.col("node")))).alias("src"),
-        F.array_sort(F.collect_list(F.when(F.col("side") == "tgt", F.col("node")))).alias("tgt"),
-    )
-    none = F.array().cast("array<bigint>")
-    full = ids.select(*keys, "eid").join(lists, [*keys, "eid"], "left")
-    entry = F.struct("eid", F.struct(F.coalesce("src", none).alias("src"), F.coalesce("tgt", none).alias("tgt")))
-    return full.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("entities"))
+    """Of a file or a folder of files; a file is read by byte ranges, so its size does not matter."""
+    return entity_rows(entity_files.read(spark, path))
 
 
 def write_predictions(entities: DataFrame, ids: DataFrame, folder: str) -> None:
-    """A folder a rate with one JSON file, named after the rate."""
-    entity_maps(entities, ids, "rate").write.mode("overwrite").partitionBy("rate").json(folder)
+    """A folder a rate, named after it, with a JSON file a part of its entities."""
+    entity_files.write(entities, ids, folder, "rate")
 
 
 def read_predictions(spark: SparkSession, glob: str, pattern: str = r"rate=([0-9.]+)") -> tuple[DataFrame, DataFrame]:
-    """(entities(file, rate, eid, side, node), ids(file, rate, eid)); the rate is NaN where the path has none."""
-    maps = spark.read.option("multiLine", True).schema(ENTITY_FILE).option("recursiveFileLookup", True).json(glob)
-    if maps.isEmpty():
+    """(entities(file, rate, eid, side, node), ids(file, rate, eid)); the rate is NaN where the path has none, and a rate may have several files."""
+    if entity_files.file_ranges(spark, glob).isEmpty():
         raise FileNotFoundError(f"no predictions in {glob}")
-    path = F.col("_metadata.file_path")
-    found = F.regexp_extract(path, pattern, 1)
+    found = F.regexp_extract("file", pattern, 1)
     rate = F.when(found == "", F.lit(float("nan"))).otherwise(F.rtrim(found, F.lit(".")).try_cast("double"))
-    return entity_rows(maps.select(path.alias("file"), rate.alias("rate"), "entities"), "file", "rate")
+    return entity_rows(entity_files.read(spark, glob).withColumn("rate", rate), "file", "rate")
 
 
 def write_sweep(rows: DataFrame, folder: str) -> None:
