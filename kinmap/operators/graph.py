@@ -362,16 +362,41 @@ def column_moments(nodes: DataFrame) -> DataFrame:
     return values.groupBy("gid", "pos").agg(F.avg("value").alias("mean"), (F.coalesce(F.stddev_samp("value"), F.lit(0.0)) + 1e-12).alias("std"))
 
 
-def degree_signature(nodes: DataFrame, edges: DataFrame, layers: int = 2, base: float = 2.0, alpha: float = 0.01) -> DataFrame:
-    """(gid, node, bucket, value): discounted histograms of log-degrees of the neighbours by layer."""
-    degree = degrees(nodes, edges).select("gid", F.col("node").alias("near"), F.col("out").alias("d")).where("d > 0")
-    step = edges.select("gid", "src", "dst").distinct()
-    seen = nodes.select("gid", "node", F.col("node").alias("near"), F.lit(0).alias("layer"))
-    front = seen
+def words_of(node: str) -> tuple[Column, Column]:
+    """The word of 64 ids that holds an id, and the id's bit in it."""
+    return F.shiftright(node, 6), F.expr(f"shiftleft(1L, CAST({node} & 63 AS INT))")
+
+
+def balls(nodes: DataFrame, edges: DataFrame, layers: int) -> DataFrame:
+    """(gid, node, layer, chunk, bits): whom each node first reaches in each layer, 64 ids a row; layer 0 is the node itself.
+
+    What a node reaches in a layer is what its neighbours reach in the one before, less
+    what it has seen, so a hop is one join with the edges and one bit_or, and no row
+    stands for a reached pair where ids are dense; with scattered ids rows are as many as pairs.
+    """
+    step = edges.select("gid", F.col("src").alias("node"), F.col("dst").alias("near")).distinct()
+    chunk, bit = words_of("node")
+    key = ["gid", "node", "chunk"]
+    front = nodes.select("gid", "node", chunk.alias("chunk"), bit.alias("bits"))
+    seen, out = front, front.withColumn("layer", F.lit(0))
     for layer in range(1, layers + 1):
-        onward = step.select("gid", F.col("src").alias("near"), F.col("dst").alias("next"))
-        reach = front.join(onward, ["gid", "near"]).select("gid", "node", F.col("next").alias("near")).distinct()
-        front = reach.join(seen, ["gid", "node", "near"], "left_anti").withColumn("layer", F.lit(layer))
-        seen = seen.unionByName(front)
-    bucket = F.floor(F.log2(F.col("d").cast("double")) / F.log2(F.lit(base))).cast("int")
-    return seen.join(degree, ["gid", "near"]).groupBy("gid", "node", bucket.alias("bucket")).agg(F.sum(F.pow(F.lit(alpha), F.col("layer"))).alias("value"))
+        reach = step.join(front.withColumnRenamed("node", "near"), ["gid", "near"]).groupBy(*key).agg(F.bit_or("bits").alias("bits"))
+        left = reach.join(seen.withColumnRenamed("bits", "old"), key, "left")
+        new = F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("old", F.lit(0).cast("long"))))
+        front = left.select(*key, new.alias("bits")).where("bits <> 0")
+        out = out.unionByName(front.withColumn("layer", F.lit(layer)))
+        if layer < layers:
+            seen = seen.unionByName(front).groupBy(*key).agg(F.bit_or("bits").alias("bits"))
+    return out
+
+
+def degree_signature(nodes: DataFrame, edges: DataFrame, layers: int = 2, base: float = 2.0, alpha: float = 0.01) -> DataFrame:
+    """(gid, node, bucket, value): discounted histograms of log-degrees of the neighbours by layer.
+
+    Buckets are masks of words of ids, so a histogram counts bits of a ball's words.
+    """
+    bucket = F.floor(F.log2(F.col("out").cast("double")) / F.log2(F.lit(base))).cast("int")
+    chunk, bit = words_of("node")
+    masks = degrees(nodes, edges).where("out > 0").groupBy("gid", chunk.alias("chunk"), bucket.alias("bucket")).agg(F.bit_or(bit).alias("mask"))
+    found = balls(nodes, edges, layers).join(masks, ["gid", "chunk"]).withColumn("n", F.bit_count(F.col("bits").bitwiseAND(F.col("mask")))).where("n > 0")
+    return found.groupBy("gid", "node", "bucket").agg(F.sum(F.col("n") * F.pow(F.lit(alpha), F.col("layer"))).alias("value"))
