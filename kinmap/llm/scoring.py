@@ -14,6 +14,11 @@ many, and to that of its last word its count and number of words before it. Thes
 written as tables too. Scoring workers map the tables into memory from the shared
 folder and look words up by binary search, so that a worker touches what its texts need.
 
+What is sent names frequent words by codes of two bytes and only others by their hashes.
+Sent tables get smaller and more as the corpus grows, and lists of words' hashes in each
+would make what is sent grow faster than the corpus. Codes are fitted on a bounded sample
+of texts (`CODE_BYTES`); they only shorten rows, and no count or score depends on them.
+
     p(w|u,v) = (c(u,v,w) - D)+ / c(u,v) + g(u,v) p(w|v)
     p(w|v)   = (b(v,w) - E)+ / sum b(v,.) + g(v) p(w)
     p(w)     = (b(w) - E')+ / sum b + g' / (V + 1)
@@ -42,13 +47,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinmap.llm.tables import Arrays, for_all_buckets, least_type, new_folder, runs, saved
+from kinmap.llm.tables import Arrays, for_all_buckets, least_type, mapped, new_folder, runs, saved
 from kinmap.llm.text import blocks, bounded, mixed, pack_sorted, tidy, tidy_group, unpack_sorted, word_hashes
 
 START, END = np.uint64(1), np.uint64(2)
 ORDER, CUTOFF = 2, 2
 BUCKET_BYTES = 16 << 20
 HELD_TOKENS = 2_000_000
+#: Words with codes, the code that stands for all others, and about how many bytes of texts the codes are fitted on.
+CODES, NO_CODE, CODE_BYTES = 65535, np.uint64(65535), 16 << 20
 #: What is counted over all buckets: triples and pairs in all, and those with 1 to 4.
 STATS = [*[f"{c}{k}" for c in ("t", "p", "b") for k in (1, 2, 3, 4)], "words", "tokens", "before"]
 
@@ -106,37 +113,63 @@ def from_planes(packed: bytes, width: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(width, -1).T).view(f"<u{width}").ravel().astype(np.int64)
 
 
-def packed_rows(words: list[np.ndarray], numbers: list[np.ndarray]) -> bytes:
-    """Columns of words, as places in one list of them, and of numbers; rows are sorted by the last word."""
+def packed_rows(words: list[np.ndarray], numbers: list[np.ndarray], codes: np.ndarray) -> bytes:
+    """Columns of words and of numbers: rows are sorted by the words' codes, words without one are places in a list of these."""
     pack = zstandard.ZstdCompressor(level=1).compress
-    order = np.argsort(words[-1], kind="stable")
-    names, places = np.unique(np.concatenate([w[order] for w in words]), return_inverse=True)
-    parts = [pack_sorted(names), *[planes(p, 4) for p in np.split(places, len(words))], *[planes(n[order], 8) for n in numbers]]
-    blobs = [pack(p) for p in parts]
+    key, without = np.zeros(len(words[0]), np.uint64), []
+    for k, column in enumerate(words):
+        at = np.minimum(np.searchsorted(codes, column), len(codes) - 1)
+        without.append(codes[at] != column)
+        key |= np.where(without[-1], NO_CODE, at.astype(np.uint64)) << np.uint64(16 * k)
+    order = np.argsort(key, kind="stable")
+    names, places = np.unique(np.concatenate([w[order][x[order]] for w, x in zip(words, without)]), return_inverse=True)
+    blobs = [pack(p) for p in (pack_sorted(key[order]), pack_sorted(names), planes(places, 4), *[planes(n[order], 8) for n in numbers])]
     return np.array([len(b) for b in blobs], "<u4").tobytes() + b"".join(blobs)
 
 
-def unpacked_rows(packed: bytes, words: int, numbers: int) -> list[np.ndarray]:
+def unpacked_rows(packed: bytes, words: int, numbers: int, codes: np.ndarray) -> list[np.ndarray]:
     unpack = zstandard.ZstdDecompressor().decompress
-    lengths = np.frombuffer(packed[: 4 * (1 + words + numbers)], "<u4").astype(np.int64)
+    lengths = np.frombuffer(packed[: 4 * (3 + numbers)], "<u4").astype(np.int64)
     at = 4 * len(lengths) + np.cumsum(lengths) - lengths
-    names, *columns = [unpack(packed[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist())]
-    names = unpack_sorted(names)
-    return [names[from_planes(c, 4)] for c in columns[:words]] + [from_planes(c, 8) for c in columns[words:]]
-
-
-def all_rows(blobs: pd.Series, words: int, numbers: int) -> list[np.ndarray]:
+    key, names, places, *sums = [unpack(packed[a : a + n]) for a, n in zip(at.tolist(), lengths.tolist())]
+    key, names = unpack_sorted(key), unpack_sorted(names)[from_planes(places, 4)]
+    columns, used = [], 0
+    for k in range(words):
+        code = key >> np.uint64(16 * k) & NO_CODE
+        without = np.flatnonzero(code == NO_CODE)
+        columns.append(codes[np.minimum(code, np.uint64(len(codes) - 1))])
+        columns[-1][without] = names[used : used + len(without)]
+        used += len(without)
+    return columns + [from_planes(n, 8) for n in sums]
+
+
+def all_rows(blobs: pd.Series, words: int, numbers: int, codes: np.ndarray) -> list[np.ndarray]:
     """The columns of several packed tables, one after the other."""
-    parts = [unpacked_rows(b, words, numbers) for b in blobs.dropna()]
+    parts = [unpacked_rows(b, words, numbers, codes) for b in blobs.dropna()]
     none = [np.zeros(0, np.uint64)] * words + [np.zeros(0, np.int64)] * numbers
     return [np.concatenate(c) for c in zip(*parts)] if parts else none
 
 
-def dealt(bucket: np.ndarray, words: list[np.ndarray], numbers: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+def dealt(bucket: np.ndarray, words: list[np.ndarray], numbers: list[np.ndarray], codes: np.ndarray) -> Iterator[tuple[int, bytes]]:
     order = np.argsort(bucket, kind="stable")
     for k, start, end in runs(bucket[order]):
         o = order[start:end]
-        yield k, packed_rows([w[o] for w in words], [n[o] for n in numbers])
+        yield k, packed_rows([w[o] for w in words], [n[o] for n in numbers], codes)
+
+
+def frequent_words(docs: DataFrame, size: int) -> np.ndarray:
+    """The START, the END and the most frequent words of about CODE_BYTES of texts, chosen by hashes of ids; sorted."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, padded, offsets in blocks(batch.column("text")):
+                words, n = np.unique(word_hashes(padded, offsets)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["word", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int((1 << 30) * min(1, CODE_BYTES / max(1, size))))
+    counts = some.select("text").mapInArrow(tidy(count), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "word").limit(CODES - 2).collect()
+    return np.unique(np.append(np.array([r.word for r in rows], np.int64).view(np.uint64), [START, END]))
 
 
 def classes(values: np.ndarray) -> list[np.ndarray]:
@@ -150,6 +183,10 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(size) // BUCKET_BYTES))
     folder = new_folder(docs.sparkSession, "words")
+    saved(folder, "codes", 0, key=frequent_words(bounded(docs), int(size)))
+
+    def coded() -> np.ndarray:
+        return mapped(f"{folder}/codes_0")["key"]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -161,7 +198,7 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
 
         def sent() -> Iterator[pa.RecordBatch]:
             u, v, w, n = held.pop()
-            for k, blob in dealt(bucket_of(pair_hash(v, w), buckets), [u, v, w], [n]):
+            for k, blob in dealt(bucket_of(pair_hash(v, w), buckets), [u, v, w], [n], coded()):
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([blob], pa.binary())], ["bucket", "triples"])
 
         for batch in batches:
@@ -177,7 +214,8 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
             yield from sent()
 
     def merge(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        u, v, w, n = all_rows(group.triples, 3, 1)
+        codes = coded()
+        u, v, w, n = all_rows(group.triples, 3, 1, codes)
         pair = pair_hash(v, w)
         triples, place, (n,) = summed(triple_hash(u, pair), n)
         u, v, w, pair = u[place], v[place], w[place], pair[place]
@@ -186,7 +224,7 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
         saved(folder, "triple", key[0], key=triples[often], count=least_type(n[often]))
         # The triples of each pair that they begin with.
         history, at, sums = summed(pair_hash(u, v)[often], n[often], *classes(n[often]))
-        rows = [(k, blob, None, None) for k, blob in dealt(bucket_of(history, buckets), [history], sums)]
+        rows = [(k, blob, None, None) for k, blob in dealt(bucket_of(history, buckets), [history], sums, codes)]
 
         pairs, at, (count_, before) = summed(pair, n, np.ones(len(n), np.int64))
         v, w = v[at], w[at]
@@ -196,20 +234,21 @@ def train(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF) -> dict:
         value = before if order > 2 else count_
         stats |= {f"p{k}": int((value == k).sum()) for k in (1, 2, 3, 4)}
         contexts, _, sums = summed(v, value, *classes(value))
-        rows += [(k, None, blob, None) for k, blob in dealt(bucket_of(contexts, buckets), [contexts], sums)]
+        rows += [(k, None, blob, None) for k, blob in dealt(bucket_of(contexts, buckets), [contexts], sums, codes)]
         words, _, sums = summed(w, count_, np.ones(len(w), np.int64))
-        rows += [(k, None, None, blob) for k, blob in dealt(bucket_of(words, buckets), [words], sums)]
+        rows += [(k, None, None, blob) for k, blob in dealt(bucket_of(words, buckets), [words], sums, codes)]
         out = pd.DataFrame(rows, columns=["bucket", "histories", "contexts", "words"])
         return pd.concat([out, pd.DataFrame([{"bucket": key[0]} | stats])], ignore_index=True).reindex(columns=["bucket", "histories", "contexts", "words", *STATS[:8]])
 
     def finish(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        history, *sums = all_rows(group.histories, 1, 4)
+        codes = coded()
+        history, *sums = all_rows(group.histories, 1, 4, codes)
         history, _, sums = summed(history, *sums)
         saved(folder, "history", key[0], key=history, **{n: least_type(s) for n, s in zip(("total", "n1", "n2", "n3"), sums)})
-        context, *sums = all_rows(group.contexts, 1, 4)
+        context, *sums = all_rows(group.contexts, 1, 4, codes)
         context, _, sums = summed(context, *sums)
         saved(folder, "context", key[0], key=context, **{n: least_type(s) for n, s in zip(("total", "n1", "n2", "n3"), sums)})
-        words, *sums = all_rows(group.words, 1, 2)
+        words, *sums = all_rows(group.words, 1, 2, codes)
         words, _, (counts, before) = summed(words, *sums)
         saved(folder, "word", key[0], key=words, count=least_type(counts), before=least_type(before))
         stats = {c: int(group[c].fillna(0).sum()) for c in STATS[:8]} | {f"b{k}": int((before == k).sum()) for k in (1, 2, 3, 4)}

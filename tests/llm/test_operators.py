@@ -345,6 +345,31 @@ def test_mixing_order_and_budget(spark):
         assert order == sorted(order) and len(order) == sum(want.values())
 
 
+@pytest.mark.parametrize("rows", [0, 1, 7, 500])
+@pytest.mark.parametrize("columns", [1, 2, 3])
+def test_rows_packed_by_codes(rows, columns):
+    draw = np.random.default_rng(rows + columns)
+    codes = np.unique(draw.integers(0, 1 << 63, 50).astype(np.uint64))
+    others = draw.integers(0, 1 << 63, (columns, rows)).astype(np.uint64) * np.uint64(2)
+    words = [np.where(draw.random(rows) < 0.5, draw.choice(codes, rows), x) for x in others]
+    numbers = [draw.integers(0, 1 << 40, rows) for _ in range(2)]
+    got = scoring.unpacked_rows(scoring.packed_rows(words, numbers, codes), columns, 2, codes)
+    assert sorted(zip(*(c.tolist() for c in got))) == sorted(zip(*(c.tolist() for c in words + numbers)))
+
+
+@pytest.mark.parametrize("order", [2, 3])
+def test_scores_do_not_depend_on_codes_or_buckets(docs, order, monkeypatch):
+    def rows():
+        return sorted(tuple(r) for r in scoring.score_texts(docs, order).collect())
+
+    want = rows()
+    monkeypatch.setattr(scoring, "CODES", 7)
+    monkeypatch.setattr(scoring, "BUCKET_BYTES", 50_000)
+    got = rows()
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5:] for r in got] == [pytest.approx(r[5:]) for r in want]
+
+
 @pytest.mark.parametrize("order, cutoff", [(3, 2), (3, 1), (2, 2)])
 def test_scoring(docs, local, order, cutoff):
     got = {r.doc_id: r for r in scoring.score_texts(docs, order, cutoff).collect()}
