@@ -7,13 +7,22 @@ from pyspark.sql import functions as F
 
 from kinmap.operators.align import MOST_PAIRS, by_change
 from kinmap.operators.graph import degree_shares, single_hop, stochastic, with_end_in  # noqa: F401
+from kinmap.operators.links import Links, linked
 from kinmap.operators.ranking import mutual_best
 from kinmap.session import broadcast_up_to, checkpointed
 
 
-def push(edges: DataFrame, values: DataFrame) -> DataFrame:
-    """Each node's values sent along its edges and summed at their ends."""
-    sent = edges.select(F.col("src").alias("node"), "dst", "w").join(values, "node")
+def node_links(edges: DataFrame) -> Links:
+    """Links (node, dst, w) for the steps that push along the same edges."""
+    return linked(edges.select(F.col("src").alias("node"), "dst", "w"), ["node"])
+
+
+def push(edges: DataFrame | Links, values: DataFrame) -> DataFrame:
+    """Each node's values sent along its edges and summed at their ends; steps that repeat give links in place of edges."""
+    if isinstance(edges, Links):
+        sent = edges.join(values)
+    else:
+        sent = edges.select(F.col("src").alias("node"), "dst", "w").join(values, "node")
     return sent.groupBy(F.col("dst").alias("node"), "key").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
 
 
@@ -32,7 +41,7 @@ def restart_walk(edges: DataFrame, nodes: DataFrame, anchors: DataFrame, restart
     An isolated node sends nothing, or, connected, the same to every node: one
     number an anchor, which is added to all nodes without edges for it.
     """
-    steps = stochastic(edges.select(F.lit(0).alias("gid"), "src", "dst", "w")).select("src", "dst", "w")
+    steps = node_links(stochastic(edges.select(F.lit(0).alias("gid"), "src", "dst", "w")))
     keys = anchors.select("key").distinct()
     # Nodes times anchors: the result has this size as every value starts at one.
     values = nodes.select("node").crossJoin(broadcast_up_to(keys)).withColumn("value", F.lit(1.0))
@@ -65,11 +74,11 @@ def walk_by_pushes(edges: DataFrame, starts: DataFrame, restart: float, bound: f
     what was never sent on.
     """
     steps = stochastic(edges.select(F.lit(0).alias("gid"), "src", "dst", "w"))
-    steps = broadcast_up_to(checkpointed(steps.select(F.col("src").alias("v"), "dst", (F.col("w") * (1 - restart)).alias("w"))))
+    steps = linked(steps.select(F.col("src").alias("v"), "dst", (F.col("w") * (1 - restart)).alias("w")), ["v"])
     first = starts.groupBy(F.col("key").alias("u"), F.col("node").alias("v")).agg((F.sum("value") * restart).alias("score"))
 
     def send(rows: DataFrame) -> DataFrame:
-        return rows.join(steps, "v").groupBy("u", F.col("dst").alias("v")).agg(F.sum(F.col("score") * F.col("w")).alias("score"))
+        return steps.join(rows).groupBy("u", F.col("dst").alias("v")).agg(F.sum(F.col("score") * F.col("w")).alias("score"))
 
     found = by_change(first, send, [], bound, 0.0, iterations, merge_every, most_rows)
     return found.select(F.col("v").alias("node"), F.col("u").alias("key"), F.col("score").alias("value"))
@@ -108,9 +117,9 @@ def positional(walk: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def convolved(normal: DataFrame, values: DataFrame, layers: int) -> list[DataFrame]:
     """values and their images under each power of a normalised adjacency."""
-    out = [values]
+    out, steps = [values], node_links(normal) if layers > 1 else normal
     for _ in range(layers):
-        out.append(push(normal, out[-1]))
+        out.append(push(steps, out[-1]))
     return out
 
 
@@ -125,9 +134,9 @@ def hops_joined(normal: DataFrame, values: DataFrame, hops: int) -> DataFrame:
 
 def personalised(normal: DataFrame, values: DataFrame, alpha: float, steps: int) -> DataFrame:
     """x <- (1 - alpha) A x + alpha x0."""
-    now = values
+    now, links = values, node_links(normal)
     for _ in range(steps):
-        now = added((1 - alpha, push(normal, now)), (alpha, values))
+        now = added((1 - alpha, push(links, now)), (alpha, values))
     return now
 
 

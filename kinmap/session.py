@@ -70,6 +70,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def in_buckets(df: DataFrame, name: str, by: list[str], buckets: int) -> DataFrame:
+    """Cut the lineage by a table in the shared folder with a file a bucket: joins on the columns do not shuffle it."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by)
+    dealt.option("path", f"{shared_folder(spark)}/{table}").saveAsTable(table)
+    return spark.table(table)
+
+
 def checkpointed(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage in the shared folder."""
     shared_folder(df.sparkSession)
