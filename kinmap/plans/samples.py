@@ -230,7 +230,7 @@ def f20(spark, d):
 
 @query("f21_similarity_negatives", sql(f"SELECT u, v FROM (SELECT u, v, row_number() OVER (PARTITION BY u ORDER BY -ln(greatest({T('sim', 'u', 'v')}, 1.1102230246251565e-16)) / greatest(1e-7, least(1 - 1e-7, 1 / (1 + exp(-score)))), v) AS r FROM pr WHERE u <> v) WHERE r <= 3", PAIRS))
 def f21(spark, d):
-    return sampling.similarity_negatives(path_pairs(fx.chains(spark, d)), 3)
+    return sampling.similarity_negatives(path_pairs(fx.kept(fx.chains(spark, d))), 3)
 
 
 WALKS = f"""ad AS (SELECT src, list_sort(list(DISTINCT dst)) AS o FROM l_edges WHERE gid = 0 GROUP BY src), s0 AS (SELECT aid AS start, w AS walk_id, [aid] AS path FROM l_anchors, (SELECT unnest([0, 1])::INT AS w) WHERE split = 'train'),
