@@ -46,21 +46,29 @@ def edge_noise(network: NetworkSet, ratio: float, gids: list[int], seed: str = S
     return out
 
 
+def dealt_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes dealt to as many tasks as shuffles have: a small file of nodes is one task, but draws for them are much work."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gid", "node")
+
+
 def flip_attributes(nodes: DataFrame, ratio: float, seed: str = SEED) -> DataFrame:
-    """Nodes with int(width * ratio) positions of each flipped; only for attributes that are 0 or 1."""
-    places = F.transform(F.sequence(F.lit(0), F.size("x") - 1), lambda p: F.struct(draw("flip", F.col("gid"), F.col("node"), p, seed=seed).alias("d"), p.alias("p")))
-    chosen = F.transform(F.slice(F.array_sort(places), F.lit(1), F.floor(F.size("x") * ratio).cast("int")), lambda s: s["p"])
+    """Nodes with int(width * ratio) positions of each flipped; only for attributes that are 0 or 1.
+
+    Values are sorted by their draws, flipped by place and sorted back, so that a draw is made once a value.
+    """
     binary = F.forall("x", lambda v: v.isin(0.0, 1.0))
     checked = F.when(~binary, F.raise_error(F.lit("attributes are not binary"))).otherwise(F.col("x"))
-    rows = nodes.withColumns({"x": checked, "_chosen": chosen})
-    return rows.withColumn("x", F.transform("x", lambda v, p: F.when(F.array_contains("_chosen", p), 1 - v).otherwise(v))).drop("_chosen")
+    drawn = F.array_sort(F.transform(checked, lambda v, p: F.struct(draw("flip", F.col("gid"), F.col("node"), p, seed=seed).alias("d"), p.alias("p"), v.alias("v"))))
+    count = F.floor(F.size("x") * ratio)
+    flipped = F.array_sort(F.transform(drawn, lambda s, place: F.struct(s["p"].alias("p"), F.when(place < count, 1 - s["v"]).otherwise(s["v"]).alias("v"))))
+    return dealt_nodes(nodes).withColumn("x", F.transform(flipped, lambda s: s["v"]))
 
 
 def gaussian_attributes(nodes: DataFrame, std: float, seed: str = SEED) -> DataFrame:
     """Nodes with normal noise of `std` column deviations on each attribute."""
     moments = column_moments(nodes).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("pos", "std"))).alias("m"))  # one number a column
     noise = lambda v, p: v + draw_normal("gauss", F.col("gid"), F.col("node"), p, seed=seed) * std * F.get(F.col("m"), p)["std"]
-    return nodes.join(F.broadcast(moments), "gid").withColumn("x", F.transform("x", noise)).drop("m")
+    return dealt_nodes(nodes).join(F.broadcast(moments), "gid").withColumn("x", F.transform("x", noise)).drop("m")
 
 
 def attribute_noise(nodes: DataFrame, mode: str, ratio: float, gids: list[int], seed: str = SEED) -> DataFrame:
