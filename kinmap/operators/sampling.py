@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kinmap.functions.draws import SEED, draw, draw_below
 from kinmap.operators.graph import degree_shares, dense_ids, running
-from kinmap.session import checkpointed
+from kinmap.session import broadcast_up_to, checkpointed
 
 
 def balance(one: DataFrame, two: DataFrame, keys: list[str], seed: str = SEED) -> tuple[DataFrame, DataFrame]:
@@ -68,17 +68,30 @@ def non_neighbours(edges: DataFrame, anchors: DataFrame, n: int, k: int, rounds:
     raise RuntimeError("too few nodes that are no neighbours")
 
 
-def cumulative(shares: DataFrame, by: list[str], parts: int = 256) -> DataFrame:
-    """shares(by, node, p) with [low, high) of the running sum and its cell, for draws by an equi-join on cells."""
-    rows = running(shares.where("p > 0"), by, ["node"], "p", "low").withColumn("high", F.col("low") + F.col("p"))
-    last = F.floor(F.least(F.col("high"), F.lit(1.0 - 1e-12)) * parts)
-    return rows.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * parts), last)))
+#: Cells of a share that are listed at once.
+LISTED = 4096
 
 
-def weighted_pick(draws: DataFrame, shares: DataFrame, by: list[str], parts: int = 256) -> DataFrame:
+def cumulative(shares: DataFrame, by: list[str]) -> tuple[DataFrame, DataFrame]:
+    """shares(by, node, p) with [low, high) of the running sum and its cell, for draws by an equi-join on cells; and (by, cells).
+
+    A group has about as many cells as shares, so a draw meets two shares on the average,
+    however many nodes there are. Cells of a share that is wide are listed some thousand at a time.
+    """
+    there = shares.where("p > 0")
+    sizes = checkpointed(there.groupBy(*by).agg(F.pow(F.lit(2.0), F.ceil(F.log2(F.count("*") + 1.0))).cast("long").alias("cells")))
+    rows = running(there, by, ["node"], "p", "low").withColumn("high", F.col("low") + F.col("p")).join(broadcast_up_to(sizes), by)
+    last = F.floor(F.least(F.col("high"), F.lit(1.0 - 1e-12)) * F.col("cells"))
+    rows = rows.withColumns({"first": F.floor(F.col("low") * F.col("cells")), "last": last}).where("first <= last")
+    rows = rows.withColumn("start", F.explode(F.sequence("first", "last", F.lit(LISTED).cast("long"))))
+    return rows.withColumn("cell", F.explode(F.sequence("start", F.least(F.col("start") + LISTED - 1, "last")))).drop("first", "last", "start", "cells"), sizes
+
+
+def weighted_pick(draws: DataFrame, shares: DataFrame, by: list[str]) -> DataFrame:
     """draws(by, u, ...) with the node whose share holds u."""
-    table = cumulative(shares, by, parts).select(*by, "cell", "low", "high", F.col("node").alias("picked"))
-    met = draws.withColumn("cell", F.floor(F.col("u") * parts)).join(table, [*by, "cell"])
+    table, sizes = cumulative(shares, by)
+    table = table.select(*by, "cell", "low", "high", F.col("node").alias("picked"))
+    met = draws.join(broadcast_up_to(sizes), by).withColumn("cell", F.floor(F.col("u") * F.col("cells"))).drop("cells").join(table, [*by, "cell"])
     return met.where((F.col("low") <= F.col("u")) & (F.col("u") < F.col("high"))).drop("cell", "low", "high")
 
 
