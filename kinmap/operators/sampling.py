@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from kinmap.functions.draws import SEED, draw, draw_below
 from kinmap.operators.graph import degree_shares, dense_ids, running
+from kinmap.operators.local import walked
+from kinmap.operators.mapped import mounted
 from kinmap.session import broadcast_up_to, checkpointed
 
 
@@ -148,8 +150,13 @@ def walks(edges: DataFrame, starts: DataFrame, p: float, q: float, num_walks: in
     Weights are 1/p for going back, 1 for neighbours of the last node too, 1/q for
     others. A step draws the place of the next node among the successors and looks it
     up. Only successors that are no others have weights of their own: what lies between
-    them is counted, not listed.
+    them is counted, not listed. Where tasks can map files, a walk is made in one task along
+    mapped edges, and its steps are not shuffled.
     """
+    if mounted(edges):
+        first = starts.select(F.col("node").alias("start")).distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_id"))
+        draws = F.array(*[draw("walk", F.col("start"), F.col("walk_id"), F.lit(step), seed=seed) for step in range(1, length)]).cast("array<double>")
+        return walked(checkpointed(edges.select("src", "dst").distinct()), first.withColumn("draws", draws), p, q)
     numbered, sizes = placed_neighbours(edges)
     first = starts.select(F.col("node").alias("start")).distinct().select("start", F.explode(F.sequence(F.lit(0), F.lit(num_walks - 1))).alias("walk_id"))
     now = first.select("walk_id", "start", F.array("start").alias("path"))
